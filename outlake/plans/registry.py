@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from outlake.plans.reports import REPORTS
+from outlake.plans.views import with_views
+
+GROUPS = (REPORTS,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for group in GROUPS for name, (query, _) in group.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_views(sql) for group in GROUPS for name, (_, sql) in group.items() if sql}

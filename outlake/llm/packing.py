@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 SIZE = 4096
 OPEN_BINS = 512
 END_ID = 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
@@ -29,30 +29,75 @@ _PACKED = _PIECES + ", sequence_id long, offset long"
 class WordEncoder:
     """Token ids of whole texts through a cache of blank-separated words, as little-endian 32-bit ids.
 
-    The tokenizer's normaliser and pre-tokenizer treat ASCII blanks as boundaries that leave no token, so a text's
-    ids are its words' ids one after another.  The cache holds ``CACHE_WORDS`` words at most and then starts anew.
+    The tokenizer lower-cases, treats ASCII blanks as boundaries that leave no token, makes one pre-token of a run of
+    letters and another of the punctuation after it, and marks the last token of each pre-token; so a text's ids are
+    its words' ids one after another, and new words of letters can be encoded together in one call and told apart
+    by the marks.  Words of any other shape are encoded one by one.  Two generations of ``CACHE_WORDS`` words at most
+    are kept; frequent words move on from the old one.
     """
 
     def __init__(self, tokenizer_file: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def __call__(self, text: bytes) -> bytes:
-        import numpy as np
-
-        words = text.split()
+        words = (text if b"<|" in text else text.lower()).split()
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = {w for w in words if w not in known}
         if new:
             if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                self.old, self.known = known, {}
+                known, new = self.known, set(words)
+            self._learn(new)
         return b"".join([known[w] for w in words])
 
+    def _learn(self, words: set[bytes]) -> None:
+        known, old = self.known, self.old
+        stems: dict[bytes, bytes] = {}
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+            else:
+                stems[w] = w[:-1] if w[-1:] in (b".", b",") else w
+        todo = {x for x in stems.values() if x not in known and x not in old}
+        fresh = self._encode(todo | {b".", b","})
+        for w, stem in stems.items():
+            ids = fresh.get(stem) or known.get(stem) or old.get(stem)
+            if ids is None or (stem is not w and not stem.decode("utf8", "replace").isalpha()):
+                ids = self._one([w.decode("utf8", "replace")])[0]
+            elif stem is not w:
+                ids += fresh[w[-1:]]
+            known[w] = ids
+
+    def _one(self, words: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        import numpy as np
+
+        plain, other = [], []
+        for w in words:
+            (plain if w.decode("utf8", "replace").isalpha() else other).append(w)
+        out = dict(zip(other, self._one([w.decode("utf8", "replace") for w in other]), strict=True))
+        if plain:
+            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(cuts) == len(plain):
+                data = ids.tobytes()
+                out.update(zip(plain, [data[a:b] for a, b in zip([0, *cuts], cuts)], strict=True))
+            else:
+                out.update(zip(plain, self._one([w.decode() for w in plain]), strict=True))
+        return out
+
 
 _encoders: dict[str, WordEncoder] = {}
 

@@ -4,9 +4,10 @@
    band keys.  Documents with equal sets form a class; its smallest id stands for it.
 2. In each bucket (equal band key) every class is paired with the bucket's smallest id only, so candidates grow in
    proportion to the documents, whatever the bucket's size.  Each pair is confirmed on the full sets.
-3. Buckets whose members still lie in several components are dealt out in pairs of blocks of ``BLOCK`` members; each
-   task confirms, on full sets, pairs from different components whose first common band is this one, skips pairs
-   that it has joined already, and returns the edges that joined something: no bucket is capped, no pair list made.
+3. Members of buckets that still lie in several components are gathered in clusters (linked by such buckets, so that
+   a document appears once and not once per band), and clusters are dealt out in pairs of blocks of ``BLOCK`` members;
+   each task confirms, on full sets, pairs from different components that share a band, skips pairs that it has joined
+   already, and returns the edges that joined something: no bucket is capped, no pair list made.
 4. Components of all confirmed links.
 
 At a similarity of 0.75, 32 bands of 4 coordinates miss a pair with probability 5e-6.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from outlake.llm.common import components, drop, save
 
 PERCENT = 75
-BLOCK = 256
+BLOCK = 512
 _DIGEST = "id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -68,12 +69,10 @@ def _confirm_blocks(percent: int):
 
         from outlake.llm.shingles import linked, shingle_sets
 
-        key = group.column("key")[0].as_py()
         block = np.array(group.column("block").to_pylist())
         ids, comp = group.column("id").to_pylist(), group.column("component").to_pylist()
         bands = np.array(group.column("bands").to_pylist(), np.int64)
         sets = list(shingle_sets(group.column("text").cast(pa.binary()).to_pylist()))
-        band = int(np.flatnonzero(bands[0] == key)[0])
         size = np.array([len(s) for s in sets])
         root: dict[int, int] = {}
 
@@ -86,11 +85,11 @@ def _confirm_blocks(percent: int):
         a, b, two = [], [], group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
         for i in range(len(ids) - 1):
             rest = slice(i + 1, None)
-            first = (bands[rest] == bands[i]).argmax(axis=1) == band
+            shared = (bands[rest] == bands[i]).any(axis=1)
             near = 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
             if two:
-                first &= block[rest] != block[i]
-            for j in np.flatnonzero(first & near) + i + 1:
+                shared &= block[rest] != block[i]
+            for j in np.flatnonzero(shared & near) + i + 1:
                 x, y = find(comp[i]), find(comp[j])
                 if x != y and linked(sets[i], sets[j], percent):
                     root[max(x, y)] = min(x, y)
@@ -107,7 +106,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = save(texts.mapInArrow(_digests, _DIGEST))
     known = signed.where("id is not null and n_shingles > 0")
     classes = known.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    members = save(known.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("id", "set_a", "set_b", "rep").distinct())
+    members = save(known.select("id", "set_a", "set_b").distinct().join(classes, ["set_a", "set_b"]).select("id", "set_a", "set_b", "rep"))
     bands = known.select("id", "set_a", "set_b", "bands").dropDuplicates(["id", "set_a", "set_b"])
     shown = bands.join(members.where("id = rep"), ["id", "set_a", "set_b"])
     buckets = shown.select("id", F.explode("bands").alias("key"))
@@ -123,14 +122,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     at = placed.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("size")).where("size > 2 and lo < hi")
+    together = at.join(mixed.select("key"), "key", "left_semi").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    clusters = save(components(together)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = (
-        at.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+        clusters.join(sizes, "cluster")
+        .join(first.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("component", F.coalesce("component", "id"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .select("cluster", "id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
     full = dealt.join(shown.select("id", "bands"), "id").join(unique_texts, "id")
-    late = full.groupBy("key", "lo", "hi").applyInArrow(_confirm_blocks(percent), "a long, b long")
+    late = full.groupBy("cluster", "lo", "hi").applyInArrow(_confirm_blocks(percent), "a long, b long")
     second = save(components(late)).select(F.col("node").alias("component"), F.col("component").alias("last"))
     joined = first.join(second, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
     alone = second.join(first, second["component"] == first["node"], "left_anti").select(F.col("component").alias("node"), F.col("last").alias("component"))

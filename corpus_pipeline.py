@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from outlake.llm import near_dedup, packing, quality
+from outlake.llm import line_dedup, near_dedup, packing, quality
 from outlake.llm.common import save
 from outlake.llm.queries import tokenizer_file
 
@@ -14,6 +15,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier one go; documents that lose all their lines go with them."""
+    kept = line_dedup.line_dedup(docs).where(~((F.col("__n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(docs.columns)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return near_dedup.near_dedup(docs)
@@ -24,7 +33,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", quality_stage), ("MinHash near-dedup", near_dedup_stage), ("best-fit packing", packing_stage)]
+STAGES = [("quality rules", quality_stage), ("line dedup", line_dedup_stage), ("MinHash near-dedup", near_dedup_stage), ("best-fit packing", packing_stage)]
 
 #: SQL can't express the tokenizer; the pipeline is tested against a plain version.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlake.llm import near_dedup, packing, quality
+from outlake.llm import chat, embedding_dedup, html_text, lattice_lm, line_dedup, near_dedup, packing, quality, sentencepiece_codec, url_filter
 from outlake.llm.common import table
 
 
@@ -17,6 +17,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept"
+    )
+
+
+def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "__m.n_words", "__m.word_chars", "__m.n_symbols", "__m.n_dup_lines", "__m.n_repeat_words",
@@ -61,23 +71,72 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(n_repeat_words
 """
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept"
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed")
+    )
+
+
+OP6_SQL = r"""
+with l as (select doc_id, i - 1 as line, list_distinct(list_filter(regexp_split_to_array(lower(ls[i]), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as t
+  from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null))),
+big as (select doc_id, line, list_sort(t) as t, len(t) as n from l where len(t) >= 5),
+c as (select t, n, min((doc_id, line)) as who, row_number() over (order by t) as id from big group by t, n),
+tok as (select id, n, who, unnest(t) as w from c),
+df as (select w, count(*) as k from tok group by w),
+r as (select id, n, who, tok.w, row_number() over (partition by id order by k, tok.w) as pos from tok join df on df.w = tok.w),
+p as (select * from r where pos <= n - ceil(n * 85 / 100) + 1),
+pairs as (select distinct a.id as a, b.id as b from p a join p b on a.w = b.w and a.who < b.who and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+near as (select distinct cb.who as who from pairs join c ca on ca.id = a join c cb on cb.id = b
+  where 100 * len(list_intersect(ca.t, cb.t)) >= 85 * (ca.n + cb.n - len(list_intersect(ca.t, cb.t)))),
+gone as (select doc_id, line from big join c on c.t = big.t where (big.doc_id, big.line) <> c.who
+  union select who[1], who[2] from near),
+g as (select doc_id, list(line) as lines from gone group by doc_id)
+select d.doc_id, case when g.lines is null then text else
+  coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(g.lines, i - 1)), chr(10)), '') end as text,
+  cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) as n_lines, cast(coalesce(len(g.lines), 0) as bigint) as n_removed
+from documents d left join g on g.doc_id = d.doc_id
+"""
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_turns(turns.unionByName(more)))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op3_quality_rules": op3_quality_rules,
-        "op5_minhash_near_dedup": op5_minhash_near_dedup,
-        "op10_best_fit_packing": op10_best_fit_packing,
-    }
+        f.__name__: f
+        for f in (
+            op1_embedding_near_dedup, op2_sentencepiece_codec, op3_quality_rules, op4_url_filter, op5_minhash_near_dedup, op6_line_dedup,
+            op7_html_extraction, op8_lattice_scores, op9_chat_format, op10_best_fit_packing,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL}

@@ -87,10 +87,11 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     own = save(rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in SLACK]))
     merged = lambda g: g.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in SLACK])
     by_lang = save(merged(own.groupBy("lang")))
-    everything = merged(by_lang.groupBy(F.lit(1).alias("one")))
-    o, g, a = own.alias("o"), by_lang.alias("g"), everything.alias("a")
-    at = o.join(g, F.col("o.lang").eqNullSafe(F.col("g.lang"))).join(a, F.lit(1) == F.col("a.one"))
-    pick = lambda k: F.when(F.col("o.n") >= ENOUGH, F.col(f"o.{k}")).when(F.col("g.n") >= ENOUGH, F.col(f"g.{k}")).otherwise(F.col(f"a.{k}"))
+    everything = merged(by_lang.groupBy())
+    o, g = own.alias("o"), by_lang.alias("g")
+    at = o.join(g, F.col("o.lang").eqNullSafe(F.col("g.lang")))
+    # one sketch of bounded size: a scalar subquery
+    pick = lambda k: F.when(F.col("o.n") >= ENOUGH, F.col(f"o.{k}")).when(F.col("g.n") >= ENOUGH, F.col(f"g.{k}")).otherwise(everything.select(k).scalar())
     out = at.select("o.lang", "o.source", *[pick(k).alias(k) for k in SLACK])
     quantile = lambda k, q: F.kll_sketch_get_quantile_double(k, F.lit(q))
     bounds = []

@@ -6,8 +6,8 @@ as many words as the label has substrings.  Naive Bayes learns from the pages th
 or a strong one are examples of what to block, the others of what to allow.  Hosts and path shapes (digits count
 alike) are scored once each; pages get their sum.
 
-Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and is allowed; ties go
-to allow; repeated rows are judged alike; empty tables give empty results; other columns are ignored.
+Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and is allowed; so is a
+host without words; ties go to allow; repeated rows are judged alike; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,5 +129,5 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     path_score = scored(shapes, "shape", F.transform(path_words, lambda w: F.concat(F.lit("/"), w)), "path_score")
     out = rows.join(host_score, "host", "left").join(path_score, "shape", "left")
     score = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0))
-    said = F.when((score > 0) & (F.col("host") != ""), F.lit("block")).otherwise(F.lit("allow"))
+    said = F.when((score > 0) & F.col("host_score").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", said).alias("verdict"), score.alias("score"))

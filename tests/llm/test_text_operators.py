@@ -101,7 +101,7 @@ def test_quality_agrees_with_labels(spark):
 
 def test_url_rules_and_verdicts(spark):
     urls = [
-        "http://a.net/x", "http://net/", "http://example.net/en/1", "https://Sub.EXAMPLE.net/en/", "http://example.net/en", "http://x.org/fr/a?b#c", "http://example.com/de/1", "http://a.net",
+        "http://a.net/x", "http://net/", "http://example.net/en/1", "https://Sub.EXAMPLE.net/en/", "http://example.net/en", "http://x.org/fr/a?b#c", "http://example.com/de/1", "http://net.theory.example.com",
         "http://badexample.com/de/", "no scheme", None, "", "http://casinobets.example.com/a", "http://www.cheap-pills.example.com/en/1", "http://free-pills.example.com", "http://theory.example.com/en/1", "x://h?://y/z",
     ]
     html = "<p>theory of the casino bets and the example com cheap pills free</p>"
@@ -110,7 +110,7 @@ def test_url_rules_and_verdicts(spark):
     got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).where(f"page_id < {len(urls)}").orderBy("page_id").collect()]
     assert got == [
         ("a.net", "/x", "net/", "block"), ("net", "/", "net/", "block"), ("example.net", "/en/1", "example.net/en/", "allow"), ("sub.example.net", "/en/", "example.net/en/", "allow"),
-        ("example.net", "/en", "net/", "block"), ("x.org", "/fr/a", "org/fr/", "allow"), ("example.com", "/de/1", "example.com/de/", "block"), ("a.net", "", None, "allow"),
+        ("example.net", "/en", "net/", "block"), ("x.org", "/fr/a", "org/fr/", "allow"), ("example.com", "/de/1", "example.com/de/", "block"), ("net.theory.example.com", "", None, "allow"),
         ("badexample.com", "/de/", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("casinobets.example.com", "/a", None, "block"),
         ("www.cheap-pills.example.com", "/en/1", None, "block"), ("free-pills.example.com", "", None, "block"), ("theory.example.com", "/en/1", None, "allow"), ("h", "", None, "allow"),
     ]

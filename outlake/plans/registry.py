@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from outlake.plans.entities import ENTITIES
+from outlake.plans.more import MORE
 from outlake.plans.reports import REPORTS
 from outlake.plans.views import with_views
 
-GROUPS = (REPORTS, ENTITIES)
+GROUPS = (REPORTS, ENTITIES, MORE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

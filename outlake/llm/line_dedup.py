@@ -8,10 +8,13 @@ has a Jaccard similarity of ``PERCENT`` or more; lines of fewer than ``MIN_TOKEN
    the prefix filter exact; rarity makes it selective.
 2. Lines with equal token sets form a class, of which only the first line takes part in the join, so common lines
    cost one row.
-3. Two similar classes share a token among the rarest few of each (prefix filter).  The self-join on these tokens
-   drops pairs by length, by what can still follow a token's position, and by a 128-bit parity map of the tokens,
-   whose Hamming distance is never above the size of the symmetric difference.  All three are exact bounds.
-4. What is left is verified on the lines' words, read back from the texts.
+3. Lines with the same smallest, or the same largest, token hash are compared with the first of them only.  What is
+   similar to it goes; so most of a large group of near copies is settled by a number of pairs in proportion to it.
+4. For the lines that are still undecided the join is exact: two similar classes share a token among the rarest few of
+   each (prefix filter).  The join on these tokens drops pairs by length, by what can still follow a token's position,
+   and by a 64-bit parity map of the tokens, whose Hamming distance is never above the size of the symmetric
+   difference.  All three are exact bounds.
+5. Candidates of both steps are verified on the lines' words, read back from the texts.
 
 Everything is DataFrame operations.  Defined results: null texts stay null; rows with a null id are left as they are
 and match nothing; a row is told by its id and text, so repeated rows are treated alike; empty tables give empty
@@ -50,63 +53,99 @@ def _levels(texts: DataFrame) -> str:
     return "array(" + ", ".join(f"bigint('{found.get(i, 0)}')" for i in range(BUCKETS // 16)) + ")"
 
 
-def _lines(texts: DataFrame, levels: str, percent: int, min_tokens: int) -> DataFrame:
-    """One row per line with enough tokens: where it is, its set's digest, size, parity maps and prefix."""
+def _lines(texts: DataFrame, levels: str, percent: int) -> DataFrame:
+    """One row per line: where it is, its set's digest, size, parity maps and prefix."""
     level = f"shiftrightunsigned(get({levels}, int(shiftright(h & {BUCKETS - 1}, 4))), int(4 * (h & 15))) & 15"
     lines = texts.select("id", "hash", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "words"))
     hashed = F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))
-    lines = lines.select("id", "hash", "line", F.array_distinct(hashed).alias("t")).where(F.size("t") >= min_tokens)
+    lines = lines.select("id", "hash", "line", F.array_distinct(hashed).alias("t"))
+    lines = lines.select("id", "hash", "line", "t", F.array_min("t").alias("least"), F.array_max("t").alias("most"))
     ordered = F.expr(f"sort_array(transform(t, h -> shiftleft({level}, 55) | shiftrightunsigned(h, 9)))")
-    lines = lines.select("id", "hash", "line", ordered.alias("t"))
-    parity = "aggregate(t, 0L, (a, x) -> if((x & 64) = {}, a ^ shiftleft(1L, int(x & 63)), a))"
+    lines = lines.select("id", "hash", "line", "least", "most", ordered.alias("t"))
     return lines.select(
-        "id", "hash", "line",
+        "id", "hash", "line", "least", "most",
         F.xxhash64("t").alias("set_a"), F.xxhash64(F.lit(1), "t").alias("set_b"), F.size("t").alias("n"),
-        F.expr(parity.format(0)).alias("map_a"), F.expr(parity.format(64)).alias("map_b"),
+        F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))").alias("map"),
         F.expr(f"transform(slice(t, 1, size(t) - int(floor((size(t) * {percent} + 99) / 100)) + 1), x -> int(x & 2147483647))").alias("prefix"),
     )
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of first lines (a the earlier one) that no bound tells apart."""
-    rows = classes.select(F.posexplode("prefix").alias("at", "token"), F.struct("id", "hash", "line").alias("who"), "n", "map_a", "map_b")
+def _bounds(percent: int) -> str:
+    """What similar lines ``a`` and ``b`` satisfy, as SQL."""
+    return (
+        f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) "
+        f"and bit_count(a.map ^ b.map) <= a.n + b.n - 2 * {_need(percent)}"
+    )
+
+
+def _need(percent: int) -> str:
+    """The least overlap of similar lines ``a`` and ``b``, as SQL."""
+    return f"floor(({percent} * (a.n + b.n) + {99 + percent}) / {100 + percent})"
+
+
+def _first_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a line and the first one with its smallest or largest token hash."""
+    rows = classes.select(F.explode(F.array("least", "most")).alias("key"), F.struct("id", "hash", "line").alias("who"), "n", "map")
+    heads = rows.groupBy("key").agg(F.min(F.struct("who", "n", "map")).alias("x"), F.count("*").alias("k")).where("k > 1").select("key", "x.*")
+    a, b = heads.alias("a"), rows.alias("b")
+    near = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr(f"a.who < b.who and {_bounds(percent)}"))
+    return near.select(F.col("a.who").alias("a"), F.col("b.who").alias("b")).distinct()
+
+
+def _candidates(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of first lines, a the earlier one and b not settled, that no bound tells apart."""
+    # settled lines are told by a number above any size: the condition needs both sides, so that it isn't pushed to one
+    # of them and both read the same exchange
+    mark = settled.withColumn("settled", F.lit(2**31 - 1))
+    rows = classes.join(mark, ["id", "hash", "line"], "left").select(F.posexplode("prefix").alias("at", "token"), "id", "hash", "line", "n", "map", F.coalesce("settled", F.lit(0)).alias("settled"))
     a, b = rows.alias("a"), rows.alias("b")
-    need = f"floor(({percent} * (a.n + b.n) + {99 + percent}) / {100 + percent})"  # the least overlap of a similar pair
-    bounds = (
-        f"a.who < b.who and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) "
-        f"and bit_count(a.map_a ^ b.map_a) + bit_count(a.map_b ^ b.map_b) <= a.n + b.n - 2 * {need} "
-        f"and 1 + least(a.n - a.at, b.n - b.at) - 1 >= {need}"
+    after = (
+        f"{_bounds(percent)} and least(a.n - a.at, b.n - b.at) >= {_need(percent)} "
+        "and b.settled < a.n and struct(a.id, a.hash, a.line) < struct(b.id, b.hash, b.line)"
     )
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & F.expr(bounds)).select(F.col("a.who").alias("a"), F.col("b.who").alias("b")).distinct()
+    who = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in ("id", "hash", "line")]).alias(side)
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & F.expr(after)).select(who("a"), who("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The later lines of the pairs that are similar: ``id, hash, line``."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("who")).distinct().select("who.*")
-    found = wanted.join(texts.dropDuplicates(["id", "hash"]), ["id", "hash"]).select(
+    found = wanted.join(texts, ["id", "hash"]).select(
         F.struct("id", "hash", "line").alias("who"), F.array_distinct(_words(F.get(F.split(F.lower("text"), "\n"), F.col("line")))).alias("t")
     )
-    found = save(found)
+    found = save(found.dropDuplicates(["who"]))  # repeated rows
+    release(pairs.sparkSession)
     both = pairs.join(found.select(F.col("who").alias("a"), F.col("t").alias("ta")), "a").join(found.select(F.col("who").alias("b"), F.col("t").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("b.*").distinct()
+    out = save(both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("b.*").distinct())
+    drop(found, pairs)
+    return out
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The lines that go: ``id, hash`` (of the text), ``line`` (from 0)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where("id is not null and text is not null").withColumn("hash", F.xxhash64("text"))
-    lines = save(_lines(texts, _levels(texts), percent, min_tokens))
-    classes = save(lines.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "hash", "line", "n", "map_a", "map_b", "prefix")).alias("x")).select("set_a", "set_b", "x.*"))
-    release(docs.sparkSession)
-    pairs = save(_candidates(classes, percent))
-    release(docs.sparkSession)
-    near = _verified(pairs, texts, percent)
+    every = save(_lines(texts, _levels(texts), percent))
+    # filtered only now: a filter on the size would be pushed down and have the tokens computed twice
+    lines = every.where(F.col("n") >= min_tokens)
+    spark = docs.sparkSession
+    parts = F.struct("id", "hash", "line", "n", "map", "least", "most", "prefix")
+    classes = save(lines.groupBy("set_a", "set_b").agg(F.min(parts).alias("x")).select("set_a", "set_b", "x.*"))
+    release(spark)
     firsts = classes.select("set_a", "set_b", F.struct("id", "hash", "line").alias("first"))
-    copies = lines.join(firsts, ["set_a", "set_b"]).where(F.struct("id", "hash", "line") != F.col("first")).select("id", "hash", "line").distinct()
+    copies = save(lines.join(firsts, ["set_a", "set_b"]).where(F.struct("id", "hash", "line") != F.col("first")).select("id", "hash", "line").distinct())
+    drop(every)
+    release(spark)
+    settled = _verified(save(_first_pairs(classes, percent)), texts, percent)
+    release(spark)
+    pairs = save(_candidates(classes, settled, percent))
+    drop(classes)
+    release(spark)
+    near = settled.unionByName(_verified(pairs, texts, percent))
     out = save(copies.unionByName(near).distinct().groupBy("id", "hash").agg(F.collect_list("line").alias("gone")))
-    drop(lines, classes, pairs)
-    release(docs.sparkSession)
+    drop(copies, settled)
+    release(spark)
     return out
 
 

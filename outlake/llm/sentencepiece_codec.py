@@ -38,6 +38,7 @@ def _groups(sizes: list[int]) -> Iterator[slice]:
 def _run(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
+        from array import array
 
         import sentencepiece
 
@@ -47,8 +48,8 @@ def _run(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
             for part in _groups([len(x) for x in texts]):
                 some = texts[part]
                 ids = own.encode(some)
-                same = [x == y.encode("utf8", "replace") for x, y in zip([own.decode(i).encode("utf8", "replace") for i in ids], some, strict=True)]
-                parity = [pa.array(y, pa.uint32()).to_numpy().astype("<u4").tobytes() == x for x, y in zip(ids, theirs.encode(some, num_threads=1), strict=True)]
+                same = [own.decode(x) == y for x, y in zip(ids, some, strict=True)]
+                parity = [array("I", y).tobytes() == x for x, y in zip(ids, theirs.encode(some, num_threads=1), strict=True)]
                 columns = [
                     batch.column("doc_id")[part.start : part.stop],
                     pa.array([len(x) // 4 for x in ids], pa.int64()),

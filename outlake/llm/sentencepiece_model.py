@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_SEGMENTS = 200_000
+CACHE_SEGMENTS = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -119,11 +119,20 @@ class Codec:
     """Encodes and decodes batches; new segments are encoded together, on the library's threads."""
 
     def __init__(self, path: str):
+        import numpy as np
+
         self.model = Model.read(path)
         self.segments = self.model.tokenizer(normalise=False)
         self.whole = self.model.tokenizer()
         self.find = re.compile(self.model.segment_pattern()).findall if self.model.separable() else lambda x: [x] if x else []
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        m = self.model
+        # words can be looked up as they stand in the text
+        self.by_words = m.separable() and m.dummy_prefix and not m.charsmap and not m.remove_extra_blanks and self.find("a\nb") == ["a", "\n", "b"]
+        if self.by_words:
+            self.segments.pre_tokenizer = self.whole.pre_tokenizer
+        self.begins = np.array([p.startswith(MARK) and kind == NORMAL for p, _, kind in m.pieces])
         self.surface = [
             bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, kind in self.model.pieces
@@ -139,17 +148,40 @@ class Codec:
         """Ids as little-endian 32-bit numbers."""
         import numpy as np
 
-        cut = [self.find(self.normalised(t)) for t in texts]
+        cut = [self._cut(t) for t in texts]
         new = {s for x in cut for s in x if s not in self.known}
         if len(self.known) + len(new) > CACHE_SEGMENTS:
-            self.known.clear()
+            self.old, self.known = self.known, {}
             new = {s for x in cut for s in x}
-        new = list(new)
-        for s, e in zip(new, self.segments.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[s] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
+        known, old = self.known, self.old
+        plain, other = [], []
+        for s in new:
+            if s in old:
+                known[s] = old[s]
+            else:
+                (plain if self.by_words and s and s[0] not in ("\n", "\0", MARK) else other).append(s)
+        if plain:
+            # one call for all: a piece that begins with the metaspace begins a word
+            ids = np.array(self.segments.encode_batch_fast([MARK + MARK.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(plain):
+                data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+                known.update(zip(plain, [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True))
+            else:
+                other += plain
+        asked = [s if not self.by_words or s[:1] in ("\n", MARK) else s[1:] if s[:1] == "\0" else MARK + s for s in other]
+        for s, e in zip(other, self.segments.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+            known[s] = np.array(e.ids, "<u4").tobytes()
         return [b"".join([known[s] for s in x]) for x in cut]
 
+    def _cut(self, text: str) -> list[str]:
+        """The text's keys in the cache: words between single blanks (a line's first word has the line break before
+        it), or, where blanks or metaspaces make it harder, segments as the model sees them."""
+        if self.by_words and text and "  " not in text and " \n" not in text and text[0] != " " and text[-1] != " " and MARK not in text and "\0" not in text:
+            return text.replace("\n", " \n").split(" ")
+        found = self.find(self.normalised(text))
+        return [s if s[0] in ("\n", MARK) else "\0" + s for s in found] if self.by_words else found
+
     def decode(self, ids: bytes) -> str:
         import numpy as np
 

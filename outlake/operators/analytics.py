@@ -57,8 +57,7 @@ def segment(facts: DataFrame, key: Column, label: Column | None = None) -> DataF
         bigint_count_if(unverified_reply()).alias("unverified"),
     )
     grouped = grouped.withColumnRenamed(grouped.columns[0], "key").withColumn("key", F.col("key").cast("string"))
-    # groups are few: the null group's size is put on all of them
-    dropped = F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("sent"))).over(W.partitionBy()), F.lit(0)).cast("long")
+    dropped = F.coalesce(grouped.where("key is null").agg(F.sum("sent")).scalar(), F.lit(0)).cast("long")
     enough = F.col("sent") >= MIN_SAMPLE
     return (
         grouped.withColumn("dropped", dropped)
@@ -115,10 +114,10 @@ def hours_to_reply(facts: DataFrame) -> DataFrame:
 
 def best_and_worst(segments: DataFrame) -> DataFrame:
     """Best and worst segment with enough data; nulls unless there are two.  Ties keep the order by sent, then label."""
-    best = F.max_by("key", F.struct("rate", "sent", F.col("__rank")))
-    worst = F.min_by("key", F.struct("rate", "sent", F.col("__rank")))
-    ranked = segments.where("enough_data").withColumn("__rank", -F.row_number().over(W.orderBy(F.desc("sent"), "label", "key")))
-    t = ranked.agg(F.count("*").alias("n"), best.alias("best"), worst.alias("worst"), F.max("rate").alias("hi"), F.min("rate").alias("lo"))
+    order = F.struct(-F.col("rate"), -F.col("sent"), "label", "key")
+    t = segments.where("enough_data").agg(
+        F.count("*").alias("n"), F.min_by("key", order).alias("best"), F.max_by("key", order).alias("worst"), F.max("rate").alias("hi"), F.min("rate").alias("lo")
+    )
     two = F.col("n") >= 2
     return t.select(F.when(two, F.col("best")).alias("best"), F.when(two, F.col("worst")).alias("worst"), F.when(two, F.bround(F.col("hi") - F.col("lo"), 1)).alias("spread"))
 

@@ -17,7 +17,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier one go; documents that lose all their lines go with them."""
-    kept = line_dedup.line_dedup(docs).where(~((F.col("__n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    kept = line_dedup.line_dedup(docs).where((F.col("__at") >= 0) & ~((F.col("__n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(docs.columns)

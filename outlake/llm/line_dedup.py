@@ -150,11 +150,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``docs`` without the lines that go; ``__n_lines`` and ``__n_removed`` (long) are added."""
+    """``docs`` without the lines that go; ``__n_lines`` and ``__n_removed`` (long) are added, and ``__at``: a filter
+    that reads it isn't pushed below the rebuilding of the texts, where it would split them again for every line."""
     gone = removed_lines(docs, id_col, text_col, percent, min_tokens).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("gone").alias("__gone"))
     at = docs.join(gone, (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__hash")), "left")
     at = at.withColumn("__lines", F.split(docs[text_col].cast("string"), "\n"))
     at = at.withColumn("__stay", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
     at = at.withColumn("__new", F.when(F.col("__gone").isNull(), docs[text_col].cast("string")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n")))
     kept = [F.col("__new").alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return at.select(*kept, F.greatest(F.size("__lines"), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_removed"))
+    return at.select(*kept, F.greatest(F.size("__lines"), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_removed"), F.monotonically_increasing_id().alias("__at"))

@@ -66,7 +66,8 @@ def with_metrics(docs: DataFrame, text: Column) -> DataFrame:
         F.expr("bigint(size(array_distinct(flatten(transform(again, x -> array(x & (shiftleft(1L, bits) - 1), (x & (shiftleft(1L, bits) - 1)) + 1, (x & (shiftleft(1L, bits) - 1)) + 2))))))"),
     )
     counts = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words"]
-    return d.select("__row.*", F.struct(*counts).alias("__m"))
+    # a filter that reads ``__at`` isn't pushed below this, where it would have the arrays built again in every lambda
+    return d.select("__row.*", F.struct(*counts).alias("__m"), F.monotonically_increasing_id().alias("__at"))
 
 
 def _ratios() -> dict[str, Column]:
@@ -118,4 +119,4 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
 
 def quality_filter(docs: DataFrame, **cols: str) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    return judged(docs, **cols).where("__kept").select(docs.columns)
+    return judged(docs, **cols).where("__kept and __at >= 0").select(docs.columns)

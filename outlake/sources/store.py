@@ -18,10 +18,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{at}/streams/{uuid.uuid4().hex}"
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 16) -> DataFrame:
-    """The event table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir)
+    """The event table, a single file or a folder of part files, as a stream of files."""
+    at = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(at).schema).option("maxFilesPerTrigger", files_per_trigger)
+    # the filter knows file names only: it picks a single file out of its folder and would leave no part file
+    raw = stream.parquet(at) if _is_folder(spark, at) else stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").alias("entity_id"), F.col("event_type").alias("event"))
 
 

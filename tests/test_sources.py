@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from outlake.operators import gates, windows
 from outlake.sources import store
 from outlake.streaming import streams
+from tests.conftest import SF
 
 
 def test_csv_dialects(spark, tmp_path):
@@ -43,3 +44,13 @@ def test_unknown_acceptance_passes(spark):
     contacts = spark.createDataFrame([(1, "a@x.io"), (2, "a@y.io"), (3, "a@z.io")], "contact_id int, email string")
     domains = spark.createDataFrame([("x.io", False), ("y.io", None)], "domain string, accepts boolean")
     assert {tuple(r) for r in gates.acceptance_gate(contacts, domains).collect()} == {(1, False), (2, True), (3, True)}
+
+
+def test_events_in_one_file_or_in_part_files(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "parts" / "events.parquet"))
+    assert len(list((tmp_path / "parts" / "events.parquet").glob("part-*"))) == 3
+    for query in (streams.feed, streams.daily_counts, streams.once_per_actor):
+        one, parts = (query(store.event_stream(spark, d)).drop("created_at").collect() for d in (SF, str(tmp_path / "parts")))
+        assert one and sorted(one) == sorted(parts)
+    assert streams.feed(store.event_stream(spark, str(tmp_path / "parts"))).count() == events.count()

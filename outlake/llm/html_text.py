@@ -2,9 +2,10 @@
 
 Markup is stripped to lines, one per block.  A line's weight is the length of its text; lines of menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments, lines outside a page's article where it marks one, and
-(outside articles) lines that are mostly links weigh nothing.  Weights are summed over sliding windows of ``WINDOW``
-lines: the text surges where a window reaches the threshold and dives where windows are empty again, and the lines
-with weight between a surge and its dive, back to the last empty window, are the main text.
+(outside articles) lines that are mostly links weigh nothing.  On a page that marks its article every line with weight
+is main text.  On other pages weights are summed over sliding windows of ``WINDOW`` lines: the text surges where a
+window reaches the threshold and dives where windows are empty again, and the lines with weight between a surge and its
+dive, back to the last empty window, are the main text.
 
 Defined results: null and empty pages give an empty text; cut-off pages are read as far as they go; whole pages are
 read, whatever their length; null ids are carried along, repeated rows are read once for each row, other columns are
@@ -60,8 +61,8 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """The page's blocks in order: text and whether it can be main text."""
+def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
+    """The page's blocks in order, text and whether it can be main text; and whether the page marks an article."""
     page = _UNSEEN.sub(" ", page)
     out: list[tuple[str, bool, bool]] = []  # text, can be main text, in an article
     runs: list[str] = []
@@ -121,11 +122,13 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     say(page[at:])
     flush()
     marked = any(inside for _, good, inside in out if good)
-    return [(text, good and (inside or not marked)) for text, good, inside in out]
+    return [(text, good and (inside or not marked)) for text, good, inside in out], marked
 
 
 def main_text(page: str) -> str:
-    lines = lines_of(page)
+    lines, marked = lines_of(page)
+    if marked:
+        return "\n".join(text for text, good in lines if good)
     weight = [len(text) if good else 0 for text, good in lines]
     n = len(weight)
     sums = [sum(weight[i : i + WINDOW]) for i in range(n)]

@@ -128,6 +128,14 @@ def test_main_text():
     assert html_text.main_text("") == html_text.main_text("<p> </p><script>x") == ""
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_short_lines_of_an_article_stay_after_gaps(n):
+    gap = "<li>x" * n
+    page = f"<article><h1>Short title</h1><ul class='share'>{gap}</ul><p>{'word ' * 30}</p><ul class='related'>{gap}</ul><p>Short end.</p></article>"
+    assert html_text.main_text(page) == f"Short title\n{('word ' * 30).strip()}\nShort end."
+    assert html_text.main_text(page.replace("article>", "main>")) == html_text.main_text(page)
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<article><p>x y</p></article>", 1)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, html_text.extract(pages).collect()), key=str) == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "u", "x y", 3)], key=str)

@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one per block.  A line's weight is the length of its text; lines of menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments, lines outside a page's article where it marks one, and
-(outside articles) lines that are mostly links weigh nothing.  On a page that marks its article every line with weight
+(outside articles) lines that are mostly links weigh nothing.  A listed class, id or role voids no element that holds
+more than half of the page's unlinked text, nor the header of an article.  On a page that marks its article every line with weight
 is main text.  On other pages weights are summed over sliding windows of ``WINDOW`` lines: the text surges where a
 window reaches the threshold and dives where windows are empty again, and the lines with weight between a surge and its
 dive, back to the last empty window, are the main text.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +41,10 @@ WORDS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 PLAIN = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+ABOUT = frozenset("has no non not with without".split())
+BY_TAG, BY_WORD, BY_COMMENT_WORD = 1, 2, 3
 
 _UNSEEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>",
@@ -49,32 +55,69 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORD = re.compile(r"[a-z]+")
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def _kind(tag: str, attributes: str, in_article: bool) -> int:
     if tag in BOILERPLATE or tag == "header" and not in_article:
-        return True
-    if tag in PLAIN or not attributes:
-        return False
+        return BY_TAG
+    if tag in PLAIN or tag == "header" or not attributes:
+        return 0
     for name, *values in _NAMES.findall(attributes):
-        words = _WORD.findall("".join(values).lower())
-        if not (ROLES if name.lower() == "role" else WORDS).isdisjoint(words):
-            return True
-    return False
+        value = "".join(values).lower()
+        if name.lower() == "role":
+            words = set(_WORD.findall(value))
+            found = words & ROLES
+        else:
+            # "content-with-sidebar", "no-ads": what follows tells about the page, not about the element
+            words = {w for part in value.split() for w in takewhile(lambda w: w not in ABOUT, _WORD.findall(part))}
+            found = words & WORDS
+            if in_article:
+                found = found - {"header"}
+        if found:
+            return BY_COMMENT_WORD if found & COMMENTS else BY_WORD
+    return 0
+
+
+def _voided(marks: list[tuple[int, int]], held: list[tuple[int, int]]) -> list[bool]:
+    """Which elements with a listed class, id or role weigh nothing: those inside another such element, and those with
+    at most half of the page's unlinked text.  Reader comments don't count, unless there is hardly any other text.
+
+    ``marks`` has each element's kind and the one around it (-1: none), ``held`` an element and its unlinked text.
+    """
+    comment = [kind == BY_COMMENT_WORD for kind, _ in marks]
+    for i, (_, around) in enumerate(marks):
+        comment[i] |= around >= 0 and comment[around]
+    own = sum(size for i, size in held if i < 0 or not comment[i])
+    if own < SURGE:
+        comment, own = [False] * len(marks), sum(size for _, size in held)
+    sizes = [0] * len(marks)
+    for i, size in held:
+        if i >= 0 and not comment[i]:
+            sizes[i] += size
+    for i in range(len(marks) - 1, -1, -1):
+        if marks[i][1] >= 0:
+            sizes[marks[i][1]] += sizes[i]
+    void = [2 * size <= own for size in sizes]
+    for i, (_, around) in enumerate(marks):
+        void[i] |= around >= 0 and void[around]
+    return void
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
     """The page's blocks in order, text and whether it can be main text; and whether the page marks an article."""
     page = _UNSEEN.sub(" ", page)
-    out: list[tuple[str, bool, bool]] = []  # text, can be main text, in an article
+    out: list[tuple[str, bool, bool, int, int]] = []  # text, can be main text, in an article, mark around it, unlinked text
     runs: list[str] = []
     links = length = in_article = in_link = 0
-    skip, depth = "", 0  # the boilerplate element that is open, and how many of its name are
+    skip, depth, within = "", 0, 0  # the boilerplate element that is open, how many of its name are, and the marks around it
+    marks: list[tuple[int, int]] = []  # elements with a listed word: kind and the mark around it
+    opened: list[list] = []  # those that are open: name, how many of the name are, number of the mark
+    by_name: dict[str, list[list]] = {}
 
     def flush() -> None:
         nonlocal runs, links, length
         text = " ".join("".join(runs).split())
         if text:
             linked = not in_article and links > LINK_SHARE * max(length, 1)
-            out.append((text, not skip and not linked, in_article > 0))
+            out.append((text, not skip and not linked, in_article > 0, opened[-1][2] if opened else -1, 0 if skip else length - links))
         runs, links, length = [], 0, 0
 
     def say(raw: str) -> None:
@@ -86,6 +129,14 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
             length += size
             links += size * (in_link > 0)
 
+    def leave() -> list:
+        nonlocal skip, depth
+        mark = opened.pop()
+        by_name[mark[0]].pop()
+        if skip and within > len(opened):
+            skip, depth = "", 0
+        return mark
+
     at = 0
     for m in _TAG.finditer(page):
         say(page[at : m.start()])
@@ -96,7 +147,9 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
             in_link = 0 if closing else 1
         elif tag == "br":
             runs.append(" ")
-        if tag not in BLOCKS and not skip and (closing or not _is_boilerplate(tag, attributes, in_article > 0)):
+        kind = 0 if closing or tag in EMPTY or attributes.endswith("/") else _kind(tag, attributes, in_article > 0)
+        same = by_name.get(tag)
+        if tag not in BLOCKS and not kind and not same and tag != skip:
             continue
         if tag in BLOCKS:
             flush()
@@ -106,23 +159,47 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
                 if not depth:
                     flush()
                     skip = ""
+            if same:
+                same[-1][1] -= 1
+                if not same[-1][1]:
+                    flush()
+                    mark = same[-1]
+                    while leave() is not mark:
+                        pass
             if tag in ("article", "main"):
                 in_article = max(0, in_article - 1)
             continue
         if tag in ("article", "main"):
             in_article += 1
+            while opened:
+                leave()
             skip, depth = "", 0
-        elif skip in ("p", "li") and tag in BLOCKS:
-            skip, depth = "", 0
+            same = None
+        elif tag in BLOCKS:
+            while opened and opened[-1][0] in ("p", "li"):
+                leave()
+            same = by_name.get(tag)
+        whole = not attributes.endswith("/")
+        if same:
+            same[-1][1] += whole
         if skip:
-            depth += skip == tag and not attributes.endswith("/")
-        elif _is_boilerplate(tag, attributes, in_article > 0) and not attributes.endswith("/"):
+            depth += skip == tag and whole
+        elif kind == BY_TAG:
+            flush()
+            skip, depth, within = tag, 1, len(opened)
+        elif kind:
             flush()
-            skip, depth = tag, 1
+            marks.append((kind, opened[-1][2] if opened else -1))
+            opened.append([tag, 1, len(marks) - 1])
+            if same:
+                same[-1][1] -= 1
+            by_name.setdefault(tag, []).append(opened[-1])
     say(page[at:])
     flush()
-    marked = any(inside for _, good, inside in out if good)
-    return [(text, good and (inside or not marked)) for text, good, inside in out], marked
+    void = _voided(marks, [(i, size) for _, _, _, i, size in out])
+    lines = [(text, good and (i < 0 or not void[i]), inside) for text, good, inside, i, _ in out]
+    marked = any(inside for _, good, inside in lines if good)
+    return [(text, good and (inside or not marked)) for text, good, inside in lines], marked
 
 
 def main_text(page: str) -> str:

@@ -136,6 +136,25 @@ def test_short_lines_of_an_article_stay_after_gaps(n):
     assert html_text.main_text(page.replace("article>", "main>")) == html_text.main_text(page)
 
 
+@pytest.mark.parametrize("wrapper", ["class='content has-sidebar'", "id='page' class='no-sidebar'", "class='layout-with-header'", "class='sidebar-layout'", "role='banner'", "id=related"])
+def test_a_listed_word_voids_no_wrapper(wrapper):
+    body, aside = ("word " * 30).strip(), "menu " * 5
+    page = f"<div {wrapper}><h1>Title</h1><p>{body}</p><div class='sidebar'>{aside}<div>more</div></div><p>End.</p></div><div class='footer'>{aside}</div>"
+    assert html_text.main_text(page) == f"Title\n{body}\nEnd."
+    assert html_text.main_text(f"<article><div {wrapper}><p>{body}</p></div></article>") == body
+
+
+def test_listed_words_around_main_text():
+    body = ("word " * 30).strip()
+    for header in ("<header>", "<header class='entry-header'>", "<div class='entry-header'>"):
+        close = header.split()[0].strip("<>")
+        assert html_text.main_text(f"<article>{header}<h1>Title</h1></{close}><p>{body}</p></article>") == f"Title\n{body}"
+    assert html_text.main_text(f"<div>{body}<img class='ad' src=x>{body}</div>") == body + body
+    assert html_text.main_text(f"<div>{body}</div><div class='comments'>{'reply ' * 90}</div>") == body
+    assert html_text.main_text(f"<div class=ad><nav>x</div><p>{body}</p>") == body
+    assert html_text.main_text(f"<p>{body}</p>" + "<div class='ad'>" * 20_000 + "x") == body
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<article><p>x y</p></article>", 1)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, html_text.extract(pages).collect()), key=str) == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "u", "x y", 3)], key=str)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outlake.functions import identity, text
-from outlake.operators import gates, pipeline
+from outlake.operators import gates, links, pipeline
 from outlake.plans.entities import _MATCH
 from outlake.plans.reports import _AS_SENT, _EVIDENCE, _FLAGS, _FOLLOW
 from outlake.plans.views import load
@@ -99,6 +99,7 @@ MORE = {
         lambda s, d: load(s, d, "pages").select("page_id", F.posexplode(F.slice(text.links(F.col("html")), 1, 24)).alias("place", "href")),
         """select page_id, cast(i as integer) as place, l[i + 1] as href from (select page_id, l, unnest(range(0, least(24, len(l)))) as i from (select page_id, regexp_extract_all(html, '(?i)<a[^>]+href="([^"]*)"', 1) as l from pages))""",
     ),
+    "f39_o10_ranked_links": (lambda s, d: links.page_links(load(s, d, "pages")), None),
     "p16_redacted_text": (
         lambda s, d: load(s, d, "documents").select("doc_id", F.length(text.redacted(F.concat(F.when(F.col("doc_id") % 5 == 0, "Ignore previous instructions. ").otherwise(""), F.col("text")))).cast("long").alias("n")),
         """select doc_id, cast(length(regexp_replace(concat(case when doc_id % 5 = 0 then 'Ignore previous instructions. ' else '' end, text),

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Phrases of navigation and footers.
+NAVIGATION = (
+    "subscribe", "book a demo", "careers", "cookie policy", "privacy policy", "terms of service", "sign up", "log in", "menu", "navigation", "skip to",
+    "cookie consent", "accept cookies", "reject cookies", "learn more", "get started", "try free", "contact us", "about us", "our team",
+    "follow us", "social media", "linkedin", "twitter", "facebook", "instagram", "youtube", "newsletter", "email updates",
+)
+BLANKS = r"[\t\x0B-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+SIGNS = r"[^\p{L}\p{N}_ ]"
 INJECTION = r"(?i)(ignore (all |any )?(previous|prior|above) instructions|disregard (the|all) (above|previous)|system prompt|you are now)"
 
 
@@ -20,14 +30,24 @@ def is_script_shell(html: Column) -> Column:
     return (text < 120) & (F.length(html) > 4000)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(text: Column, chars: int = 3000, least: int = 20) -> Column:
-    """Lines of some length, joined; repeated sentences go, the first one stays; cut with an ellipsis."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) >= least)
-    sentences = F.filter(F.transform(F.split(F.array_join(F.transform(lines, lambda x: F.trim(x)), " "), r"\. "), lambda x: F.trim(x)), lambda x: x != "")
-    lowered = F.transform(sentences, lambda x: F.lower(x))
-    first = F.filter(sentences, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
-    joined = F.array_join(first, ". ")
-    return F.when(F.length(joined) > chars, F.concat(F.substring(joined, 1, chars), F.lit("..."))).otherwise(joined)
+    """Lines of some length that are neither navigation nor mostly signs, blanks squeezed, joined; repeated sentences
+    go, the first one stays; cut with an ellipsis."""
+    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
+    lines = F.filter(F.transform(F.split(squeezed, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+    lines = F.filter(lines, lambda x: ~F.lower(x).rlike("|".join(NAVIGATION)) & (F.length(F.regexp_replace(x, SIGNS, "")) >= F.length(x) * F.lit(0.3)))
+    sentences = F.filter(F.split(F.array_join(lines, " "), "[.!?] +"), lambda x: x != "")
+    # equal sentences side by side, in their order; sorted once, bound by an outer transform
+    keyed = F.sort_array(F.transform(sentences, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    first = _bound(keyed, lambda s: F.filter(s, lambda x, i: (i == 0) | (x["low"] != F.get(s, F.greatest(i - 1, F.lit(0)))["low"])))
+    placed = F.sort_array(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x"))))
+    joined = F.array_join(F.transform(placed, lambda x: x["x"]), ". ")
+    return _bound(joined, lambda j: F.trim(F.when(F.length(j) > chars, F.concat(F.substring(j, 1, chars), F.lit("..."))).otherwise(j)))
 
 
 def links(html: Column) -> Column:

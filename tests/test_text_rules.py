@@ -1,8 +1,12 @@
 """Links and text rules with literal pages and texts."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from outlake.functions import text
 from outlake.operators import links
+from tests.conftest import SF
 
 
 def test_links_are_ranked_over_the_whole_page(spark):
@@ -15,3 +19,28 @@ def test_links_are_ranked_over_the_whole_page(spark):
     rows = links.page_links(pages).orderBy("page_id", "place").collect()
     assert [tuple(r) for r in rows if r.page_id == 1] == [(1, i, x) for i, x in enumerate(want)]
     assert [tuple(r) for r in rows if r.page_id != 1] == [(4, 0, "https://x.io/team")]
+
+
+def plain_clean(raw):
+    lines = [x.strip() for x in re.sub(r"[^\S\n]+", " ", raw or "").split("\n")]
+    lines = [x for x in lines if len(x) >= 20 and not any(w in x.lower() for w in text.NAVIGATION) and len(re.sub(r"[^\w\s]", "", x)) >= len(x) * 0.3]
+    seen, out = set(), []
+    for s in re.split(r"[.!?]\s+", " ".join(lines)):
+        if s.strip() and s.lower().strip() not in seen:
+            seen.add(s.lower().strip())
+            out.append(s)
+    joined = ". ".join(out)
+    return (joined[:3000] + "..." if len(joined) > 3000 else joined).strip()
+
+
+def test_clean_text_matches_plain_version(spark):
+    odd = [
+        None, "", "short", "We make fine tools here\nSUBSCRIBE to our weekly mail\nAnd we ship them abroad", "-- ** == ++ // -- ** ab\nA line of plain words here", "Is it so? Yes it is! Is it so? yes it is! No. No. The end of it.",
+        "many    blanks\t\there\u00a0\u2003and\u3000there\n\n\n  a second  line of words \r\n", "Ünïcödé wörds ünd 日本語の文字 ² ½\n... !!! a b c ??? ... !!!", "x" * 3000 + "\n" + "y" * 20, "a   b               c", "Same line of words!\n" * 5, "long line " * 2 + "\u2028" + "e\u0301 " * 9,
+    ]
+    assert len(text.NAVIGATION) == 29
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    rows = odd + docs + [f"{x}\n{w.title()} and some more words\n{x}" for x, w in zip(docs, text.NAVIGATION)]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    got = dict(df.select("i", text.clean(F.col("t"))).collect())
+    assert [got[i] for i in range(len(rows))] == [plain_clean(x) for x in rows]

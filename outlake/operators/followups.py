@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outlake.operators.pipeline import is_follow_up_row
 from outlake.operators.suppression import match
+from outlake.sources.store import scratch
 
 
 def contact_flags(emails: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -76,17 +77,20 @@ def plan(contacts: DataFrame, emails: DataFrame, suppressions: DataFrame, steps:
     return out.select("contact_id", "refusal", F.when(free, F.col("follow_ups_sent") + 1).alias("step"), F.when(free, F.col("previous_email_id")).alias("previous_email_id"))
 
 
-def roots(emails: DataFrame, most: int = 10) -> DataFrame:
-    """``email_id, root_id``: the parent chain of follow-ups, stopping at a missing parent, a cycle or ``most`` steps.
+def roots(emails: DataFrame) -> DataFrame:
+    """``email_id, root_id``: the parent chain of follow-ups, stopping at a missing parent or a cycle.
 
-    Each round joins the open chains with their parents; rounds end when none is open.
+    Each round joins the open chains with their parents; rounds end when none is open.  A round is written to the
+    checkpoint folder, so plans don't grow with the length of the chains.
     """
+    scratch(emails.sparkSession)  # sets the checkpoint folder where it is unset
     links = emails.where(is_follow_up_row()).select("email_id", F.col("original_email_id").alias("parent"))
     known = emails.select(F.col("email_id").alias("parent"))
-    links = links.join(known, "parent", "left_semi").select(F.col("email_id").alias("__id"), F.col("parent").alias("__parent"))
+    links = links.join(known, "parent", "left_semi").select(F.col("email_id").alias("__id"), F.col("parent").alias("__parent")).checkpoint()
     at = emails.select("email_id", F.col("email_id").alias("root_id"), F.array("email_id").alias("seen"))
-    for _ in range(most):
+    while True:
         step = at.join(links, at["root_id"] == F.col("__id"), "left")
         go = F.col("__parent").isNotNull() & ~F.array_contains("seen", F.coalesce("__parent", F.lit(-1)))
-        at = step.select("email_id", F.when(go, F.col("__parent")).otherwise(F.col("root_id")).alias("root_id"), F.when(go, F.array_append("seen", F.col("__parent"))).otherwise(F.col("seen")).alias("seen"))
-    return at.select("email_id", "root_id")
+        at = step.select("email_id", F.when(go, F.col("__parent")).otherwise(F.col("root_id")).alias("root_id"), F.when(go, F.array_append("seen", F.col("__parent"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved")).checkpoint()
+        if at.where("moved").isEmpty():
+            return at.select("email_id", "root_id")

@@ -62,6 +62,13 @@ def test_roots_stop_at_cycles_and_missing_parents(spark):
     assert dict(followups.roots(emails).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 6, 6: 5}
 
 
+def test_roots_of_long_chains(spark):
+    rows = [(1, None, False)] + [(i, i - 1, True) for i in range(2, 14)] + [(i, 20 + (i - 19) % 12, True) for i in range(20, 32)]
+    emails = spark.createDataFrame(rows, "email_id int, original_email_id int, is_follow_up boolean")
+    want = {i: 1 for i in range(1, 14)} | {i: 20 + (i - 21) % 12 for i in range(20, 32)}
+    assert dict(followups.roots(emails).collect()) == want
+
+
 def test_keepers_and_repointing(spark):
     rows = spark.createDataFrame([(1, "a", False), (2, "a", True), (3, "b", False), (4, None, True), (5, None, True)], "id int, k string, v boolean")
     moved = duplicates.keepers(rows, "id", [F.col("k")], [F.when(F.col("v"), 0).otherwise(1)])

@@ -10,13 +10,15 @@ Turns are formatted where they are read; a conversation is the formatted turns i
 content), so no task needs a whole conversation in memory.  ``digests`` streams through the sorted turns.
 
 Defined results: null texts are empty; null roles are the empty role; null turns come first; rows with a null
-conversation id form one conversation with a null id; repeated rows are repeated turns; empty tables give empty
-results; other columns are ignored.
+conversation id form one conversation with a null id; repeated rows are repeated turns; ties of turn numbers go by role
+and content; texts are formatted whole, whatever their length; empty tables give empty results; other columns are
+ignored, whatever their names.  Malformed typed content: see ``parts_of``.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -108,19 +110,50 @@ class Flatten:
         self.attachments.append({"kind": kind, "ref": ref, "at": at, "tokens": tokens})
 
 
-_KINDS = {"text": Text, "image": Image, "audio": Audio, "document": Document}
+def _number(value: object, kind: type, least: float = 0) -> float | int:
+    """A finite number of ``kind`` (numbers in strings count); anything else and what is below ``least``: ``least``."""
+    try:
+        x = float(value) if isinstance(value, (int, float, str)) else math.nan
+    except (ValueError, OverflowError):
+        x = math.nan
+    return kind(x) if math.isfinite(x) and x >= least else kind(least)
+
+
+def _string(value: object) -> str:
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value)
+
+
+def part_of(raw: object) -> Text | Image | Audio | Document:
+    """One part from its JSON value: see ``parts_of``."""
+    if isinstance(raw, str):
+        return Text(raw)
+    kind = raw.get("type") if isinstance(raw, dict) else None
+    ref = _string(raw.get("ref")) if isinstance(raw, dict) else ""
+    if kind == "text":
+        return Text(_string(raw.get("text")))
+    if kind == "image":
+        return Image(ref, _number(raw.get("width"), int), _number(raw.get("height"), int), _number(raw.get("patch", 14), int, 1))
+    if kind == "audio":
+        return Audio(ref, _number(raw.get("seconds"), float), _number(raw.get("tokens_per_second", 25), int))
+    if kind == "document":
+        return Document(ref, _number(raw.get("pages", 1), int), _number(raw.get("tokens_per_page", 768), int))
+    return Text(json.dumps(raw, ensure_ascii=False))
 
 
 def parts_of(content: str | None, typed: bool) -> list:
-    """The parts of a JSON list such as ``[{"type": "image", "ref": "a.png", "width": 28, "height": 28}]``; a string
-    that isn't typed content is one text part."""
+    """The parts of a JSON list such as ``[{"type": "image", "ref": "a.png", "width": 28, "height": 28}]``.
+
+    Untyped content, and typed content that isn't a JSON list, is one text part, as it stands.  In a list, strings are
+    text parts; null or missing texts and references are empty; sizes that are no finite numbers count as the least
+    one; a part that is no object or of no known type is a text part of its JSON; unknown fields are ignored.
+    """
     if not typed:
         return [Text(content or "")]
     try:
         raw = json.loads(content or "[]")
-        return [_KINDS[p.pop("type")](**p) for p in raw]
-    except (ValueError, KeyError, TypeError, AttributeError):
-        return [Text(content or "")]
+    except (ValueError, RecursionError):
+        return [Text(content)]
+    return [part_of(p) for p in raw] if isinstance(raw, list) else [Text(content)]
 
 
 def format_turn(role: str | None, parts: list) -> tuple[str, list[tuple[int, int]], list[dict]]:

@@ -28,7 +28,7 @@ def test_stages_keep_the_columns(stages):
 
 
 def test_quality_stage(stages):
-    kept = {r.doc_id for r in quality.judged(stages[0]).where("__kept").collect()}
+    kept = {r.doc_id for r in quality.judged(stages[0]).where("quality.kept").select("doc.doc_id").collect()}
     assert {i for i, _ in rows(stages[1])} == kept and len(kept) < stages[0].count()
 
 

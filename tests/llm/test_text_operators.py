@@ -80,13 +80,16 @@ def base_counts(text):
 
 def test_quality_counts_and_verdicts(spark):
     docs = odd_docs(spark).unionByName(spark.createDataFrame([(50, "a b c " * 40 + "\n" + "a b\n" * 3, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_words int"))
-    out = quality.judged(docs).select("doc_id", "text", "__m.*", "__base_failed", "__kept").collect()
+    long = " ".join(f"w{i % 70_001}" for i in range(200_000))  # windows repeat, no hash decides
+    docs = docs.unionByName(spark.createDataFrame([(51, long, "en", "s", 0)], docs.schema))
+    docs = docs.withColumns({c: F.lit(1) for c in ("m", "__m", "__at", "doc", "quality", "kept", "w")})
+    out = quality.judged(docs).select("doc.doc_id", "doc.text", "quality.*").collect()
     assert len(out) == docs.count()
     for r in out:
         want = base_counts(r.text)
         assert (r[2], r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
-        assert r["__base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert not (r["__base_failed"] and r["__kept"])
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
     assert quality.quality_filter(docs.limit(0)).count() == 0
     assert quality.quality_filter(docs).columns == docs.columns
 
@@ -94,8 +97,8 @@ def test_quality_counts_and_verdicts(spark):
 def test_quality_agrees_with_labels(spark):
     d = SF.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
-    out = quality.judged(spark.read.parquet(f"{d}/documents.parquet")).join(labels, "doc_id").where("not __base_failed").groupBy("quality", "__kept").count().collect()
-    n = {(r.quality, r["__kept"]): r["count"] for r in out}
+    out = quality.judged(spark.read.parquet(f"{d}/documents.parquet")).select("doc.doc_id", F.col("quality").alias("q")).join(labels, "doc_id").where("not q.base_failed").groupBy("quality", "q.kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in out}
     assert n.get((0, True), 0) == 0 and n.get((1, False), 0) <= 0.01 * n[1, True]
 
 
@@ -224,6 +227,22 @@ def test_chat_round_trip_and_digests(spark):
     assert chat.digests(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def test_malformed_typed_parts(spark):
+    cases = [
+        ('[{"type": "text", "text": null}, {"type": "image", "ref": "i", "width": "30", "height": 30.5}]', "<|image|>", [("image", "i", 9)]),
+        ('[{"type": "image", "ref": null, "width": -3, "patch": 0}, "plain", {"type": "audio", "ref": 5, "seconds": "x"}]', "<|image|>plain<|audio|>", [("image", "", 1), ("audio", "5", 1)]),
+        ('[{"type": "video", "ref": "v"}, 7, null]', '{"type": "video", "ref": "v"}7null', []),
+        ('[{"type": "document", "pages": 1e400, "more": 1}]', "<|document|>", [("document", "", 1)]),
+        ("not json <|image|>", "not json <|image|>", []), ('{"type": "text", "text": "x"}', '{"type": "text", "text": "x"}', []), (None, "", []), ("", "", []), ("[]", "", []),
+    ]
+    turns = spark.createDataFrame([(1, i, "assistant", c) for i, (c, _, _) in enumerate(cases)], "conv_id long, turn long, role string, text string")
+    for r in chat.format_turns(turns, typed=True).collect():
+        _, said, attached = cases[r.turn]
+        assert chat.read_turn(r.formatted) == ("assistant", said)
+        assert [(x.kind, x.ref, x.tokens) for x in r.attachments] == attached
+        assert all(r.formatted[x.at :].startswith(chat.PLACEHOLDERS[x.kind]) for x in r.attachments)
+
+
 def test_chat_query_matches_plain_version(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -263,6 +282,45 @@ def test_packing(spark):
     assert packing.pack(odd.limit(0), WORDS).count() == 0
 
 
+def test_word_ids_of_all_letters_and_marks():
+    """Words with every letter and mark of Unicode, bare and before signs, against the tokenizer on whole texts."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS)
+    assert encode.by_words
+    odd = [chr(c) for c in range(0x80, 0x30000) if unicodedata.category(chr(c))[0] in "LMNZC" and not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b, {c}. x{c}, {c} " for c in odd[i : i + 50]) for i in range(0, len(odd), 50)]
+    texts += ["Bugün İstanbul, sonra İ. dedi.", "Aİ, b", "ΟΔΟΣ. ΟΔΟΣ", "e\u0301. \u0301x,", "A<|endoftext|>B, <|END|>. c"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encode([x.encode() for x in texts]) == want
+    assert encode([x.encode() for x in texts[::-1]]) == want[::-1]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = packing.WordEncoder(path)
+    assert not encode.by_words
+    texts = ["Hello  world, it's", "", "İ. x"]
+    assert encode([x.encode() for x in texts]) == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_is_close_to_offline_best_fit(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', int(abs(xxhash64(id)) % 2500))").alias("text"))
+    out = packing.pack(docs, WORDS).select("sequence_id", "length").collect()
+    rooms: list[int] = []
+    for n in sorted((r.length for r in out), reverse=True):  # best-fit decreasing
+        at = min((i for i, room in enumerate(rooms) if room >= n), key=rooms.__getitem__, default=None)
+        if at is None:
+            rooms.append(4096)
+            at = -1
+        rooms[at] -= n
+    assert len({r.sequence_id for r in out}) <= 1.03 * len(rooms)
+
+
 def test_best_fit_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert bins.place(6) == (0, 0) and bins.place(7) == (1, 0)  # free: 4 and 3

@@ -8,8 +8,8 @@ fewer take the merged sketch of everything.  The fences (one row for each langua
 joined; Spark broadcasts them below its size threshold and shuffles beyond it.
 
 Defined results: null text has no words and fails the base rule; null languages and sources are groups of their own;
-empty tables give empty results; ties and repeated rows are judged row by row; other columns are ignored or, in
-``quality_filter``, kept as they are.
+empty tables give empty results; ties and repeated rows are judged row by row; texts are read whole and their repeated
+windows compared word by word, whatever their length; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +32,19 @@ _WORDS = r"array_remove(split(body, '[\\x20\\x09-\\x0D]+'), '')"
 _LINES = r"filter(split(body, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"
 
 
-def with_metrics(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with the base counts in a struct column ``__m`` of longs (other columns untouched)."""
-    d = docs.select(F.struct("*").alias("__row"), F.coalesce(text.cast("string"), F.lit("")).alias("body"))
-    d = d.select("__row", "body", F.expr(_WORDS).alias("w"), F.expr(_LINES).alias("l"))
+def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` as a struct column ``doc`` and its base counts as a struct of longs, ``m``.
+
+    The counts come out of a generator over one struct for each row: filters and projections of the caller aren't
+    moved below it, where they would have the arrays built again for every use.
+    """
+    d = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    d = d.select(own.alias("doc"), F.coalesce(text.cast("string"), F.lit("")).alias("body"))
+    d = d.select("doc", "body", F.expr(_WORDS).alias("w"), F.expr(_LINES).alias("l"))
     d = d.select(
-        "__row", "w",
+        "doc", "w",
         F.expr("bigint(size(w))").alias("n_words"),
         F.expr(r"bigint(char_length(regexp_replace(body, '[\\x20\\x09-\\x0D]+', '')))").alias("word_chars"),
         F.expr(r"bigint(regexp_count(body, '[#*$%&|<>]'))").alias("n_symbols"),
@@ -54,36 +61,39 @@ def with_metrics(docs: DataFrame, text: Column) -> DataFrame:
             "shiftleft(shiftrightunsigned(xxhash64(w[i], w[i + 1], w[i + 2]), bits), bits) | bigint(i))) end"
         ),
     )
+    # windows whose hashes agree in the bits that are left, and of these the ones whose words agree
     d = d.withColumn(
-        "again",
+        "maybe",
         F.expr(
             "filter(windows, (x, k) -> (k > 0 and shiftrightunsigned(windows[k - 1], bits) = shiftrightunsigned(x, bits)) or "
             "(k < size(windows) - 1 and shiftrightunsigned(windows[k + 1], bits) = shiftrightunsigned(x, bits)))"
         ),
     )
+    d = d.withColumn("at", F.expr("transform(maybe, x -> int(x & (shiftleft(1L, bits) - 1)))"))
+    d = d.withColumn("named", F.expr("sort_array(transform(at, i -> struct(struct(w[i] as a, w[i + 1] as b, w[i + 2] as c) as words, i as i)))"))
     d = d.withColumn(
-        "n_repeat_words",
-        F.expr("bigint(size(array_distinct(flatten(transform(again, x -> array(x & (shiftleft(1L, bits) - 1), (x & (shiftleft(1L, bits) - 1)) + 1, (x & (shiftleft(1L, bits) - 1)) + 2))))))"),
+        "again",
+        F.expr("filter(named, (x, k) -> (k > 0 and named[k - 1].words = x.words) or (k < size(named) - 1 and named[k + 1].words = x.words)).i"),
     )
+    d = d.withColumn("n_repeat_words", F.expr("bigint(size(array_distinct(flatten(transform(again, i -> array(i, i + 1, i + 2))))))"))
     counts = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words"]
-    # a filter that reads ``__at`` isn't pushed below this, where it would have the arrays built again in every lambda
-    return d.select("__row.*", F.struct(*counts).alias("__m"), F.monotonically_increasing_id().alias("__at"))
+    return d.select("doc", F.explode(F.array(F.struct(*counts))).alias("m"))
 
 
 def _ratios() -> dict[str, Column]:
-    words = F.greatest(F.col("__m.n_words"), F.lit(1)).cast("double")
+    words = F.greatest(F.col("m.n_words"), F.lit(1)).cast("double")
     return {
-        "symbol_ratio": F.col("__m.n_symbols") / words,
-        "upper_ratio": F.col("__m.n_upper") / F.greatest(F.col("__m.word_chars"), F.lit(1)).cast("double"),
-        "dup_line_ratio": F.col("__m.n_dup_lines") / F.greatest(F.col("__m.n_lines"), F.lit(1)).cast("double"),
-        "word_length": F.col("__m.word_chars") / words,
+        "symbol_ratio": F.col("m.n_symbols") / words,
+        "upper_ratio": F.col("m.n_upper") / F.greatest(F.col("m.word_chars"), F.lit(1)).cast("double"),
+        "dup_line_ratio": F.col("m.n_dup_lines") / F.greatest(F.col("m.n_lines"), F.lit(1)).cast("double"),
+        "word_length": F.col("m.word_chars") / words,
     }
 
 
 def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``lang, source`` and for each rule ``<rule>_lo, <rule>_hi``, from rows that pass the base rule's word count."""
-    rows = measured.where(F.col("__m.n_words") >= MIN_WORDS).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), *[c.alias(k) for k, c in _ratios().items()]
+    rows = measured.where(F.col("m.n_words") >= MIN_WORDS).select(
+        F.col("doc")[lang_col].cast("string").alias("lang"), F.col("doc")[source_col].cast("string").alias("source"), *[c.alias(k) for k, c in _ratios().items()]
     )
     own = save(rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in SLACK]))
     merged = lambda g: g.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in SLACK])
@@ -104,19 +114,20 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` with ``__m`` (base counts), ``__base_failed`` and ``__kept``."""
-    measured = with_metrics(docs, docs[text_col])
+    """One row per row of ``docs``: the struct ``doc`` (the row itself) and the struct ``quality`` (the base counts,
+    ``base_failed`` and ``kept``).  Both are structs, so that no column of ``docs`` can clash with one of ours."""
+    measured = with_metrics(docs, text_col)
     limits = fences(measured, lang_col, source_col)
-    limits = limits.select(*[F.col(c).alias(f"__{c}") for c in limits.columns])
-    at = measured.join(limits, F.col(lang_col).cast("string").eqNullSafe(F.col("__lang")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "left")
-    m = F.col("__m")
+    lang, source = (F.col("doc")[c].cast("string") for c in (lang_col, source_col))
+    at = measured.join(limits, lang.eqNullSafe(F.col("lang")) & source.eqNullSafe(F.col("source")), "left")
+    m = F.col("m")
     failed = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words)
     fine = F.lit(True)
     for k, ratio in _ratios().items():
-        fine &= F.coalesce(ratio.between(F.col(f"__{k}_lo"), F.col(f"__{k}_hi")), F.lit(True))
-    return at.withColumn("__base_failed", failed).withColumn("__kept", ~failed & fine)
+        fine &= F.coalesce(ratio.between(F.col(f"{k}_lo"), F.col(f"{k}_hi")), F.lit(True))
+    return at.select("doc", F.struct("m.*", failed.alias("base_failed"), (~failed & fine).alias("kept")).alias("quality"))
 
 
 def quality_filter(docs: DataFrame, **cols: str) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    return judged(docs, **cols).where("__kept and __at >= 0").select(docs.columns)
+    return judged(docs, **cols).where("quality.kept").select("doc.*")

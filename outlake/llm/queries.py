@@ -29,8 +29,8 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
-        "doc_id", "__m.n_words", "__m.word_chars", "__m.n_symbols", "__m.n_dup_lines", "__m.n_repeat_words",
-        F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"),
+        "doc.doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words",
+        "quality.base_failed", "quality.kept",
     )
 
 

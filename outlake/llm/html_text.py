@@ -1,16 +1,20 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block.  A line's weight is the length of its text; lines of menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments, lines outside a page's article where it marks one, and
-(outside articles) lines that are mostly links weigh nothing.  A listed class, id or role voids no element that holds
-more than half of the page's unlinked text, nor the header of an article.  On a page that marks its article every line with weight
-is main text.  On other pages weights are summed over sliding windows of ``WINDOW`` lines: the text surges where a
-window reaches the threshold and dives where windows are empty again, and the lines with weight between a surge and its
-dive, back to the last empty window, are the main text.
+Markup is stripped to lines, one per block.  A line's weight is the length of its text, and ``SURGE`` more for a
+paragraph that ends like a sentence; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments, and (outside articles) lines that are mostly links weigh nothing.  Weights are summed over sliding windows of
+``WINDOW`` lines: the text surges where a window reaches the threshold and dives where windows are empty again, and the
+lines with weight between a surge and its dive, back to the last empty window, are the main text.  Where ``article`` or
+``main`` elements hold at least half of the page's weight, the surge is where they open and the dive where they close.
+
+A listed class, id or role voids blocks only: none that holds more than half of the page's unlinked text, not the header
+of an article, and inside an article no paragraph, heading, list item or cell, and a container only if its name consists
+of listed and neutral words (``related-posts``, but not ``related-work``).  An inline element with a listed name voids a
+line that has no other text, and never a part of a sentence.
 
 Defined results: null and empty pages give an empty text; cut-off pages are read as far as they go; whole pages are
-read, whatever their length; null ids are carried along, repeated rows are read once for each row, other columns are
-ignored.
+read, whatever their length; null ids are carried along, ties and repeated rows are read once for each row, empty tables
+give empty results, other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +44,13 @@ WORDS = frozenset(
     "social share sharing related recommended comment comments disqus replies respond pagination pager widget copyright login".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+NEUTRAL = frozenset(
+    "area articles bar block bottom box button buttons container content fixed global icon icons inline inner item items left link links "
+    "list main news outer page post posts primary right secondary section site slot sticky stories text top unit wrap wrapper".split()
+)
 PLAIN = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+FLOW = frozenset("p li blockquote pre td th tr tbody dt dd figcaption summary".split())
+SENTENCE_ENDS = tuple(".!?…")
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 COMMENTS = frozenset("comment comments disqus replies respond".split())
 ABOUT = frozenset("has no non not with without".split())
@@ -58,7 +68,7 @@ _WORD = re.compile(r"[a-z]+")
 def _kind(tag: str, attributes: str, in_article: bool) -> int:
     if tag in BOILERPLATE or tag == "header" and not in_article:
         return BY_TAG
-    if tag in PLAIN or tag == "header" or not attributes:
+    if tag in PLAIN or tag == "header" or not attributes or in_article and tag in FLOW:
         return 0
     for name, *values in _NAMES.findall(attributes):
         value = "".join(values).lower()
@@ -67,10 +77,10 @@ def _kind(tag: str, attributes: str, in_article: bool) -> int:
             found = words & ROLES
         else:
             # "content-with-sidebar", "no-ads": what follows tells about the page, not about the element
-            words = {w for part in value.split() for w in takewhile(lambda w: w not in ABOUT, _WORD.findall(part))}
-            found = words & WORDS
+            names = [set(takewhile(lambda w: w not in ABOUT, _WORD.findall(part))) for part in value.split()]
             if in_article:
-                found = found - {"header"}
+                names = [x - {"header"} for x in names if x <= WORDS | NEUTRAL]
+            found = set().union(*names) & WORDS
         if found:
             return BY_COMMENT_WORD if found & COMMENTS else BY_WORD
     return 0
@@ -101,33 +111,39 @@ def _voided(marks: list[tuple[int, int]], held: list[tuple[int, int]]) -> list[b
     return void
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
-    """The page's blocks in order, text and whether it can be main text; and whether the page marks an article."""
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
+    """The page's blocks in order: text, weight, and whether an article holds it; and whether articles hold the page's
+    main text."""
     page = _UNSEEN.sub(" ", page)
-    out: list[tuple[str, bool, bool, int, int]] = []  # text, can be main text, in an article, mark around it, unlinked text
+    out: list[tuple[str, bool, bool, int, int, bool]] = []  # text, can be main text, in an article, mark around it, unlinked text, prose
     runs: list[str] = []
-    links = length = in_article = in_link = 0
+    links = length = quiet = in_article = in_link = 0
+    block = ""  # the block that the line began with
+    inline, inline_depth, inline_blocks = "", 0, 0  # the listed inline element that is open, how many of its name are, and blocks within it
     skip, depth, within = "", 0, 0  # the boilerplate element that is open, how many of its name are, and the marks around it
     marks: list[tuple[int, int]] = []  # elements with a listed word: kind and the mark around it
     opened: list[list] = []  # those that are open: name, how many of the name are, number of the mark
     by_name: dict[str, list[list]] = {}
 
     def flush() -> None:
-        nonlocal runs, links, length
+        nonlocal runs, links, length, quiet
         text = " ".join("".join(runs).split())
         if text:
             linked = not in_article and links > LINK_SHARE * max(length, 1)
-            out.append((text, not skip and not linked, in_article > 0, opened[-1][2] if opened else -1, 0 if skip else length - links))
-        runs, links, length = [], 0, 0
+            void = bool(skip) or quiet == length
+            prose = block == "p" and text.endswith(SENTENCE_ENDS) and text.count(" ") > 1
+            out.append((text, not void and not linked, in_article > 0, opened[-1][2] if opened else -1, 0 if void else length - links, prose))
+        runs, links, length, quiet = [], 0, 0, 0
 
     def say(raw: str) -> None:
-        nonlocal links, length
+        nonlocal links, length, quiet
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             runs.append(text)
             size = len("".join(text.split()))
             length += size
             links += size * (in_link > 0)
+            quiet += size * (inline != "")
 
     def leave() -> list:
         nonlocal skip, depth
@@ -148,21 +164,29 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
         elif tag == "br":
             runs.append(" ")
         kind = 0 if closing or tag in EMPTY or attributes.endswith("/") else _kind(tag, attributes, in_article > 0)
-        same = by_name.get(tag)
-        if tag not in BLOCKS and not kind and not same and tag != skip:
+        if tag not in BLOCKS and tag not in BOILERPLATE:
+            if inline:
+                inline_depth += (tag == inline) * (-1 if closing else 1)
+                if not inline_depth:
+                    inline = ""
+            elif kind:
+                inline, inline_depth, inline_blocks = tag, 1, 0
             continue
-        if tag in BLOCKS:
-            flush()
+        if inline:
+            inline_blocks += -1 if closing else tag not in EMPTY
+            if inline_blocks < 0:
+                inline = ""
+        same = by_name.get(tag)
+        flush()
+        block = "" if closing else tag
         if closing:
             if skip == tag:
                 depth -= 1
                 if not depth:
-                    flush()
                     skip = ""
             if same:
                 same[-1][1] -= 1
                 if not same[-1][1]:
-                    flush()
                     mark = same[-1]
                     while leave() is not mark:
                         pass
@@ -173,9 +197,9 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
             in_article += 1
             while opened:
                 leave()
-            skip, depth = "", 0
+            skip, depth, inline = "", 0, ""
             same = None
-        elif tag in BLOCKS:
+        else:
             while opened and opened[-1][0] in ("p", "li"):
                 leave()
             same = by_name.get(tag)
@@ -185,10 +209,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
         if skip:
             depth += skip == tag and whole
         elif kind == BY_TAG:
-            flush()
             skip, depth, within = tag, 1, len(opened)
         elif kind:
-            flush()
             marks.append((kind, opened[-1][2] if opened else -1))
             opened.append([tag, 1, len(marks) - 1])
             if same:
@@ -196,17 +218,17 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
             by_name.setdefault(tag, []).append(opened[-1])
     say(page[at:])
     flush()
-    void = _voided(marks, [(i, size) for _, _, _, i, size in out])
-    lines = [(text, good and (i < 0 or not void[i]), inside) for text, good, inside, i, _ in out]
-    marked = any(inside for _, good, inside in lines if good)
-    return [(text, good and (inside or not marked)) for text, good, inside in lines], marked
+    void = _voided(marks, [(x[3], x[4]) for x in out])
+    lines = [(text, (len(text) + SURGE * prose) * (good and (i < 0 or not void[i])), inside) for text, good, inside, i, _, prose in out]
+    held = sum(len(text) for text, weight, inside in lines if weight and inside)
+    return lines, 2 * held >= sum(len(text) for text, weight, _ in lines if weight) > 0
 
 
 def main_text(page: str) -> str:
     lines, marked = lines_of(page)
     if marked:
-        return "\n".join(text for text, good in lines if good)
-    weight = [len(text) if good else 0 for text, good in lines]
+        return "\n".join(text for text, weight, inside in lines if weight and inside)
+    weight = [x for _, x, _ in lines]
     n = len(weight)
     sums = [sum(weight[i : i + WINDOW]) for i in range(n)]
     if not any(weight):

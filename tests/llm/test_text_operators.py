@@ -158,9 +158,58 @@ def test_listed_words_around_main_text():
     assert html_text.main_text(f"<p>{body}</p>" + "<div class='ad'>" * 20_000 + "x") == body
 
 
+def test_class_words_void_blocks_outside_the_flow():
+    body = ("word " * 30).strip()
+    inside = "<p class='header'>Section head</p><div class='related-work'><p>Earlier work.</p></div><p>The <span class='notice'>important</span> thing.</p>"
+    gone = "<div class='related-posts'>more</div><div class='ad'>buy</div><div><span class=ad>buy</span></div><div><a class='share' href=x>send</a></div>"
+    want = f"{body}\nSection head\nEarlier work.\nThe important thing."
+    assert html_text.main_text(f"<article><p>{body}</p>{inside}{gone}</article>") == want
+    menu = "<ul>" + "<li><a href=x>menu</a>" * 4 + "</ul>"
+    assert html_text.main_text(f"<p>{body}</p>{menu}<p>A short closing paragraph.</p>") == f"{body}\nA short closing paragraph."
+    assert html_text.main_text(f"<article><a href=x>Teaser</a> of it</article><p>{body}</p><p>More.</p>") == f"Teaser of it\n{body}\nMore."
+    assert html_text.main_text(f"<p>{body} <span class=ad>x</p><p>{body}</p>") == f"{body} x\n{body}"
+
+
+def plain_distribution(lines):
+    """Lines in runs of non-empty windows of which one reaches the threshold, window by window."""
+    weight = [w for _, w, _ in lines]
+    sums = [sum(weight[i : i + html_text.WINDOW]) for i in range(len(weight))]
+    limit = min(html_text.SURGE, max(sums, default=0))
+
+    def surges(i):
+        back = next((k for k in range(i, -1, -1) if not sums[k]), -1)
+        ahead = next((k for k in range(i, len(sums)) if not sums[k]), len(sums))
+        return any(x >= limit for x in sums[back + 1 : ahead])
+
+    return "\n".join(t for i, (t, w, _) in enumerate(lines) if w and surges(i))
+
+
+def test_main_text_is_the_plain_distribution():
+    rng = np.random.default_rng(6)
+    blocks = ["<p>%s.</p>", "<div>%s</div>", "<li><a href=x>%s</a>", "<div class=ad>%s</div>", "<footer>%s</footer>", "<h2>%s</h2>"]
+    for _ in range(300):
+        page = "".join(blocks[rng.integers(len(blocks))] % "word " * int(rng.integers(1, 20)) for _ in range(rng.integers(0, 25)))
+        lines, marked = html_text.lines_of(page)
+        assert not marked and html_text.main_text(page) == plain_distribution(lines)
+
+
+def test_pages_give_their_articles(spark):
+    import html
+
+    def plain(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1]
+        parts = [re.sub(r"<br>", " ", x) for x in re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", inner)]
+        return "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in parts) if x)
+
+    for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect():
+        assert html_text.main_text(r.html) == plain(r.html)
+
+
 def test_html_edges(spark):
-    pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<article><p>x y</p></article>", 1)], "page_id long, url string, html string, n_chars int")
-    assert sorted(map(tuple, html_text.extract(pages).collect()), key=str) == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "u", "x y", 3)], key=str)
+    pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<article><p>x y</p></article>", 1), (2, None, "", 1), (3, "v", "<p>" + "long text. " * 100_000, 1)], "page_id long, url string, html string, n_chars int")
+    want = [(1, "u", "", 0), (2, None, "", 0), (2, None, "", 0), (None, "u", "x y", 3), (3, "v", ("long text. " * 100_000).strip(), 1_099_999)]
+    assert sorted(map(tuple, html_text.extract(pages).collect()), key=str) == sorted(want, key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
 
 
 def test_lattice_scores_match_brute_force(spark):

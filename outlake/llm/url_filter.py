@@ -6,8 +6,13 @@ as many words as the label has substrings.  Naive Bayes learns from the pages th
 or a strong one are examples of what to block, the others of what to allow.  Hosts and path shapes (digits count
 alike) are scored once each; pages get their sum.
 
+The labels come from a lexicon; what naive Bayes adds are the words and paths that go with labelled hosts, so that
+hosts without a word of the lexicon are judged as well.
+
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and is allowed; so is a
-host without words; ties go to allow; repeated rows are judged alike; empty tables give empty results; other columns are ignored.
+host without words; null pages have no words; ties go to allow; repeated rows are judged alike; urls and labels are read
+whole, whatever their length (words of more than ``LONGEST`` characters fit no host label); empty tables give empty
+results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 STRONG = "casino pills viagra porn xxx bets betting poker spam jackpot slots gambling escort malware phishing warez".split()
 WEAK = "cheap free win winner ads track tracker farm click loans lottery replica bonus deals adult dating pharma crack torrent popup offer".split()
 SEED_COUNT = 50
-LONGEST = 24
+LONGEST = 63  # a host label has no more characters
 UNKNOWN = -2.5  # log10 of an unknown character's share, besides one count in all
 
 
@@ -91,7 +96,7 @@ def host_words(hosts: DataFrame, texts: DataFrame) -> DataFrame:
     each = labels.select("label").distinct()
     inside = each.select(
         "label",
-        F.explode(F.expr(f"array_distinct(flatten(transform(sequence(1, length(label)), i -> transform(sequence(1, {LONGEST}), k -> substring(label, i, k)))))")).alias("word"),
+        F.explode(F.expr(f"array_distinct(flatten(transform(sequence(1, length(label)), i -> transform(sequence(1, least({LONGEST}, length(label) - i + 1)), k -> substring(label, i, k)))))")).alias("word"),
     )
     found = each.join(inside.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found")), "label", "left")
     found = found.select("label", F.coalesce("found", F.expr("cast(array() as array<struct<word: string, n: bigint>>)")).alias("found"))

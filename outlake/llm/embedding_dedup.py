@@ -11,8 +11,9 @@ Tiles grow with the label (``TILE`` to ``MOST_TILE`` vectors), so that copies of
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components, rows with a null label and
 rows with a null id link with nothing; vectors of different lengths don't link; a repeated id counts as one vector for
-each row, its rows share a component; ties go to the smallest id; empty tables give empty results; other columns are
-ignored.
+each row, its rows share a component, and its number of links is that of all its rows; ties go to the smallest id; very
+large and very small components are scaled first; vectors of any length are multiplied whole; labels are of any type;
+empty tables give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +27,18 @@ from pyspark.sql import functions as F
 from outlake.llm.common import components, save
 
 THRESHOLD = 0.98
-TILE, MOST_TILE, TILES = 1024, 16384, 32
+TILE, MOST_TILE, TILES = 1024, 16384, 16
 STRIP = 1024
 
 
+def scaled(full):
+    """The vectors with their largest component between a half and one: powers of two change no digit of the cosine,
+    and squares neither overflow nor vanish."""
+    import numpy as np
+
+    return np.ldexp(full, -np.frexp(np.abs(full).max(axis=1, keepdims=True))[1])
+
+
 def quantise(unit):
     """int8 codes, their scales and the distance of each unit vector from its quantised form (rounded up)."""
     import numpy as np
@@ -49,7 +58,7 @@ def _tiles(threshold: float) -> Callable[[pa.Table], pa.Table]:
         left_id, right_id = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         column = group.column("v").combine_chunks()
         size = len(column.values) // len(ids) if len(ids) else 0
-        full = column.values.to_numpy(zero_copy_only=False).reshape(len(ids), size).astype(np.float64)
+        full = scaled(column.values.to_numpy(zero_copy_only=False).reshape(len(ids), size).astype(np.float64))
         norm = np.sqrt((full * full).sum(axis=1))
         unit = full / norm[:, None]
         codes, scale, error = quantise(unit)
@@ -102,14 +111,16 @@ def _tiles(threshold: float) -> Callable[[pa.Table], pa.Table]:
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``vectors``: ``id, n_links, component, kept``."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    # single-precision components are dealt out as they are, half as wide
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>").alias("v"), F.col(label_col).alias("label"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x).cast("double") < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     good = rows.where(usable).select("id", "v", F.struct("label", F.size("v").alias("size")).alias("part"))
     sizes = good.groupBy("part").agg(F.count("*").alias("n"))
     tile_rows = F.least(F.lit(MOST_TILE), F.greatest(F.lit(TILE), F.ceil(F.col("n") / TILES)))
     sizes = save(sizes.select("part", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles")))
-    placed = good.join(sizes, "part").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    placed = good.join(sizes, "part").withColumn("tile", F.pmod(F.xxhash64("id", "v"), F.col("tiles")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "part", F.col("id").alias("row"), "v", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")
     )

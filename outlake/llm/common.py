@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: One word character class: everything outside \x20 and \x09-\x0D.
 BLANKS = r"[\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def save(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.  It survives lost executors; the
-    files go when the session ends, or with ``drop``."""
+    files go when the session ends, or with ``drop``.  The shuffle files of the write go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -52,14 +58,6 @@ def drop(*saved: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now rather than at some later collection of garbage."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long): ``node, component``, the component being its smallest node.
 
@@ -72,17 +70,17 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    at, seen, old = save(at), None, None
+    at, seen, old = save(at), None, []
     while True:
+        # the minima are written out: joins of two exchanges let AQE split a hub's neighbours over tasks
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        at = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        if old is not None:
-            drop(old)
-        old = at
+        least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = save(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lower = save(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        at = save(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        drop(least, large, lower, *old)
+        old = [at]
         now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

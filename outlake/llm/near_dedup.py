@@ -13,8 +13,8 @@
 At a similarity of 0.75, 32 bands of 4 coordinates miss a pair with probability 5e-6.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; rows with a null id link with
-nothing and have a null component; repeated rows of an id share its component; ties go to the smallest id; other
-columns are ignored whatever their names.
+nothing and have a null component; repeated rows of an id share its component; ties go to the smallest id; texts are
+read whole, whatever their length; empty tables give empty results; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -105,12 +105,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = save(texts.mapInArrow(_digests, _DIGEST))
     known = signed.where("id is not null and n_shingles > 0")
-    classes = known.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
+    # written out, like the buckets' heads: joins of two exchanges let AQE split a large group of copies over tasks
+    classes = save(known.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")))
     members = save(known.select("id", "set_a", "set_b").distinct().join(classes, ["set_a", "set_b"]).select("id", "set_a", "set_b", "rep"))
     bands = known.select("id", "set_a", "set_b", "bands").dropDuplicates(["id", "set_a", "set_b"])
     shown = bands.join(members.where("id = rep"), ["id", "set_a", "set_b"])
     buckets = shown.select("id", F.explode("bands").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = save(buckets.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
     placed = save(buckets.join(heads, "key").select("key", "id", "head", "n"))
     unique_texts = texts.where("id is not null")
 

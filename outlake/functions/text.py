@@ -1,4 +1,4 @@
-"""Text of pages and documents as Column expressions."""
+"""Text of pages and documents as Column expressions."""
 
 from __future__ import annotations
 
@@ -15,7 +15,41 @@ NAVIGATION = (
 )
 BLANKS = r"[\t\x0B-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 SIGNS = r"[^\p{L}\p{N}_ ]"
-INJECTION = r"(?i)(ignore (all |any )?(previous|prior|above) instructions|disregard (the|all) (above|previous)|system prompt|you are now)"
+# Texts that give orders to a model.
+INJECTION = (
+    r"\b(?:ignore|disregard|forget|override)\b[^.\n]{0,40}\b(?:previous|prior|above|earlier|all)\b[^.\n]{0,20}\b(?:instruction|prompt|rule|direction)s?\b"
+    r"|^\s*(?:system|assistant|user)\s*:|\bnew\s+(?:instruction|task|rule)s?\s*:|\byou\s+are\s+now\b"
+)
+# A body that says something is attached.
+ATTACHMENT_CLAIM = (
+    r"\b(?:resume|cv|portfolio|deck|attachment)\b[^.\n]{0,40}\b(?:is|are)\s+attached|\battach(?:ed|ing)\b[^.\n]{0,40}?\b(?:resume|cv|portfolio|deck)\b"
+    r"|\b(?:find|see)\s+(?:my\s+)?(?:attached|the\s+attached)\b"
+)
+# Marks of pages that a script fills in.
+SHELL_MARKS = ("__next_data__", "window.__nuxt__", "ng-version", "data-reactroot", 'id="__next"', 'id="root"', "id='root'", 'id="app"')
+SHELL_TEXT, BARE_TEXT, SHELL_SCRIPT = 800, 120, 4000
+# How texts state a number of employees.
+EMPLOYEES = (
+    r"\b(?:(?:we(?:'re| are)|our|a)\s+(?:growing\s+)?)?(?:team of|company of|staff of|headcount(?:\s+of)?|over|about|approximately|around|nearly)\s+"
+    r"(\d{1,4})\+?\s*(?:employees|people|teammates|team members|staff)\b|\b(\d{1,4})\+?\s*(?:employees|teammates|team members)\b"
+)
+# Hosts of parked domains, and sites that are about companies but not theirs.
+PARKED = ("forsale.", "domainmarket", "dan.com", "sedo.com", "afternic", "hugedomains", "buydomains", "godaddy", "namecheap", "parkingcrew", "bodis.com", "above.com", "undeveloped.com")
+AGGREGATORS = (
+    "linkedin.com facebook.com twitter.com x.com instagram.com indeed.com glassdoor.com crunchbase.com wikipedia.org bloomberg.com yelp.com youtube.com github.com "
+    "medium.com angel.co wellfound.com pitchbook.com zoominfo.com apollo.io owler.com cbinsights.com reddit.com forbes.com techcrunch.com ycombinator.com "
+    "producthunt.com g2.com capterra.com builtin.com builtinnyc.com levels.fyi quora.com clutch.co goodfirms.co themanifest.com upwork.com fiverr.com google.com "
+    "bing.com duckduckgo.com amazon.com apple.com eventbrite.com meetup.com startupsavant.com failory.com explodingtopics.com seedtable.com topstartups.io "
+    "welcometothejungle.com spotify.com soundcloud.com vimeo.com tiktok.com pinterest.com substack.com notion.site wordpress.com blogspot.com wixsite.com"
+).split()
+LONG_STEM = 24
+# Words of changes, policies and improvements.
+CHANGES = "launch announce expand open hire raise funding series acquire partner release ship".split()
+POLICIES = "policy values culture remote hybrid equity dei diversity benefit parental transparency".split()
+IMPROVEMENTS = ("improve", "faster", "reduce", "increase", "upgrade", "redesign", "optimize", "new feature")
+LIST_TITLE = r"(?i)\b(top|best|list|guide|companies|startups|\d{4})\b"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+SPELLED = r"(?i)\b([A-Z0-9._%+-]+)\s*(?:\[at\]|\(at\)|\bat\b)\s*([A-Z0-9-]+(?:\.[A-Z0-9-]+)*)\s*(?:\[dot\]|\(dot\)|\bdot\b)\s*([A-Z]{2,24})\b"
 
 
 def visible_text(html: Column) -> Column:
@@ -25,12 +59,36 @@ def visible_text(html: Column) -> Column:
 
 
 def is_script_shell(html: Column) -> Column:
-    """A page that a script fills in: little text and much script."""
+    """A page that a script fills in: it has a mark, no mail or profile link outside scripts and little text; or hardly
+    any text and much script."""
+    markup = F.lower(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " "))
     text = F.length(visible_text(html))
-    return (text < 120) & (F.length(html) > 4000)
+    lower = F.lower(html)
+    marked = F.lit(False)
+    for mark in SHELL_MARKS:
+        marked |= lower.contains(mark)
+    linked = markup.contains("mailto:") | markup.contains("linkedin.com/in/")
+    script = F.length(html) - F.length(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", ""))
+    return F.when(F.coalesce(html, F.lit("")) == "", True).when(marked, ~linked & (text < SHELL_TEXT)).otherwise((text < BARE_TEXT) & (script > SHELL_SCRIPT))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def claims_attachment(body: Column) -> Column:
+    return F.coalesce(body, F.lit("")).rlike("(?i)" + ATTACHMENT_CLAIM)
+
+
+def is_junk_site(url: Column) -> Column:
+    """Parked pages, aggregators, and hosts of one long word."""
+    from outlake.functions.identity import registered_domain
+
+    text, domain = F.lower(F.coalesce(url, F.lit(""))), registered_domain(url)
+    parked = F.lit(False)
+    for host in PARKED:
+        parked |= text.contains(host)
+    stem = F.substring_index(F.coalesce(domain, F.lit("")), ".", 1)
+    return (text != "") & (parked | F.coalesce(domain.isin(*AGGREGATORS), F.lit(False)) | ((F.length(stem) > LONG_STEM) & stem.rlike(r"^\p{L}+$")))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -44,21 +102,96 @@ def clean(text: Column, chars: int = 3000, least: int = 20) -> Column:
     sentences = F.filter(F.split(F.array_join(lines, " "), "[.!?] +"), lambda x: x != "")
     # equal sentences side by side, in their order; sorted once, bound by an outer transform
     keyed = F.sort_array(F.transform(sentences, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
-    first = _bound(keyed, lambda s: F.filter(s, lambda x, i: (i == 0) | (x["low"] != F.get(s, F.greatest(i - 1, F.lit(0)))["low"])))
+    first = bound(keyed, lambda s: F.filter(s, lambda x, i: (i == 0) | (x["low"] != F.get(s, F.greatest(i - 1, F.lit(0)))["low"])))
     placed = F.sort_array(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x"))))
     joined = F.array_join(F.transform(placed, lambda x: x["x"]), ". ")
-    return _bound(joined, lambda j: F.trim(F.when(F.length(j) > chars, F.concat(F.substring(j, 1, chars), F.lit("..."))).otherwise(j)))
+    return bound(joined, lambda j: F.trim(F.when(F.length(j) > chars, F.concat(F.substring(j, 1, chars), F.lit("..."))).otherwise(j)))
 
 
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?i)<a[^>]+href="([^"]*)"'), F.lit(1))
 
 
-def redacted(text: Column) -> Column:
-    return F.regexp_replace(text, INJECTION, "[removed]")
+def injected(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike("(?im)" + INJECTION)
+
+
+def _one_line(text: Column, chars: int) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*", " "), r"^\s+|\s+$", ""), 1, chars)
+
+
+def as_data(text: Column, chars: int = 600) -> Column:
+    """Text of others as data for a prompt: orders go, one line, cut; null is empty."""
+    return _one_line(F.regexp_replace(F.coalesce(text, F.lit("")), "(?im)" + INJECTION, "[removed]"), chars)
+
+
+def quotable(text: Column, chars: int = 300) -> Column:
+    """Text of others for an email of ours: null if it tried to give orders, or is empty."""
+    return F.when(~injected(text), F.nullif(_one_line(text, chars), F.lit("")))
+
+
+def employee_estimate(text: Column, least: int = 2, most: int = 50_000) -> Column:
+    """The largest stated number of employees in range, null if there is none."""
+    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + EMPLOYEES), F.lit(i)) for i in (1, 2)]
+    numbers = F.transform(F.concat(*found), lambda x: x.try_cast("int"))
+    return F.array_max(F.filter(numbers, lambda x: x.between(least, most)))
 
 
 def largest_number(text: Column, least: int = 2, most: int = 50_000) -> Column:
     """The largest whole number in range, null if there is none."""
     found = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{1,6})\b"), F.lit(1)), lambda x: x.cast("int"))
     return F.array_max(F.filter(found, lambda x: x.between(least, most)))
+
+
+def sentences(text: Column) -> Column:
+    return F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
+def has_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
+    lower, out = F.lower(text), F.lit(False)
+    for w in words:
+        out |= lower.contains(w)
+    return out
+
+
+def company_from_title(title: Column, domain: Column) -> Column:
+    """A search result's company: the title up to a separator, unless it is long or like a list; else the domain's stem."""
+    t = F.coalesce(title, F.lit(""))
+    cut = t
+    for sep in (": ", " - ", " — ", " – ", " | "):
+        cut = F.when(t.contains(sep), F.substring_index(t, sep, 1)).otherwise(cut)
+    cut, stem = F.trim(cut), F.substring_index(domain, ".", 1)
+    return F.when(F.length(cut).between(2, 40) & ~cut.rlike(LIST_TITLE), cut).when(F.length(stem) > 2, F.concat(F.upper(F.substring(stem, 1, 1)), F.lower(F.substring(stem, 2, 100))))
+
+
+def _shielded(hex_text: Column) -> Column:
+    """An address whose characters are combined with the first byte by exclusive or, in hexadecimal."""
+    byte = lambda i: F.conv(F.substring(hex_text, i, F.lit(2)), 16, 10).cast("int")
+    places = F.transform(F.sequence(F.lit(1), F.floor(F.length(hex_text) / 2).cast("int") - 1), lambda k: 2 * k + 1)
+    return F.when(F.length(hex_text) >= 4, F.array_join(F.transform(places, lambda i: F.char(byte(i).bitwiseXOR(byte(F.lit(1))))), ""))
+
+
+def addresses_in(html: Column) -> Column:
+    """Addresses of a page in order: shielded, in mail links, spelled out, plain; each once, whatever its case; only ones
+    that one may write to."""
+    from outlake.functions.identity import is_outreach_address
+
+    page = F.coalesce(html, F.lit(""))
+    for name, sign in (("&#64;", "@"), ("&#x40;", "@"), ("&#46;", "."), ("&commat;", "@"), ("&period;", "."), ("&amp;", "&")):
+        page = F.replace(page, F.lit(name), F.lit(sign))
+    whole = f"^{EMAIL}$"
+    all_of = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    shielded = F.transform(all_of(page, r"(?i)(?:data-cfemail=[\"']|/cdn-cgi/l/email-protection#)([0-9a-f]+)", 1), _shielded)
+    mailed = F.transform(all_of(page, r"(?i)mailto:([^\"'\s?>]+)", 1), lambda x: F.regexp_replace(x, "[.,;]+$", ""))
+    visible = F.trim(F.regexp_replace(F.regexp_replace(page, "<[^>]+>", " "), r"\s+", " "))
+    spelled = F.zip_with(
+        F.zip_with(all_of(visible, SPELLED, 1), all_of(visible, SPELLED, 2), lambda a, b: F.concat(a, F.lit("@"), b)), all_of(visible, SPELLED, 3), lambda a, b: F.concat(a, F.lit("."), b)
+    )
+    plain = F.transform(all_of(page, f"({EMAIL})", 1), lambda x: F.regexp_replace(x, "[.,;]+$", ""))
+    found = F.filter(F.concat(shielded, mailed, spelled, plain), lambda x: x.rlike(whole) & is_outreach_address(x))
+    return bound(found, lambda f: F.filter(f, lambda x, i: ~F.exists(F.slice(f, 1, i), lambda y: F.lower(y) == F.lower(x))))
+
+
+API_URL = r"(?i)(https?://[^\s\"'<>\\]+|/(?:api|graphql|wp-json|data|cms)[^\s\"'<>\\]*|[^\s\"'<>\\]+\.json(?:\?[^\s\"'<>\\]*)?)"
+FETCH_CALL = r"(?i)(?:fetch|axios\.(?:get|post)|\$\.(?:get|ajax))\s*\(\s*['\"]([^'\"]+)['\"]"
+STATIC = r"(?i)\.(js|css|png|jpg|jpeg|gif|svg|woff|woff2|map)$"

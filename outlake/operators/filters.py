@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from outlake.operators.analytics import follow_up_rung, verified_reply, with_seniority_band
 
@@ -35,12 +36,25 @@ def contact_view_counts(contacts: DataFrame, emails: DataFrame) -> DataFrame:
     return every.join(counted, "view", "left").select("view", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def claims(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").rlike(r"(?i)\b(attached|attachment|enclosed)\b").alias("claims"))
-
-
 def summaries(docs: DataFrame, most: int = 3, chars: int = 400) -> DataFrame:
     """The first sentences of some length."""
     sentences = F.regexp_extract_all(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("[^.!?]+[.!?]*"), F.lit(0))
     long = F.filter(sentences, lambda x: F.length(F.trim(x)) > 40)
     return docs.select("doc_id", F.substring(F.array_join(F.slice(long, 1, most), ""), 1, chars).alias("summary"))
+
+
+def sorted_places(rows: DataFrame, sorts: dict[str, list[str]], id_col: str, most: int) -> DataFrame:
+    """The first ``most`` rows under each of several named sorts, with their place."""
+    out = None
+    for name, keys in sorts.items():
+        top = rows.orderBy(*[F.expr(k) for k in keys], id_col).limit(most).select(*[F.expr(k).alias(f"k{i}") for i, k in enumerate(keys)], id_col)
+        place = F.row_number().over(W.orderBy(*[f"k{i}" for i in range(len(keys))], id_col)).cast("long")  # over ``most`` rows
+        part = top.select(F.lit(name).alias("sort"), id_col, place.alias("place"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def page(rows: DataFrame, keys: list[str], number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 0) in an order; beyond the last page, the last one."""
+    last = max(0, (rows.count() - 1) // size)
+    return rows.orderBy(*[F.expr(k) for k in keys]).offset(min(number, last) * size).limit(size)

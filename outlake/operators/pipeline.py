@@ -10,7 +10,9 @@ from outlake.operators.analytics import unverified_reply, verified_reply
 
 STAGES = ("ready", "drafted", "awaiting", "replied", "bounced", "no_address", "archived")
 
-#: The three meanings of "delivered"; they are not interchangeable.
+
+# Three meanings of "delivered"; they are not interchangeable.
+
 
 def has_evidence() -> Column:
     return F.expr("coalesce(trim(gmail_message_id), '') <> '' or sent_at is not null")
@@ -32,7 +34,6 @@ def is_follow_up_row() -> Column:
     return F.expr("coalesce(is_follow_up, false) or original_email_id is not null")
 
 
-
 def _n(c: Column) -> Column:
     return F.count_if(c).cast("long")
 
@@ -128,12 +129,18 @@ def contact_counts(contacts: DataFrame, emails: DataFrame) -> DataFrame:
     return contacts.select("contact_id").join(mail, "contact_id", "left").select("contact_id", "last_sent_at", *counts)
 
 
-def decorated(emails: DataFrame, contacts: DataFrame, companies: DataFrame) -> DataFrame:
-    """Emails with names; the recipient frozen on the row wins over the contact's present address."""
+def decorated(emails: DataFrame, contacts: DataFrame, companies: DataFrame, flags: DataFrame | None = None, follow_ups: DataFrame | None = None) -> DataFrame:
+    """Emails with names; the recipient frozen on the row wins over the contact's present address.  ``flags`` (per contact)
+    and ``follow_ups`` (per email) add what hangs on each email."""
     ct = contacts.select("contact_id", F.col("name").alias("contact_name"), F.col("email").alias("__email"), F.col("company_id").alias("__co"))
     co = companies.select(F.col("company_id").alias("__co"), F.col("name").alias("company_name"))
     out = emails.join(ct, "contact_id", "left").join(co, "__co", "left")
-    return out.select("email_id", F.coalesce("recipient_email", "__email").alias("recipient"), "contact_name", "company_name")
+    shown = ["email_id", F.coalesce("recipient_email", "__email").alias("recipient"), "contact_name", "company_name"]
+    if flags is not None and follow_ups is not None:
+        own = ("replied", "reply_unverified", "follow_up_pending")
+        out = out.join(flags.select("contact_id", *own, "follow_ups_sent"), "contact_id", "left").join(follow_ups, "email_id")
+        shown += ["has_follow_up", *[F.coalesce(c, F.lit(False)).alias(c) for c in own], F.coalesce("follow_ups_sent", F.lit(0)).alias("follow_ups_sent")]
+    return out.select(*shown)
 
 
 def tabs(emails: DataFrame) -> DataFrame:

@@ -199,10 +199,6 @@ ENTITIES = {
         lambda s, d: load(s, d, "activity").orderBy(F.desc("event_id")).limit(30).select("event_id", "event"),
         "select event_id, event from activity order by event_id desc limit 30",
     ),
-    "p15_attachment_claims": (
-        lambda s, d: filters.claims(load(s, d, "documents")),
-        """select doc_id, regexp_matches(text, '(?i)\\b(attached|attachment|enclosed)\\b') as claims from documents""",
-    ),
     "f47_extractive_summary": (
         lambda s, d: filters.summaries(load(s, d, "documents")),
         """select doc_id, substr(array_to_string(list_filter(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?]+[.!?]*'), lambda x: length(trim(x)) > 40)[:3], ''), 1, 400) as summary from documents""",

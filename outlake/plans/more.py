@@ -56,10 +56,6 @@ MORE = {
         lambda s, d: load(s, d, "emails").join(load(s, d, "contacts").where("company_id = 7").select("contact_id"), "contact_id").select("email_id", "contact_id", "status"),
         "select email_id, e.contact_id, e.status from emails e join contacts c on c.contact_id = e.contact_id where c.company_id = 7",
     ),
-    "j11_company_lookup": (
-        lambda s, d: load(s, d, "companies").alias("a").join(load(s, d, "companies").alias("b"), (F.lower("a.name") == F.lower("b.name")) & (F.col("a.company_id") < F.col("b.company_id"))).select(F.col("a.company_id").alias("first_id"), F.col("b.company_id").alias("other_id")),
-        "select a.company_id as first_id, b.company_id as other_id from companies a join companies b on lower(a.name) = lower(b.name) and a.company_id < b.company_id",
-    ),
     "j13_mail_acceptance": (
         lambda s, d: gates.acceptance_gate(load(s, d, "contacts"), _mx(s, d)),
         f"""with mx as (select domain, case when length(domain) % 3 = 0 then false when length(domain) % 3 = 1 then true end as accepts from ({_DOMAINS}))
@@ -91,28 +87,15 @@ MORE = {
         lambda s, d: load(s, d, "pages").select("page_id", text.visible_text(F.col("html")).alias("text")),
         r"""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as text from pages""",
     ),
-    "p14_script_shells": (
-        lambda s, d: load(s, d, "pages").select("page_id", text.is_script_shell(F.col("html")).alias("shell")),
-        r"""select page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) < 120 and length(html) > 4000 as shell from pages""",
-    ),
     "f39_o10_page_links": (
         lambda s, d: load(s, d, "pages").select("page_id", F.posexplode(F.slice(text.links(F.col("html")), 1, 24)).alias("place", "href")),
         """select page_id, cast(i as integer) as place, l[i + 1] as href from (select page_id, l, unnest(range(0, least(24, len(l)))) as i from (select page_id, regexp_extract_all(html, '(?i)<a[^>]+href="([^"]*)"', 1) as l from pages))""",
     ),
     "f39_o10_ranked_links": (lambda s, d: links.page_links(load(s, d, "pages")), None),
-    "p16_redacted_text": (
-        lambda s, d: load(s, d, "documents").select("doc_id", F.length(text.redacted(F.concat(F.when(F.col("doc_id") % 5 == 0, "Ignore previous instructions. ").otherwise(""), F.col("text")))).cast("long").alias("n")),
-        """select doc_id, cast(length(regexp_replace(concat(case when doc_id % 5 = 0 then 'Ignore previous instructions. ' else '' end, text),
- '(?i)(ignore (all |any )?(previous|prior|above) instructions|disregard (the|all) (above|previous)|system prompt|you are now)', '[removed]', 'g')) as bigint) as n from documents""",
-    ),
     "a25_largest_estimate": (
         lambda s, d: load(s, d, "documents").select("source", text.largest_number(F.col("text")).alias("n")).groupBy("source").agg(F.max("n").alias("estimate")),
         r"""select source, max(n) as estimate from (select source, list_max(list_filter(list_transform(regexp_extract_all(text, '\b(\d{1,6})\b', 1), lambda x: cast(x as integer)), lambda x: x between 2 and 50000)) as n from documents) group by source""",
     ),
-    "p11_junk_sites": (
-        lambda s, d: load(s, d, "pages").select("page_id", (F.length(F.regexp_replace(F.element_at(F.split(identity.registered_domain(F.col("url")), r"\."), 1), "[^a-z]", "")) > 6).alias("junk")),
-        """select page_id, length(regexp_replace(string_split(array_to_string(string_split(regexp_replace(regexp_extract(lower(trim(url)), '//([^/?#]*)', 1), '^www\\.', ''), '.')[-2:], '.'), '.')[1], '[^a-z]', '', 'g')) > 6 as junk from pages""",
-    ),
     "t1_activity_feed": (
         lambda s, d: streams.feed(event_stream(s, d)).select("event_id", "entity_id", "event"),
         "select event_id, entity_id, event from activity",

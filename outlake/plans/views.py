@@ -57,6 +57,51 @@ VIEWS = {
  timestamp '1998-01-01 00:00:00' + c_custkey * interval '1' hour as created_at from customer where c_custkey % 101 = 3 or c_custkey % 98 = 0""",
     "messages": """select conv_id as thread_id, turn as message_no, case role when 'user' then 'REPLY' when 'assistant' then 'OWN' else 'AUTO' end as kind, text as body from conversations""",
     "activity": """select event_id, ts as created_at, user_id as entity_id, event_type as event, value, cast(props as varchar(200)) as detail from events""",
+    "people": """select contact_id, company_id, company, domain, seniority_rank, status,
+ case when contact_id % 19 = 0 then '' when contact_id % 6 = 0 then concat(given, ' ', family, ', PhD') else concat(given, ' ', family) end as person,
+ case contact_id % 8 when 0 then '' when 1 then lower(concat(given, '.', family, '@', dom)) when 2 then lower(concat(substr(given, 1, 1), family, '@', dom)) when 3 then concat('info@', dom)
+  when 4 then concat('legal@', dom) when 5 then concat(' ', upper(given), '.', family, '+x@', upper(dom)) when 6 then 'not an address'
+  else concat('kim.lee@', case when contact_id % 3 = 0 then 'googlemail.com' else 'other.example.org' end) end as address,
+ case contact_id % 9 when 0 then '' when 1 then lower(concat('https://www.linkedin.com/in/', given, '-', family)) when 2 then lower(concat('http://linkedin.com/in/', given, '-', family, '-a1b2c3/'))
+  when 3 then lower(concat('https://linkedin.com/in/', given)) when 4 then 'https://www.linkedin.com/company/x' when 5 then 'https://example.org/in/ana-doe'
+  when 6 then concat('https://www.LinkedIn.com/in/', family, '-', given, '-42?x=1') when 7 then 'www.linkedin.com/in/x' end as profile,
+ split_part('Chief Executive Officer|co-founder and CTO|Head of Sales|Talent partner at Firm|Engineer|vice president|Managing Partner|the chief data officer||Hiring Manager', '|', cast(contact_id % 10 as integer) + 1) as title,
+ case contact_id % 5 when 1 then 'Criteria match: Penn, ML; met at a fair' when 2 then 'a criteria  match' when 3 then concat('CRITERIA MATCH: ml , Robotics ', cast(contact_id % 4 as varchar(20))) when 4 then 'no match' end as notes,
+ case contact_id % 3 when 0 then false when 1 then true end as accepts, contact_id % 4 = 1 as name_from_email, contact_id % 2 = 0 as on_domain
+ from (select ct.contact_id, ct.company_id, ct.seniority_rank, ct.status, co.name as company, co.domain, coalesce(co.domain, 'nowhere.example.org') as dom,
+  split_part('Ana Bob Cleo Dan Eva Finn Gil Hana Ivo Jane Kim', ' ', cast(ct.contact_id % 11 as integer) + 1) as given,
+  split_part('Adler Brown Cruz Doe Evans Fox Gray Hill Lee', ' ', cast(ct.contact_id % 9 as integer) + 1) as family
+  from contacts ct left join companies co on co.company_id = ct.company_id) p""",
+    "headers": """select conv_id as thread_id, turn as message_no, text as body, k % 6 = 0 as sent_label, conv_id * 100000 + (turn * 37 % 11) * 1000 as internal_ms,
+ case k % 8 when 0 then '"Jane Doe" <jane@x.example.com>' when 1 then 'MAILER-DAEMON@mail.example.com (Mail Delivery System)' when 2 then 'me@own.example.com' when 3 then 'Me <ME@own.example.com>'
+  when 4 then 'no-reply@shop.example.com' when 5 then 'some@own.example.com' when 6 then '<chris@postmasterlabs.example.com>' else 'Jane Doe' end as sender,
+ case k % 7 when 0 then 'Re: hello' when 1 then 'Delivery failure about parcels' when 2 then 'Out of office' when 3 then 'Undeliverable: hi' when 4 then 'Automatic reply: x' when 5 then '' end as subject,
+ case k % 5 when 0 then 'Auto-Replied' when 1 then 'no' when 2 then '' when 3 then 'auto-generated' end as auto_submitted,
+ case when k % 11 = 0 then 'multipart/report; report-type = delivery-status' else 'text/plain' end as content_type,
+ case when k % 13 = 0 then '<MAILER-DAEMON@x.example.com>' else '' end as return_path, case when k % 17 = 0 then 'x@y.example.com' end as failed
+ from (select *, conv_id * 7 + turn as k from conversations) c""",
+    "runs": """select o_orderkey as run_id, o_custkey % (select count(*) from supplier) as company_id, o_orderdate as researched_at,
+ case when o_orderkey % 4 <> 0 then concat('job', cast(o_orderkey % 30 as varchar(20))) end as job_id,
+ case o_orderkey % 5 when 0 then '' when 1 then 'Penn alumni; ML' when 2 then ' Penn  alumni; ML ' when 3 then 'Robotics' end as criteria,
+ case when o_orderkey % 3 = 0 then 10 + o_orderkey % 90 end as employee_estimate,
+ concat('Firm opened office no. ', cast(o_orderkey % 6 as varchar(20))) as bullet_1, concat('FIRM  opened office, no ', cast(o_orderkey % 9 as varchar(20)), '!') as bullet_2,
+ concat('Remote policy ', cast(o_orderkey % 4 as varchar(20))) as bullet_3, concat('News item ', cast(o_orderkey % 14 as varchar(20))) as news
+ from orders where o_orderkey % 13 = 0""",
+    "send_windows": """select s_suppkey as sender_id, case when s_suppkey % 7 = 0 then null else s_suppkey % 7 <> 1 end as enabled,
+ case s_suppkey % 4 when 0 then 'Asia/Kolkata' when 1 then 'UTC' when 2 then ' ' else 'Nowhere/Town' end as zone,
+ case s_suppkey % 5 when 0 then '0,1,2,3,4' when 1 then '6,5,5,9' when 2 then '' when 3 then '2' else '-1,3,1' end as days,
+ case when s_suppkey % 11 = 0 then null else cast(s_suppkey % 29 as integer) - 3 end as start_hour, case when s_suppkey % 6 = 0 then 17 else cast(s_suppkey % 31 as integer) end as end_hour,
+ case s_suppkey % 6 when 0 then '7' when 1 then '0,14,200,x,5' when 2 then '' when 3 then 'a,b' when 4 then '3,3,3,3,3,3' else '1.5,30' end as steps,
+ timestamp '2001-08-01 00:00:00' + s_suppkey * interval '97' minute as moment
+ from supplier""",
+    "results": """select p_partkey as result_id, p_partkey % (select count(*) from supplier) as company_id,
+ case p_partkey % 6 when 0 then concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), ' - about us') when 1 then concat('Top 10 companies: ', p_name) when 2 then concat(p_name, ' | ', p_type) when 3 then '' when 4 then null
+  else concat('Firm ', cast(p_partkey % 80 as varchar(20)), ' news: launch') end as title,
+ case p_partkey % 5 when 0 then '' when 1 then null else concat('https://www.site', cast(p_partkey % 40 as varchar(20)), '.example.com/', p_brand) end as href,
+ case when p_partkey % 7 = 0 then concat('https://', case when p_partkey % 3 = 0 then 'www.linkedin.com/in/x' else 'alt.example.org' end) end as url,
+ case p_partkey % 4 when 0 then null when 1 then concat('Firm ', cast(p_partkey % 9 as varchar(20)), ' announces a ', p_name, ' for everyone') when 2 then 'short' else concat('A team of ', cast(p_size as varchar(20)), ' people at Firm ', cast(p_partkey % 80 as varchar(20))) end as body
+ from part""",
+    "verdicts": """select event_id as verdict_no, event_id % (select count(*) from orders) + 1 as email_id, ts as checked_at, case event_type when 'click' then 'reply' when 'view' then 'none' when 'purchase' then 'bounce' when 'error' then 'unknown' else 'none' end as verdict from events""",
 }
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

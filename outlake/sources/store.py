@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new path in the folder of spark.checkpoint.dir.  Where it is unset, a temporary folder of this machine serves a
+    local session; on a cluster the executors couldn't see it, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at}/streams/{uuid.uuid4().hex}"
@@ -32,6 +35,46 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 16)
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").alias("entity_id"), F.col("event_type").alias("event"))
 
 
+def appended(parts: list[DataFrame]) -> DataFrame:
+    """An append-only log: each part is appended to the same table, which is read back."""
+    spark, path = parts[0].sparkSession, f"{scratch(parts[0].sparkSession)}/log"
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
+
+
+def flat_messages(threads: DataFrame) -> DataFrame:
+    """Messages of provider threads (a JSON text in ``thread``), one row each, in order."""
+    shape = "id long, messages array<struct<turn: long, role: string, text: string>>"
+    at = threads.select(F.from_json("thread", shape).alias("t"))
+    return at.select(F.col("t.id").alias("thread_id"), F.posexplode("t.messages").alias("place", "m")).select("thread_id", "place", "m.role", "m.text")
+
+
+# Names that are titles of pages.
+PAGE_TITLES = ("about", "about us", "team", "our team", "company", "contact", "home", "leadership", "people")
+MOST_DEPTH = 6
+
+
+def people_in_json(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """How many objects of a JSON text look like people (a name that is no page title, and an address or a profile), down
+    to ``MOST_DEPTH``; junk has none."""
+    text = lambda k: F.try_variant_get("v", f"$.{k}", "string")
+    name = F.lower(F.trim(F.coalesce(*[F.nullif(text(k), F.lit("")) for k in ("name", "full_name", "fullName")])))
+    reach = text("email").contains("@") | F.lower(F.coalesce(F.nullif(text("linkedin"), F.lit("")), text("linkedin_url"))).contains("linkedin.com")
+    person = F.coalesce((name != "") & ~name.isin(*PAGE_TITLES), F.lit(False)) & F.coalesce(reach, F.lit(False))
+    level = rows.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(json_col)).alias("v"))
+    found = []
+    for depth in range(MOST_DEPTH + 1):
+        found.append(level.where(person).select("id"))
+        if depth < MOST_DEPTH:
+            level = level.sparkSession.sql("select t.id, e.value as v from {t} t, lateral variant_explode(t.v) e where schema_of_variant(e.value) like 'ARRAY%' or schema_of_variant(e.value) like 'OBJECT%'", t=level)
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    counts = every.groupBy("id").agg(F.count("*").alias("n"))
+    return rows.select(F.col(id_col).alias("id")).join(counts, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def safe_cell(text: Column) -> Column:
     """Text that a spreadsheet doesn't take for a formula."""
     return F.when(F.substring(text, 1, 1).isin("=", "+", "-", "@", "\t", "\r"), F.concat(F.lit("'"), text)).otherwise(text)

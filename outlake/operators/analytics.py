@@ -18,7 +18,6 @@ def unverified_reply() -> Column:
     return F.expr("has_response and response_verified_at is null")
 
 
-
 def bigint_count_if(c: Column) -> Column:
     return F.count_if(c).cast("long")
 
@@ -98,18 +97,28 @@ def totals(facts: DataFrame) -> DataFrame:
     return t.withColumn("enough_data", enough).withColumn("rate", F.when(enough, rate_of(F.col("replied"), F.col("sent"))))
 
 
-def hours_to_reply(facts: DataFrame) -> DataFrame:
-    """Distribution of the hours to a verified reply by nearest rank (half up), and how many rows it leaves out."""
+def hours_to_reply(facts: DataFrame, bucket_hours: int = 24) -> DataFrame:
+    """Distribution of the hours to a verified reply by nearest rank (half up), and how many rows it leaves out.
+
+    Hours are counted by value and by day.  The only ordering without a key is that of the days; ranks are then told apart
+    inside the days that hold them, each of which has 2400 values at most.
+    """
     gap = F.round((F.unix_micros(F.col("response_at").cast("timestamp")) - F.unix_micros(F.col("sent_at").cast("timestamp"))) / 3.6e9, 2)
-    replied = facts.where(verified_reply()).select(gap.alias("h"))
-    counted = replied.groupBy("h").agg(F.count("*").alias("n"))
-    # ranks over distinct hours, not rows: the window sorts one row per hundredth of an hour
-    upto = F.sum("n").over(W.orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow))
-    good = counted.where("h >= 0").withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy()))
-    at = lambda f: F.min(F.when(F.col("upto") > F.floor(f * (F.col("total") - 1) + 0.5), F.col("h")))
-    out = good.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), at(0.5).alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"), F.min("h").alias("fastest"), F.max("h").alias("slowest"))
-    every = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"))
-    return out.join(F.broadcast(every)).select("count", "median", "p25", "p75", "fastest", "slowest", (F.col("every") - F.col("count")).alias("excluded"))
+    counted = facts.where(verified_reply()).select(gap.alias("h")).groupBy("h").agg(F.count("*").alias("n")).withColumn("day", F.floor(F.col("h") / bucket_hours))
+    good = counted.where("h >= 0")
+    days = good.groupBy("day").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow))
+    days = days.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy()))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("f")) for k, f in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))]))
+    rank = F.floor(F.col("q.f") * (F.col("total") - 1) + 0.5)
+    held = days.select("*", asked.alias("q")).withColumn("rank", rank).where("upto > rank and upto - n <= rank").select("day", "q.k", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    run = F.sum("n").over(W.partitionBy("k").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = good.join(held, "day").withColumn("run", run).where("run > rank").groupBy().pivot("k", ["median", "p25", "p75"]).agg(F.min("h"))
+    every = counted.agg(
+        F.coalesce(F.sum(F.when(F.col("h") >= 0, F.col("n"))), F.lit(0)).alias("count"), F.coalesce(F.sum("n"), F.lit(0)).alias("every"),
+        F.min(F.when(F.col("h") >= 0, F.col("h"))).alias("fastest"), F.max(F.when(F.col("h") >= 0, F.col("h"))).alias("slowest"),
+    )
+    return every.join(F.broadcast(found)).select("count", "median", "p25", "p75", "fastest", "slowest", (F.col("every") - F.col("count")).alias("excluded"))
 
 
 def best_and_worst(segments: DataFrame) -> DataFrame:

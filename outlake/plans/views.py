@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from outlake.sources.store import scratch
+
 #: Stands for the current time wherever a rule depends on it.
 AS_OF = "timestamp '2001-08-02 00:00:00'"
 
@@ -108,13 +110,35 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 _FROM = re.compile(r"\b(from|join) (\w+)")
 
 
+#: Views that many queries read: written once per session and source, then read as tables.
+TABLES_OF_SESSION = ("companies", "contacts", "emails", "people")
+_written: dict[tuple, DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """When a given table was last changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).getModificationTime()
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text = VIEWS[name]
+    used = {m for _, m in _FROM.findall(text) if m in VIEWS or m in TABLES}
+    return spark.sql(_FROM.sub(lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], text), **{u: load(spark, sf_dir, u) for u in used})
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view or a given table as a DataFrame."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name]
-    used = {m for _, m in _FROM.findall(text) if m in VIEWS or m in TABLES}
-    return spark.sql(_FROM.sub(lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], text), **{u: load(spark, sf_dir, u) for u in used})
+    if name not in TABLES_OF_SESSION:
+        return _view(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, *[_stamp(spark, sf_dir, t) for t in ("supplier", "customer", "orders")])
+    if key not in _written:
+        view, path = _view(spark, sf_dir, name), f"{scratch(spark)}/{name}"
+        view.write.parquet(path)
+        _written[key] = spark.read.schema(view.schema).parquet(path)
+    return _written[key]
 
 
 def with_views(sql: str) -> str:

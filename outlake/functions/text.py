@@ -195,3 +195,47 @@ def addresses_in(html: Column) -> Column:
 API_URL = r"(?i)(https?://[^\s\"'<>\\]+|/(?:api|graphql|wp-json|data|cms)[^\s\"'<>\\]*|[^\s\"'<>\\]+\.json(?:\?[^\s\"'<>\\]*)?)"
 FETCH_CALL = r"(?i)(?:fetch|axios\.(?:get|post)|\$\.(?:get|ajax))\s*\(\s*['\"]([^'\"]+)['\"]"
 STATIC = r"(?i)\.(js|css|png|jpg|jpeg|gif|svg|woff|woff2|map)$"
+INTERESTING = r"(?i)(\.json$|^/api|/api/|^/wp-json|/wp-json/|/graphql|/data/|/cms/)"
+PEOPLE_PATH, ABOUT_PATH = r"(?i)team|people|staff|leadership|employee", r"(?i)about|contact|company"
+
+
+def endpoints(html: Column, url: Column, most: int = 8) -> Column:
+    """Data addresses of a page's own origin that its markup and scripts name, as structs of rank, url and path: people
+    first, then about and contact, then wp-json, then others; ``most`` of them."""
+    page = F.coalesce(html, F.lit(""))
+    origin = F.regexp_extract(url, r"(?i)^(https?://[^/?#]+)", 1)
+    # addresses inside scripts are matched along with those of the markup
+    raw = F.concat(F.regexp_extract_all(page, F.lit(FETCH_CALL), F.lit(1)), F.regexp_extract_all(page, F.lit(API_URL), F.lit(1)))
+    clean = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"[\\)]+$", ""), "#.*$", "")
+    whole = lambda x: F.when(x.rlike("(?i)^https?://"), x).when(x.startswith("//"), F.concat(F.regexp_extract(url, "^([a-zA-Z]+:)", 1), x)).when(x.startswith("/"), F.concat(origin, x))
+    links = F.filter(F.transform(raw, lambda x: whole(clean(x))), lambda x: x.isNotNull())
+    path = lambda x: F.regexp_extract(x, r"(?i)^https?://[^/?#]*([^?#]*)", 1)
+    own = F.filter(links, lambda x: (F.lower(F.regexp_extract(x, r"(?i)^(https?://[^/?#]+)", 1)) == F.lower(origin)) & path(x).rlike(INTERESTING) & ~path(x).rlike(STATIC))
+    rank = lambda p: F.when(p.rlike(PEOPLE_PATH), 0).when(p.rlike(ABOUT_PATH), 1).when(F.lower(p).contains("wp-json"), 2).otherwise(3)
+    once = F.array_distinct(F.transform(own, lambda x: F.regexp_replace(x, "/+$", "")))
+    return F.when(origin != "", F.slice(F.array_sort(F.transform(once, lambda x: F.struct(rank(path(x)).alias("rank"), x.alias("url")))), 1, most)).otherwise(F.array())
+
+
+# What employees' snippets say, and what others' say.
+EMPLOYMENT = r"(?i)\b(?:at|with|joining|joined|works?(?:\s+at)?|currently)\b|@"
+OTHERS = r"(?i)\b(?:hiring at|open to work|looking (?:for|at)|recruiter for|journalist|job posting|we're hiring|we are hiring)\b"
+OTHER_TITLE = r"\b(?:university|college|school|student|engineer|analyst|associate|director|manager|intern|partner|vice president|vp|mba)\b"
+
+
+def is_employee_snippet(company: Column, title: Column, body: Column) -> Column:
+    """A search result on somebody who works at a company: it names the company, is no job advert and not about a former
+    employer, has the company in its title or a strong cue, and no other employer as the title's second part."""
+    from outlake.functions.people import mentions_company
+
+    t, blob = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))))
+    words = F.filter(F.split(F.lower(F.coalesce(company, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    matches = lambda before, after="": F.exists(words, lambda w: F.rlike(blob, F.concat(F.lit(before), w, F.lit(after))))
+    former = matches(r"\b(?:ex|former|previously)\b.{0,30}\b", r"\b")
+    in_title = F.exists(words, lambda w: t.contains(w))
+    experience = matches(r"experience\s*:\s*[^\n]{0,60}")
+    strong = matches(r"(?:at|with|@)\s+") | experience
+    second = F.trim(F.get(F.split(t, r"\s*[|\-–—]\s*"), F.lit(1)))
+    elsewhere = (F.coalesce(second, F.lit("")) != "") & ~F.exists(words, lambda w: second.contains(w)) & ~second.rlike(OTHER_TITLE) & (F.size(F.split(second, r"\s+")) <= 4)
+    sure = (in_title & F.coalesce(title, F.lit("")).rlike(r"\s[-–—|]\s")) | blob.rlike(EMPLOYMENT) | experience
+    both = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit("")))
+    return mentions_company(company, both) & ~both.rlike(OTHERS) & ~former & (in_title | strong) & ~F.coalesce(elsewhere, F.lit(False)) & sure

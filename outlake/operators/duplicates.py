@@ -54,3 +54,27 @@ def unique_name_keys(companies: DataFrame, key: Column, fallback: Column) -> Dat
     at = companies.withColumn("__key", key).withColumn("__n", F.row_number().over(order))
     unique = F.when(F.col("__key").isNull(), F.lit(None)).when(F.col("__n") == 1, F.col("__key")).otherwise(F.concat_ws(":", "__key", fallback))
     return at.withColumn("name_key", unique).drop("__key", "__n")
+
+
+def collapsed_contacts(contacts: DataFrame, email: Column, profile: Column, best: list[Column]) -> DataFrame:
+    """``contact_id, keep_id`` for every contact: duplicates within a company by address, then, among those that stay, by
+    profile; the keeper of the keeper counts."""
+    key = lambda c: F.nullif(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit(""))
+    by_email = keepers(contacts, "contact_id", [F.col("company_id"), key(email)], best).where("contact_id <> keep_id")
+    left = contacts.join(by_email.select("contact_id"), "contact_id", "left_anti")
+    by_profile = keepers(left, "contact_id", [F.col("company_id"), key(profile)], best).where("contact_id <> keep_id")
+    second = by_profile.select(F.col("contact_id").alias("k"), F.col("keep_id").alias("k2"))
+    at = contacts.select("contact_id").join(by_email, "contact_id", "left").withColumn("k", F.coalesce("keep_id", "contact_id")).join(second, "k", "left")
+    return at.select("contact_id", F.coalesce("k2", "k").alias("keep_id"))
+
+
+def merged_companies(companies: DataFrame, name_key: Column) -> DataFrame:
+    """``company_id, keep_id, name_key`` for every company: one of a domain stays, the oldest; of those that stay, one of a
+    name key has the plain key, others get a suffix of their domain's stem or id."""
+    by_domain = keepers(companies, "company_id", [F.nullif(F.lower("domain"), F.lit(""))], [F.col("created_at")]).where("company_id <> keep_id")
+    left = companies.join(by_domain.select("company_id"), "company_id", "left_anti").withColumn("k", name_key)
+    n = F.row_number().over(W.partitionBy("k").orderBy("created_at", "company_id"))
+    suffix = F.coalesce(F.substring_index(F.nullif(F.col("domain"), F.lit("")), ".", 1), F.col("company_id").cast("string"))
+    keyed = left.select("company_id", F.when(F.col("k").isNull() | (n == 1), F.col("k")).otherwise(F.concat("k", F.lit(":"), suffix)).alias("name_key"))
+    at = companies.select("company_id").join(by_domain, "company_id", "left").join(keyed, "company_id", "left")
+    return at.select("company_id", F.coalesce("keep_id", "company_id").alias("keep_id"), "name_key")

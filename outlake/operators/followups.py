@@ -77,20 +77,46 @@ def plan(contacts: DataFrame, emails: DataFrame, suppressions: DataFrame, steps:
     return out.select("contact_id", "refusal", F.when(free, F.col("follow_ups_sent") + 1).alias("step"), F.when(free, F.col("previous_email_id")).alias("previous_email_id"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """Lineage is cut by a table in the shared folder."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _walked(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, root`` of chains that end in a cycle: link by link, until the next one was seen."""
+    at, done = _written(starts.select("id", F.col("id").alias("root"), F.array("id").alias("seen"))), None
+    step_of = links.toDF("__id", "__parent")
+    while not at.isEmpty():
+        step = at.join(step_of, at["root"] == F.col("__id"), "left")
+        go = F.coalesce(~F.array_contains("seen", F.col("__parent")), F.lit(False))
+        step = _written(step.select("id", "root", "seen", "__parent", go.alias("go")))
+        ended = step.where("not go").select("id", "root")
+        done = ended if done is None else done.unionByName(ended)
+        at = step.where("go").select("id", F.col("__parent").alias("root"), F.array_append("seen", F.col("__parent")).alias("seen"))
+    return done
+
+
 def roots(emails: DataFrame) -> DataFrame:
     """``email_id, root_id``: the parent chain of follow-ups, stopping at a missing parent or a cycle.
 
-    Each round joins the open chains with their parents; rounds end when none is open.  A round is written to the
-    checkpoint folder, so plans don't grow with the length of the chains.
+    Pointers are doubled: a round joins each follow-up's pointer with the pointer that it leads to, so chains of any length
+    end after the logarithm of it.  What still moves after as many rounds as the longest chain could need leads into a
+    cycle, and is walked link by link.
     """
-    scratch(emails.sparkSession)  # sets the checkpoint folder where it is unset
-    links = emails.where(is_follow_up_row()).select("email_id", F.col("original_email_id").alias("parent"))
+    links = emails.where(is_follow_up_row()).select(F.col("email_id").alias("id"), F.col("original_email_id").alias("parent"))
     known = emails.select(F.col("email_id").alias("parent"))
-    links = links.join(known, "parent", "left_semi").select(F.col("email_id").alias("__id"), F.col("parent").alias("__parent")).checkpoint()
-    at = emails.select("email_id", F.col("email_id").alias("root_id"), F.array("email_id").alias("seen"))
-    while True:
-        step = at.join(links, at["root_id"] == F.col("__id"), "left")
-        go = F.col("__parent").isNotNull() & ~F.array_contains("seen", F.coalesce("__parent", F.lit(-1)))
-        at = step.select("email_id", F.when(go, F.col("__parent")).otherwise(F.col("root_id")).alias("root_id"), F.when(go, F.array_append("seen", F.col("__parent"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved")).checkpoint()
+    links = _written(links.join(known, "parent", "left_semi").select("id", "parent").where("id <> parent"))
+    at, most = links.select("id", F.col("parent").alias("to"), F.lit(True).alias("moved")), links.count().bit_length() + 1
+    for _ in range(most):
+        step = at.join(at.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left")
+        at = _written(step.select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
         if at.where("moved").isEmpty():
-            return at.select("email_id", "root_id")
+            found = at.select("id", F.col("to").alias("root"))
+            break
+    else:
+        found = at.where("not moved").select("id", F.col("to").alias("root"))
+        left = _walked(at.where("moved").select("id"), links)
+        found = found if left is None else found.unionByName(left)
+    return emails.select("email_id").join(found, F.col("email_id") == F.col("id"), "left").select("email_id", F.coalesce("root", "email_id").alias("root_id"))

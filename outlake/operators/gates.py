@@ -46,6 +46,20 @@ def send_gate(emails: DataFrame, contacts: DataFrame, suppressions: DataFrame) -
     return free.unionByName(at.where("reason is not null").select("email_id", F.col("reason").alias("decision")))
 
 
+def send_gate_in_full(emails: DataFrame, contacts: DataFrame, suppressions: DataFrame, acceptance: DataFrame, reconciled: DataFrame, cap: int) -> DataFrame:
+    """``send_gate`` with what attempts left (``reconciled``: email_id, outcome), mail acceptance by domain (only a refusal
+    blocks) and a daily cap for each company over what would be sent."""
+    local = send_gate(emails, contacts, suppressions)
+    ct = contacts.select("contact_id", F.col("email").alias("__email"))
+    to = emails.join(ct, "contact_id", "left").select("email_id", "company_id", F.substring_index(F.lower(F.coalesce("recipient_email", "__email")), "@", -1).alias("domain"))
+    at = local.join(to, "email_id").join(acceptance, "domain", "left").join(reconciled.select("email_id", F.col("outcome").alias("__left")), "email_id", "left")
+    decision = F.when((F.col("decision") == "attempt pending") & (F.col("__left") == "delivered"), "reconciled").when((F.col("decision") == "send") & ~F.coalesce("accepts", F.lit(True)), "no mail acceptance").otherwise(F.col("decision"))
+    at = at.select("email_id", "company_id", decision.alias("decision"))
+    place = F.row_number().over(W.partitionBy("company_id").orderBy("email_id"))
+    free = at.where("decision = 'send'").select("email_id", F.when(place > cap, "daily cap").otherwise("send").alias("decision"))
+    return free.unionByName(at.where("decision <> 'send'").select("email_id", "decision"))
+
+
 def delivered_to_sent(emails: DataFrame) -> DataFrame:
     """Rows with delivery evidence get the status sent."""
     return emails.withColumn("status", F.when(has_evidence(), "sent").otherwise(F.col("status")))

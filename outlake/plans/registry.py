@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from outlake.plans.entities import ENTITIES
+from outlake.plans.merges import MERGES
 from outlake.plans.more import MORE
 from outlake.plans.people import PEOPLE
 from outlake.plans.reports import REPORTS
@@ -14,7 +15,7 @@ from outlake.plans.research import RESEARCH
 from outlake.plans.states import STATES
 from outlake.plans.views import with_views
 
-GROUPS = (REPORTS, ENTITIES, MORE, PEOPLE, RESEARCH, STATES)
+GROUPS = (REPORTS, ENTITIES, MORE, PEOPLE, RESEARCH, STATES, MERGES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,8 +9,8 @@ from outlake.functions import identity, people, schedule
 from outlake.operators import filters, followups, gates, pipeline, states
 from outlake.plans.entities import _quoted
 from outlake.plans.people import _WINDOW, PARTS, known, window
-from outlake.plans.reports import _AS_SENT, _EVIDENCE, _FLAGS, _FOLLOW, STEPS, _board
-from outlake.plans.views import AS_OF, load
+from outlake.plans.reports import _EVIDENCE, _EVIDENCED, _FLAGS, _FOLLOW, _board
+from outlake.plans.views import load
 from outlake.sources import store
 from outlake.sources.store import event_stream
 from outlake.streaming import keyed, streams
@@ -127,10 +127,6 @@ STATES = {
         lambda s, d: filters.page(load(s, d, "people"), ["lower(person)", "contact_id"], 10_000, 25).select("contact_id"),
         "with n as (select count(*) as n from people), r as (select contact_id, row_number() over (order by lower(person), contact_id) - 1 as i from people) select contact_id from r, n where i // 25 = greatest(0, (n - 1) // 25)",
     ),
-    "o9_due_in_order": (
-        lambda s, d: followups.due(load(s, d, "emails"), load(s, d, "contacts"), STEPS, AS_OF).orderBy("last_touch_at", "email_id").select("email_id", "contact_id", "last_touch_at"),
-        None,
-    ),
     "w14_first_wordings": (
         lambda s, d: load(s, d, "runs").withColumn("n", F.row_number().over(W.partitionBy("company_id", F.lower("bullet_2")).orderBy("run_id"))).where("n = 1").select("run_id", "company_id", "bullet_2"),
         "select run_id, company_id, bullet_2 from (select *, row_number() over (partition by company_id, lower(bullet_2) order by run_id) as n from runs) where n = 1",
@@ -149,11 +145,8 @@ STATES = {
     ),
     "a17_waiting": (
         lambda s, d: _board(s, d).agg(F.count_if(F.expr("stage in ('ready', 'drafted') and not (queued_count > 0 and pending_draft_count = 0)")).cast("long").alias("waiting_on_you"), F.count_if(F.expr("stage = 'awaiting'")).cast("long").alias("waiting_on_them"), F.coalesce(F.sum(F.expr("case when stage = 'drafted' then queued_count end")), F.lit(0)).alias("queued"), F.count_if("drift").cast("long").alias("drifted")),
-        None,
-    ),
-    "a33_draft_decisions": (
-        lambda s, d: gates.draft_gate(load(s, d, "contacts"), load(s, d, "emails"), load(s, d, "suppressions"), 2).groupBy("decision").agg(F.count("*").alias("n")),
-        None,
+        f"""with {_EVIDENCED} select cast(count_if(stage in ('ready', 'drafted') and not (queued_count > 0 and pending_draft_count = 0)) as bigint) as waiting_on_you, cast(count_if(stage = 'awaiting') as bigint) as waiting_on_them,
+ cast(coalesce(sum(case when stage = 'drafted' then queued_count end), 0) as bigint) as queued, cast(count_if(drift) as bigint) as drifted from drifting""",
     ),
     "p18_attachment_conflicts": (
         lambda s, d: states.attachment_conflicts(_sql(_ATTACH)(s, d, "emails")),
@@ -182,7 +175,10 @@ STATES = {
     ),
     "j14_linked_profiles": (
         lambda s, d: states.linked_profiles(*_page_links(s, d)),
-        None,
+        f"""with {PARTS}, l as (select company_id, contact_id as place, profile as url, sp from pb where slug is not null and company_id is not null), p as (select company_id, contact_id, tok from pb where company_id is not null and len(tok) > 0),
+ j as (select p.company_id as page_id, p.contact_id, tok, place, url, list_filter(sp, lambda x: not ((regexp_full_match(x, '[a-f0-9]{{5,}}') and not list_contains(tok, x)) or regexp_full_match(x, '[0-9]{{2,}}'))) as kept from p join l on l.company_id = p.company_id),
+ m as (select * from j where case when len(tok) >= 2 then (list_contains(kept, tok[1]) and list_contains(kept, tok[-1])) or array_to_string(kept, '') in (tok[1] || tok[-1], tok[-1] || tok[1], tok[1][1] || tok[-1]) else array_to_string(kept, '') = tok[1] end)
+ select page_id, contact_id, arg_min(url, place) as url from m group by 1, 2""",
     ),
     "f16_off_domain_notes": (
         lambda s, d: states.off_domain_notes(load(s, d, "people").withColumn("notes", F.when(F.col("contact_id") % 7 == 0, F.lit(f"Not on x. {states.WARNING} y.")).when(F.col("contact_id") % 5 == 0, F.col("notes"))), load(s, d, "companies"), load(s, d, "emails")),

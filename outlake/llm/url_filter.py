@@ -6,8 +6,9 @@ as many words as the label has substrings.  Naive Bayes learns from the pages th
 or a strong one are examples of what to block, the others of what to allow.  Hosts and path shapes (digits count
 alike) are scored once each; pages get their sum.
 
-The labels come from a lexicon; what naive Bayes adds are the words and paths that go with labelled hosts, so that
-hosts without a word of the lexicon are judged as well.
+The labels come from a lexicon; what naive Bayes adds are the words and paths that go with labelled hosts.  A host
+without a label is judged by what other hosts say about its words (its own pages don't count as harmless), and blocked
+only if one of its words is ``EVIDENCE`` times as frequent with labelled hosts as with others.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and is allowed; so is a
 host without words; null pages have no words; ties go to allow; repeated rows are judged alike; urls and labels are read
@@ -33,6 +34,7 @@ STRONG = "casino pills viagra porn xxx bets betting poker spam jackpot slots gam
 WEAK = "cheap free win winner ads track tracker farm click loans lottery replica bonus deals adult dating pharma crack torrent popup offer".split()
 SEED_COUNT = 50
 LONGEST = 63  # a host label has no more characters
+EVIDENCE = 5.0  # so many times as often with labelled hosts as with others
 UNKNOWN = -2.5  # log10 of an unknown character's share, besides one count in all
 
 
@@ -124,15 +126,19 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     p = groups.join(hosts, "host").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum("n").alias("n")).first()
     bad, every = p.b or 0, p.n or 0
     prior = math.log((bad + 1) / (every - bad + 1))
-    weights = counted.select("word", (F.log((F.col("b") + 1) / F.lit(float(t.b + t.v + 1))) - F.log((F.col("a") + 1) / F.lit(float(t.a + t.v + 1)))).alias("w"))
-
-    def scored(items: DataFrame, key: str, words: Column, name: str) -> DataFrame:
-        return save(items.select(key, F.explode(words).alias("word")).join(weights, "word").groupBy(key).agg(F.sum("w").alias(name)))
-
-    host_score = scored(hosts, "host", F.col("words"), "host_score")
-    shapes = groups.select("shape").distinct()
-    path_score = scored(shapes, "shape", F.transform(path_words, lambda w: F.concat(F.lit("/"), w)), "path_score")
+    weight = lambda b, a: F.log((b + 1) / F.lit(float(t.b + t.v + 1))) - F.log((a + 1) / F.lit(float(t.a + t.v + 1)))
+
+    # a host without a label is judged by what other hosts say about its words
+    pages_of = groups.where("host <> ''").groupBy("host").agg(F.sum("n").alias("pages"))
+    each = hosts.join(pages_of, "host").select("host", "bad", "pages", F.explode("words").alias("word")).groupBy("host", "bad", "pages", "word").agg(F.count("*").alias("k"))
+    own = F.when(F.col("bad"), 0).otherwise(F.col("pages") * F.col("k"))
+    said = each.join(counted, "word").withColumn("evidence", F.col("bad") | (weight(F.col("b"), F.col("a")) >= math.log(EVIDENCE)))
+    said = said.withColumn("a", F.col("a") - own)
+    sums = said.groupBy("host").agg(F.sum(F.when(F.col("a") + F.col("b") > 0, F.col("k") * weight(F.col("b"), F.col("a")))).alias("host_score"), F.bool_or("evidence").alias("evidence"))
+    host_score = save(sums.select("host", F.coalesce("host_score", F.lit(0.0)).alias("host_score"), "evidence"))
+    shapes = groups.select("shape").distinct().select("shape", F.explode(F.transform(path_words, lambda w: F.concat(F.lit("/"), w))).alias("word"))
+    path_score = save(shapes.join(counted, "word").groupBy("shape").agg(F.sum(weight(F.col("b"), F.col("a"))).alias("path_score")))
     out = rows.join(host_score, "host", "left").join(path_score, "shape", "left")
     score = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0))
-    said = F.when((score > 0) & F.col("host_score").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    said = F.when((score > 0) & F.coalesce("evidence", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", said).alias("verdict"), score.alias("score"))

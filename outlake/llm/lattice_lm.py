@@ -12,8 +12,9 @@ going through their bytes.  A text's probability is the product over its words a
 3. Each chunk's words come back with counts and lattice scores and meet the chunk's documents.
 
 Defined results: null and empty texts have the end token alone; a document with a null id counts as held out;
-repeated rows are learned from and scored once for each row; with no training documents all counts are 0; other
-columns are ignored.
+repeated rows are learned from and scored once for each row; with no training documents all counts are 0; texts and
+words are scored whole, whatever their length; empty tables give empty results; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

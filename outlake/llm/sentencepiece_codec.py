@@ -1,7 +1,8 @@
 """Encode and decode documents with a SentencePiece model (see ``sentencepiece_model``).
 
 Defined results: null and empty texts have no ids; null ids are carried along; repeated rows are encoded once for each
-row; texts are encoded whole, whatever their length; other columns are ignored.
+row; texts are encoded whole, whatever their length; empty tables give empty results; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -47,8 +48,7 @@ def _run(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for part in _groups([len(x) for x in texts]):
                 some = texts[part]
-                ids = own.encode(some)
-                same = [own.decode(x) == y for x, y in zip(ids, some, strict=True)]
+                ids, same = own.encode_checked(some)
                 parity = [array("I", y).tobytes() == x for x, y in zip(ids, theirs.encode(some, num_threads=1), strict=True)]
                 columns = [
                     batch.column("doc_id")[part.start : part.stop],
@@ -80,7 +80,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in batches:
-            texts = [own.decode(x or b"") for x in batch.column("ids").to_pylist()]
+            texts = own.decode([x or b"" for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -20,6 +20,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 CACHE_SEGMENTS = 300_000
+WORDS_OF_ITEM = 512
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -127,16 +128,13 @@ class Codec:
         self.find = re.compile(self.model.segment_pattern()).findall if self.model.separable() else lambda x: [x] if x else []
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # segments that decoding doesn't give again
         m = self.model
         # words can be looked up as they stand in the text
         self.by_words = m.separable() and m.dummy_prefix and not m.charsmap and not m.remove_extra_blanks and self.find("a\nb") == ["a", "\n", "b"]
         if self.by_words:
             self.segments.pre_tokenizer = self.whole.pre_tokenizer
         self.begins = np.array([p.startswith(MARK) and kind == NORMAL for p, _, kind in m.pieces])
-        self.surface = [
-            bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode()
-            for p, _, kind in self.model.pieces
-        ]
 
     def normalised(self, text: str) -> str:
         m = self.model
@@ -146,8 +144,11 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers."""
-        import numpy as np
+        return self.encode_checked(texts)[0]
 
+    def encode_checked(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids, and whether decoding them gives the texts again.  Where segments are apart, so are their texts: each new
+        segment is decoded once."""
         cut = [self._cut(t) for t in texts]
         new = {s for x in cut for s in x if s not in self.known}
         if len(self.known) + len(new) > CACHE_SEGMENTS:
@@ -160,19 +161,40 @@ class Codec:
                 known[s] = old[s]
             else:
                 (plain if self.by_words and s and s[0] not in ("\n", "\0", MARK) else other).append(s)
-        if plain:
-            # one call for all: a piece that begins with the metaspace begins a word
-            ids = np.array(self.segments.encode_batch_fast([MARK + MARK.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        fresh = plain + other
+        self._encode_new(plain, other)
+        for s, text in zip(fresh, self.decode([known[s] for s in fresh]), strict=True):
+            raw = s if not self.by_words or s[:1] != "\0" else s[1:]
+            if text != (raw if self.by_words and s[:1] not in ("\0", MARK) else self._plain(raw)):
+                self.odd.add(s)
+        ids = [b"".join([known[s] for s in x]) for x in cut]
+        if self.odd or not self.model.separable():
+            return ids, [x == y for x, y in zip(self.decode(ids), texts, strict=True)]
+        return ids, [True] * len(texts)
+
+    def _plain(self, segment: str) -> str:
+        """What decoding a segment should give: blanks for metaspaces, the first one away."""
+        text = segment.replace(MARK, " ")
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
+    def _encode_new(self, plain: list[str], other: list[str]) -> None:
+        import numpy as np
+
+        known, other = self.known, list(other)
+        # a piece that begins with the metaspace begins a word, so many words can be one item of the batch
+        items = [plain[i : i + WORDS_OF_ITEM] for i in range(0, len(plain), WORDS_OF_ITEM)]
+        encoded = self.segments.encode_batch_fast([MARK + MARK.join(x) for x in items], add_special_tokens=False)
+        for words, e in zip(items, encoded, strict=True):
+            ids = np.array(e.ids, "<u4")
             starts = np.flatnonzero(self.begins[ids])
-            if len(starts) == len(plain):
+            if len(starts) == len(words):
                 data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-                known.update(zip(plain, [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True))
+                known.update(zip(words, [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True))
             else:
-                other += plain
+                other += words
         asked = [s if not self.by_words or s[:1] in ("\n", MARK) else s[1:] if s[:1] == "\0" else MARK + s for s in other]
         for s, e in zip(other, self.segments.encode_batch_fast(asked, add_special_tokens=False), strict=True):
             known[s] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[s] for s in x]) for x in cut]
 
     def _cut(self, text: str) -> list[str]:
         """The text's keys in the cache: words between single blanks (a line's first word has the line break before
@@ -182,9 +204,8 @@ class Codec:
         found = self.find(self.normalised(text))
         return [s if s[0] in ("\n", MARK) else "\0" + s for s in found] if self.by_words else found
 
-    def decode(self, ids: bytes) -> str:
+    def decode(self, batch: list[bytes]) -> list[str]:
+        """Texts of ids by the rebuilt decoder: metaspaces to blanks, byte pieces to characters, the first blank away."""
         import numpy as np
 
-        surface = self.surface
-        text = b"".join([surface[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return self.whole.decode_batch([np.frombuffer(x, "<u4").tolist() for x in batch], skip_special_tokens=False)

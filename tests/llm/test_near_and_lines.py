@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from outlake.llm.embedding_dedup import near_duplicates as near_vectors
 from outlake.llm.line_dedup import line_dedup
@@ -97,7 +98,7 @@ def test_line_dedup_matches_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     gone = brute_lines(rows)
     assert len(gone) > 20
-    got = {r.doc_id: (r.text, r["__n_lines"], r["__n_removed"]) for r in line_dedup(docs).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup(docs).select("doc.*", "lines.*").collect()}
     for i, text in rows:
         lines = text.split("\n")
         assert got[i] == ("\n".join(x for k, x in enumerate(lines) if (i, k) not in gone), len(lines), sum(d == i for d, _ in gone))
@@ -107,12 +108,20 @@ def test_line_dedup_edges(spark):
     line = "the same words in this line"
     rows = [(2, f"{line}\nkeep"), (1, f"head\n{line}"), (3, None), (4, ""), (None, line), (5, f"{line.upper()}\n{line}"), (6, "a b c d"), (7, "a b c d")]
     docs = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, line int, hash string")
-    out = line_dedup(docs)
-    got = {r.doc_id: (r.text, r["__n_removed"], r.line, r.hash) for r in out.collect()}
+    out = line_dedup(docs.withColumns({c: F.lit(1) for c in ("id", "gone", "l", "made", "c0", "n_lines", "__gone")}))
+    got = {r.doc.doc_id: (r.doc.text, r.lines.n_removed, r.doc.line, r.doc.hash) for r in out.collect()}
     assert got == {2: ("keep", 1, 9, "x"), 1: (f"head\n{line}", 0, 9, "x"), 3: (None, 0, 9, "x"), 4: ("", 0, 9, "x"), None: (line, 0, 9, "x"), 5: ("", 2, 9, "x"), 6: ("a b c d", 0, 9, "x"), 7: ("a b c d", 0, 9, "x")}
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_long_lines_and_filters(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, long), (2, f"{long} more\nshort"), (3, "x\t y\r z \x0b\x0c a b"), (4, "Z y x b A"), (5, "\n" * 5_000 + "one two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_lines, r.n_removed) for r in line_dedup(docs).where("lines.n_removed >= 0 and doc.text is not null and length(doc.text) >= 0").select("doc.doc_id", "lines.*").collect()}
+    assert got == {(1, 1, 0), (2, 2, 1), (3, 1, 0), (4, 1, 1), (5, 5001, 0)}
+
+
 def brute_vectors(rows, threshold=0.98):
     def unit(v):
         return v if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v) else None
@@ -123,7 +132,7 @@ def brute_vectors(rows, threshold=0.98):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             if label[a] == label[b] and len(good[a]) == len(good[b]):
-                x, y = good[a], good[b]
+                x, y = (v / np.abs(v).max() for v in (good[a], good[b]))
                 if (x * y).sum() / (math.sqrt((x * x).sum()) * math.sqrt((y * y).sum())) >= threshold:
                     links.append((a, b))
     at = classes([i for i, _, _ in rows], links)
@@ -149,6 +158,7 @@ def test_vectors_close_to_the_threshold_and_edges(spark, tiles, monkeypatch):
         v = base + rng.normal(size=16) * rng.choice([0.05, 0.12, 0.16, 1.0]) * np.linalg.norm(base) / 4
         rows.append((i, [float(np.float32(x)) for x in v], int(i % 2)))
     rows += [(200, rows[0][1], None), (201, None, 0), (202, [0.0] * 16, 0), (203, [math.nan] * 16, 0), (204, [math.inf] + [1.0] * 15, 0), (205, rows[0][1][:8], 0), (206, [None] * 16, 0), (207, [], 0), (208, rows[0][1], 0)]
+    rows += [(k, [x * s for x in rows[0][1][:15]] + [0.0], 5) for k, s in ((210, 1e200), (211, 1e200), (212, 1e-200), (213, 1e-200), (214, 1e-300))]
     df = spark.createDataFrame([(*r, "n") for r in rows], "vec_id long, embedding array<double>, label int, tile string")
     got = {tuple(r) for r in near_vectors(df).collect()}
     assert got == brute_vectors(rows)

@@ -57,3 +57,28 @@ def test_run_gives_the_last_stage(spark, stages):
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).select(cols).collect())
     assert got == sorted(tuple(r) for r in stages[4].select(cols).collect())
+
+
+def odd_rows(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    texts = [None, "", " \n", "short", words, words, words.upper() + "\n" + words, "long " * 3 + " ".join(f"v{i}" for i in range(40_000)), "\n".join([words] * 3), "tie one two three four five", "tie one two three four five"]
+    rows = [(i, t, None if i % 3 == 0 else "en", None, None if t is None else len(t), 7, "x") for i, t in enumerate(texts)]
+    rows += [(None, words, "en", "s", 1, 7, "x"), rows[4], rows[4]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id int, gone string")
+
+
+def test_stages_on_odd_rows(spark):
+    docs = odd_rows(spark)
+    quality_, lines, near, packed = (stage(spark, docs, SF) for _, stage in corpus_pipeline.STAGES)
+    key = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.select("doc_id", "text").collect())
+    every = rows(docs)
+    enough = [(str(i), t) for i, t in every if len((t or "").split()) >= 50]
+    assert {*key(quality_)} <= {x for x in enough if x[0] != "8"} and key(quality_).count(("4", every[4][1])) == 3 and quality_.columns == docs.columns
+    got = key(lines)
+    assert [x for x in got if x[0] == "8"] == [] and ("9", every[9][1]) in got and ("10", every[10][1]) not in got and ("None", every[11][1]) in got
+    assert sum(x[0] == "4" for x in got) == 3 and all(x in got for x in [("1", ""), ("2", " \n"), ("3", "short")]) and lines.where("doc_id = 0 and text is null").count() == 1
+    kept = [i for i, _ in key(near.where("text is not null"))]
+    assert {"1", "2", "3", "4", "9", "None"} <= set(kept) and not {"5", "10"} & set(kept) and near.columns == docs.columns
+    check_packing(packed, docs)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -110,6 +110,16 @@ def top_people(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(real).withColumn("place", place).where(F.col("place") <= most).select("company_id", "place", "contact_id")
 
 
+def extraction_order(rows: DataFrame) -> DataFrame:
+    """Place of each extracted person of a company: school matches first, then by rank, on the company's domain, with a
+    name, no role inbox, then by channel (O8)."""
+    no = lambda c: F.when(c, 0).otherwise(1)
+    channel = F.lower(F.coalesce(F.nullif(F.trim("address"), F.lit("")), F.col("profile"), F.lit("")))
+    generic = F.when((F.trim("address") != "") & identity.is_generic_inbox(F.col("address")), 1).otherwise(0)
+    key = [no(F.col("school_match")), F.coalesce("seniority_rank", F.lit(20)), no(F.col("on_domain")), no(F.col("person") != ""), generic, channel, F.col("contact_id")]
+    return rows.select("company_id", "contact_id", F.row_number().over(W.partitionBy("company_id").orderBy(*key)).cast("long").alias("place"))
+
+
 def best_per_email(rows: DataFrame) -> DataFrame:
     """The best candidate of each address: a match of school, then the higher rank, then one with a name, then the
     earlier one.  ``rows`` has candidate_id (the order), address, school_match, seniority_rank, person."""

@@ -93,6 +93,27 @@ def quarantined(companies: DataFrame) -> DataFrame:
     return out.withColumn("scrape_status", F.when(F.col("__bad"), "wrong_site").otherwise(F.col("scrape_status"))).drop("__bad")
 
 
+def dive_saved(fresh: DataFrame, companies: DataFrame) -> DataFrame:
+    """Company columns after a dive is saved.  A trusted one overwrites (a domain only if it has one), contacts-only dives keep the research, an untrusted
+    one keeps what was there, and a new company on a wrong site gets neither domain nor summary.
+
+    ``fresh`` has company_id, new_domain, new_summary, status, identity_ok and contacts_only; ``companies`` domain,
+    summary and scrape_status.
+    """
+    at = fresh.join(companies.select("company_id", "domain", "summary", "scrape_status", F.lit(True).alias("known")), "company_id", "left")
+    trusted = F.col("identity_ok") & (F.col("status") != "wrong_site")
+    keeps = F.col("contacts_only") & F.col("known").isNotNull()
+    takes = trusted & ~keeps
+    prior = F.col("known").isNotNull()
+    return at.select(
+        "company_id",
+        F.when(takes, F.coalesce("new_domain", "domain")).when(prior, F.col("domain")).alias("domain"),
+        F.when(takes, F.col("new_summary")).when(prior, F.col("summary")).alias("summary"),
+        F.when(takes, F.col("status")).when(prior, F.col("scrape_status")).otherwise(F.col("status")).alias("scrape_status"),
+        F.when(trusted, "saved").when(prior, "kept").otherwise("blank").alias("outcome"),
+    )
+
+
 def summaries_to_notes(companies: DataFrame) -> DataFrame:
     """Summaries of companies that were never read become notes, unless there is one."""
     moved = (F.coalesce("summary", F.lit("")) != "") & F.col("discovery_note").isNull() & F.col("scrape_status").isin(*UNSCRAPED)

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from outlake.functions import identity, mail, people, text
-from outlake.operators import analytics, campaigns, duplicates, followups, gates, states
+from outlake.operators import analytics, campaigns, duplicates, filters, followups, gates, ingest, links, states
 from outlake.plans.more import MORE, _mx
+from outlake.plans.people import PARTS
 from outlake.plans.reports import _DUE, _FACTS, _SEGMENTS, STEPS, _facts
 from outlake.plans.research import _key
 from outlake.plans.states import _SENT, _SUBJECT, STATES, _sql
 from outlake.plans.views import AS_OF, load
 from outlake.sources import store
+from outlake.sources.store import event_stream
+from outlake.streaming import streams
 
 _CLEAN = "nullif(lower(trim(coalesce({0}, ''))), '')"
 _U1 = f"""d as (select contact_id, company_id, {_CLEAN.format('address')} as e, {_CLEAN.format('profile')} as u, on_domain from people),
@@ -21,6 +24,18 @@ _U1 = f"""d as (select contact_id, company_id, {_CLEAN.format('address')} as e,
 _CARRY = """'<div>fetch("/api/staff.json")</div><a href="/about/data/x.json#y">a</a><a href="https://other.org/api/x">o</a><img src="/api/x.png"><i x="/wp-json/v2/y"></i>'"""
 
 
+_COMPANY_SORTS = {"name": ["lower(name)"], "contacts": ["-coalesce(n, 0)"], "research": ["case when scrape_status = 'scraped' then 1 else 0 end", "lower(name)"], "newest": ["-company_id"]}
+_LINKS = """concat('<a href="/team">Our team</a><a href="/about-us#x">us</a><a href="https://other.org/team">x</a><a href="/news/', cast(page_id % 3 as varchar(20)), '">n</a><a href="/login/people">l</a><a href="/about-us/">again</a><a href="/x">Contact</a>')"""
+
+
+def _dives(s, d):
+    k, c = F.col("company_id"), load(s, d, "companies")
+    return c.select(
+        "company_id", F.when(k % 4 != 0, F.concat(F.lit("new"), k.cast("string"), F.lit(".example.org"))).alias("new_domain"), F.when(k % 6 != 0, F.concat(F.lit("Fresh "), "name")).alias("new_summary"),
+        F.when(k % 7 == 0, "wrong_site").otherwise("scraped").alias("status"), (k % 11 != 0).alias("identity_ok"), (k % 3 == 0).alias("contacts_only"),
+    )
+
+
 def _best():
     return [F.when(F.col("on_domain"), 0).otherwise(1)]
 
@@ -113,6 +128,41 @@ MERGES = {
         lambda s, d: gates.draft_gate(load(s, d, "contacts"), load(s, d, "emails"), load(s, d, "suppressions"), 2).groupBy("decision").agg(F.count("*").alias("n")),
         f"select decision, count(*) as n from ({MORE['g2_draft_gate'][1]}) group by 1",
     ),
+    "g9_saved_dives": (
+        lambda s, d: states.dive_saved(_dives(s, d), load(s, d, "companies").where("company_id % 5 <> 4").withColumn("summary", F.concat(F.lit("About "), F.col("name")))),
+        """with k as (select *, 'About ' || name as summary from companies where company_id % 5 <> 4),
+ f as (select company_id, case when company_id % 4 <> 0 then 'new' || company_id || '.example.org' end as nd, case when company_id % 6 <> 0 then 'Fresh ' || name end as ns, case when company_id % 7 = 0 then 'wrong_site' else 'scraped' end as status, company_id % 11 <> 0 as ok, company_id % 3 = 0 as only_contacts from companies),
+ j as (select f.*, k.domain, k.summary, k.scrape_status, k.company_id is not null as prior, ok and status <> 'wrong_site' as trusted from f left join k on k.company_id = f.company_id), t as (select *, trusted and not (only_contacts and prior) as takes from j)
+ select company_id, case when takes then coalesce(nd, domain) when prior then domain end as domain, case when takes then ns when prior then summary end as summary, case when takes then status when prior then scrape_status else status end as scrape_status,
+ case when trusted then 'saved' when prior then 'kept' else 'blank' end as outcome from t""",
+    ),
+    "o8_extraction_order": (
+        lambda s, d: ingest.extraction_order(load(s, d, "people").withColumn("school_match", F.col("contact_id") % 7 == 0)),
+        f"""with {PARTS} select company_id, contact_id, row_number() over (partition by company_id order by contact_id % 7 <> 0, coalesce(seniority_rank, 20), not on_domain, person = '', generic, lower(coalesce(nullif(trim(address), ''), profile, '')), contact_id) as place from pb""",
+    ),
+    "o3_company_sorts": (
+        lambda s, d: filters.sorted_places(load(s, d, "companies").join(load(s, d, "contacts").groupBy("company_id").agg(F.count("*").alias("n")), "company_id", "left"), _COMPANY_SORTS, "company_id", 15),
+        "with c as (select c.*, n from companies c left join (select company_id, count(*) as n from contacts group by 1) x on x.company_id = c.company_id) "
+        + " union all ".join(f"select '{k}' as sort, company_id, place from (select company_id, row_number() over (order by {', '.join(o)}, company_id) as place from c) where place <= 15" for k, o in _COMPANY_SORTS.items()),
+    ),
+    "t7_once_per_day": (
+        lambda s, d: streams.once_per_day(event_stream(s, d)),
+        "select distinct entity_id, event, cast(created_at as date) as day from activity",
+    ),
+    "f30_clean_lines": (
+        lambda s, d: load(s, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned")),
+        f"""with l as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[\t\r\x0b\x0c ]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: length(x) >= 20 and not regexp_matches(lower(x), '{"|".join(text.NAVIGATION)}')
+   and length(regexp_replace(x, '[^\\p{{L}}\\p{{N}}_ ]', '', 'g')) >= length(x) * 0.3) as l from documents), s as (select doc_id, list_filter(regexp_split_to_array(array_to_string(l, ' '), '[.!?] +'), lambda x: x <> '') as s from l),
+ e as (select doc_id, unnest(s) as x, unnest(range(0, len(s))) as i from s), f as (select doc_id, lower(x) as k, min(i) as i, arg_min(x, i) as x from e group by 1, 2), j as (select doc_id, string_agg(x, '. ' order by i) as j from f group by 1)
+ select d.doc_id, trim(case when length(j) > 3000 then concat(substr(j, 1, 3000), '...') else coalesce(j, '') end) as cleaned from documents d left join j on j.doc_id = d.doc_id""",
+    ),
+    "f39_o10_links_in_order": (
+        lambda s, d: links.page_links(load(s, d, "pages").withColumn("html", F.concat(F.expr(_LINKS), F.col("html")))),
+        f"""with p as (select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) as o, regexp_extract_all({_LINKS} || html, '<a href="([^"]*)">([^<]*)</a>', 1) as h, regexp_extract_all({_LINKS} || html, '<a href="([^"]*)">([^<]*)</a>', 2) as t from pages),
+ a as (select page_id, o, unnest(h) as h, unnest(t) as t, unnest(range(0, len(h))) as i from p), r as (select page_id, i, regexp_replace(regexp_replace(case when h like '/%' then o || h else h end, '#.*$', ''), '/+$', '') as u, o, lower(regexp_replace(regexp_extract(h, '^(?:https?://[^/]*)?([^?#]*)', 1), '[?#].*', '') || ' ' || trim(t)) as sig from a where h like '/%' or starts_with(h, o || '/')),
+ k as (select *, list_min(list_transform(list_filter({[[w, str(n)] for w, n in links.PRIORITY.items()]!r}::varchar[][], lambda x: contains(sig, x[1])), lambda x: cast(x[2] as integer))) as pr from r where len(list_filter({links.SKIP!r}, lambda w: contains(sig, w))) = 0),
+ f as (select page_id, u, min((i, pr)) as m from k where pr is not null group by 1, 2), n as (select page_id, u, row_number() over (partition by page_id order by m[2], m[1]) - 1 as place from f) select page_id, cast(place as integer) as place, u as href from n where place < 24""",
+    ),
     "f33_page_mail_texts": (lambda s, d: load(s, d, "pages").select("page_id", mail.mail_text(F.col("html")).alias("text")), None),
 }
 

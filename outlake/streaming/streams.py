@@ -40,6 +40,13 @@ def once_per_actor(events: DataFrame, late: str = "3650 days") -> DataFrame:
     return _ran(events.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["entity_id", "event"]).select("entity_id", "event"), "append")
 
 
+def once_per_day(events: DataFrame) -> DataFrame:
+    """The first event of each kind that an entity shows on a day.  Repeats lie within a day of it, so a watermark of two
+    days keeps the state bounded and drops each of them."""
+    daily = events.withColumn("day", F.to_date("created_at")).withWatermark("created_at", "2 days")
+    return _ran(daily.dropDuplicatesWithinWatermark(["entity_id", "event", "day"]).select("entity_id", "event", "day"), "append")
+
+
 def due_class(scheduled_at: Column, now: Column, hours: int = 72) -> Column:
     """due, stale (too old: unscheduled, not sent) or future."""
     return F.when(scheduled_at > now, "future").when(scheduled_at < now - F.expr(f"interval '{hours}' hour"), "stale").otherwise("due")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from outlake.operators import gates, windows
 from outlake.sources import store
+from outlake.sources.store import event_stream
 from outlake.streaming import streams
 from tests.conftest import SF
 
@@ -54,3 +55,47 @@ def test_events_in_one_file_or_in_part_files(spark, tmp_path):
         one, parts = (query(store.event_stream(spark, d)).drop("created_at").collect() for d in (SF, str(tmp_path / "parts")))
         assert one and sorted(one) == sorted(parts)
     assert streams.feed(store.event_stream(spark, str(tmp_path / "parts"))).count() == events.count()
+
+
+def test_keyed_states_over_many_batches(spark, tmp_path):
+    """States that go on from micro-batch to micro-batch equal their batch twins."""
+    from pyspark.sql.window import Window as W
+
+    from outlake.streaming import keyed
+
+    every = spark.read.parquet(f"{SF}/events.parquet").where("user_id < 12")
+    at = every.select(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    for i in range(4):
+        low, high = (at.lo + (at.hi - at.lo) * (i + k) / 4 for k in (0, 1))
+        part = every.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) | F.lit(i == 3)))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream = lambda: event_stream(spark, str(tmp_path), files_per_trigger=1)
+    rows = every.select("event_id", F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").alias("entity_id"), F.col("event_type").alias("event"))
+    us = F.unix_micros("created_at")
+    window = W.partitionBy("entity_id").orderBy(us).rangeBetween(-(3600 * 10**6 - 1), 0)
+    want = {r.event_id: r.n for r in rows.select("event_id", F.count("*").over(window).alias("n")).collect()}
+    assert {r.event_id: r.in_window for r in keyed.bursts(stream(), 3600).collect()} == want
+    last = lambda kinds: {r.entity_id: r.e for r in rows.where(F.col("event").isin(*kinds)).groupBy("entity_id").agg(F.max_by("event", F.struct("created_at", "event_id")).alias("e")).collect()}
+    assert {r.entity_id: r.on for r in keyed.opted_out(stream(), ["error"], ["signup", "purchase"]).collect()} == {k: v == "error" for k, v in last(["error", "signup", "purchase"]).items()}
+    assert {r.entity_id: r.scheduled for r in keyed.schedules(stream(), "purchase", ["error", "click"]).collect()} == {k: v == "purchase" for k, v in last(["purchase", "error", "click"]).items()}
+    got = {r.entity_id: (r.has_response, r.bounced_at) for r in keyed.reply_states(stream(), "click", "view", "purchase").collect()}
+    first = {r.entity_id: r.t for r in rows.where("event = 'purchase'").groupBy("entity_id").agg(F.min("created_at").alias("t")).collect()}
+    said = last(["click", "view"])
+    assert got == {k: (said.get(k) == "click", first.get(k)) for k in said.keys() | first.keys()}
+
+
+def test_a_list_that_cannot_be_read_lets_nothing_pass(spark):
+    from pyspark.errors import StreamingQueryException
+
+    from outlake.streaming import keyed
+
+    calls = []
+
+    def blocked():
+        calls.append(1)
+        if len(calls) > 1:  # the schema is asked for first
+            raise OSError("unreadable")
+        return spark.createDataFrame([(1,)], "entity_id long")
+
+    with pytest.raises((StreamingQueryException, OSError)):
+        keyed.unsuppressed(event_stream(spark, SF), blocked)

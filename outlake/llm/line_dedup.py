@@ -3,9 +3,9 @@
 A line's tokens are its distinct lower-cased words.  A line goes when an earlier line (by document id, then by place)
 has a Jaccard similarity of ``PERCENT`` or more; lines of fewer than ``MIN_TOKENS`` tokens stay.
 
-1. Words are counted over all documents in a fixed number of hash buckets; the buckets' levels (a constant of
-   ``BUCKETS`` times four bits, whatever the corpus) order the tokens of every line by rarity.  Any fixed order makes
-   the prefix filter exact; rarity makes it selective.
+1. Words are counted over all documents in a fixed number of hash buckets; the buckets' levels (an array of ``BUCKETS``
+   numbers, whatever the corpus) order the tokens of every line by rarity.  Any fixed order makes the prefix filter
+   exact; rarity makes it selective.
 2. Lines with equal token sets form a class, of which only the first line takes part in the join, so common lines
    cost one row.
 3. Lines with the same smallest, or the same largest, token hash are compared with the first of them only.  What is
@@ -14,11 +14,11 @@ has a Jaccard similarity of ``PERCENT`` or more; lines of fewer than ``MIN_TOKEN
    each (prefix filter).  The join on these tokens drops pairs by length, by what can still follow a token's position,
    and by a 64-bit parity map of the tokens, whose Hamming distance is never above the size of the symmetric
    difference.  All three are exact bounds.
-5. Candidates of both steps are verified on the lines' words, read back from the texts.
+5. Candidates of both steps are verified on the lines' words.
 
 Everything is DataFrame operations.  Defined results: null texts stay null; rows with a null id are left as they are
-and match nothing; a row is told by its id and text, so repeated rows are treated alike; empty tables give empty
-results; other columns are kept, whatever their names.
+and match nothing; a row is told by its id and text, so repeated rows are treated alike; lines of any length are compared
+whole; empty tables give empty results; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,50 +26,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlake.llm.common import BLANKS, drop, release, save
+from outlake.llm.common import drop, save
 
 PERCENT = 85
 MIN_TOKENS = 5
 BUCKETS = 1 << 17
+_LINE = ["id", "hash", "line"]
+_SET = ["set", "map", "n"]  # what tells a line's token set: a hash, its parity map and its size
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, BLANKS), "")
+def _spaced(text: Column, breaks: bool = False) -> Column:
+    """Lower case with a space for each blank, for line breaks only with ``breaks``.  Splits at a single character need
+    no pattern."""
+    out = F.lower(text)
+    for blank in ("\t", "\x0b", "\x0c", "\r") + ("\n",) * breaks:
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return out
+
+
+def _tokens(line: Column) -> Column:
+    """Hashes of a line's distinct words."""
+    hashed = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashed), F.xxhash64(F.lit("")))
 
 
-def _levels(texts: DataFrame) -> str:
-    """SQL for an array with a level of rarity, 0 to 15, for every bucket, sixteen of them in a long.
+def _levels(texts: DataFrame) -> Column:
+    """For every bucket its level of rarity, 0 to 15, in the bits above a token's hash: an octave of the bucket's count
+    around the mean count.
 
-    A level is an octave of the bucket's count around the mean count.  ``BUCKETS / 16`` longs come to the driver,
-    whatever the corpus, and go out as a constant.
+    ``BUCKETS`` longs, whatever the corpus, come to the driver as one JSON text and go out as a constant array: a
+    subquery can't be used in a lambda, and a joined column would be copied for every line.
     """
-    words = texts.select(F.explode(_words(F.lower("text"))).alias("w"))
+    words = texts.select(F.explode_outer(F.split(_spaced(F.col("text"), breaks=True), " ")).alias("w")).where("w <> ''")
     counted = save(words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n")))
-    mean = max(1.0, (counted.agg(F.sum("n")).first()[0] or 0) / BUCKETS)
-    level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / mean) + 8))).cast("long")
-    packed = counted.groupBy(F.shiftright("bucket", 4).alias("at")).agg(F.bit_or(F.call_function("shiftleft", level, (4 * F.col("bucket").bitwiseAND(F.lit(15))).cast("int"))).alias("x"))
-    found = {r.at: r.x for r in packed.collect()}
+    mean = F.greatest(F.lit(1.0), F.coalesce(counted.agg(F.sum("n")).scalar(), F.lit(0)) / BUCKETS)
+    level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(F.coalesce("n", F.lit(1)) / mean) + 8))).cast("long")
+    every = texts.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counted, "bucket", "left")
+    every = every.select("bucket", F.call_function("shiftleft", level, F.lit(55)).alias("x"))
+    found = every.agg(F.to_json(F.array_sort(F.collect_list(F.struct("bucket", "x")))["x"])).first()[0]
     drop(counted)
-    return "array(" + ", ".join(f"bigint('{found.get(i, 0)}')" for i in range(BUCKETS // 16)) + ")"
-
-
-def _lines(texts: DataFrame, levels: str, percent: int) -> DataFrame:
-    """One row per line: where it is, its set's digest, size, parity maps and prefix."""
-    level = f"shiftrightunsigned(get({levels}, int(shiftright(h & {BUCKETS - 1}, 4))), int(4 * (h & 15))) & 15"
-    lines = texts.select("id", "hash", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "words"))
-    hashed = F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))
-    lines = lines.select("id", "hash", "line", F.array_distinct(hashed).alias("t"))
-    lines = lines.select("id", "hash", "line", "t", F.array_min("t").alias("least"), F.array_max("t").alias("most"))
-    ordered = F.expr(f"sort_array(transform(t, h -> shiftleft({level}, 55) | shiftrightunsigned(h, 9)))")
-    lines = lines.select("id", "hash", "line", "least", "most", ordered.alias("t"))
+    return F.from_json(F.lit(found), "array<bigint>")
+
+
+def _lines(texts: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """One row per line: where it is, what tells its token set, and its prefix."""
+    lines = texts.select("id", "hash", F.posexplode_outer(F.split(_spaced(F.col("text")), "\n")).alias("line", "words"))
+    lines = lines.select(*_LINE, _tokens(F.col("words")).alias("t"))
+    lines = lines.select(*_LINE, "t", F.array_min("t").alias("least"), F.array_max("t").alias("most"))
+    place = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 9))
+    lines = lines.select(*_LINE, "least", "most", F.sort_array(F.transform("t", place)).alias("t"))
     return lines.select(
-        "id", "hash", "line", "least", "most",
-        F.xxhash64("t").alias("set_a"), F.xxhash64(F.lit(1), "t").alias("set_b"), F.size("t").alias("n"),
+        *_LINE, "least", "most",
+        F.xxhash64("t").alias("set"), F.size("t").alias("n"),
         F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))").alias("map"),
         F.expr(f"transform(slice(t, 1, size(t) - int(floor((size(t) * {percent} + 99) / 100)) + 1), x -> int(x & 2147483647))").alias("prefix"),
     )
 
 
+def _need(percent: int) -> str:
+    """The least overlap of similar lines ``a`` and ``b``, as SQL."""
+    return f"floor(({percent} * (a.n + b.n) + {99 + percent}) / {100 + percent})"
+
+
 def _bounds(percent: int) -> str:
     """What similar lines ``a`` and ``b`` satisfy, as SQL."""
     return (
@@ -78,18 +96,13 @@ def _bounds(percent: int) -> str:
     )
 
 
-def _need(percent: int) -> str:
-    """The least overlap of similar lines ``a`` and ``b``, as SQL."""
-    return f"floor(({percent} * (a.n + b.n) + {99 + percent}) / {100 + percent})"
-
-
 def _first_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of a line and the first one with its smallest or largest token hash."""
-    rows = classes.select(F.explode(F.array("least", "most")).alias("key"), F.struct("id", "hash", "line").alias("who"), "n", "map")
-    heads = rows.groupBy("key").agg(F.min(F.struct("who", "n", "map")).alias("x"), F.count("*").alias("k")).where("k > 1").select("key", "x.*")
+    rows = classes.select(F.explode(F.array("least", "most")).alias("key"), F.struct(*_LINE).alias("who"), "n", "map")
+    heads = save(rows.groupBy("key").agg(F.min(F.struct("who", "n", "map")).alias("x"), F.count("*").alias("k")).where("k > 1").select("key", "x.*"))
     a, b = heads.alias("a"), rows.alias("b")
     near = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr(f"a.who < b.who and {_bounds(percent)}"))
-    return near.select(F.col("a.who").alias("a"), F.col("b.who").alias("b")).distinct()
+    return near.select(F.col("a.who").alias("a"), F.col("b.who").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
 
 
 def _candidates(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
@@ -97,27 +110,27 @@ def _candidates(classes: DataFrame, settled: DataFrame, percent: int) -> DataFra
     # settled lines are told by a number above any size: the condition needs both sides, so that it isn't pushed to one
     # of them and both read the same exchange
     mark = settled.withColumn("settled", F.lit(2**31 - 1))
-    rows = classes.join(mark, ["id", "hash", "line"], "left").select(F.posexplode("prefix").alias("at", "token"), "id", "hash", "line", "n", "map", F.coalesce("settled", F.lit(0)).alias("settled"))
+    rows = classes.join(mark, _LINE, "left").select(F.posexplode("prefix").alias("at", "token"), *_LINE, "n", "map", F.coalesce("settled", F.lit(0)).alias("settled"))
     a, b = rows.alias("a"), rows.alias("b")
     after = (
         f"{_bounds(percent)} and least(a.n - a.at, b.n - b.at) >= {_need(percent)} "
         "and b.settled < a.n and struct(a.id, a.hash, a.line) < struct(b.id, b.hash, b.line)"
     )
-    who = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in ("id", "hash", "line")]).alias(side)
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & F.expr(after)).select(who("a"), who("b")).distinct()
+    who = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in _LINE]).alias(side)
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & F.expr(after)).select(who("a"), who("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The later lines of the pairs that are similar: ``id, hash, line``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("who")).distinct().select("who.*")
-    found = wanted.join(texts, ["id", "hash"]).select(
-        F.struct("id", "hash", "line").alias("who"), F.array_distinct(_words(F.get(F.split(F.lower("text"), "\n"), F.col("line")))).alias("t")
-    )
-    found = save(found.dropDuplicates(["who"]))  # repeated rows
-    release(pairs.sparkSession)
-    both = pairs.join(found.select(F.col("who").alias("a"), F.col("t").alias("ta")), "a").join(found.select(F.col("who").alias("b"), F.col("t").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    out = save(both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("b.*").distinct())
+    """The later lines of the pairs that are similar: ``id, hash, line``.  The words are read back from the texts, each
+    split once; ``pairs`` has the sizes of both sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("who")).select("who.*").groupBy("id", "hash").agg(F.collect_set("line").alias("lines"))
+    # hashed on the small side at every size: the texts needn't be sorted
+    parts = texts.join(wanted.hint("shuffle_hash"), ["id", "hash"]).select("id", "hash", "lines", F.posexplode_outer(F.split(_spaced(F.col("text")), "\n")).alias("line", "words"))
+    found = save(parts.where(F.array_contains("lines", F.col("line"))).select(F.struct(*_LINE).alias("who"), "words").dropDuplicates(["who"]))  # repeated rows
+    both = pairs.join(found.select(F.col("who").alias("a"), F.col("words").alias("wa")), "a").join(found.select(F.col("who").alias("b"), F.col("words").alias("wb")), "b")
+    common = F.size(F.array_intersect(F.array_remove(F.split("wa", " "), ""), F.split("wb", " ")))
+    # one use of what is common: the condition is moved below other projections, where it would be computed for each use
+    out = save(both.where(common * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("b.*").distinct())
     drop(found, pairs)
     return out
 
@@ -129,33 +142,39 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = save(_lines(texts, _levels(texts), percent))
     # filtered only now: a filter on the size would be pushed down and have the tokens computed twice
     lines = every.where(F.col("n") >= min_tokens)
-    spark = docs.sparkSession
-    parts = F.struct("id", "hash", "line", "n", "map", "least", "most", "prefix")
-    classes = save(lines.groupBy("set_a", "set_b").agg(F.min(parts).alias("x")).select("set_a", "set_b", "x.*"))
-    release(spark)
-    firsts = classes.select("set_a", "set_b", F.struct("id", "hash", "line").alias("first"))
-    copies = save(lines.join(firsts, ["set_a", "set_b"]).where(F.struct("id", "hash", "line") != F.col("first")).select("id", "hash", "line").distinct())
+    parts = F.struct(*_LINE, "least", "most", "prefix")
+    classes = save(lines.groupBy(_SET).agg(F.min(parts).alias("x")).select(*_SET, "x.*"))
+    firsts = classes.select(*_SET, F.struct(*_LINE).alias("first"))
+    copies = save(lines.join(firsts, _SET).where(F.struct(*_LINE) != F.col("first")).select(*_LINE).distinct())
     drop(every)
-    release(spark)
     settled = _verified(save(_first_pairs(classes, percent)), texts, percent)
-    release(spark)
     pairs = save(_candidates(classes, settled, percent))
     drop(classes)
-    release(spark)
     near = settled.unionByName(_verified(pairs, texts, percent))
     out = save(copies.unionByName(near).distinct().groupBy("id", "hash").agg(F.collect_list("line").alias("gone")))
     drop(copies, settled)
-    release(spark)
     return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``docs`` without the lines that go; ``__n_lines`` and ``__n_removed`` (long) are added, and ``__at``: a filter
-    that reads it isn't pushed below the rebuilding of the texts, where it would split them again for every line."""
-    gone = removed_lines(docs, id_col, text_col, percent, min_tokens).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("gone").alias("__gone"))
-    at = docs.join(gone, (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__hash")), "left")
-    at = at.withColumn("__lines", F.split(docs[text_col].cast("string"), "\n"))
-    at = at.withColumn("__stay", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
-    at = at.withColumn("__new", F.when(F.col("__gone").isNull(), docs[text_col].cast("string")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n")))
-    kept = [F.col("__new").alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return at.select(*kept, F.greatest(F.size("__lines"), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_removed"), F.monotonically_increasing_id().alias("__at"))
+    """One row per row of ``docs``: the struct ``doc`` (the row without the lines that go) and the struct ``lines`` with
+    ``n_lines`` and ``n_removed`` (long).
+
+    The texts come out of a generator over one struct for each row, so that filters of the caller aren't moved below
+    it, where they would rebuild the texts for every use.
+    """
+    gone = removed_lines(docs, id_col, text_col, percent, min_tokens).toDF("id", "hash", "gone").hint("shuffle_hash")
+    d = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    text = text.cast("string")
+    at = d.join(gone, (key.cast("long") == F.col("id")) & (F.xxhash64(text) == F.col("hash")), "left")
+    left = "array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\n')"
+    at = at.withColumn("l", F.when(F.col("gone").isNotNull(), F.split(text, "\n")))
+    counts = F.struct(
+        F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    )
+    made = F.struct(F.when(F.col("gone").isNull(), text).otherwise(F.expr(left)).alias("text"), counts.alias("lines"))
+    at = at.select("*", F.explode(F.array(made)).alias("made"))
+    own = [(F.col("made.text") if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+    return at.select(F.struct(*own).alias("doc"), F.col("made.lines").alias("lines"))

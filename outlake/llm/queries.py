@@ -83,7 +83,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
-        "doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed")
+        "doc.doc_id", "doc.text", "lines.n_lines", "lines.n_removed"
     )
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from outlake.sources.store import written
+
 #: Below this many sent emails a segment reports counts only.
 MIN_SAMPLE = 10
 
@@ -55,7 +57,7 @@ def segment(facts: DataFrame, key: Column, label: Column | None = None) -> DataF
         bigint_count_if(verified_reply()).alias("replied"),
         bigint_count_if(unverified_reply()).alias("unverified"),
     )
-    grouped = grouped.withColumnRenamed(grouped.columns[0], "key").withColumn("key", F.col("key").cast("string"))
+    grouped = written(grouped.withColumnRenamed(grouped.columns[0], "key").withColumn("key", F.col("key").cast("string")))
     dropped = F.coalesce(grouped.where("key is null").agg(F.sum("sent")).scalar(), F.lit(0)).cast("long")
     enough = F.col("sent") >= MIN_SAMPLE
     return (
@@ -83,6 +85,7 @@ def all_segments(facts: DataFrame) -> DataFrame:
     g = long.groupBy("dimension", "key").agg(
         F.min("label").alias("label"), F.count("*").alias("sent"), bigint_count_if(verified_reply()).alias("replied"), bigint_count_if(unverified_reply()).alias("unverified")
     )
+    g = written(g)
     dropped = g.where("key is null").select("dimension", F.col("sent").alias("dropped"))
     enough = F.col("sent") >= MIN_SAMPLE
     return (
@@ -104,7 +107,7 @@ def hours_to_reply(facts: DataFrame, bucket_hours: int = 24) -> DataFrame:
     inside the days that hold them, each of which has 2400 values at most.
     """
     gap = F.round((F.unix_micros(F.col("response_at").cast("timestamp")) - F.unix_micros(F.col("sent_at").cast("timestamp"))) / 3.6e9, 2)
-    counted = facts.where(verified_reply()).select(gap.alias("h")).groupBy("h").agg(F.count("*").alias("n")).withColumn("day", F.floor(F.col("h") / bucket_hours))
+    counted = written(facts.where(verified_reply()).select(gap.alias("h")).groupBy("h").agg(F.count("*").alias("n")).withColumn("day", F.floor(F.col("h") / bucket_hours)))
     good = counted.where("h >= 0")
     days = good.groupBy("day").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow))

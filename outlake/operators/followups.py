@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from outlake.operators.pipeline import is_follow_up_row
 from outlake.operators.suppression import match
-from outlake.sources.store import scratch
+from outlake.sources.store import written
 
 
 def contact_flags(emails: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -77,21 +77,14 @@ def plan(contacts: DataFrame, emails: DataFrame, suppressions: DataFrame, steps:
     return out.select("contact_id", "refusal", F.when(free, F.col("follow_ups_sent") + 1).alias("step"), F.when(free, F.col("previous_email_id")).alias("previous_email_id"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Lineage is cut by a table in the shared folder."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _walked(starts: DataFrame, links: DataFrame) -> DataFrame:
     """``id, root`` of chains that end in a cycle: link by link, until the next one was seen."""
-    at, done = _written(starts.select("id", F.col("id").alias("root"), F.array("id").alias("seen"))), None
+    at, done = written(starts.select("id", F.col("id").alias("root"), F.array("id").alias("seen"))), None
     step_of = links.toDF("__id", "__parent")
     while not at.isEmpty():
         step = at.join(step_of, at["root"] == F.col("__id"), "left")
         go = F.coalesce(~F.array_contains("seen", F.col("__parent")), F.lit(False))
-        step = _written(step.select("id", "root", "seen", "__parent", go.alias("go")))
+        step = written(step.select("id", "root", "seen", "__parent", go.alias("go")))
         ended = step.where("not go").select("id", "root")
         done = ended if done is None else done.unionByName(ended)
         at = step.where("go").select("id", F.col("__parent").alias("root"), F.array_append("seen", F.col("__parent")).alias("seen"))
@@ -107,11 +100,11 @@ def roots(emails: DataFrame) -> DataFrame:
     """
     links = emails.where(is_follow_up_row()).select(F.col("email_id").alias("id"), F.col("original_email_id").alias("parent"))
     known = emails.select(F.col("email_id").alias("parent"))
-    links = _written(links.join(known, "parent", "left_semi").select("id", "parent").where("id <> parent"))
+    links = written(links.join(known, "parent", "left_semi").select("id", "parent").where("id <> parent"))
     at, most = links.select("id", F.col("parent").alias("to"), F.lit(True).alias("moved")), links.count().bit_length() + 1
     for _ in range(most):
         step = at.join(at.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left")
-        at = _written(step.select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        at = written(step.select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
         if at.where("moved").isEmpty():
             found = at.select("id", F.col("to").alias("root"))
             break

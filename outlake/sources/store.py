@@ -21,6 +21,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{at}/streams/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Lineage cut by a table in the shared folder: what several steps read is computed once and survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()

@@ -101,7 +101,7 @@ VIEWS = {
   else concat('Firm ', cast(p_partkey % 80 as varchar(20)), ' news: launch') end as title,
  case p_partkey % 5 when 0 then '' when 1 then null else concat('https://www.site', cast(p_partkey % 40 as varchar(20)), '.example.com/', p_brand) end as href,
  case when p_partkey % 7 = 0 then concat('https://', case when p_partkey % 3 = 0 then 'www.linkedin.com/in/x' else 'alt.example.org' end) end as url,
- case p_partkey % 4 when 0 then null when 1 then concat('Firm ', cast(p_partkey % 9 as varchar(20)), ' announces a ', p_name, ' for everyone') when 2 then 'short' else concat('A team of ', cast(p_size as varchar(20)), ' people at Firm ', cast(p_partkey % 80 as varchar(20))) end as body
+ case p_partkey % 4 when 0 then null when 1 then concat('Firm ', cast(p_partkey % (select count(*) from supplier) % 80 as varchar(20)), ' announces a ', p_name, ' for everyone') when 2 then 'short' else concat('A team of ', cast(p_size as varchar(20)), ' people at Firm ', cast(p_partkey % 80 as varchar(20))) end as body
  from part""",
     "verdicts": """select event_id as verdict_no, event_id % (select count(*) from orders) + 1 as email_id, ts as checked_at, case event_type when 'click' then 'reply' when 'view' then 'none' when 'purchase' then 'bounce' when 'error' then 'unknown' else 'none' end as verdict from events""",
 }

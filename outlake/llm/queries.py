@@ -121,7 +121,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_turns(turns.unionByName(more)))
+    # each text as a list of one typed part, so that the turns go through the visitor like turns with attachments
+    part = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"))
+    typed = turns.unionByName(more).withColumn("text", F.to_json(F.array(part)))
+    return chat.digests(chat.format_turns(typed, typed=True))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from outlake.functions import identity, mail, people, text
-from outlake.operators import analytics, campaigns, duplicates, filters, followups, gates, ingest, links, states
+from outlake.operators import analytics, campaigns, duplicates, filters, followups, gates, ingest, links, states, suppression
+from outlake.plans.entities import ENTITIES
 from outlake.plans.more import MORE, _mx
 from outlake.plans.people import PARTS
 from outlake.plans.reports import _DUE, _FACTS, _SEGMENTS, STEPS, _facts
@@ -128,6 +129,19 @@ MERGES = {
         lambda s, d: gates.draft_gate(load(s, d, "contacts"), load(s, d, "emails"), load(s, d, "suppressions"), 2).groupBy("decision").agg(F.count("*").alias("n")),
         f"select decision, count(*) as n from ({MORE['g2_draft_gate'][1]}) group by 1",
     ),
+    "f5_registered_domains": (
+        lambda s, d: load(s, d, "pages").select("page_id", identity.registered_domain(F.when(F.col("page_id") % 4 == 0, "https://u@www.shop.co.uk:80/x").when(F.col("page_id") % 4 == 1, "a.b.gov.au").when(F.col("page_id") % 4 == 2, "localhost").otherwise(F.col("url"))).alias("domain")),
+        r"""select page_id, case page_id % 4 when 0 then 'shop.co.uk' when 1 then 'b.gov.au' when 2 then 'localhost' else array_to_string(string_split(regexp_replace(regexp_extract(lower(trim(url)), '//([^/?#]*)', 1), '^www\.', ''), '.')[-2:], '.') end as domain from pages""",
+    ),
+    "f17_guessed_names": (
+        lambda s, d: load(s, d, "people").select("contact_id", identity.name_from_local(F.col("address")).alias("name")),
+        f"""with {PARTS}, q as (select contact_id, generic, list_filter(regexp_split_to_array(split_part(e, '@', 1), '[._-]+'), lambda p: p <> '') as w from pb)
+ select contact_id, case when len(w) between 2 and 3 and len(list_filter(w, lambda p: not regexp_full_match(p, '[a-z]{{2,}}'))) = 0 and not generic then array_to_string(list_transform(w, lambda p: upper(p[1]) || p[2:]), ' ') end as name from q""",
+    ),
+    "j9_coverage_in_full": (
+        lambda s, d: suppression.coverage(load(s, d, "contacts"), load(s, d, "suppressions"), "contact_id", "email").select("suppression_id", "matched", load(s, d, "contacts").where("trim(coalesce(email, '')) <> ''").agg(F.count("*")).scalar().alias("checked")),
+        f"""with c as ({ENTITIES['j9_suppression_coverage'][1]}) select suppression_id, matched, (select count(*) from contacts where trim(coalesce(email, '')) <> '') as checked from c""",
+    ),
     "g9_saved_dives": (
         lambda s, d: states.dive_saved(_dives(s, d), load(s, d, "companies").where("company_id % 5 <> 4").withColumn("summary", F.concat(F.lit("About "), F.col("name")))),
         """with k as (select *, 'About ' || name as summary from companies where company_id % 5 <> 4),

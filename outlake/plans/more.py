@@ -79,8 +79,8 @@ MORE = {
         "select contact_id, seniority_rank from contacts order by coalesce(seniority_rank, 99), lower(name), contact_id limit 25 offset 50",
     ),
     "s5_safe_cells": (
-        lambda s, d: load(s, d, "documents").select("doc_id", F.length(safe_cell(F.concat(F.when(F.col("doc_id") % 3 == 0, "=").when(F.col("doc_id") % 3 == 1, "\t").otherwise(""), F.col("text")))).cast("long").alias("n")),
-        "select doc_id, cast(length(text) + case when doc_id % 3 < 2 then 2 else 0 end + case when doc_id % 3 = 2 and left(text, 1) in ('=', '+', '-', '@', chr(9), chr(13)) then 1 else 0 end as bigint) as n from documents",
+        lambda s, d: load(s, d, "documents").select("doc_id", F.md5(safe_cell(F.concat(F.when(F.col("doc_id") % 3 == 0, "=").when(F.col("doc_id") % 3 == 1, "\t").otherwise(""), F.col("text")))).alias("digest")),
+        "select doc_id, md5(case when doc_id % 3 = 0 then concat('''=', text) when doc_id % 3 = 1 then concat('''', chr(9), text) when left(text, 1) in ('=', '+', '-', '@', chr(9), chr(13)) then concat('''', text) else text end) as digest from documents",
     ),
     "f30_clean_text": (lambda s, d: load(s, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned")), None),
     "f37_visible_text": (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir.  Where it is unset, a temporary folder of this machine serves a
+    """A new path in the folder of spark.checkpoint.dir, removed when the session's process ends.  Where it is unset, a temporary folder of this machine serves a
     local session; on a cluster the executors couldn't see it, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
@@ -18,7 +18,11 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
-    return f"{at}/streams/{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/streams/{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/t"
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ BAD_LOCALS = "noreply no-reply donotreply do-not-reply mailer-daemon postmaster
 BAD_DOMAINS = (
     "example.com sentry.io wixpress.com sentry.wixpress.com godaddy.com domain.com yourdomain.com email.com company.com sentry-next.wixpress.com mysite.com"
 ).split()
+# Endings of image names.
 IMAGE_ENDINGS = ".png .jpg .jpeg .gif .svg .webp".split()
+# Suffixes that are no part of a name.
 PERSON_SUFFIXES = "jr sr ii iii iv md phd mba esq".split()
 
 

@@ -37,7 +37,9 @@ TITLE_WORDS = (
 FULL_NAME = r"([A-Z][a-z]+(?:\s+[A-Z][a-z.'-]+){1,3})"
 NAME_THEN_TITLE = rf"{FULL_NAME}\s*(?:,|–|—|-|\|)\s*{TITLE_WORDS}"
 TITLE_THEN_NAME = rf"{TITLE_WORDS}\s*(?:,|:|–|—|-|\|)?\s*{FULL_NAME}"
+# Labels of address kinds.
 KIND_LABELS = {"personal": "Personal address", "named_unmatched": "Named, unmatched", "generic": "Role inbox", "none": "No address", "unknown": "Unknown"}
+# Forms of addresses and profiles, of companies, and the least similarity of a name and a domain.
 ADDRESS = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)+$"
 PROFILE = r"(?i)^https://(?:www\.)?linkedin\.com(/in/[^?#]*)"
 ANY_PROFILE = r"(?i)^[a-z]+://(?:www\.)?linkedin\.com/in/([^/?#]+)"

@@ -47,6 +47,7 @@ LONG_STEM = 24
 CHANGES = "launch announce expand open hire raise funding series acquire partner release ship".split()
 POLICIES = "policy values culture remote hybrid equity dei diversity benefit parental transparency".split()
 IMPROVEMENTS = ("improve", "faster", "reduce", "increase", "upgrade", "redesign", "optimize", "new feature")
+# Words of list-like titles, and forms of addresses.
 LIST_TITLE = r"(?i)\b(top|best|list|guide|companies|startups|\d{4})\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SPELLED = r"(?i)\b([A-Z0-9._%+-]+)\s*(?:\[at\]|\(at\)|\bat\b)\s*([A-Z0-9-]+(?:\.[A-Z0-9-]+)*)\s*(?:\[dot\]|\(dot\)|\bdot\b)\s*([A-Z]{2,24})\b"
@@ -192,6 +193,7 @@ def addresses_in(html: Column) -> Column:
     return bound(found, lambda f: F.filter(f, lambda x, i: ~F.exists(F.slice(f, 1, i), lambda y: F.lower(y) == F.lower(x))))
 
 
+# Addresses of data in markup and scripts, endings of static files, and paths by what they are good for.
 API_URL = r"(?i)(https?://[^\s\"'<>\\]+|/(?:api|graphql|wp-json|data|cms)[^\s\"'<>\\]*|[^\s\"'<>\\]+\.json(?:\?[^\s\"'<>\\]*)?)"
 FETCH_CALL = r"(?i)(?:fetch|axios\.(?:get|post)|\$\.(?:get|ajax))\s*\(\s*['\"]([^'\"]+)['\"]"
 STATIC = r"(?i)\.(js|css|png|jpg|jpeg|gif|svg|woff|woff2|map)$"

@@ -10,6 +10,7 @@ from outlake.functions import identity, people
 from outlake.operators import analytics
 from outlake.operators.pipeline import has_evidence, may_have_left
 
+# Columns that a wrong site empties, the wording of warnings, and states of companies that were never read.
 PROFILE_COLUMNS = ("domain", "summary")
 WARNING = "Verify this address really reaches"
 UNSCRAPED = ("scrape_failed", "no_website", "wrong_site")

@@ -42,7 +42,9 @@ def consolidated(companies: DataFrame, runs: DataFrame) -> DataFrame:
     label = F.nullif(squeezed(F.col("criteria")), F.lit(""))
     firsts = runs.withColumn("label", label).withColumn("key", norm(F.col("news")))
     news = firsts.groupBy("company_id", "key").agg(F.min("run_id").alias("at"), F.min_by("news", "run_id").alias("text"))
-    news = news.groupBy("company_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), 1, MOST_NEWS).alias("news"))
+    # ranks with a limit: Spark cuts each group before it is sent, and only so many are gathered
+    first = F.row_number().over(W.partitionBy("company_id").orderBy("at", "text"))
+    news = news.withColumn("r", first).where(F.col("r") <= MOST_NEWS).groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("news"))
     labels = firsts.where("label is not null").groupBy("company_id", "label").agg(F.min("run_id").alias("at"))
     labels = labels.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("criteria"))
     g = runs.groupBy("company_id").agg(
@@ -114,9 +116,11 @@ def quality_tier(summary: Column, pages: Column, someone: Column) -> Column:
 def company_pages(pages: DataFrame, key: str, text: Column, order: str) -> DataFrame:
     """Page texts of a key in order, joined and cut: short pages don't count, each is cut first.
 
-    Only as many pages as may fit are gathered, so no key's pages are collected whole.
+    Only as many pages as may fit are sent and gathered, so no key's pages are collected whole.
     """
     rows = pages.select(key, F.col(order).alias("__order"), F.substring(text, 1, PAGE_CHARS).alias("__text")).where(F.length("__text") > LEAST_PAGE)
+    rank = F.row_number().over(W.partitionBy(key).orderBy("__order"))
+    rows = rows.withColumn("__rank", rank).where(F.col("__rank") <= COMPANY_CHARS // LEAST_PAGE)
     ahead = F.sum(F.length("__text") + 2).over(W.partitionBy(key).orderBy("__order").rowsBetween(W.unboundedPreceding, -1))
     fit = rows.where(F.length("__text") > 0).withColumn("__ahead", F.coalesce(ahead, F.lit(0))).where(F.col("__ahead") < COMPANY_CHARS)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__order", "__text"))), lambda x: x["__text"]), "\n\n")

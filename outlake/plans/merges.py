@@ -143,8 +143,8 @@ MERGES = {
         f"""with c as ({ENTITIES['j9_suppression_coverage'][1]}) select suppression_id, matched, (select count(*) from contacts where trim(coalesce(email, '')) <> '') as checked from c""",
     ),
     "g9_saved_dives": (
-        lambda s, d: states.dive_saved(_dives(s, d), load(s, d, "companies").where("company_id % 5 <> 4").withColumn("summary", F.concat(F.lit("About "), F.col("name")))),
-        """with k as (select *, 'About ' || name as summary from companies where company_id % 5 <> 4),
+        lambda s, d: states.dive_saved(_dives(s, d), load(s, d, "companies").where("scrape_status <> 'scraped'").withColumn("summary", F.concat(F.lit("About "), F.col("name")))),
+        """with k as (select *, 'About ' || name as summary from companies where scrape_status <> 'scraped'),
  f as (select company_id, case when company_id % 4 <> 0 then 'new' || company_id || '.example.org' end as nd, case when company_id % 6 <> 0 then 'Fresh ' || name end as ns, case when company_id % 7 = 0 then 'wrong_site' else 'scraped' end as status, company_id % 11 <> 0 as ok, company_id % 3 = 0 as only_contacts from companies),
  j as (select f.*, k.domain, k.summary, k.scrape_status, k.company_id is not null as prior, ok and status <> 'wrong_site' as trusted from f left join k on k.company_id = f.company_id), t as (select *, trusted and not (only_contacts and prior) as takes from j)
  select company_id, case when takes then coalesce(nd, domain) when prior then domain end as domain, case when takes then ns when prior then summary end as summary, case when takes then status when prior then scrape_status else status end as scrape_status,

@@ -44,7 +44,7 @@ def _rich(s, d):
 
 
 def _edits(s, d):
-    return load(s, d, "people").where("contact_id % 5 = 0 and trim(address) <> ''").select("contact_id", F.trim("address").alias("new_email"), (F.col("contact_id") % 10 == 0).alias("force"))
+    return load(s, d, "people").where("trim(address) <> ''").select("contact_id", F.trim("address").alias("new_email"), (F.col("contact_id") % 10 == 0).alias("force"))
 
 
 def _page_links(s, d):
@@ -167,9 +167,9 @@ STATES = {
  select p.email_id, message_id, case when message_id is not null then 'delivered' else 'unknown' end as outcome from p left join h using (email_id)""",
     ),
     "j18_cascaded_delete": (
-        lambda s, d: states.deletion(load(s, d, "companies").where("company_id % 5 = 0"), load(s, d, "contacts"), load(s, d, "emails")),
-        f"""with p as (select contact_id, company_id, contact_id in (select contact_id from emails where {_LEFT} and contact_id is not null) as stays from contacts where company_id % 5 = 0),
- f as (select c.company_id, bool_or(coalesce(stays, false)) as stays from companies c left join p using (company_id) where c.company_id % 5 = 0 group by 1)
+        lambda s, d: states.deletion(load(s, d, "companies").where("scrape_status = 'pending'"), load(s, d, "contacts"), load(s, d, "emails")),
+        f"""with p as (select contact_id, company_id, contact_id in (select contact_id from emails where {_LEFT} and contact_id is not null) as stays from contacts where company_id in (select company_id from companies where scrape_status = 'pending')),
+ f as (select c.company_id, bool_or(coalesce(stays, false)) as stays from companies c left join p using (company_id) where c.scrape_status = 'pending' group by 1)
  select 'company' as kind, company_id as id, case when stays then 'protected' else 'deleted' end as outcome from f union all select 'contact', contact_id, case when stays then 'protected' else 'deleted' end from p
  union all select 'email', email_id, case when stays then 'protected' else 'deleted' end from emails join p using (contact_id)""",
     ),
@@ -223,7 +223,7 @@ STATES = {
     ),
     "g11_contact_edits": (
         lambda s, d: states.contact_edits(_edits(s, d), load(s, d, "contacts"), load(s, d, "emails")),
-        f"""with d as (select contact_id, trim(address) as new_email, contact_id % 10 = 0 as force from people where contact_id % 5 = 0 and trim(address) <> ''), j as (select d.*, lower(trim(coalesce(c.email, ''))) as old, c.bounced_at as cb, d.contact_id in (select contact_id from emails where {_LEFT} and contact_id is not null) as emailed
+        f"""with d as (select contact_id, trim(address) as new_email, contact_id % 10 = 0 as force from people where trim(address) <> ''), j as (select d.*, lower(trim(coalesce(c.email, ''))) as old, c.bounced_at as cb, d.contact_id in (select contact_id from emails where {_LEFT} and contact_id is not null) as emailed
   from d join contacts c on c.contact_id = d.contact_id), o as (select *, case when lower(new_email) = old then 'same' when emailed and not force then 'refused' else 'changed' end as outcome from j),
  m as (select o.contact_id, cast(count_if(scheduled_at is not null) as bigint) as q, cast(count_if(bounced_at is not null and (recipient_email is null or lower(recipient_email) = old)) as bigint) as b from o join emails e on e.contact_id = o.contact_id group by 1)
  select o.contact_id, outcome, outcome = 'changed' and cb is not null as clears_bounce, case when outcome = 'changed' then coalesce(q, 0) else 0 end as dropped_schedules, case when outcome = 'changed' then coalesce(b, 0) else 0 end as cleared_rows from o left join m on m.contact_id = o.contact_id""",
@@ -285,7 +285,7 @@ STATES = {
     "u5_backfilled_name_keys": (
         lambda s, d: _backfilled(load(s, d, "companies")),
         f"""with k as (select company_id, created_at, company_id % 3 = 0 as has, nullif(array_to_string(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda t: t <> '' and t not in ({_quoted(identity.NAME_STOP)})), ''), '') as k from companies),
- h as (select distinct k from k where has), r as (select *, row_number() over (partition by k order by created_at, company_id) as n from k where not has) select company_id, case when n = 1 and k not in (select k from h where k is not null) then k end as name_key from r""",
+ h as (select distinct k from k where has), r as (select *, row_number() over (partition by k, has order by created_at, company_id) as n from k) select company_id, case when has or (n = 1 and k not in (select k from h where k is not null)) then k end as name_key from r""",
     ),
 }
 
@@ -294,5 +294,6 @@ def _backfilled(companies):
     """Rows without a name key get theirs unless an existing one or an earlier row has it; a third have one already."""
     k = companies.withColumn("k", identity.company_name_key(F.col("name")))
     has = k.where("company_id % 3 = 0").select("k").distinct().withColumn("taken", F.lit(True))
-    rows = k.where("company_id % 3 <> 0").withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("created_at", "company_id")))
-    return rows.join(has, "k", "left").select("company_id", F.when((F.col("n") == 1) & F.col("taken").isNull(), F.col("k")).alias("name_key"))
+    own = F.col("company_id") % 3 == 0
+    rows = k.withColumn("own", own).withColumn("n", F.row_number().over(W.partitionBy("k", "own").orderBy("created_at", "company_id")))
+    return rows.join(has, "k", "left").select("company_id", F.when(F.col("own") | ((F.col("n") == 1) & F.col("taken").isNull()), F.col("k")).alias("name_key"))

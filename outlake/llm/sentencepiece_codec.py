@@ -14,12 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _codecs: dict = {}
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+THREADS = "2"  # of the library in each task; Spark's tasks use the cores as well
 
 
 def codec(path: str):
+    import os
+
     from outlake.llm.sentencepiece_model import Codec
 
+    os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]

@@ -125,13 +125,14 @@ class Codec:
         self.model = Model.read(path)
         self.segments = self.model.tokenizer(normalise=False)
         self.whole = self.model.tokenizer()
-        self.find = re.compile(self.model.segment_pattern()).findall if self.model.separable() else lambda x: [x] if x else []
+        self.apart = self.model.separable()
+        self.find = re.compile(self.model.segment_pattern()).findall if self.apart else lambda x: [x] if x else []
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.odd: set[str] = set()  # segments that decoding doesn't give again
         m = self.model
         # words can be looked up as they stand in the text
-        self.by_words = m.separable() and m.dummy_prefix and not m.charsmap and not m.remove_extra_blanks and self.find("a\nb") == ["a", "\n", "b"]
+        self.by_words = self.apart and m.dummy_prefix and not m.charsmap and not m.remove_extra_blanks and self.find("a\nb") == ["a", "\n", "b"]
         if self.by_words:
             self.segments.pre_tokenizer = self.whole.pre_tokenizer
         self.begins = np.array([p.startswith(MARK) and kind == NORMAL for p, _, kind in m.pieces])
@@ -147,13 +148,13 @@ class Codec:
         return self.encode_checked(texts)[0]
 
     def encode_checked(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids, and whether decoding them gives the texts again.  Where segments are apart, so are their texts: each new
-        segment is decoded once."""
+        """Ids, and whether decoding them gives the texts again.  Where segments are apart, so are their texts: new
+        segments are decoded once, words by the item that encoded them."""
         cut = [self._cut(t) for t in texts]
-        new = {s for x in cut for s in x if s not in self.known}
+        found = [list(map(self.known.get, x)) for x in cut]
+        new = {s for x, ids in zip(cut, found, strict=True) if None in ids for s, i in zip(x, ids, strict=True) if i is None}
         if len(self.known) + len(new) > CACHE_SEGMENTS:
             self.old, self.known = self.known, {}
-            new = {s for x in cut for s in x}
         known, old = self.known, self.old
         plain, other = [], []
         for s in new:
@@ -161,14 +162,9 @@ class Codec:
                 known[s] = old[s]
             else:
                 (plain if self.by_words and s and s[0] not in ("\n", "\0", MARK) else other).append(s)
-        fresh = plain + other
         self._encode_new(plain, other)
-        for s, text in zip(fresh, self.decode([known[s] for s in fresh]), strict=True):
-            raw = s if not self.by_words or s[:1] != "\0" else s[1:]
-            if text != (raw if self.by_words and s[:1] not in ("\0", MARK) else self._plain(raw)):
-                self.odd.add(s)
-        ids = [b"".join([known[s] for s in x]) for x in cut]
-        if self.odd or not self.model.separable():
+        ids = [b"".join([known[s] if i is None else i for s, i in zip(x, at, strict=True)] if None in at else at) for x, at in zip(cut, found, strict=True)]
+        if self.odd or not self.apart:
             return ids, [x == y for x, y in zip(self.decode(ids), texts, strict=True)]
         return ids, [True] * len(texts)
 
@@ -183,18 +179,22 @@ class Codec:
         known, other = self.known, list(other)
         # a piece that begins with the metaspace begins a word, so many words can be one item of the batch
         items = [plain[i : i + WORDS_OF_ITEM] for i in range(0, len(plain), WORDS_OF_ITEM)]
-        encoded = self.segments.encode_batch_fast([MARK + MARK.join(x) for x in items], add_special_tokens=False)
-        for words, e in zip(items, encoded, strict=True):
-            ids = np.array(e.ids, "<u4")
+        encoded = [e.ids for e in self.segments.encode_batch_fast([MARK + MARK.join(x) for x in items], add_special_tokens=False)]
+        decoded = self.whole.decode_batch(encoded, skip_special_tokens=False)
+        for words, item, text in zip(items, encoded, decoded, strict=True):
+            ids = np.array(item, "<u4")
             starts = np.flatnonzero(self.begins[ids])
-            if len(starts) == len(words):
+            if len(starts) == len(words) and text == " ".join(words):
                 data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
                 known.update(zip(words, [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True))
             else:
                 other += words
         asked = [s if not self.by_words or s[:1] in ("\n", MARK) else s[1:] if s[:1] == "\0" else MARK + s for s in other]
-        for s, e in zip(other, self.segments.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            known[s] = np.array(e.ids, "<u4").tobytes()
+        alone = [e.ids for e in self.segments.encode_batch_fast(asked, add_special_tokens=False)]
+        for s, ids, text in zip(other, alone, self.whole.decode_batch(alone, skip_special_tokens=False), strict=True):
+            known[s] = np.array(ids, "<u4").tobytes()
+            if text != (self._plain(s[1:] if self.by_words and s[:1] == "\0" else s) if not self.by_words or s[:1] in ("\0", MARK) else s):
+                self.odd.add(s)
 
     def _cut(self, text: str) -> list[str]:
         """The text's keys in the cache: words between single blanks (a line's first word has the line break before

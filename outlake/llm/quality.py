@@ -32,8 +32,9 @@ _WORDS = r"array_remove(split(body, '[\\x20\\x09-\\x0D]+'), '')"
 _LINES = r"filter(split(body, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"
 
 
-def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` as a struct column ``doc`` and its base counts as a struct of longs, ``m``.
+def with_metrics(docs: DataFrame, text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """``docs`` as a struct column ``doc`` and its base counts as a struct of longs, ``m`` (``n_repeat_words`` only with
+    ``repeats``).
 
     The counts come out of a generator over one struct for each row: filters and projections of the caller aren't
     moved below it, where they would have the arrays built again for every use.
@@ -54,6 +55,9 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         # bits that a position takes; the rest of the 64 bits holds the window's hash
         F.expr("char_length(bin(size(w)))").alias("bits"),
     )
+    counts = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines"]
+    if not repeats:
+        return d.select("doc", F.explode(F.array(F.struct(*counts))).alias("m"))
     d = d.withColumn(
         "windows",
         F.expr(
@@ -76,8 +80,7 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.expr("filter(named, (x, k) -> (k > 0 and named[k - 1].words = x.words) or (k < size(named) - 1 and named[k + 1].words = x.words)).i"),
     )
     d = d.withColumn("n_repeat_words", F.expr("bigint(size(array_distinct(flatten(transform(again, i -> array(i, i + 1, i + 2))))))"))
-    counts = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words"]
-    return d.select("doc", F.explode(F.array(F.struct(*counts))).alias("m"))
+    return d.select("doc", F.explode(F.array(F.struct(*counts, "n_repeat_words"))).alias("m"))
 
 
 def _ratios() -> dict[str, Column]:
@@ -117,7 +120,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     """One row per row of ``docs``: the struct ``doc`` (the row itself) and the struct ``quality`` (the base counts,
     ``base_failed`` and ``kept``).  Both are structs, so that no column of ``docs`` can clash with one of ours."""
     measured = with_metrics(docs, text_col)
-    limits = fences(measured, lang_col, source_col)
+    limits = fences(with_metrics(docs, text_col, repeats=False), lang_col, source_col)
     lang, source = (F.col("doc")[c].cast("string") for c in (lang_col, source_col))
     at = measured.join(limits, lang.eqNullSafe(F.col("lang")) & source.eqNullSafe(F.col("source")), "left")
     m = F.col("m")

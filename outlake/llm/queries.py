@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlake.llm import chat, embedding_dedup, html_text, lattice_lm, line_dedup, near_dedup, packing, quality, sentencepiece_codec, url_filter
+from outlake.llm import chat, embedding_dedup, html_text, lattice_lm, license_scan, line_dedup, near_dedup, packing, quality
+from outlake.llm import sentencepiece_codec, url_filter, vector_codes, whitening
 from outlake.llm.common import table
 
 
@@ -131,15 +132,61 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+def _op12_sql() -> str:
+    """The rounds one after another; distances by dot products of whole doubles, which are exact."""
+    parts = """
+with kept as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select vec_id, k, v[k * len(v) // 4 + 1 : (k + 1) * len(v) // 4] as x from kept, range(4) as r(k)),
+q as (select *, list_dot_product(x, x) as xx from p),
+b0 as (select k, row_number() over (partition by k order by vec_id) - 1 as e, x as y from p
+  where vec_id in (select vec_id from kept order by vec_id limit 256))"""
+    for i in range(5):
+        parts += f""",
+a{i} as (select vec_id, k, min(struct_pack(d := xx - 2 * list_dot_product(x, y) + list_dot_product(y, y), e := e)) as m
+  from q join b{i} using (k) group by vec_id, k)"""
+        if i < 4:
+            parts += f""",
+s{i} as (select k, e, list(f order by i) as y from (select k, e, i, floor(sum(c) / count(*)) as f from
+  (select p.k, a.m.e as e, unnest(p.x) as c, unnest(range(len(p.x))) as i from p join a{i} a using (vec_id, k)) group by k, e, i) group by k, e),
+b{i + 1} as (select k, e, coalesce(s.y, b.y) as y from b{i} b left join s{i} s using (k, e))"""
+    return parts + """,
+h as (select sha256(string_agg(c::bigint::varchar, ',' order by k, e, i)) as codebooks_sha256 from
+  (select k, e, unnest(y) as c, unnest(range(len(y))) as i from b4)),
+o as (select vec_id, string_agg(lower(lpad(to_hex(m.e), 2, '0')), '' order by k) as code, cast(sum(m.d) as bigint) as error from a4 group by vec_id)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from o join kept using (vec_id), h
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scanned(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.withColumn("expressions", F.concat_ws("; ", "expressions"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_embedding_near_dedup, op2_sentencepiece_codec, op3_quality_rules, op4_url_filter, op5_minhash_near_dedup, op6_line_dedup,
-            op7_html_extraction, op8_lattice_scores, op9_chat_format, op10_best_fit_packing,
+            op7_html_extraction, op8_lattice_scores, op9_chat_format, op10_best_fit_packing, op11_embedding_whitening,
+            op12_vector_codes, op13_license_scan,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op12_vector_codes": OP12_SQL}

@@ -4,8 +4,14 @@ Markup is stripped to lines, one per block.  A line's weight is the length of it
 paragraph that ends like a sentence; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments, and (outside articles) lines that are mostly links weigh nothing.  Weights are summed over sliding windows of
 ``WINDOW`` lines: the text surges where a window reaches the threshold and dives where windows are empty again, and the
-lines with weight between a surge and its dive, back to the last empty window, are the main text.  Where ``article`` or
-``main`` elements hold at least half of the page's weight, the surge is where they open and the dive where they close.
+lines with weight between a surge and its dive, back to the last empty window, are the main text.  ``article`` and
+``main`` elements surge where they open and dive where they close; what is outside has to surge by itself, so that menus
+without a listed name don't come along with the article beside them.  A short line between two blocks that weigh nothing
+belongs to the surge beside it: it is kept if main text stands in the same element, a heading also if main text stands
+anywhere in the element that holds it.
+
+Reader comments stay comments whatever elements they are made of: an ``article`` with a comment's name, or inside an
+element whose name says nothing but comments, opens no main text.
 
 A listed class, id or role voids blocks only: none that holds more than half of the page's unlinked text, not the header
 of an article, and inside an article no paragraph, heading, list item or cell, and a container only if its name consists
@@ -23,6 +29,7 @@ import html
 import re
 from collections.abc import Iterator
 from itertools import takewhile
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +61,8 @@ SENTENCE_ENDS = tuple(".!?…")
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 COMMENTS = frozenset("comment comments disqus replies respond".split())
 ABOUT = frozenset("has no non not with without".split())
-BY_TAG, BY_WORD, BY_COMMENT_WORD = 1, 2, 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BY_TAG, BY_WORD, BY_COMMENT_WORD, BY_COMMENT_NAME = 1, 2, 3, 4
 
 _UNSEEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>",
@@ -65,7 +73,20 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORD = re.compile(r"[a-z]+")
 
 
+def _names_comments(attributes: str) -> bool:
+    """Whether a class or id consists of comment words and neutral ones."""
+    for name, *values in _NAMES.findall(attributes):
+        if name.lower() != "role":
+            for part in "".join(values).lower().split():
+                words = set(_WORD.findall(part))
+                if words & COMMENTS and words <= COMMENTS | NEUTRAL:
+                    return True
+    return False
+
+
 def _kind(tag: str, attributes: str, in_article: bool) -> int:
+    if attributes and tag not in ("html", "body", "main") and tag not in FLOW and tag not in HEADINGS and _names_comments(attributes):
+        return BY_COMMENT_NAME
     if tag in BOILERPLATE or tag == "header" and not in_article:
         return BY_TAG
     if tag in PLAIN or tag == "header" or not attributes or in_article and tag in FLOW:
@@ -92,7 +113,7 @@ def _voided(marks: list[tuple[int, int]], held: list[tuple[int, int]]) -> list[b
 
     ``marks`` has each element's kind and the one around it (-1: none), ``held`` an element and its unlinked text.
     """
-    comment = [kind == BY_COMMENT_WORD for kind, _ in marks]
+    comment = [kind >= BY_COMMENT_WORD for kind, _ in marks]
     for i, (_, around) in enumerate(marks):
         comment[i] |= around >= 0 and comment[around]
     own = sum(size for i, size in held if i < 0 or not comment[i])
@@ -111,11 +132,23 @@ def _voided(marks: list[tuple[int, int]], held: list[tuple[int, int]]) -> list[b
     return void
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """The page's blocks in order: text, weight, and whether an article holds it; and whether articles hold the page's
-    main text."""
+class Line(NamedTuple):
+    """A block's text, its weight, whether an article holds it, whether it is a heading, and the elements that hold it
+    (numbers, the innermost last; paragraphs, headings and the like don't count)."""
+
+    text: str
+    weight: int
+    inside: bool
+    heading: bool
+    holders: tuple[int, ...]
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's blocks in order."""
     page = _UNSEEN.sub(" ", page)
-    out: list[tuple[str, bool, bool, int, int, bool]] = []  # text, can be main text, in an article, mark around it, unlinked text, prose
+    out: list[tuple] = []  # text, can be main text, in an article, mark around it, unlinked text, prose, heading, holders
+    holders: list[tuple[str, int]] = []  # the containers that are open: name and number
+    containers = 0
     runs: list[str] = []
     links = length = quiet = in_article = in_link = 0
     block = ""  # the block that the line began with
@@ -132,7 +165,9 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             linked = not in_article and links > LINK_SHARE * max(length, 1)
             void = bool(skip) or quiet == length
             prose = block == "p" and text.endswith(SENTENCE_ENDS) and text.count(" ") > 1
-            out.append((text, not void and not linked, in_article > 0, opened[-1][2] if opened else -1, 0 if void else length - links, prose))
+            around = holders[:-1] if holders and holders[-1][0] == block else holders  # a container's own text stands in what holds it
+            mark = opened[-1][2] if opened else -1
+            out.append((text, not void and not linked, in_article > 0, mark, 0 if void else length - links, prose, block in HEADINGS, tuple(n for _, n in around)))
         runs, links, length, quiet = [], 0, 0, 0
 
     def say(raw: str) -> None:
@@ -177,8 +212,16 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if inline_blocks < 0:
                 inline = ""
         same = by_name.get(tag)
+        remarks = any(marks[mark[2]][0] == BY_COMMENT_NAME for mark in opened)
         flush()
         block = "" if closing else tag
+        if tag not in FLOW and tag not in HEADINGS and tag not in EMPTY and not attributes.endswith("/"):
+            if not closing:
+                containers += 1
+                holders.append((tag, containers))
+            elif any(name == tag for name, _ in holders):
+                while holders.pop()[0] != tag:
+                    pass
         if closing:
             if skip == tag:
                 depth -= 1
@@ -190,10 +233,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                     mark = same[-1]
                     while leave() is not mark:
                         pass
-            if tag in ("article", "main"):
-                in_article = max(0, in_article - 1)
+            if tag in ("article", "main") and in_article and not remarks:
+                in_article -= 1
             continue
-        if tag in ("article", "main"):
+        if tag in ("article", "main") and not remarks and kind != BY_COMMENT_NAME:
             in_article += 1
             while opened:
                 leave()
@@ -219,33 +262,39 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     say(page[at:])
     flush()
     void = _voided(marks, [(x[3], x[4]) for x in out])
-    lines = [(text, (len(text) + SURGE * prose) * (good and (i < 0 or not void[i])), inside) for text, good, inside, i, _, prose in out]
-    held = sum(len(text) for text, weight, inside in lines if weight and inside)
-    return lines, 2 * held >= sum(len(text) for text, weight, _ in lines if weight) > 0
+    return [
+        Line(text, (len(text) + SURGE * prose) * (good and (i < 0 or not void[i])), inside, heading, around)
+        for text, good, inside, i, _, prose, heading, around in out
+    ]
 
 
-def main_text(page: str) -> str:
-    lines, marked = lines_of(page)
-    if marked:
-        return "\n".join(text for text, weight, inside in lines if weight and inside)
-    weight = [x for _, x, _ in lines]
-    n = len(weight)
-    sums = [sum(weight[i : i + WINDOW]) for i in range(n)]
-    if not any(weight):
-        return ""
-    threshold = min(SURGE, max(sums))
-    kept, at = [], 0
-    while at < n:
-        if not sums[at]:
-            at += 1
-            continue
+def _surges(weight: list[int], threshold: int) -> Iterator[range]:
+    """Lines between a surge and its dive, back to the last empty window."""
+    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
+    at = 0
+    while at < len(weight):
         end = at
-        while end < n and sums[end]:
+        while end < len(weight) and sums[end]:
             end += 1
-        if max(sums[at:end]) >= threshold:
-            kept += [lines[i][0] for i in range(at, end) if weight[i]]
-        at = end
-    return "\n".join(kept)
+        if end > at and max(sums[at:end]) >= threshold:
+            yield range(at, end)
+        at = end + 1
+
+
+def main_text(page: str) -> str:
+    lines = lines_of(page)
+    outside = [x.weight * (not x.inside) for x in lines]
+    kept = {i for i, x in enumerate(lines) if x.inside and x.weight}
+    # without an article the fullest window surges, however small
+    largest = max((sum(outside[i : i + WINDOW]) for i in range(len(lines))), default=0)
+    threshold = SURGE if kept else max(1, min(SURGE, largest))
+    kept |= {i for at in _surges(outside, threshold) for i in at if outside[i]}
+    own = {x.holders[-1] if x.holders else 0 for i, x in enumerate(lines) if i in kept}
+    above = {0}.union(*(lines[i].holders for i in kept))
+    for i, x in enumerate(lines):
+        if x.weight and (x.holders[-1] if x.holders else 0) in (above if x.heading else own):
+            kept.add(i)
+    return "\n".join(x.text for i, x in enumerate(lines) if i in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

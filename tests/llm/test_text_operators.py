@@ -263,11 +263,14 @@ def plain_distribution(lines):
 
 def test_main_text_is_the_plain_distribution():
     rng = np.random.default_rng(6)
-    blocks = ["<p>%s.</p>", "<div>%s</div>", "<li><a href=x>%s</a>", "<div class=ad>%s</div>", "<footer>%s</footer>", "<h2>%s</h2>"]
+    blocks = ["<p>%s.</p>", "<div>%s</div>", "<li><a href=x>%s</a>", "<div class=ad>%s</div>", "<footer>%s</footer>", "<pre>%s</pre>"]
     for _ in range(300):
-        page = "".join(blocks[rng.integers(len(blocks))] % "word " * int(rng.integers(1, 20)) for _ in range(rng.integers(0, 25)))
-        lines, marked = html_text.lines_of(page)
-        assert not marked and html_text.main_text(page) == plain_distribution(lines)
+        parts = [blocks[rng.integers(len(blocks))] % ("word " * int(rng.integers(1, 20))) for _ in range(rng.integers(0, 25))]
+        page = "".join(f"<div>{x}</div>" for x in parts)
+        lines = html_text.lines_of(page)
+        assert html_text.main_text(page) == plain_distribution([(x.text, x.weight, x.inside) for x in lines if not x.heading])
+        # side by side in one element, what isn't void is kept, as long as anything surges
+        assert html_text.main_text("".join(parts)) == "\n".join(x.text for x in html_text.lines_of("".join(parts)) if x.weight)
 
 
 def test_pages_give_their_articles(spark):
@@ -282,6 +285,35 @@ def test_pages_give_their_articles(spark):
         assert html_text.main_text(r.html) == plain(r.html)
 
 
+L = "A long sentence of the main text that stands here for itself and has more than eighty characters in all."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # reader comments made of articles
+        (f"<article><p>{L}</p><section id='comments'><article class='comment'><p>{L} great!</p></article></section><p>{L} end</p></article>", f"{L}\n{L} end"),
+        (f"<main><p>{L}</p></main><ol class='comment-list'><li><article><p>{L} I agree!</p></article></li></ol>", L),
+        (f"<article><p>{L}</p></article><aside class='comments'><article><p>{L} no</p></article></aside><p>{L} after</p>", f"{L}\n{L} after"),
+        (f"<article class='comment'><p>{L} first</p></article><article><p>{L}</p></article>", L),
+        # an article in a wrapper whose name says more than comments
+        (f"<div class='site comments-enabled'><article><p>{L}</p></article></div>", L),
+        # short blocks beside blocks that go
+        (f"<body><h1>Short title</h1><nav>4 items</nav><p>{L}</p>", f"Short title\n{L}"),
+        (f"<body><p>{L}</p><div class='ad'>Buy</div><div class='ad'>Now</div><h2>Part two</h2><div class='ad'>Buy</div><div class='ad'>Now</div><p>{L}</p>", f"{L}\nPart two\n{L}"),
+        (f"<body><p>{L}</p><div class='ad'>Buy</div><div class='ad'>Now</div><div class='ad'>!</div><p>The end</p>", f"{L}\nThe end"),
+        (f"<body><h1>Title</h1><nav>a</nav><nav>b</nav><nav>c</nav><div><div><p>{L}</p></div></div>", f"Title\n{L}"),
+        (f"<body><div><span>Home, News</span></div><nav>a</nav><nav>b</nav><nav>c</nav><div><p>{L}</p></div>", L),
+        # no switch at half of the page
+        (f"<article>{L}</article><div class='text'>{L}</div>", f"{L}\n{L}"),
+        (f"<article>{L} {L}</article><div class='text'>{L}</div>", f"{L} {L}\n{L}"),
+        (f"<article>{L}</article><div class='text'>{L} {L}</div>", f"{L}\n{L} {L}"),
+    ],
+)
+def test_short_blocks_and_comments(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<article><p>x y</p></article>", 1), (2, None, "", 1), (3, "v", "<p>" + "long text. " * 100_000, 1)], "page_id long, url string, html string, n_chars int")
     want = [(1, "u", "", 0), (2, None, "", 0), (2, None, "", 0), (None, "u", "x y", 3), (3, "v", ("long text. " * 100_000).strip(), 1_099_999)]

@@ -15,7 +15,7 @@ import numpy as np
 U = np.uint64
 CHUNK = 1 << 20
 SHINGLE = 5
-UNIVERSE_BITS = 20
+STRIP = 4096  # shingles hashed at once; their coordinates fit in the cache
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 
@@ -105,22 +105,23 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(_mix(s ^ U(k)).sum().astype(np.int64)) for k in (0x5BD1E995, 0x27D4EB2F165667C5))
 
 
-@lru_cache(maxsize=1)
-def _circle() -> np.ndarray:
-    """The second permutation, written out on a circle and continued past its end, as overlapping windows: row s
-    holds pi(s), pi(s + 1), ... - what the permutation's 128 circular shifts give for the element s."""
-    pi = np.random.default_rng(15).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate((pi, pi[: COORDINATES - 1])), COORDINATES)
+def _second(x: np.ndarray) -> np.ndarray:
+    """The second permutation, of 32-bit words (xor-shifts and odd multiplications), in place."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Circulant MinHash: the first permutation (a bijective mix, folded to the universe) breaks up structure, the
-    second one, shifted by one place for each coordinate, gives all coordinates."""
-    place = (_mix(s + U(0x9E3779B97F4A7C15)) >> U(64 - UNIVERSE_BITS)).astype(np.int64)
-    rows = _circle()
+    """Circulant MinHash: the first permutation (a bijective mix, folded to 32 bits) breaks up structure, the second
+    one, its argument shifted by one place on the circle of 2 ** 32 for each coordinate, gives all coordinates."""
+    place = (_mix(s + U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32)
+    shift = np.arange(COORDINATES, dtype=np.uint32)[:, None]
     out = np.full(COORDINATES, 2**32 - 1, np.uint32)
-    for i in range(0, len(place), 2048):
-        np.minimum(out, rows[place[i : i + 2048]].min(axis=0), out=out)
+    for i in range(0, len(place), STRIP):
+        np.minimum(out, _second(place[i : i + STRIP] + shift).min(axis=1), out=out)
     return out
 
 

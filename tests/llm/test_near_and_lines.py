@@ -163,3 +163,16 @@ def test_vectors_close_to_the_threshold_and_edges(spark, tiles, monkeypatch):
     got = {tuple(r) for r in near_vectors(df).collect()}
     assert got == brute_vectors(rows)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_signatures_of_large_sets_stay_apart():
+    """Unrelated sets of a million shingles share no band, and a near copy shares most coordinates."""
+    from outlake.llm.shingles import band_keys, signature
+
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**64, 1_000_000, dtype=np.uint64)) for _ in range(3)]
+    near = np.unique(np.concatenate((sets[0][50_000:], rng.integers(0, 2**64, 50_000, dtype=np.uint64))))
+    signed = [signature(s) for s in [*sets, near]]
+    keys = [set(band_keys(s).tolist()) for s in signed]
+    assert not keys[0] & keys[1] and not keys[0] & keys[2] and not keys[1] & keys[2]
+    assert keys[0] & keys[3] and 0.8 < (signed[0] == signed[3]).mean() < 0.97

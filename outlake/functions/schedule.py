@@ -54,7 +54,7 @@ def next_opening(window: Column, moment: Column) -> Column:
     local = _local(moment, zone)
     into = F.expr("make_dt_interval(0, 1, 0, 0)")
     # the local hour's beginning, as an instant
-    first = moment - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(local), F.second(local).cast("decimal(18,6)"))
+    first = moment - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(local), F.date_part(F.lit("SECOND"), local).cast("decimal(18,6)"))
     hours = F.transform(F.sequence(F.lit(1), F.lit(LOOKAHEAD_HOURS)), lambda i: first + into * i)
     found = F.array_min(F.filter(hours, lambda h: _within(window, _local(h, zone))))
     return F.when(window["enabled"], F.when(_within(window, local), moment).otherwise(found))

@@ -93,13 +93,6 @@ MERGES = {
         f"""with c as (select company_id, domain, created_at, {_key('name')} as k from companies), m as (select *, case when domain is not null then first_value(company_id) over (partition by lower(domain) order by created_at, company_id) else company_id end as keep_id from c),
  n as (select company_id, case when k is null or row_number() over (partition by k order by created_at, company_id) = 1 then k else concat(k, ':', coalesce(split_part(domain, '.', 1), cast(company_id as varchar))) end as name_key from m where keep_id = company_id)
  select m.company_id, keep_id, name_key from m left join n using (company_id)""",
-    ),
-    "g4_send_gate_in_full": (
-        lambda s, d: gates.send_gate_in_full(load(s, d, "emails"), load(s, d, "contacts"), load(s, d, "suppressions"), _mx(s, d), states.reconciled(_sql(_SUBJECT)(s, d, "emails"), _sql(_SENT)(s, d, "emails")), 1),
-        f"""with lg as ({MORE['g4_send_gate'][1]}), rc as ({STATES['j17_reconciled_attempts'][1]}), mx as (select domain, case when length(domain) % 3 = 0 then false when length(domain) % 3 = 1 then true end as accepts from (select distinct lower(regexp_replace(email, '^.*@', '')) as domain from contacts where email <> '')),
- j as (select lg.email_id, e.company_id, case when decision = 'attempt pending' and outcome = 'delivered' then 'reconciled' when decision = 'send' and not coalesce(accepts, true) then 'no mail acceptance' else decision end as dc
-  from lg join emails e on e.email_id = lg.email_id left join contacts c on c.contact_id = e.contact_id left join mx on mx.domain = split_part(lower(coalesce(recipient_email, c.email)), '@', -1) left join rc on rc.email_id = lg.email_id)
- select email_id, case when dc = 'send' and row_number() over (partition by company_id, dc = 'send' order by email_id) > 1 then 'daily cap' else dc end as decision from j""",
     ),
     "s2_imported_contacts": (
         _imported,

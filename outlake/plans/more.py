@@ -14,6 +14,14 @@ from outlake.streaming import streams
 
 _DOMAINS = "select distinct lower(regexp_replace(email, '^.*@', '')) as domain from contacts where email <> ''"
 
+_REASONS = f"""{_FLAGS}, dest as (select e.*, coalesce(e.recipient_email, c.email) as addr, c.bounced_at as cb from emails e left join contacts c on c.contact_id = e.contact_id),
+ box as (select email_id, split_part(lower(trim(addr)), '@', 1) as l, split_part(split_part(lower(trim(addr)), '@', 1), '+', 1) as head, split_part(lower(trim(addr)), '@', 2) as dom from dest where trim(coalesce(addr, '')) <> ''),
+ blocked as (select distinct email_id from box join suppressions s on (s.kind = 'address' and concat(case when head <> '' then head else l end, '@', dom) = lower(s.value))
+   or (s.kind = 'domain' and (dom = lower(s.value) or ends_with(dom, '.' || lower(s.value))))),
+ r as (select t.email_id, is_follow_up, lower(addr) as addr, case when status not in ('draft', 'approved') then 'not sendable' when {_EVIDENCE} then 'already delivered' when send_attempted_at is not null then 'attempt pending'
+ when coalesce(f.replied, false) then 'replied' when b.email_id is not null then 'suppressed' when cb is not null or coalesce(f.bounced_now, false) then 'bounced' when trim(coalesce(addr, '')) = '' then 'no address' end as reason
+ from dest t left join flags f on f.contact_id = t.contact_id left join blocked b on b.email_id = t.email_id)"""
+
 
 def _mx(s, d):
     """Mail acceptance by domain: some refuse, some are unknown."""
@@ -31,13 +39,7 @@ MORE = {
     ),
     "g4_send_gate": (
         lambda s, d: gates.send_gate(load(s, d, "emails"), load(s, d, "contacts"), load(s, d, "suppressions")),
-        f"""with {_FLAGS}, dest as (select e.*, coalesce(e.recipient_email, c.email) as addr, c.bounced_at as cb from emails e left join contacts c on c.contact_id = e.contact_id),
- box as (select email_id, split_part(lower(trim(addr)), '@', 1) as l, split_part(split_part(lower(trim(addr)), '@', 1), '+', 1) as head, split_part(lower(trim(addr)), '@', 2) as dom from dest where trim(coalesce(addr, '')) <> ''),
- blocked as (select distinct email_id from box join suppressions s on (s.kind = 'address' and concat(case when head <> '' then head else l end, '@', dom) = lower(s.value))
-   or (s.kind = 'domain' and (dom = lower(s.value) or ends_with(dom, '.' || lower(s.value))))),
- r as (select t.email_id, is_follow_up, lower(addr) as addr, case when status not in ('draft', 'approved') then 'not sendable' when {_EVIDENCE} then 'already delivered' when send_attempted_at is not null then 'attempt pending'
- when coalesce(f.replied, false) then 'replied' when b.email_id is not null then 'suppressed' when cb is not null or coalesce(f.bounced_now, false) then 'bounced' when trim(coalesce(addr, '')) = '' then 'no address' end as reason
- from dest t left join flags f on f.contact_id = t.contact_id left join blocked b on b.email_id = t.email_id)
+        f"""with {_REASONS}
  select email_id, coalesce(reason, case when row_number() over (partition by addr, is_follow_up, reason is null order by email_id) > 1 then 'duplicate' else 'send' end) as decision from r""",
     ),
     "g12_delivered_to_sent": (

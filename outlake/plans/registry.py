@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from outlake.plans.depth import DEPTH
 from outlake.plans.entities import ENTITIES
 from outlake.plans.merges import MERGES
 from outlake.plans.more import MORE
@@ -15,7 +16,7 @@ from outlake.plans.research import RESEARCH
 from outlake.plans.states import STATES
 from outlake.plans.views import with_views
 
-GROUPS = (REPORTS, ENTITIES, MORE, PEOPLE, RESEARCH, STATES, MERGES)
+GROUPS = (REPORTS, ENTITIES, MORE, PEOPLE, RESEARCH, STATES, MERGES, DEPTH)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

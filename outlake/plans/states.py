@@ -13,7 +13,7 @@ from outlake.plans.reports import _EVIDENCE, _EVIDENCED, _FLAGS, _FOLLOW, _board
 from outlake.plans.views import load
 from outlake.sources import store
 from outlake.sources.store import event_stream
-from outlake.streaming import keyed, streams
+from outlake.streaming import keyed, streams, timed
 
 _LEFT = "(status = 'sent' or gmail_message_id is not null or send_attempted_at is not null)"
 _ATTACH = """select *, email_id % 3 = 0 as claims, case when email_id % 4 < 3 then email_id % 4 end as resume_id, case when email_id % 10 = 7 then cast(2 as bigint) end as override_id, case when email_id % 7 < 6 then cast(1 as bigint) end as default_id, email_id % 11 <> 0 as attach from {0}"""
@@ -262,7 +262,7 @@ STATES = {
         "select cast(created_at as date) as day, event, count(*) as n, greatest(0, 300 - count(*)) as \"left\" from activity group by 1, 2",
     ),
     "t3_bursts": (
-        lambda s, d: keyed.bursts(event_stream(s, d), 3600),
+        lambda s, d: timed.bursts(event_stream(s, d), 3600, "1 day"),
         """select event_id, count(*) over w as in_window, round(3600 - (epoch_us(created_at) - min(epoch_us(created_at)) over w) / 1e6 + 0.05, 2) as retry_after from activity
  window w as (partition by entity_id order by epoch_us(created_at) range between 3599999999 preceding and current row)""",
     ),

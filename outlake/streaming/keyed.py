@@ -1,4 +1,4 @@
-"""Keyed streaming states (T3, T5, T8, T9) and the reread do-not-contact list (T6); each has a batch twin.
+"""Keyed streaming states (T5, T8, T9) and the reread do-not-contact list (T6); each has a batch twin.
 
 Updates of every micro-batch are written under the batch's number, so a batch that is run again replaces itself; the
 latest update of each key is its state.
@@ -36,29 +36,6 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")
 
 
-def bursts(events: DataFrame, seconds: int = 60) -> DataFrame:
-    """For each event how many of its entity fall in the ``seconds`` before it, itself included, and how long until the
-    oldest of them leaves the window.  The state holds the times of one window only."""
-    span = seconds * 1_000_000
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        counts, waits, first = [], [], 0
-        for at in rows["at"].tolist():
-            times.append(at)
-            while at - times[first] >= span:
-                first += 1
-            counts.append(len(times) - first)
-            waits.append(round(seconds - (at - times[first]) / 1e6 + 0.05, 2))
-        state.update((times[first:],))
-        yield pd.DataFrame({"event_id": rows["event_id"].tolist(), "in_window": counts, "retry_after": waits})
-
-    keyed = events.select("event_id", "entity_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")).groupBy("entity_id")
-    out = keyed.applyInPandasWithState(run, "event_id long, in_window long, retry_after double", "times array<long>", "append", GroupStateTimeout.NoTimeout)
-    return updates(out, "append").drop("batch")
-
-
 def last_of(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """The last value of each key by ``order`` (longs or times), kept as keyed state over micro-batches."""
 

@@ -61,7 +61,7 @@ def test_keyed_states_over_many_batches(spark, tmp_path):
     """States that go on from micro-batch to micro-batch equal their batch twins."""
     from pyspark.sql.window import Window as W
 
-    from outlake.streaming import keyed
+    from outlake.streaming import keyed, timed
 
     every = spark.read.parquet(f"{SF}/events.parquet").where("user_id < 12")
     at = every.select(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
@@ -74,7 +74,7 @@ def test_keyed_states_over_many_batches(spark, tmp_path):
     us = F.unix_micros("created_at")
     window = W.partitionBy("entity_id").orderBy(us).rangeBetween(-(3600 * 10**6 - 1), 0)
     want = {r.event_id: r.n for r in rows.select("event_id", F.count("*").over(window).alias("n")).collect()}
-    assert {r.event_id: r.in_window for r in keyed.bursts(stream(), 3600).collect()} == want
+    assert {r.event_id: r.in_window for r in timed.bursts(stream(), 3600, "400 days").collect()} == want
     last = lambda kinds: {r.entity_id: r.e for r in rows.where(F.col("event").isin(*kinds)).groupBy("entity_id").agg(F.max_by("event", F.struct("created_at", "event_id")).alias("e")).collect()}
     assert {r.entity_id: r.on for r in keyed.opted_out(stream(), ["error"], ["signup", "purchase"]).collect()} == {k: v == "error" for k, v in last(["error", "signup", "purchase"]).items()}
     assert {r.entity_id: r.scheduled for r in keyed.schedules(stream(), "purchase", ["error", "click"]).collect()} == {k: v == "purchase" for k, v in last(["purchase", "error", "click"]).items()}

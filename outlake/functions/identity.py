@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,11 +85,38 @@ def is_generic_inbox(email: Column) -> Column:
     return local.isin(*GENERIC_LOCALS) | F.forall(parts, lambda p: p.isin(*GENERIC_LOCALS) | (F.length(p) <= 1))
 
 
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """How compatibility decomposition without combining marks changes characters, as far as letters and digits of ASCII
+    come of it: characters with one such letter or digit and what that is, then marks, which go; and those that give
+    several characters."""
+    one, plain, marks, several = [], [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        whole = unicodedata.normalize("NFKD", c)
+        if whole == c:
+            continue
+        kept = "".join(x for x in whole if not unicodedata.combining(x))
+        if any(x.isascii() and (x.isalnum() or x == "'") for x in kept):
+            if len(kept) == 1:
+                one.append(c)
+                plain.append(kept)
+            else:
+                several[c] = kept
+    return "".join(one + marks), "".join(plain), several
+
+
 def fold(text: Column) -> Column:
-    """Latin letters without their accents, apostrophes dropped; exact for Latin-1 and most of Latin Extended-A."""
-    accented = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽž"
-    plain = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcCcCcDdEeEeEeEeEeGgGgGgGgHhIiIiIiIiIJjKkLlLlLlNnNnNnOoOoOoRrRrRrSsSsSsSsTtTtUuUuUuUuUuUuWwYyYZzZzZz"
-    return F.translate(F.translate(text, accented, plain), "'’", "")
+    """Letters without their accents, wide and other compatibility forms as plain ones, in any script; apostrophes dropped."""
+    signs, plain, several = _folding()
+    spread = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    # few texts hold a ligature or the like: only those are taken apart
+    rare = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
+    whole = F.when(text.rlike(rare), F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(spread[c], c)), "")).otherwise(text)
+    return F.translate(F.translate(whole, signs, plain), "'’", "")
 
 
 def name_tokens(name: Column) -> Column:

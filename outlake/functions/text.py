@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -172,14 +173,33 @@ def _shielded(hex_text: Column) -> Column:
     return F.when(F.length(hex_text) >= 4, F.array_join(F.transform(places, lambda i: F.char(byte(i).bitwiseXOR(byte(F.lit(1))))), ""))
 
 
+#: A character reference: decimal, hexadecimal, named; the oldest names need no semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:amp|lt|gt|quot|AMP|LT|GT|QUOT))"
+
+
+def unreferenced(text: Column) -> Column:
+    """Character references decoded once, as far as they name characters of ASCII; others become a sign that is part of
+    no address."""
+    named = [(f"&{name}", sign) for name, sign in html5.items() if sign.isascii() and len(sign) == 1]
+    by_name = F.create_map(*[F.lit(x) for pair in named for x in pair])
+
+    def sign(r: Column) -> Column:
+        digits = F.regexp_extract(r, "^&#[xX]?0*([0-9a-fA-F]{1,7});?$", 1)  # longer numbers name no character
+        number = F.when(F.lower(r).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("decimal(20,0)")
+        return F.when(r.startswith("&#"), F.when(number.between(1, 127), F.char(number.cast("int"))).otherwise("\ufffd")).otherwise(F.coalesce(by_name[r], F.lit("\ufffd")))
+
+    whole = F.concat(text, F.lit(" "))  # so that there is a piece after each reference
+    pieces, found = F.split(whole, REFERENCE), F.regexp_extract_all(whole, F.lit(f"({REFERENCE})"), F.lit(1))
+    joined = F.array_join(F.zip_with(pieces, found, lambda piece, r: F.concat(piece, F.when(r.isNull(), "").otherwise(sign(r)))), "")
+    return F.when(text.contains("&"), F.left(joined, F.length(joined) - 1)).otherwise(text)
+
+
 def addresses_in(html: Column) -> Column:
     """Addresses of a page in order: shielded, in mail links, spelled out, plain; each once, whatever its case; only ones
     that one may write to."""
     from outlake.functions.identity import is_outreach_address
 
-    page = F.coalesce(html, F.lit(""))
-    for name, sign in (("&#64;", "@"), ("&#x40;", "@"), ("&#46;", "."), ("&commat;", "@"), ("&period;", "."), ("&amp;", "&")):
-        page = F.replace(page, F.lit(name), F.lit(sign))
+    page = unreferenced(F.coalesce(html, F.lit("")))
     whole = f"^{EMAIL}$"
     all_of = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     shielded = F.transform(all_of(page, r"(?i)(?:data-cfemail=[\"']|/cdn-cgi/l/email-protection#)([0-9a-f]+)", 1), _shielded)

@@ -143,19 +143,19 @@ def test_bursts_for_part_files_in_any_order(spark, tmp_path):
 
 
 def test_the_burst_state_holds_one_window(spark, tmp_path):
-    """In order, with a second's delay: a window before the watermark, and the batch that has just come."""
+    """In order, with a second's delay: a window before the watermark (of the batch before), and what has come since."""
     rng = random.Random(4)
     rows = sorted(interleaved(rng, 2, 120), key=lambda r: r[1])
     parts = [rows[k * 24 : (k + 1) * 24] for k in range(10)]
     write_parts(spark, tmp_path / "s", parts)
-    out = timed.burst_updates(event_stream(spark, str(tmp_path / "s"), files_per_trigger=1), 60, "1 second").collect()
+    out = timed.burst_updates(event_stream(spark, str(tmp_path / "s"), files_per_trigger=1), 60, "1 second").orderBy("batch").collect()
     want = batch_bursts(spark, rows, 60)
     assert {r.event_id: (r.in_window, r.retry_after) for r in out} == want
     batches = sorted({r.batch for r in out})
     assert len(batches) == 10
     span = timedelta(seconds=61)
-    most = max(sum(r[2] == who and parts[k - 1][-1][1] - span < r[1] <= parts[k][-1][1] for r in rows) for k in range(1, 10) for who in (0, 1))
-    assert max(r.held for r in out if r.batch > batches[0]) <= most
+    most = max(sum(r[2] == who and parts[max(k - 2, 0)][-1][1] - span < r[1] <= parts[k][-1][1] for r in rows) for k in range(1, 10) for who in (0, 1))
+    assert max(r.held for r in out if r.batch > batches[0]) <= most < 120
 
 
 WINDOW = "struct(true as enabled, 'UTC' as zone, array(0, 1, 2, 3, 4) as days, 9 as start_hour, 17 as end_hour)"

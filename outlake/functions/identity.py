@@ -112,10 +112,11 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def fold(text: Column) -> Column:
     """Letters without their accents, wide and other compatibility forms as plain ones, in any script; apostrophes dropped."""
     signs, plain, several = _folding()
-    spread = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spread = F.str_to_map(F.lit("\n".join(f"{c}\t{x}" for c, x in several.items())), F.lit("\n"), F.lit("\t"))
     # few texts hold a ligature or the like: only those are taken apart
     rare = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
-    whole = F.when(text.rlike(rare), F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(spread[c], c)), "")).otherwise(text)
+    apart = lambda x: F.when(x.rlike(rare), F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(spread[c], c)), "")).otherwise(x)
+    whole = F.get(F.transform(F.array(text), apart), F.lit(0))  # the text is computed once
     return F.translate(F.translate(whole, signs, plain), "'’", "")
 
 

@@ -180,8 +180,8 @@ REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:amp|lt|
 def unreferenced(text: Column) -> Column:
     """Character references decoded once, as far as they name characters of ASCII; others become a sign that is part of
     no address."""
-    named = [(f"&{name}", sign) for name, sign in html5.items() if sign.isascii() and len(sign) == 1]
-    by_name = F.create_map(*[F.lit(x) for pair in named for x in pair])
+    named = [f"&{name} {ord(sign):x}" for name, sign in html5.items() if sign.isascii() and len(sign) == 1]
+    by_name = F.transform_values(F.str_to_map(F.lit("\n".join(named)), F.lit("\n"), F.lit(" ")), lambda _, code: F.char(F.conv(code, 16, 10).cast("int")))
 
     def sign(r: Column) -> Column:
         digits = F.regexp_extract(r, "^&#[xX]?0*([0-9a-fA-F]{1,7});?$", 1)  # longer numbers name no character

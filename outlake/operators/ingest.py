@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from outlake.functions import identity, people
 from outlake.functions.text import AGGREGATORS
+from outlake.operators.claims import greedy
 from outlake.operators.suppression import match
 
 
@@ -64,7 +65,8 @@ def existing(candidates: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def inserted(candidates: DataFrame, contacts: DataFrame) -> DataFrame:
-    """``candidate_id, contact_id, inserted``: a candidate whose identifier is taken gives the row that holds it."""
+    """``candidate_id, contact_id, inserted``: a candidate whose identifier a stored row has gives that row.  ``claims.claimed``
+    also sees what earlier candidates of the batch take."""
     return existing(candidates, contacts).select("candidate_id", "contact_id", F.col("contact_id").isNull().alias("inserted"))
 
 
@@ -182,19 +184,19 @@ def union_of_sources(first: DataFrame, second: DataFrame, most: int) -> DataFram
     """Companies from two sources, the first source first: each name and each domain once, no aggregators, no long names,
     ``most`` a query.  Both have query_id, place, name and website.
 
-    A row goes if an earlier row that stays has its name or its domain.  This is settled per name, then per domain; a
-    row that only an already removed row stood in the way of goes too.
+    A row goes if an earlier row that stays has its name or its domain (``claims.greedy``).
     """
     rows = first.withColumn("source", F.lit(1)).unionByName(second.withColumn("source", F.lit(2)))
     name = F.trim(F.regexp_replace(F.trim(F.coalesce("name", F.lit(""))), r"^\.+|\.+$", ""))
     rows = rows.withColumn("name", name).withColumn("domain", identity.registered_domain(F.nullif(F.col("website"), F.lit(""))))
     rows = rows.where((F.length("name").between(1, 80)) & ~F.coalesce(F.col("domain").isin(*AGGREGATORS), F.lit(False)))
-    order = [F.col("source"), F.col("place")]
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("query_id", F.lower("name")).orderBy(*order))).where("n = 1")
-    by_domain = F.row_number().over(W.partitionBy("query_id", "domain").orderBy(*order))
-    rows = rows.withColumn("n", F.when(F.col("domain").isNull(), 1).otherwise(by_domain)).where("n = 1")
-    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long"))
-    return rows.where(F.col("place") <= most).select("query_id", "place", "name", "domain")
+    # equal rows of a place can't be told apart: the first of their names and domains counts
+    rows = rows.withColumn("at", F.struct("query_id", "source", "place", "name", F.coalesce("domain", F.lit("")).alias("d"))).dropDuplicates(["at"])
+    rows = rows.withColumn("low", F.struct("query_id", F.lower("name"))).withColumn("site", F.when(F.col("domain").isNotNull(), F.struct("query_id", "domain")))
+    kept, _ = greedy(rows, ["low", "site"], "at")
+    rows = kept.where("stays").select("at.*")
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("source", "place", "name", "d")).cast("long")).where(F.col("n") <= most)
+    return rows.select("query_id", F.col("n").alias("place"), "name", F.nullif("d", F.lit("")).alias("domain"))
 
 
 def merged_candidates(rows: DataFrame) -> DataFrame:

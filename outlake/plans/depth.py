@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outlake.operators import gates, sending, states
+from outlake.operators import claims, gates, ingest, sending, states
 from outlake.plans.entities import _MATCH
 from outlake.plans.more import _DOMAINS, _REASONS, _mx
 from outlake.plans.people import _WINDOW, window
 from outlake.plans.reports import _FOLLOW
+from outlake.plans.research import _GATE
 from outlake.plans.states import _SENT, _SUBJECT, STATES, _sql
 from outlake.plans.views import load
 from outlake.sources.store import event_stream
@@ -47,7 +48,59 @@ _SWEPT = f"""with {_WINDOW}, e as (select event_id, entity_id, created_at, event
  z as (select event_id, next, coalesce(opens > due + interval '72' hour, true) as stale, case when coalesce(opens > due + interval '72' hour, true) then due + interval '72' hour else opens end as fires from q left join f using (event_id))
  select event_id, case when stale then 'stale' else 'due' end as outcome, fires as fired_at from z where (next is null or next > fires) and fires < (select max(created_at) - interval '1' day from e)"""
 
+#: People once more under new and old identifiers, so that candidates of one batch want the same ones.
+_BATCH = """select contact_id as candidate_id, company_id + 1 - contact_id % 2 as company_id,
+ case when contact_id % 5 < 3 then concat('new', cast(contact_id % 40 as varchar(20)), '@x.io') when contact_id % 5 = 3 then '' else address end as address,
+ case contact_id % 4 when 0 then profile when 1 then concat('https://www.linkedin.com/in/New', cast(contact_id % 50 as varchar(20)), '/') else '' end as profile from {0}"""
+_AS_KEY = "nullif(lower(regexp_replace(regexp_replace(trim({0}), '/+$', ''), '(?i)^https?://(www\\.)?linkedin\\.com', 'https://www.linkedin.com')), '')"
+
+
+def _claimed(batch: str, stored: str) -> str:
+    """The loop over candidates in order, as a recursion, up to the table ``cl``."""
+    ok = "se is null and su is null and not coalesce(list_contains(es, rr.e), false) and not coalesce(list_contains(us, rr.u), false)"
+    old = "{{'c': {0}[1], 'b': cast(null as bigint), 'o': {0}[2]}}"
+    young = "{{'c': cast(null as bigint), 'b': {0}.candidate_id, 'o': {0}.wants}}"
+    return f"""pp as (select contact_id, company_id, nullif(lower(trim(coalesce(address, ''))), '') as e, {_AS_KEY.format('profile')} as u from ({stored})),
+ he as (select e, min((contact_id, company_id)) as x from pp where e is not null group by 1), hu as (select u, min((contact_id, company_id)) as x from pp where u is not null group by 1),
+ cb as (select candidate_id, company_id as wants, nullif(lower(trim(coalesce(address, ''))), '') as e, {_AS_KEY.format('profile')} as u from ({batch})),
+ rr as (select cb.*, he.x as se, hu.x as su, row_number() over (order by candidate_id) as i from cb left join he on he.e = cb.e left join hu on hu.u = cb.u),
+ gg(i, es, us, ok) as (select cast(0 as bigint), cast([] as varchar[]), cast([] as varchar[]), false union all
+  select rr.i, case when {ok} and rr.e is not null then list_append(es, rr.e) else es end, case when {ok} and rr.u is not null then list_append(us, rr.u) else us end, {ok} from gg join rr on rr.i = gg.i + 1),
+ nw as (select rr.* from rr join gg using (i) where gg.ok),
+ hd as (select rr.candidate_id, rr.wants, rr.e, rr.u, gg.ok as inserted, case when gg.ok then null else coalesce(case when rr.se is not null then {old.format('rr.se')} when ne.candidate_id < rr.candidate_id then {young.format('ne')} end,
+   case when rr.su is not null then {old.format('rr.su')} when nu.candidate_id < rr.candidate_id then {young.format('nu')} end) end as h
+  from rr join gg using (i) left join nw ne on ne.e = rr.e left join nw nu on nu.u = rr.u),
+ cl as (select hd.*, h.c as contact_id, h.b as by_candidate, h.o as owner_id, coalesce(p.e, n.e) as holder_e, coalesce(p.u, n.u) as holder_u from hd left join pp p on p.contact_id = h.c left join nw n on n.candidate_id = h.b)"""
+
+
+_STORED = "select contact_id, company_id, address, profile from people"
+#: Import: a third of the people are stored, the others come in, some of them once more.
+_OLD = "select contact_id, company_id, address, profile from {0} where contact_id % 3 = 0"
+
 DEPTH = {
+    "u10_claims_in_batch": (
+        lambda s, d: claims.claimed(_sql(_BATCH)(s, d, "people"), load(s, d, "people")).select("candidate_id", "inserted", "contact_id", "by_candidate", "owner_id"),
+        f"with recursive {_claimed(_BATCH.format('people'), _STORED)} select candidate_id, inserted, contact_id, by_candidate, owner_id from cl",
+    ),
+    "g6_attached_in_batch": (
+        lambda s, d: claims.attached(_sql(_BATCH)(s, d, "people"), load(s, d, "people")),
+        f"""with recursive {_claimed(_BATCH.format('people'), _STORED)}, fl as (select *, e is not null or u is not null as given, not inserted and owner_id is not null and owner_id is distinct from wants as away from cl),
+ ld as (select *, coalesce(e is not null and not away and (inserted or e = holder_e), false) as el, coalesce(u is not null and not away and (inserted or u = holder_u), false) as ul from fl)
+ select candidate_id, case when not given then 'nothing' when inserted then 'attach' when away then 'conflict' else 'enrich' end as action, el as email_lands, ul as profile_lands, inserted and (el or ul) as new_outreach,
+  case when given then case when away then 'owner' when u is not null and not ul then 'profile' end end as conflict from ld""",
+    ),
+    "a30_import_outcomes": (
+        lambda s, d: claims.import_outcomes(
+            load(s, d, "people").select(F.col("contact_id").alias("candidate_id"), "company_id", "address", "profile"),
+            ingest.gate(load(s, d, "people"), load(s, d, "suppressions")).select(F.col("contact_id").alias("candidate_id"), "decision"),
+            _sql(_OLD)(s, d, "people"),
+        ).groupBy("outcome").agg(F.count("*").alias("n")),
+        _GATE.replace("with ", "with recursive ", 1).replace(
+            " select contact_id, decision, warning from gw",
+            f""", {_claimed("select contact_id as candidate_id, company_id, address, profile from people where contact_id in (select contact_id from gw where decision like 'accept%')", _OLD.format('people'))}
+ select coalesce(case when inserted then 'added' when not inserted then 'duplicate' end, 'invalid') as outcome, count(*) as n from gw left join cl on cl.candidate_id = gw.contact_id group by 1""",
+        ),
+    ),
     "g4_send_gate_in_full": (
         _batches,
         f"""with {_REASONS}, rc as ({STATES['j17_reconciled_attempts'][1]}), mx as (select domain, case when length(domain) % 3 = 0 then false when length(domain) % 3 = 1 then true end as accepts from ({_DOMAINS})),

@@ -226,10 +226,14 @@ RESEARCH = {
             load(s, d, "companies").select((F.col("company_id") % 7).alias("query_id"), F.col("company_id").alias("place"), "name", F.col("domain").alias("website")),
             load(s, d, "results").select((F.col("company_id") % 7).alias("query_id"), F.col("result_id").alias("place"), F.col("title").alias("name"), F.coalesce("url", "href").alias("website")), 60,
         ),
-        f"""with r as (select company_id % 7 as query_id, 1 as source, company_id as place, name, domain as website from companies union all select company_id % 7, 2, result_id, title, coalesce(url, href) from results),
+        f"""with recursive r as (select company_id % 7 as query_id, 1 as source, company_id as place, name, domain as website from companies union all select company_id % 7, 2, result_id, title, coalesce(url, href) from results),
  n as (select query_id, source, place, trim(regexp_replace(trim(coalesce(name, '')), '^\\.+|\\.+$', '', 'g')) as name, nullif(array_to_string(string_split(regexp_replace(case when website like '%//%' then regexp_extract(lower(website), '//([^/?#]*)', 1) else lower(website) end, '^www\\.', ''), '.')[-2:], '.'), '') as domain from r),
- f as (select *, row_number() over (partition by query_id, lower(name) order by source, place) as i from n where length(name) between 1 and 80 and not coalesce(domain in ({_quoted(text.AGGREGATORS)}), false)),
- g as (select *, row_number() over (partition by query_id, domain order by source, place) as j from f where i = 1), h as (select query_id, row_number() over (partition by query_id order by source, place) as place, name, domain from g where domain is null or j = 1)
+ f as (select *, row_number() over (partition by query_id order by source, place, name, domain) as i from n where length(name) between 1 and 80 and not coalesce(domain in ({_quoted(text.AGGREGATORS)}), false)),
+ g(query_id, i, names, sites, ok) as (select distinct query_id, cast(0 as bigint), cast([] as varchar[]), cast([] as varchar[]), false from f union all
+  select g.query_id, f.i, case when list_contains(names, lower(f.name)) or coalesce(list_contains(sites, f.domain), false) then names else list_append(names, lower(f.name)) end,
+   case when list_contains(names, lower(f.name)) or coalesce(list_contains(sites, f.domain), false) or f.domain is null then sites else list_append(sites, f.domain) end,
+   not (list_contains(names, lower(f.name)) or coalesce(list_contains(sites, f.domain), false)) from g join f on f.query_id = g.query_id and f.i = g.i + 1),
+ h as (select f.query_id, row_number() over (partition by f.query_id order by f.i) as place, name, domain from f join g on g.query_id = f.query_id and g.i = f.i and g.ok)
  select query_id, place, name, domain from h where place <= 60""",
     ),
     "u7_merged_candidates": (

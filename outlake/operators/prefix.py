@@ -32,3 +32,17 @@ def running(rows: DataFrame, keys: list[str], order: list[str], **amounts: Colum
     at = dealt.join(offsets, same(dealt, offsets, [*keys, "__range"], "__of_"), "left")
     sums = [(F.coalesce(F.sum(f"__{n}").over(own), F.lit(0)) + F.col(f"__from_{n}")).alias(n) for n in amounts]
     return at.select(*rows.columns, *sums)
+
+
+def following(rows: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    """``rows`` with ``next``: the value (null where a row has none) of the row itself or of the first later one of the
+    same keys that has one.  Two passes over ranges, as in ``running``; ``order`` must tell the rows of a key apart."""
+    held = F.when(value.isNotNull(), F.struct(*order, value.alias("value")))
+    dealt = written(rows.withColumn("__held", held).repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    per_range = dealt.groupBy(*keys, "__range").agg(F.min("__held").alias("first"))
+    # frames that grow from the end, as those that shrink are computed anew for every row
+    after = W.partitionBy(*keys).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
+    later = per_range.select(*[F.col(k).alias(f"__of_{k}") for k in [*keys, "__range"]], F.min("first").over(after).alias("__later"))
+    own = W.partitionBy(*keys, "__range").orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    at = dealt.join(later, same(dealt, later, [*keys, "__range"], "__of_"), "left")
+    return at.select(*rows.columns, F.coalesce(F.min("__held").over(own), "__later")["value"].alias("next"))

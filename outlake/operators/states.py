@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from outlake.functions import identity, people
 from outlake.operators import analytics
+from outlake.operators.prefix import following
 from outlake.operators.pipeline import has_evidence, may_have_left
 
 # Columns that a wrong site empties, the wording of warnings, and states of companies that were never read.
@@ -39,10 +40,12 @@ def reconciled(emails: DataFrame, sent: DataFrame, slack_seconds: int = 60) -> D
     """
     pending = emails.where(~has_evidence() & F.expr("send_attempted_at is not null and status <> 'trashed'"))
     free = sent.join(emails.where("gmail_message_id is not null").select(F.col("gmail_message_id").alias("message_id")), "message_id", "left_anti")
-    a, b = pending.alias("a"), free.alias("b")
-    same = (F.lower("a.recipient_email") == F.lower("b.recipient")) & (F.col("a.subject") == F.col("b.subject"))
-    late = F.col("b.at") >= F.col("a.send_attempted_at") - F.make_dt_interval(secs=F.lit(float(slack_seconds)))
-    found = a.join(b, same & late).groupBy("a.email_id").agg(F.min_by("b.message_id", F.struct("b.at", "b.message_id")).alias("message_id"))
+    # attempts and messages of a recipient and subject in order of time: an attempt takes what follows, no pairs are made
+    moved = F.col("send_attempted_at") - F.make_dt_interval(secs=F.lit(float(slack_seconds)))
+    tries = pending.select(F.lower("recipient_email").alias("to"), "subject", moved.alias("at"), F.lit(0).alias("side"), F.col("email_id").cast("string").alias("id"), "email_id", F.lit(None).cast("string").alias("message"))
+    left = free.select(F.lower("recipient").alias("to"), "subject", "at", F.lit(1).alias("side"), F.col("message_id").alias("id"), F.lit(None).cast("long").alias("email_id"), F.col("message_id").alias("message"))
+    both = tries.unionByName(left).where("to is not null and subject is not null")
+    found = following(both, ["to", "subject"], ["at", "side", "id"], F.col("message")).where("side = 0").select("email_id", F.col("next").alias("message_id"))
     return pending.select("email_id").join(found, "email_id", "left").withColumn("outcome", F.when(F.col("message_id").isNotNull(), "delivered").otherwise("unknown"))
 
 
@@ -184,23 +187,6 @@ def contact_edits(edits: DataFrame, contacts: DataFrame, emails: DataFrame) -> D
     return out.select("contact_id", "outcome", (changed & F.col("cb").isNotNull()).alias("clears_bounce"), count("q").alias("dropped_schedules"), count("b").alias("cleared_rows"))
 
 
-def criteria_scores(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """``contact_id, score, matched``: terms that a person's title holds, as a phrase or in all their words."""
-    blob = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
-
-    def hit(term: str) -> Column:
-        import re
-
-        words = [w for w in re.split("[^a-z0-9]+", term.lower()) if len(w) >= 2]
-        out = F.lit(bool(words))
-        for w in words:
-            out &= blob.contains(f" {w} ")
-        return out
-
-    found = F.filter(F.array(*[F.when(hit(t), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
-    return rows.select("contact_id", F.round(F.size(found) / max(len(terms), 1), 3).alias("score"), F.array_join(found, "|").alias("matched"))
-
-
 def affinities(context: Column, schools: list[str], groups: list[str]) -> Column:
     """A school that a text names, and shared groups as whole words, in order."""
     lower = F.lower(F.coalesce(context, F.lit("")))
@@ -227,15 +213,6 @@ def provenance(known: Column, address: Column, profile: Column, affinity: Column
     return F.nullif(F.array_join(F.filter(parts, lambda x: x.isNotNull()), " "), F.lit(""))
 
 
-def grounded(records: DataFrame, pages: DataFrame) -> DataFrame:
-    """Extracted records that their page bears out: a quote of 20 characters or more stands there literally, whatever the
-    case and blanks.  ``records`` has record_id, page_id, quote; ``pages`` page_id, text."""
-    squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    at = records.join(pages.select("page_id", squeeze(F.col("text")).alias("t")), "page_id")
-    quote = squeeze(F.coalesce("quote", F.lit("")))
-    return at.where((F.length(quote) >= 20) & F.col("t").contains(quote)).select("record_id")
-
-
 def queue_order(emails: DataFrame) -> DataFrame:
     """Place of each queued email of a sender in the order in which it goes out."""
     order = W.partitionBy("company_id").orderBy("scheduled_at", "email_id")

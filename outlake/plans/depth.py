@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlake.operators import claims, gates, ingest, sending, states
+from outlake.operators import claims, gates, ingest, pages, sending, states
 from outlake.plans.entities import _MATCH
 from outlake.plans.more import _DOMAINS, _REASONS, _mx
 from outlake.plans.people import _WINDOW, window
@@ -77,7 +80,28 @@ _STORED = "select contact_id, company_id, address, profile from people"
 #: Import: a third of the people are stored, the others come in, some of them once more.
 _OLD = "select contact_id, company_id, address, profile from {0} where contact_id % 3 = 0"
 
+_NEWEST = {"companies": ("company_id", True), "contacts": ("contact_id", False), "emails": ("email_id", True), "suppressions": ("suppression_id", True)}
+
+
+def _newest(s, d):
+    """All four lists, newest first."""
+    lists = []
+    for table, (key, dated) in _NEWEST.items():
+        order = [-F.unix_micros(F.col("created_at").cast("timestamp"))] if dated else []
+        at = pages.ranked(load(s, d, table).select(key, *["created_at"] * dated), [*order, -F.col(key)])
+        lists.append(at.select(F.lit(table).alias("list"), F.col(key).cast("long").alias("id"), "place"))
+    return reduce(DataFrame.unionByName, lists)
+
+
 DEPTH = {
+    "s1_newest_lists": (
+        _newest,
+        " union all ".join(f"select '{t}' as list, cast({k} as bigint) as id, row_number() over (order by {'created_at desc, ' * dated}{k} desc) as place from {t}" for t, (k, dated) in _NEWEST.items()),
+    ),
+    "o4_stored_page": (
+        lambda s, d: pages.stored(load(s, d, "people").select("contact_id", "person"), [F.lower("person"), F.col("contact_id")], 20).page(4).select("contact_id", "place"),
+        "select contact_id, place from (select contact_id, row_number() over (order by lower(person), contact_id) as place from people) where place between 61 and 80",
+    ),
     "u10_claims_in_batch": (
         lambda s, d: claims.claimed(_sql(_BATCH)(s, d, "people"), load(s, d, "people")).select("candidate_id", "inserted", "contact_id", "by_candidate", "owner_id"),
         f"with recursive {_claimed(_BATCH.format('people'), _STORED)} select candidate_id, inserted, contact_id, by_candidate, owner_id from cl",

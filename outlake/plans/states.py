@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from outlake.functions import identity, people, schedule
-from outlake.operators import filters, followups, gates, pipeline, states
+from outlake.operators import filters, followups, gates, pipeline, states, terms
 from outlake.plans.entities import _quoted
 from outlake.plans.people import _WINDOW, PARTS, known, window
 from outlake.plans.reports import _EVIDENCE, _EVIDENCED, _FLAGS, _FOLLOW, _board
@@ -23,7 +23,6 @@ _SENT = """select concat('g', cast(case when email_id % 2 = 0 then email_id else
 _RICH = """select c.*, case when c.company_id % 3 <> 0 then concat('About ', c.name) end as summary, case when c.company_id % 4 = 0 then 'a note' end as discovery_note from {0} c"""
 _TRUST = "(company_id % 3 <> 0 and domain is not null)"
 _DUE = "timestamp '1998-06-01 00:00:00'"
-TERMS = ["head of sales", "CTO", "partner firm", "Penn"]
 _SORTS = {
     "name": ["lower(person)"], "company": ["lower(coalesce(company, ''))", "lower(person)"], "status": ["status"], "seniority": ["coalesce(seniority_rank, 99)"], "verified": ["case when accepts then 0 else 1 end"],
     "newest": ["-contact_id"], "profile": ["case when coalesce(profile, '') = '' then 1 else 0 end"], "kind": ["length(trim(address))"], "title": ["lower(coalesce(title, ''))"],
@@ -52,11 +51,18 @@ def _page_links(s, d):
     return p.select(F.col("company_id").alias("page_id"), "contact_id", "person"), p.where("profile is not null").select(F.col("company_id").alias("page_id"), F.col("contact_id").alias("place"), F.col("profile").alias("url"))
 
 
+#: Criteria by name: words of titles, a phrase of short words, and schools with their other names.
+_CRITERIA = """select case result_id % 3 when 0 then 'head of sales' when 1 then 'partner firm' else 'chief officer' end as criterion, case result_id % 3 when 0 then 'Head of Sales' when 1 then 'partner, firm' else 'Chief  Officer' end as term, 'role' as place from {0} where result_id < 4
+ union all select 'type ' || cast(result_id % 500 as varchar(20)), title, 'role' from {0} where length(title) > 3 and result_id % 4 = 1
+ union all select 'penn', case result_id % 2 when 0 then 'Penn' else 'match: ML' end, 'education' from {0} where result_id < 3 union all select 'fair', 'met at a', 'education' from {0} where result_id = 1"""
+#: Pages with an address and a source at their end, and records that quote their page, another, or nothing.
+_PAGE_TEXTS = "select doc_id as page_id, concat(text, ' write to Info', cast(doc_id % 50 as varchar(20)), '@site.io or see https://site.io/', cast(doc_id % 7 as varchar(20)), '.') as text from {0}"
+_RECORDS = """select doc_id as record_id, case when doc_id % 11 = 0 then doc_id - 1 else doc_id end as page_id, case when doc_id % 5 = 0 then 'other@site.io' else concat(' info', cast(doc_id % 50 as varchar(20)), '@SITE.io') end as email,
+ case doc_id % 3 when 0 then concat(chr(10), ' ', substr(text, 11, 60)) when 1 then upper(substr(text, 5, 30)) else substr(text, 5, 12) end as quote, case when doc_id % 4 = 0 then concat('https://site.io/', cast(doc_id % 9 as varchar(20))) else '' end as source_url from {0}"""
+
+
 def _quotes(s, d):
-    docs = load(s, d, "documents")
-    k = F.col("doc_id") % 3
-    quote = F.when(k == 0, F.concat(F.lit(" \n "), F.substring("text", 11, 60))).when(k == 1, F.substring("text", 5, 12)).otherwise("this stands on no page whatsoever")
-    return docs.select(F.col("doc_id").alias("record_id"), F.col("doc_id").alias("page_id"), quote.alias("quote")), docs.select(F.col("doc_id").alias("page_id"), "text")
+    return _sql(_RECORDS)(s, d, "documents"), _sql(_PAGE_TEXTS)(s, d, "documents")
 
 
 def _viewed(s, d):
@@ -229,9 +235,12 @@ STATES = {
  select o.contact_id, outcome, outcome = 'changed' and cb is not null as clears_bounce, case when outcome = 'changed' then coalesce(q, 0) else 0 end as dropped_schedules, case when outcome = 'changed' then coalesce(b, 0) else 0 end as cleared_rows from o left join m on m.contact_id = o.contact_id""",
     ),
     "f45_criteria_scores": (
-        lambda s, d: states.criteria_scores(load(s, d, "people"), TERMS),
-        """with b as (select contact_id, ' ' || regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g') || ' ' as t from people), m as (select contact_id, list_filter([case when contains(t, ' head ') and contains(t, ' of ') and contains(t, ' sales ') then 'head of sales' end, case when contains(t, ' cto ') then 'CTO' end,
-  case when contains(t, ' partner ') and contains(t, ' firm ') then 'partner firm' end, case when contains(t, ' penn ') then 'Penn' end], lambda x: x is not null) as f from b) select contact_id, round(len(f) / 4, 3) as score, array_to_string(f, '|') as matched from m""",
+        lambda s, d: terms.criteria_scores(load(s, d, "people").select("contact_id", "title", F.col("notes").alias("evidence")), _sql(_CRITERIA)(s, d, "results")),
+        rf"""with cr as ({_CRITERIA.format('results')}), ps as (select contact_id, list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda w: w <> '') as r, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, notes)), '[^a-z0-9]+'), lambda w: w <> '') as b from people),
+ ct as (select *, list_filter(regexp_split_to_array(lower(term), '[^a-z0-9]+'), lambda w: w <> '') as a from cr), cw as (select *, list_filter(a, lambda w: length(w) >= 3 or w in ({_quoted(terms.SHORT)})) as t from ct where len(a) > 0),
+ m as (select contact_id, criterion, place from ps, cw where case when place = 'role' and len(t) > 0 then list_has_all(r, t) when place = 'role' then contains(' ' || array_to_string(r, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ') else contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ') end),
+ g as (select contact_id, list_sort(list(distinct criterion)) as f, bool_or(place = 'education') as al from m group by 1)
+ select ps.contact_id, round(coalesce(len(f), 0) / (select count(distinct criterion) from cr), 3) as score, coalesce(array_to_string(f, '|'), '') as matched, coalesce(al, false) as alumni_match from ps left join g using (contact_id)""",
     ),
     "f46_affinities": (
         lambda s, d: load(s, d, "people").select("contact_id", F.array_join(states.affinities(F.concat_ws(" ", "title", "notes"), ["Penn"], ["ML", "Robotics", "fair", "x"]), "|").alias("affinity")),
@@ -245,8 +254,10 @@ STATES = {
   case when contact_id % 2 = 0 then 'Source: ' || domain end), '') as note from known""",
     ),
     "f53_grounded_records": (
-        lambda s, d: states.grounded(*_quotes(s, d)),
-        r"select doc_id as record_id from documents where doc_id % 3 = 0 and length(trim(regexp_replace(lower(substr(text, 11, 60)), '\s+', ' ', 'g'))) >= 20",
+        lambda s, d: terms.grounded(*_quotes(s, d)),
+        rf"""with g as ({_PAGE_TEXTS.format('documents')}), r as ({_RECORDS.format('documents')}), q as (select record_id, page_id, lower(trim(email)) as email, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) as quote, trim(source_url) as source from r),
+ k as (select page_id, text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.io') as known from g)
+ select record_id, list_filter(known, lambda x: lower(x) = email)[1] as email from q join k using (page_id) where length(quote) >= 20 and len(list_filter(known, lambda x: lower(x) = email)) > 0 and contains(t, quote) and (source = '' or contains(text, source))""",
     ),
     "t4_due_in_windows": (
         lambda s, d: _bound_queue(s, d).select("email_id", F.when(streams.due_class(F.col("scheduled_at"), F.expr(_DUE).cast("timestamp_ntz"), 24 * 365) != "due", streams.due_class(F.col("scheduled_at"), F.expr(_DUE).cast("timestamp_ntz"), 24 * 365)).when(F.coalesce("open", F.lit(False)), "due").otherwise("waits").alias("class")),

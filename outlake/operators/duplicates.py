@@ -48,9 +48,14 @@ def clear_on_losers(rows: DataFrame, moved: DataFrame, id_col: str, column: str)
     return out.withColumn(column, F.when(F.col("__loser").isNotNull(), "").otherwise(F.col(column))).drop("__loser")
 
 
+def _apart(key: str, id_col: str) -> Column:
+    """The key, or, for rows without one, something of their own, so that they don't meet in one task."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col(id_col).cast("string")))
+
+
 def unique_name_keys(companies: DataFrame, key: Column, fallback: Column) -> DataFrame:
     """Name keys made unique: the oldest company keeps the plain key, others get ``key:fallback``."""
-    order = W.partitionBy("__key").orderBy("created_at", "company_id")
+    order = W.partitionBy(_apart("__key", "company_id")).orderBy("created_at", "company_id")
     at = companies.withColumn("__key", key).withColumn("__n", F.row_number().over(order))
     unique = F.when(F.col("__key").isNull(), F.lit(None)).when(F.col("__n") == 1, F.col("__key")).otherwise(F.concat_ws(":", "__key", fallback))
     return at.withColumn("name_key", unique).drop("__key", "__n")
@@ -73,7 +78,7 @@ def merged_companies(companies: DataFrame, name_key: Column) -> DataFrame:
     name key has the plain key, others get a suffix of their domain's stem or id."""
     by_domain = keepers(companies, "company_id", [F.nullif(F.lower("domain"), F.lit(""))], [F.col("created_at")]).where("company_id <> keep_id")
     left = companies.join(by_domain.select("company_id"), "company_id", "left_anti").withColumn("k", name_key)
-    n = F.row_number().over(W.partitionBy("k").orderBy("created_at", "company_id"))
+    n = F.row_number().over(W.partitionBy(_apart("k", "company_id")).orderBy("created_at", "company_id"))
     suffix = F.coalesce(F.substring_index(F.nullif(F.col("domain"), F.lit("")), ".", 1), F.col("company_id").cast("string"))
     keyed = left.select("company_id", F.when(F.col("k").isNull() | (n == 1), F.col("k")).otherwise(F.concat("k", F.lit(":"), suffix)).alias("name_key"))
     at = companies.select("company_id").join(by_domain, "company_id", "left").join(keyed, "company_id", "left")

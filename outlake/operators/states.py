@@ -8,8 +8,8 @@ from pyspark.sql.window import Window as W
 
 from outlake.functions import identity, people
 from outlake.operators import analytics
-from outlake.operators.prefix import following
 from outlake.operators.pipeline import has_evidence, may_have_left
+from outlake.operators.prefix import following, running
 
 # Columns that a wrong site empties, the wording of warnings, and states of companies that were never read.
 PROFILE_COLUMNS = ("domain", "summary")
@@ -199,22 +199,33 @@ def affinities(context: Column, schools: list[str], groups: list[str]) -> Column
     return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
+# Sentences of notes, which are stored and read back.
+WARM = ("Warm match: ", ". Verify before referencing it.")
+EMAIL_SURE = "Email verified as person-associated (name match + MX confirmed)."
+EMAIL_LIKELY = "Email local matches name; MX not confirmed yet."
+EMAIL_ROLE = "Company/role inbox — not a specific person."
+EMAIL_UNCLEAR = "Email local-part does not clearly match this person's name."
+PROFILE_SURE = "LinkedIn URL slug matches this person's name."
+PROFILE_UNCLEAR = "LinkedIn URL did not match this person's name — not stored as verified."
+SOURCE = "Source: "
+
+
 def provenance(known: Column, address: Column, profile: Column, affinity: Column, source: Column) -> Column:
     """Where a person comes from and what is sure about their channels, as one note; null if there is nothing to say."""
-    warm = F.transform(affinity, lambda a: F.concat(F.lit("Warm match: "), a, F.lit(". Verify before referencing it.")))
+    warm = F.transform(affinity, lambda a: F.concat(F.lit(WARM[0]), a, F.lit(WARM[1])))
     email = (
-        F.when(known["email_verified"], "Email verified as person-associated (name match + MX confirmed).")
-        .when(known["person_match"], "Email local matches name; MX not confirmed yet.")
-        .when(known["kind"] == "generic", "Company/role inbox — not a specific person.")
-        .when(F.trim(address) != "", "Email local-part does not clearly match this person's name.")
+        F.when(known["email_verified"], EMAIL_SURE)
+        .when(known["person_match"], EMAIL_LIKELY)
+        .when(known["kind"] == "generic", EMAIL_ROLE)
+        .when(F.trim(address) != "", EMAIL_UNCLEAR)
     )
-    url = F.when(known["profile_verified"], "LinkedIn URL slug matches this person's name.").when(F.coalesce(profile, F.lit("")) != "", "LinkedIn URL did not match this person's name — not stored as verified.")
-    parts = F.concat(warm, F.array(email, url, F.concat(F.lit("Source: "), source)))
+    url = F.when(known["profile_verified"], PROFILE_SURE).when(F.coalesce(profile, F.lit("")) != "", PROFILE_UNCLEAR)
+    parts = F.concat(warm, F.array(email, url, F.concat(F.lit(SOURCE), source)))
     return F.nullif(F.array_join(F.filter(parts, lambda x: x.isNotNull()), " "), F.lit(""))
 
 
 def queue_order(emails: DataFrame) -> DataFrame:
     """Place of each queued email of a sender in the order in which it goes out."""
-    order = W.partitionBy("company_id").orderBy("scheduled_at", "email_id")
     queued = emails.where(F.col("scheduled_at").isNotNull() & ~has_evidence() & (F.col("status") != "trashed"))
-    return queued.select("email_id", "company_id", F.row_number().over(order).cast("long").alias("place"))
+    placed = running(queued.select("email_id", "company_id", "scheduled_at"), ["company_id"], ["scheduled_at", "email_id"], place=F.lit(1))
+    return placed.select("email_id", "company_id", (F.col("place") + 1).alias("place"))

@@ -177,7 +177,8 @@ MERGES = {
 def _cleared(rows):
     """An identifier stays on the best row that has it; the others lose it, nobody is merged."""
     key = lambda c: F.nullif(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit(""))
-    n = lambda c: F.when(key(c).isNotNull(), F.row_number().over(W.partitionBy(key(c)).orderBy(*_best(), "contact_id"))).otherwise(1)
+    own = lambda c: F.coalesce(key(c), F.concat(F.lit("\0"), F.col("contact_id").cast("string")))  # noqa: E731  # rows without a key stay apart
+    n = lambda c: F.row_number().over(W.partitionBy(own(c)).orderBy(*_best(), "contact_id"))
     at = rows.withColumn("a", n("address")).withColumn("b", n("profile"))
     return at.select("contact_id", F.when(F.col("a") > 1, "").otherwise(F.col("address")).alias("address"), F.when(F.col("b") > 1, "").otherwise(F.col("profile")).alias("profile"))
 

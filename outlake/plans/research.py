@@ -81,9 +81,9 @@ RESEARCH = {
  from companies co left join g using (company_id) left join c using (company_id) left join n using (company_id)""",
     ),
     "o6_research_order": (
-        lambda s, d: research.consolidated(load(s, d, "companies"), load(s, d, "runs")).orderBy(*research.in_report_order()).limit(20).select("company_id", "run_count"),
+        lambda s, d: research.consolidated(load(s, d, "companies"), load(s, d, "runs")).orderBy(*research.in_report_order()).select("company_id", "run_count"),
         """select co.company_id, coalesce(n, 0) as run_count from companies co left join (select company_id, count(*) as n, max(researched_at) as last from runs group by 1) g on g.company_id = co.company_id
- order by coalesce(n, 0) > 0 desc, last desc nulls last, name, co.company_id limit 20""",
+ order by coalesce(n, 0) > 0 desc, last desc nulls last, name, co.company_id""",
     ),
     "a22_merged_bullets": (
         lambda s, d: research.merged_bullets(research.bullets(load(s, d, "runs"))).select("company_id", "category", "text", F.array_join("criteria", "|").alias("criteria")),

@@ -306,5 +306,5 @@ def _backfilled(companies):
     k = companies.withColumn("k", identity.company_name_key(F.col("name")))
     has = k.where("company_id % 3 = 0").select("k").distinct().withColumn("taken", F.lit(True))
     own = F.col("company_id") % 3 == 0
-    rows = k.withColumn("own", own).withColumn("n", F.row_number().over(W.partitionBy("k", "own").orderBy("created_at", "company_id")))
+    rows = k.withColumn("own", own).withColumn("n", F.row_number().over(W.partitionBy(F.coalesce("k", F.concat(F.lit("\0"), F.col("company_id").cast("string"))), "own").orderBy("created_at", "company_id")))
     return rows.join(has, "k", "left").select("company_id", F.when(F.col("own") | ((F.col("n") == 1) & F.col("taken").isNull()), F.col("k")).alias("name_key"))

@@ -88,7 +88,7 @@ VIEWS = {
  case when o_orderkey % 3 = 0 then 10 + o_orderkey % 90 end as employee_estimate,
  concat('Firm opened office no. ', cast(o_orderkey % 6 as varchar(20))) as bullet_1, concat('FIRM  opened office, no ', cast(o_orderkey % 9 as varchar(20)), '!') as bullet_2,
  concat('Remote policy ', cast(o_orderkey % 4 as varchar(20))) as bullet_3, concat('News item ', cast(o_orderkey % 14 as varchar(20))) as news
- from orders where o_orderkey % 13 = 0""",
+ from orders""",
     "send_windows": """select s_suppkey as sender_id, case when s_suppkey % 7 = 0 then null else s_suppkey % 7 <> 1 end as enabled,
  case s_suppkey % 4 when 0 then 'Asia/Kolkata' when 1 then 'UTC' when 2 then ' ' else 'Nowhere/Town' end as zone,
  case s_suppkey % 5 when 0 then '0,1,2,3,4' when 1 then '6,5,5,9' when 2 then '' when 3 then '2' else '-1,3,1' end as days,

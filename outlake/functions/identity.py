@@ -163,6 +163,19 @@ def is_outreach_address(email: Column) -> Column:
     return one & (local != "") & (domain != "") & ~image & ~local.isin(*BAD_LOCALS) & ~robot & ~domain.isin(*BAD_DOMAINS) & (F.length(e) <= 80)
 
 
+# What the local part of an inbox says about whose it is.
+ROLE_OF_INBOX = {
+    "careers": "Careers inbox", "jobs": "Careers inbox", "recruiting": "Recruiting", "talent": "Recruiting", "founders": "Founders", "founder": "Founders", "ceo": "CEO",
+    "hello": "General inbox", "hi": "General inbox", "hey": "General inbox", "contact": "General inbox", "info": "General inbox", "team": "Team inbox", "press": "Press",
+    "sales": "Sales", "support": "Support",
+}
+
+
+def role_of_inbox(email: Column) -> Column:
+    """What an address's local part says of its role, or null."""
+    return F.create_map(*[F.lit(x) for pair in ROLE_OF_INBOX.items() for x in pair])[email_local(email)]
+
+
 def name_from_local(email: Column) -> Column:
     """``jane.doe`` gives ``Jane Doe``: two or three alphabetic parts of an address that isn't generic."""
     parts = F.filter(F.split(email_local(email), "[._-]+"), lambda p: p != "")

@@ -199,12 +199,8 @@ def union_of_sources(first: DataFrame, second: DataFrame, most: int) -> DataFram
     return rows.select("query_id", F.col("n").alias("place"), "name", F.nullif("d", F.lit("")).alias("domain"))
 
 
-def merged_candidates(rows: DataFrame) -> DataFrame:
-    """Candidates folded by identity (profile, else address, else name, title and source): missing fields come from later
-    rows.  Rows with a name alone fold into the first row of that name that has a channel.
-
-    ``rows`` has candidate_id (the order), person, address, profile, title, source.
-    """
+def candidate_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``key``, the identity under which ``merged_candidates`` folds them, and ``order`` within it."""
     url, email = people.stored_profile(F.col("profile")), identity.normal_email(F.col("address"))
     low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     alone = F.concat_ws("|", F.concat(F.lit("nm:"), low("person")), low("title"), low("source"))
@@ -213,6 +209,15 @@ def merged_candidates(rows: DataFrame) -> DataFrame:
     strong = at.where("strong and low <> ''").groupBy("low").agg(F.min_by("key", "candidate_id").alias("into"))
     at = at.join(strong, "low", "left").withColumn("key", F.when(~F.col("strong") & F.col("into").isNotNull(), F.col("into")).otherwise(F.col("key")))
     # channels of the row itself before those of weaker rows
-    order = F.struct(F.when(F.col("strong"), 0).otherwise(1), F.col("candidate_id"))
+    return at.withColumn("order", F.struct(F.when(F.col("strong"), 0).otherwise(1), F.col("candidate_id")))
+
+
+def merged_candidates(rows: DataFrame) -> DataFrame:
+    """Candidates folded by identity (profile, else address, else name, title and source): missing fields come from later
+    rows.  Rows with a name alone fold into the first row of that name that has a channel.
+
+    ``rows`` has candidate_id (the order), person, address, profile, title, source.
+    """
+    at, order = candidate_keys(rows), F.col("order")
     first = lambda c: F.coalesce(F.min_by(c, F.when(F.coalesce(c, F.lit("")) != "", order)), F.lit("")).alias(c)
     return at.groupBy("key").agg(F.min("candidate_id").alias("candidate_id"), *[first(c) for c in ("person", "address", "profile", "title")])

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlake.operators import claims, gates, ingest, pages, sending, states
+from outlake.functions import identity
+from outlake.operators import claims, filters, gates, ingest, pages, rerun, sending, states
 from outlake.plans.entities import _MATCH
 from outlake.plans.more import _DOMAINS, _REASONS, _mx
-from outlake.plans.people import _WINDOW, window
+from outlake.plans.people import _WINDOW, PARTS, known, window
 from outlake.plans.reports import _FOLLOW
-from outlake.plans.research import _GATE
-from outlake.plans.states import _SENT, _SUBJECT, STATES, _sql
+from outlake.plans.research import _CANDIDATE_KEY, _GATE
+from outlake.plans.states import _LEFT, _SENT, _SUBJECT, STATES, _sql
 from outlake.plans.views import load
 from outlake.sources.store import event_stream
 from outlake.streaming import timed
@@ -93,7 +94,81 @@ def _newest(s, d):
     return reduce(DataFrame.unionByName, lists)
 
 
+#: People as they are stored before new research on them, some blank here and there.
+_BEFORE = """select contact_id, case when contact_id % 9 = 0 then '' else person end as name, case when contact_id % 4 = 0 then null else 'Engineer' end as role,
+ case when contact_id % 5 = 0 then '' when contact_id % 5 = 1 then 'info@firm.example.com' else address end as address, case when contact_id % 3 = 0 then '' else profile end as profile,
+ case when contact_id % 5 = 1 then 'generic' else 'unknown' end as email_kind, contact_id % 7 = 0 as email_verified, contact_id % 8 = 0 as person_verified, case when contact_id % 6 = 0 then notes end as notes from {0}"""
+#: What a run found about four in five companies.
+_FOUND = """select company_id, true as found, case when company_id % 11 <> 0 then concat('https://new', cast(company_id as varchar(20)), '.example.org') end as url, case when company_id % 4 <> 0 then concat('new', cast(company_id as varchar(20)), '.example.org') end as domain,
+ case when company_id % 3 <> 0 then 'Fresh summary' end as summary, cast(null as varchar(20)) as industry, cast(company_id % 6 as bigint) as pages_scraped, cast(company_id % 6 + 2 as bigint) as pages_attempted,
+ case when company_id % 6 > 3 then 'high' end as research_quality, company_id % 7 <> 0 as ours, company_id % 8 <> 1 as ok, company_id % 2 = 0 as reach from {0} where company_id % 5 <> 4"""
+_FIRMS = """select company_id, case when domain is not null then concat('https://', domain) end as url, domain, case when company_id % 2 = 0 then 'Old summary' end as summary, case when company_id % 3 = 0 then 'Trade' end as industry, cast(1 as bigint) as pages_scraped, cast(2 as bigint) as pages_attempted,
+ 'low' as research_quality, scrape_status from {0}"""
+_TAGGED = """select contact_id as candidate_id, case when contact_id % 3 = 0 then upper(person) else person end as person, address, profile, coalesce(title, '') as title, cast(contact_id % 2 as varchar(20)) as source,
+ concat('tag', cast(contact_id % 3 as varchar(20)), '|club', cast(contact_id % 2 as varchar(20)), '|tag', cast(contact_id % 4 as varchar(20))) as tags from {0}"""
+
+
+def _affinities(s, d):
+    rows = _sql(_TAGGED)(s, d, "people").withColumn("affinity", F.split("tags", "[|]"))
+    return rerun.merged_affinities(rows, ingest.candidate_keys(rows).select("candidate_id", "key", "order")).select("key", F.array_join("affinity", "|").alias("affinity"))
+
+
+def _columns(s, d):
+    status = states.research_status(F.col("new_url").isNotNull(), F.col("new_ours"), F.col("new_ok"), F.col("new_reach"))
+    return rerun.company_columns(_sql(_FIRMS)(s, d, "companies"), _sql(_FOUND)(s, d, "companies"), status)
+
+
+def _merged(s, d):
+    p = load(s, d, "people").withColumn("known", known())
+    new = p.select("contact_id", "address", F.when(F.col("known.profile_verified"), F.col("profile")).otherwise("").alias("profile"), "person", "title", F.lit("found again").alias("note"), "known")
+    return rerun.merged_contacts(new, _sql(_BEFORE)(s, d, "people"), load(s, d, "emails"))
+
+
+_U = _AS_KEY.format("profile")
+_INBOX = " ".join(f"when '{k}' then '{v}'" for k, v in identity.ROLE_OF_INBOX.items())
 DEPTH = {
+    "g7_merge_in_full": (
+        _merged,
+        f"""with {PARTS}, bf as ({_BEFORE.format('people')}), ow as (select {_U} as u, min(contact_id) as owner from bf where {_U} is not null group by 1),
+ em as (select distinct contact_id from emails where {_LEFT} and contact_id is not null), nw as (select contact_id, trim(coalesce(address, '')) as na, case when profile_verified then profile else '' end as profile, person, title, kind, email_verified as ev, person_match as pm, person_verified as pv from known),
+ j as (select bf.*, nw.na, nw.profile as np, nw.u, nw.person as nn, nw.title as nr, nw.kind, nw.ev, nw.pm, nw.pv, ow.owner, em.contact_id is null as free, trim(coalesce(bf.address, '')) as old from bf join (select *, {_U} as u from nw) nw on nw.contact_id = bf.contact_id left join ow on ow.u = nw.u left join em on em.contact_id = bf.contact_id),
+ t as (select *, na <> '' and free and (old = '' or (lower(old) <> lower(na) and email_kind = 'generic' and kind = 'personal' and (ev or pm))) as takes, trim(coalesce(profile, '')) = '' and u is not null as wants, coalesce(owner <> contact_id, false) as taken from j),
+ z as (select *, na <> '' and (takes or (old <> '' and lower(old) = lower(na))) as sm, wants and not taken as att from t)
+ select contact_id, case when trim(coalesce(name, '')) = '' and trim(coalesce(nn, '')) <> '' then nn else name end as name, case when trim(coalesce(role, '')) = '' and trim(coalesce(nr, '')) <> '' then nr else role end as role,
+ case when trim(coalesce(notes, '')) = '' then 'found again' else notes end as notes, case when takes then na else old end as address, case when att then np else profile end as profile, case when sm then kind else email_kind end as email_kind,
+ case when sm then ev else email_verified end as email_verified, case when (sm and ev) or att then pv else person_verified end as person_verified, case when wants and taken then owner end as conflict from z""",
+    ),
+    "g8_research_columns": (
+        _columns,
+        f"""with f as ({_FOUND.format('companies')}), c as ({_FIRMS.format('companies')}), j as (select c.*, f.url as nu, f.domain as nd, f.summary as ns, f.pages_scraped as p1, f.pages_attempted as p2, f.research_quality as p3,
+  case when f.found then case when f.url is null then 'no_website' when not ours then 'wrong_site' when not ok then 'scrape_failed' when reach then 'scraped' else 'no_emails_found' end end as st from c left join f on f.company_id = c.company_id)
+ select company_id, case when coalesce(st, '') <> 'wrong_site' then coalesce(nu, url) end as url, case when coalesce(st, '') <> 'wrong_site' then coalesce(nd, domain) end as domain, case when coalesce(st, '') <> 'wrong_site' then coalesce(ns, summary) end as summary,
+ case when coalesce(st, '') <> 'wrong_site' then industry end as industry, coalesce(p1, pages_scraped) as pages_scraped, coalesce(p2, pages_attempted) as pages_attempted, coalesce(p3, research_quality) as research_quality, coalesce(st, scrape_status) as scrape_status from j""",
+    ),
+    "a33_discovery_tally": (
+        lambda s, d: rerun.discovery_tally(load(s, d, "companies"), load(s, d, "people")),
+        "with g as (select company_id, count(*) as n, count_if(trim(coalesce(address, '')) <> '') as e from people group by 1) select scrape_status, count(*) as companies, cast(coalesce(sum(n), 0) as bigint) as contacts, cast(coalesce(sum(e), 0) as bigint) as emails from companies c left join g using (company_id) group by 1",
+    ),
+    "f61_page_counters": (
+        lambda s, d: rerun.page_counters(load(s, d, "results").select("company_id", (F.coalesce("href", F.lit("")) != "").alias("tried"), F.col("body").isNotNull().alias("read")), 8),
+        "with g as (select company_id, count_if(coalesce(href, '') <> '') as t, count_if(body is not null) as r from results group by 1) select company_id, cast(least(t, 8) as bigint) as attempted, cast(least(r, t, 8) as bigint) as scraped, cast(greatest(0, 8 - t) as bigint) as remaining from g",
+    ),
+    "f17_roles_of_inboxes": (
+        lambda s, d: load(s, d, "people").select("contact_id", identity.role_of_inbox(F.when(F.col("contact_id") % 3 == 0, F.concat("status", F.lit("@x.io"))).when(F.col("contact_id") % 3 == 1, " Careers@x.io").otherwise(F.col("address"))).alias("role")),
+        f"select contact_id, case split_part(lower(trim(case contact_id % 3 when 0 then status || '@x.io' when 1 then ' Careers@x.io' else address end)), '@', 1) {_INBOX} end as role from people",
+    ),
+    "p4_company_search_in_view": (
+        lambda s, d: filters.search(_sql(_FIRMS)(s, d, "companies").join(load(s, d, "companies").select("company_id", "name"), "company_id").where("scrape_status = 'scraped'").join(load(s, d, "contacts").select("company_id").distinct(), "company_id", "left_semi"), ["name", "industry", "summary", "domain"], "1").select("company_id"),
+        f"with f as ({_FIRMS.format('companies')}) select company_id from f join (select company_id, name from companies) n using (company_id) where scrape_status = 'scraped' and company_id in (select company_id from contacts where company_id is not null) and (name ilike '%1%' or industry ilike '%1%' or summary ilike '%1%' or domain ilike '%1%')",
+    ),
+    "u7_merged_affinities": (
+        _affinities,
+        f"""with c as ({_TAGGED.format('people').replace('as source', 'as src')}), k as (select *, lower(trim(person)) as low, lower(trim(address)) as e, nullif(regexp_replace(regexp_replace(trim(profile), '/+$', ''), '(?i)^https?://(www\\.)?linkedin\\.com', 'https://www.linkedin.com'), '') as u from c),
+ x as (select *, u is not null or e <> '' as strong, {_CANDIDATE_KEY} as key from k), st as (select low, arg_min(key, candidate_id) as goes from x where strong and low <> '' group by low),
+ y as (select x.* exclude (key), case when not strong and goes is not null then goes else key end as key, case when strong then 0 else 1 end as o from x left join st using (low)),
+ t as (select key, o, candidate_id, unnest(string_split(tags, '|')) as tag, unnest([0, 1, 2]) as i from y), f as (select key, tag, min((o, candidate_id, i)) as a from t group by 1, 2)
+ select key, string_agg(tag, '|' order by a, tag) as affinity from f group by 1""",
+    ),
     "s1_newest_lists": (
         _newest,
         " union all ".join(f"select '{t}' as list, cast({k} as bigint) as id, row_number() over (order by {'created_at desc, ' * dated}{k} desc) as place from {t}" for t, (k, dated) in _NEWEST.items()),

@@ -22,7 +22,9 @@ _CLEAN = "nullif(lower(trim(coalesce({0}, ''))), '')"
 _U1 = f"""d as (select contact_id, company_id, {_CLEAN.format('address')} as e, {_CLEAN.format('profile')} as u, on_domain from people),
  d1 as (select *, case when e is not null and company_id is not null then first_value(contact_id) over (partition by company_id, e order by not on_domain, contact_id) else contact_id end as k1 from d),
  d2 as (select contact_id, case when u is not null and company_id is not null then first_value(contact_id) over (partition by company_id, u order by not on_domain, contact_id) else contact_id end as k2 from d1 where k1 = contact_id)"""
-_CARRY = """'<div>fetch("/api/staff.json")</div><a href="/about/data/x.json#y">a</a><a href="https://other.org/api/x">o</a><img src="/api/x.png"><i x="/wp-json/v2/y"></i>'"""
+#: Data addresses that differ from page to page: of the page's own site, relative, elsewhere, and static files.
+_CARRY = """concat('<div>fetch("/api/staff', cast(page_id % 7 as varchar(20)), '.json")</div><a href="/about/data/x', cast(page_id as varchar(20)), '.json#y">a</a><a href="https://other.org/api/x">o</a><img src="/api/x.png"><i x="/wp-json/v', cast(page_id % 3 as varchar(20)), '/y/"></i>',
+ case when page_id % 2 = 0 then concat('<a href="', url, '/cms/list">', '</a>') else '' end, case when page_id % 5 = 0 then '<p>/graphql/people /data/a /data/b /data/c /data/d /data/e /data/f</p>' else '' end)"""
 
 
 _COMPANY_SORTS = {"name": ["lower(name)"], "contacts": ["-coalesce(n, 0)"], "research": ["case when scrape_status = 'scraped' then 1 else 0 end", "lower(name)"], "newest": ["-company_id"]}
@@ -42,14 +44,13 @@ def _best():
 
 
 def _imported(s, d):
-    """Contacts written in both CSV dialects and read back."""
-    p = load(s, d, "people").where("contact_id % 2 = 0 and address like '%@%'")
-    q = load(s, d, "people").where("contact_id % 2 = 1 and address like '%@%'")
+    """Contacts written in both CSV dialects and read back; some have an address, some a profile alone."""
+    p, q = (load(s, d, "people").where(f"contact_id % 2 = {k}") for k in (0, 1))
     at = store.scratch(s)
-    p.select(F.col("person").alias(" Name"), F.col("company").alias("company"), F.trim("address").alias("EMAIL"), F.col("title").alias("role"), F.lit("x").alias("more")).write.option("header", True).csv(f"{at}/own")
+    p.select(F.col("person").alias(" Name"), F.col("company").alias("company"), F.trim("address").alias("EMAIL"), F.col("profile").alias("LinkedIn_URL"), F.col("title").alias("role"), F.when(F.col("contact_id") % 4 == 0, "met at a fair").alias("Affinity"), F.lit("x").alias("more")).write.option("header", True).csv(f"{at}/own")
     first, rest = F.substring_index("person", " ", 1), F.substring_index("person", " ", -1)
     q.select(first.alias("First Name"), rest.alias("Last Name"), F.col("profile").alias("URL"), F.trim("address").alias("Email Address"), F.col("company").alias("Company"), F.col("title").alias("Position")).write.option("header", True).csv(f"{at}/connections")
-    return store.read_contacts_csv(s, f"{at}/own").unionByName(store.read_contacts_csv(s, f"{at}/connections")).select("name", "company", "email", "role", "source")
+    return store.read_contacts_csv(s, f"{at}/own").unionByName(store.read_contacts_csv(s, f"{at}/connections")).select("name", "company", "email", "linkedin_url", "role", "affinity", "source")
 
 
 def _verified_sites(s, d):
@@ -96,8 +97,8 @@ MERGES = {
     ),
     "s2_imported_contacts": (
         _imported,
-        """select person as name, coalesce(company, '') as company, trim(address) as email, coalesce(title, '') as role, 'csv' as source from people where contact_id % 2 = 0 and address like '%@%'
- union all select trim(concat_ws(' ', split_part(person, ' ', 1), split_part(person, ' ', -1))), coalesce(company, ''), trim(address), coalesce(title, ''), 'connections' from people where contact_id % 2 = 1 and address like '%@%'""",
+        """select trim(person) as name, coalesce(company, '') as company, trim(address) as email, coalesce(trim(profile), '') as linkedin_url, coalesce(title, '') as role, case when contact_id % 4 = 0 then 'met at a fair' else '' end as affinity, 'csv' as source from people where contact_id % 2 = 0
+ union all select trim(concat_ws(' ', split_part(person, ' ', 1), split_part(person, ' ', -1))), coalesce(company, ''), trim(address), coalesce(trim(profile), ''), coalesce(title, ''), 'Direct LinkedIn connection', 'connections' from people where contact_id % 2 = 1""",
     ),
     "j15_verified_sites": (
         _verified_sites,
@@ -106,9 +107,15 @@ MERGES = {
  select result_id, ours, case when ours then 'info@' || domain end as email from o""",
     ),
     "f40_o11_page_endpoints": (
-        lambda s, d: load(s, d, "pages").select("page_id", F.posexplode(text.endpoints(F.concat(F.expr(_CARRY), F.regexp_replace("html", "(?i)/(api|graphql|wp-json|data|cms)|\\.json", "")), F.col("url"))).alias("place", "x")).select("page_id", "place", "x.rank", "x.url"),
-        r"""with o as (select page_id, regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1) as o from pages)
- select page_id, cast(unnest([0, 1, 2]) as integer) as place, cast(unnest([0, 1, 2]) as integer) as rank, unnest([o || '/api/staff.json', o || '/about/data/x.json', o || '/wp-json/v2/y']) as url from o where o <> ''""",
+        lambda s, d: load(s, d, "pages").select("page_id", F.posexplode(text.endpoints(F.concat(F.expr(_CARRY), "html"), F.col("url"))).alias("place", "x")).select("page_id", "place", "x.rank", "x.url"),
+        rf"""with p as (select page_id, regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1) as o, {_CARRY} || html as h from pages),
+ r as (select page_id, o, unnest(list_concat(regexp_extract_all(h, '(?i)(?:fetch|axios\.(?:get|post)|\$\.(?:get|ajax))\s*\(\s*[''"]([^''"]+)[''"]', 1), regexp_extract_all(h, '(?i)(https?://[^\s"''<>\\]+|/(?:api|graphql|wp-json|data|cms)[^\s"''<>\\]*|[^\s"''<>\\]+\.json(?:\?[^\s"''<>\\]*)?)', 1))) as x from p where o <> ''),
+ c as (select page_id, o, regexp_replace(regexp_replace(trim(x), '[\\)]+$', ''), '#.*$', '') as x from r),
+ w as (select page_id, o, case when regexp_matches(x, '(?i)^https?://') then x when starts_with(x, '//') then regexp_extract(o, '^([a-zA-Z]+:)', 1) || x when starts_with(x, '/') then o || x end as u from c),
+ f as (select distinct page_id, regexp_replace(u, '/+$', '') as u from w where lower(regexp_extract(u, '(?i)^(https?://[^/?#]+)', 1)) = lower(o)
+   and regexp_matches(regexp_extract(u, '(?i)^https?://[^/?#]*([^?#]*)', 1), '(?i)(\.json$|^/api|/api/|^/wp-json|/wp-json/|/graphql|/data/|/cms/)') and not regexp_matches(regexp_extract(u, '(?i)^https?://[^/?#]*([^?#]*)', 1), '(?i)\.(js|css|png|jpg|jpeg|gif|svg|woff|woff2|map)$')),
+ k as (select *, regexp_extract(u, '(?i)^https?://[^/?#]*([^?#]*)', 1) as t from f), m as (select page_id, u, case when regexp_matches(t, '(?i)team|people|staff|leadership|employee') then 0 when regexp_matches(t, '(?i)about|contact|company') then 1 when contains(lower(t), 'wp-json') then 2 else 3 end as rank from k),
+ n as (select *, row_number() over (partition by page_id order by rank, u) - 1 as place from m) select page_id, cast(place as integer) as place, cast(rank as integer) as rank, u as url from n where place < 8""",
     ),
     "p13_employee_snippets": (
         _snippets,

@@ -96,6 +96,10 @@ def export_csv(rows: DataFrame, path: str) -> None:
     rows.select(*[safe_cell(F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in rows.columns]).write.option("header", True).csv(path)
 
 
+# Fixed value: what the other dialect says of everybody in it.
+CONNECTION = "Direct LinkedIn connection"
+
+
 def read_contacts_csv(spark: SparkSession, path: str) -> DataFrame:
     """Contacts from a CSV file in either dialect (S2): our own columns, or a connections export."""
     raw = spark.read.option("header", True).csv(path)
@@ -105,7 +109,7 @@ def read_contacts_csv(spark: SparkSession, path: str) -> DataFrame:
     if {"first name", "last name", "url", "company", "position"} <= have:
         name = F.trim(F.concat_ws(" ", text("first name"), text("last name")))
         cols = [name.alias("name"), text("company").alias("company"), text("email address").alias("email"), text("url").alias("linkedin_url"), text("position").alias("role")]
-        return raw.select(*cols, F.lit("connections").alias("source"))
+        return raw.select(*cols, F.lit(CONNECTION).alias("affinity"), F.lit("connections").alias("source"))
     if {"name", "company"} <= have and have & {"email", "linkedin_url"}:
-        return raw.select(*[text(c).alias(c) for c in ("name", "company", "email", "linkedin_url", "role")], F.lit("csv").alias("source"))
+        return raw.select(*[text(c).alias(c) for c in ("name", "company", "email", "linkedin_url", "role", "affinity")], F.lit("csv").alias("source"))
     raise ValueError(f"columns of neither dialect: {sorted(have)}")

@@ -115,10 +115,13 @@ TABLES_OF_SESSION = ("companies", "contacts", "emails", "people")
 _written: dict[tuple, DataFrame] = {}
 
 
-def _stamp(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """When a given table was last changed."""
+def _stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int, int]:
+    """When a given table was last changed, and its files' number and size: folders on object stores have no time of
+    their own, and a part that is rewritten leaves the folder's as it is."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).getModificationTime()
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    held = files.getContentSummary(at)
+    return files.getFileStatus(at).getModificationTime(), held.getFileCount(), held.getLength()
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from outlake.functions import identity, mail, people, schedule, text
-from outlake.operators import ingest, replies, research, states
+from outlake.operators import ingest, replies, research, states, terms
 from outlake.plans.views import load
 from outlake.sources import store
 from tests.conftest import SF
@@ -143,8 +143,9 @@ def test_page_texts_of_a_site_are_cut(spark):
 
 def test_affinities_and_scores(spark):
     assert column(spark, ["Penn, then Acme Robotics", "acme", "Acmes"], lambda c: states.affinities(c, ["Penn"], ["Acme", "ab"])) == [["Penn", "Shared: Acme"], ["Shared: Acme"], []]
-    rows = spark.createDataFrame([(1, "Head of Sales"), (2, "sales, head"), (3, None)], "contact_id long, title string")
-    assert {r.contact_id: (r.score, r.matched) for r in states.criteria_scores(rows, ["head of sales", "sales"]).collect()} == {1: (1.0, "head of sales|sales"), 2: (0.5, "sales"), 3: (0.0, "")}
+    rows = spark.createDataFrame([(1, "Head of Sales", ""), (2, "Sales of shoes", None), (3, None, None)], "contact_id long, title string, evidence string")
+    asked = spark.createDataFrame([("head of sales", "head of sales", "role"), ("sales", "sales", "role")], "criterion string, term string, place string")
+    assert {r.contact_id: (r.score, r.matched) for r in terms.criteria_scores(rows, asked).collect()} == {1: (1.0, "head of sales|sales"), 2: (0.5, "sales"), 3: (0.0, "")}
 
 
 def test_role_inboxes_are_a_superset_of_words(spark):

@@ -77,39 +77,38 @@ def plan(contacts: DataFrame, emails: DataFrame, suppressions: DataFrame, steps:
     return out.select("contact_id", "refusal", F.when(free, F.col("follow_ups_sent") + 1).alias("step"), F.when(free, F.col("previous_email_id")).alias("previous_email_id"))
 
 
-def _walked(starts: DataFrame, links: DataFrame) -> DataFrame:
-    """``id, root`` of chains that end in a cycle: link by link, until the next one was seen."""
-    at, done = written(starts.select("id", F.col("id").alias("root"), F.array("id").alias("seen"))), None
-    step_of = links.toDF("__id", "__parent")
-    while not at.isEmpty():
-        step = at.join(step_of, at["root"] == F.col("__id"), "left")
-        go = F.coalesce(~F.array_contains("seen", F.col("__parent")), F.lit(False))
-        step = written(step.select("id", "root", "seen", "__parent", go.alias("go")))
-        ended = step.where("not go").select("id", "root")
-        done = ended if done is None else done.unionByName(ended)
-        at = step.where("go").select("id", F.col("__parent").alias("root"), F.array_append("seen", F.col("__parent")).alias("seen"))
-    return done
+def _ends(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the chains of ``links`` (id, parent) end, as ``id, root``, and ``id, to`` of those that never do.
 
-
-def roots(emails: DataFrame) -> DataFrame:
-    """``email_id, root_id``: the parent chain of follow-ups, stopping at a missing parent or a cycle.
-
-    Pointers are doubled: a round joins each follow-up's pointer with the pointer that it leads to, so chains of any length
-    end after the logarithm of it.  What still moves after as many rounds as the longest chain could need leads into a
-    cycle, and is walked link by link.
+    Pointers are doubled: a round joins each row's pointer with the pointer that it leads to, so chains of any length end
+    after the logarithm of it.  What still moves after as many rounds as the longest chain could need leads into a cycle,
+    and ``to`` is then a row of the cycle.
     """
-    links = emails.where(is_follow_up_row()).select(F.col("email_id").alias("id"), F.col("original_email_id").alias("parent"))
-    known = emails.select(F.col("email_id").alias("parent"))
-    links = written(links.join(known, "parent", "left_semi").select("id", "parent").where("id <> parent"))
     at, most = links.select("id", F.col("parent").alias("to"), F.lit(True).alias("moved")), links.count().bit_length() + 1
     for _ in range(most):
         step = at.join(at.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left")
         at = written(step.select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
         if at.where("moved").isEmpty():
-            found = at.select("id", F.col("to").alias("root"))
             break
-    else:
-        found = at.where("not moved").select("id", F.col("to").alias("root"))
-        left = _walked(at.where("moved").select("id"), links)
-        found = found if left is None else found.unionByName(left)
+    return at.where("not moved").select("id", F.col("to").alias("root")), at.where("moved").select("id", "to")
+
+
+def roots(emails: DataFrame) -> DataFrame:
+    """``email_id, root_id``: the parent chain of follow-ups, stopping at a missing parent, or before a row that it has
+    been at.
+
+    Chains that lead into a cycle stop at the last row of the cycle that they come to: the one before the row where they
+    enter it.  As many steps as there are rows lead from anywhere exactly to the rows of cycles; without their links every
+    chain ends where it enters one.
+    """
+    links = emails.where(is_follow_up_row()).select(F.col("email_id").alias("id"), F.col("original_email_id").alias("parent"))
+    known = emails.select(F.col("email_id").alias("parent"))
+    links = written(links.join(known, "parent", "left_semi").select("id", "parent").where("id <> parent"))
+    found, moving = _ends(links)
+    if not moving.isEmpty():
+        cycles = written(moving.select(F.col("to").alias("id")).distinct())
+        before = links.join(cycles, "id", "left_semi").select(F.col("id").alias("last"), F.col("parent").alias("entry"))
+        into, _ = _ends(written(links.join(moving.select("id"), "id", "left_semi").join(cycles, "id", "left_anti")))
+        entries = into.select("id", F.col("root").alias("entry")).unionByName(cycles.select("id", F.col("id").alias("entry")))
+        found = found.unionByName(entries.join(before, "entry").select("id", F.col("last").alias("root")))
     return emails.select("email_id").join(found, F.col("email_id") == F.col("id"), "left").select("email_id", F.coalesce("root", "email_id").alias("root_id"))

@@ -86,3 +86,22 @@ def test_union_of_sources_equals_the_loop(spark):
     frame = spark.createDataFrame(rows, "query_id int, source int, place int, name string, website string")
     halves = [frame.where(F.col("source") == k).drop("source") for k in (1, 2)]
     assert {tuple(r) for r in ingest.union_of_sources(*halves, 15).collect()} == want
+
+
+def test_roots_of_chains_and_cycles(spark):
+    """Long chains, cycles with tails, missing parents and rows that follow themselves, against a walk."""
+    from outlake.operators import followups
+
+    rng = random.Random(14)
+    parent = {i: i - 1 for i in range(1, 300)} | {1000 + i: 1000 + (i + 1) % 70 for i in range(70)} | {2000: 2001, 2001: 2000, 2002: 2002, 2003: 9999}
+    parent |= {3000 + i: rng.choice([1000 + rng.randrange(70), 3000 + rng.randrange(40), 2000]) for i in range(40)}
+    rows = [(i, p, True) for i, p in parent.items()] + [(0, None, False)]
+
+    def walk(i):
+        seen = [i]
+        while (p := parent.get(seen[-1])) is not None and p not in seen and (p in parent or p == 0):
+            seen.append(p)
+        return seen[-1]
+
+    frame = spark.createDataFrame(rows, "email_id int, original_email_id int, is_follow_up boolean").withColumn("follow_up_step", F.lit(0))
+    assert {r.email_id: r.root_id for r in followups.roots(frame).collect()} == {i: walk(i) for i, _, _ in rows}

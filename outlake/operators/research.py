@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from outlake.functions.people import is_noted_match, noted_terms
+from outlake.functions.people import domain_matches_name, is_noted_match, noted_terms, page_mentions_company
 
 MOST_RUNS, MOST_NEWS, MOST_BULLETS = 10, 10, 8
 #: Pages of less text don't count; of a page and of a company so much is read.
@@ -125,3 +125,17 @@ def company_pages(pages: DataFrame, key: str, text: Column, order: str) -> DataF
     fit = rows.where(F.length("__text") > 0).withColumn("__ahead", F.coalesce(ahead, F.lit(0))).where(F.col("__ahead") < COMPANY_CHARS)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__order", "__text"))), lambda x: x["__text"]), "\n\n")
     return fit.groupBy(key).agg(F.count("*").alias("pages"), F.substring(joined, 1, COMPANY_CHARS).alias("text"))
+
+
+def site_identity(companies: DataFrame, corpus: DataFrame, contacts: DataFrame) -> DataFrame:
+    """``company_id, verified, contacts, mismatch`` (J15): whether a company's site is its own, by its domain or by the texts
+    of the site's pages taken together (see ``company_pages``); what was found on another company's site is dropped.
+
+    ``companies`` has company_id, name, domain and site, ``corpus`` site and text, ``contacts`` company_id and contact_id.
+    A site without pages names nobody.
+    """
+    found = contacts.groupBy("company_id").agg(F.count("*").alias("n"))
+    at = companies.join(corpus.select("site", "text"), "site", "left").join(found, "company_id", "left")
+    ours = domain_matches_name(F.col("name"), F.col("domain")) | page_mentions_company(F.col("name"), F.col("text"))
+    at = at.withColumn("verified", F.coalesce(ours, F.lit(False)))
+    return at.select("company_id", "verified", F.when(F.col("verified"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("contacts"), F.when(~F.col("verified"), F.coalesce("domain", "site")).alias("mismatch"))

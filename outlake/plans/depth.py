@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlake.functions import identity
-from outlake.operators import claims, filters, gates, ingest, pages, rerun, sending, states
+from outlake.functions import identity, text
+from outlake.operators import claims, filters, gates, ingest, pages, rerun, research, sending, states
 from outlake.plans.entities import _MATCH
 from outlake.plans.more import _DOMAINS, _REASONS, _mx
 from outlake.plans.people import _WINDOW, PARTS, known, window
@@ -124,9 +124,37 @@ def _merged(s, d):
     return rerun.merged_contacts(new, _sql(_BEFORE)(s, d, "people"), load(s, d, "emails"))
 
 
+#: Companies on the hosts of pages in turn: some under words of the host's texts, some under a name that no page has.
+_HOSTED = """select company_id, case company_id % 4 when 0 then 'Qzx Works Inc' when 1 then 'Qzx Unknown' when 2 then 'The and' else 'Group thre' end as name, case when company_id % 4 = 0 then 'qzxworks.com' end as domain, company_id as slot from {0}"""
+
+
+def _hosts(s, d):
+    """Texts of each host's pages taken together, and the host's place among all."""
+    rows = load(s, d, "pages").withColumn("site", F.regexp_extract(F.lower(F.trim("url")), "//([^/?#]*)", 1)).where("site <> ''")
+    return research.company_pages(rows, "site", text.visible_text(F.col("html")), "page_id")
+
+
+def _sites(s, d):
+    corpus = _hosts(s, d)
+    placed = pages.ranked(corpus.select("site"), [F.col("site")]).select("site", (F.col("place") - 1).alias("slot"))
+    firms = _sql(_HOSTED)(s, d, "companies").withColumn("slot", F.col("slot") % placed.count()).join(placed, "slot", "left").select("company_id", "name", "domain", "site")
+    return research.site_identity(firms, corpus, load(s, d, "people").select("company_id", "contact_id"))
+
+
 _U = _AS_KEY.format("profile")
 _INBOX = " ".join(f"when '{k}' then '{v}'" for k, v in identity.ROLE_OF_INBOX.items())
 DEPTH = {
+    "j15_site_identity": (
+        _sites,
+        rf"""with p as (select page_id, regexp_extract(lower(trim(url)), '//([^/?#]*)', 1) as site,
+  substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 5000) as t from pages),
+ f as (select *, coalesce(sum(length(t) + 2) over (partition by site order by page_id rows between unbounded preceding and 1 preceding), 0) as ahead from p where length(t) > 80 and site <> ''), g as (select site, substr(string_agg(t, chr(10) || chr(10) order by page_id), 1, 24000) as t from f where ahead < 24000 group by site),
+ h as (select site, t, row_number() over (order by site) - 1 as slot from g), k as (select company_id, count(*) as n from people group by 1),
+ c as (select x.*, site, regexp_replace(lower(coalesce(t, '')), '[^a-z0-9]+', ' ', 'g') as w from ({_HOSTED.format('companies')}) x left join h on h.slot = x.slot % (select count(*) from g)),
+ v as (select *, case company_id % 4 when 0 then true when 1 then contains(replace(w, ' ', ''), 'qzxunknown') or (contains(' ' || w || ' ', ' qzx ') and contains(' ' || w || ' ', ' unknown ')) when 2 then contains(replace(w, ' ', ''), 'and')
+   else contains(replace(w, ' ', ''), 'thre') end as verified from c)
+ select company_id, verified, cast(case when verified then coalesce(n, 0) else 0 end as bigint) as contacts, case when not verified then coalesce(domain, site) end as mismatch from v left join k using (company_id)""",
+    ),
     "g7_merge_in_full": (
         _merged,
         f"""with {PARTS}, bf as ({_BEFORE.format('people')}), ow as (select {_U} as u, min(contact_id) as owner from bf where {_U} is not null group by 1),

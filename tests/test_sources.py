@@ -16,7 +16,7 @@ def test_csv_dialects(spark, tmp_path):
     (tmp_path / "other.csv").write_text("a,b\n1,2\n")
     own = store.read_contacts_csv(spark, str(tmp_path / "own.csv"))
     other = store.read_contacts_csv(spark, str(tmp_path / "connections.csv"))
-    assert [tuple(r) for r in own.unionByName(other).collect()] == [("Jane Doe", "Acme", "j@a.io", "", "CEO", "csv"), ("Jane Doe", "Acme", "", "https://x/in/j", "CTO", "connections")]
+    assert [tuple(r) for r in own.unionByName(other).collect()] == [("Jane Doe", "Acme", "j@a.io", "", "CEO", "", "csv"), ("Jane Doe", "Acme", "", "https://x/in/j", "CTO", "Direct LinkedIn connection", "connections")]
     with pytest.raises(ValueError):
         store.read_contacts_csv(spark, str(tmp_path / "other.csv"))
 

@@ -29,11 +29,16 @@ def rate_of(replied: Column, sent: Column) -> Column:
     return F.when(sent > 0, F.bround(replied / sent * 100, 1))
 
 
+def dated(emails: DataFrame) -> DataFrame:
+    """Dated sent emails: the facts of figures that ask nothing about contacts or companies, and so need no join."""
+    return emails.where("status = 'sent' and sent_at is not null")
+
+
 def sent_facts(emails: DataFrame, contacts: DataFrame, companies: DataFrame) -> DataFrame:
     """Dated sent emails with the contact's and company's columns that segments use."""
     ct = contacts.select("contact_id", F.col("email_kind").alias("contact_email_kind"), "seniority_rank", F.col("company_id").alias("co_id"))
     co = companies.select(F.col("company_id").alias("co_id"), F.col("name").alias("company_name"))
-    return emails.where("status = 'sent' and sent_at is not null").join(ct, "contact_id", "left").join(co, "co_id", "left")
+    return dated(emails).join(ct, "contact_id", "left").join(co, "co_id", "left")
 
 
 def with_seniority_band(rank: Column) -> Column:

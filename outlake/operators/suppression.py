@@ -16,14 +16,16 @@ def first_entries(entries: DataFrame) -> DataFrame:
 
 
 def candidates(addresses: DataFrame, entries: DataFrame, id_col: str, email_col: str) -> DataFrame:
-    """All entries that block an address: equi-joins on the mailbox and on every parent domain."""
-    a = addresses.where(F.coalesce(F.trim(F.col(email_col)), F.lit("")) != "").select(F.col(id_col), F.col(email_col).alias("__email"))
-    e = entries.select("suppression_id", "kind", "value", "created_at")
-    by_box = a.join(e.where("kind = 'address'").withColumn("__key", canonical_mailbox(F.col("value"))), canonical_mailbox(F.col("__email")) == F.col("__key")).withColumn("__depth", F.lit(-1))
-    chain = a.select(id_col, F.posexplode(domain_chain(email_domain(F.col("__email")))).alias("__depth", "__domain"))
-    by_domain = chain.join(e.where("kind = 'domain'"), F.col("__domain") == F.lower("value"))
-    cols = [id_col, "suppression_id", "kind", "value", "created_at", "__depth"]
-    return by_box.select(cols).unionByName(by_domain.select(cols))
+    """All entries that block an address, by one equi-join: an address has its mailbox and every parent domain as keys."""
+    box, chain = canonical_mailbox(F.col(email_col)), domain_chain(email_domain(F.col(email_col)))
+    as_key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    keys = F.concat(F.array(as_key("address", box)), F.coalesce(F.transform(chain, lambda d: as_key("domain", d)), F.array().cast("array<struct<kind: string, key: string>>")))
+    given = addresses.where(F.coalesce(F.trim(F.col(email_col)), F.lit("")) != "")
+    # the mailbox comes first, so that a domain's place in the chain is one less than its position
+    asked = given.select(id_col, F.posexplode(keys).alias("__at", "__k")).select(id_col, (F.col("__at") - 1).alias("__depth"), F.col("__k.kind").alias("kind"), F.col("__k.key").alias("__key"))
+    key = F.when(F.col("kind") == "address", canonical_mailbox(F.col("value"))).when(F.col("kind") == "domain", F.lower("value"))
+    held = entries.select("suppression_id", "kind", "value", "created_at", key.alias("__key")).where("__key is not null")
+    return asked.join(held, ["kind", "__key"]).select(id_col, "suppression_id", "kind", "value", "created_at", "__depth")
 
 
 def match(addresses: DataFrame, entries: DataFrame, id_col: str, email_col: str) -> DataFrame:

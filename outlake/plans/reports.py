@@ -114,16 +114,16 @@ def _campaign_best(spark: SparkSession, d: str) -> DataFrame:
 #: name -> (query, SQL over the views)
 REPORTS = {
     "a1_segment_by_type": (
-        lambda s, d: analytics.segment(_facts(s, d), F.col("email_type")),
+        lambda s, d: analytics.segment(analytics.dated(_emails(s, d)), F.col("email_type")),
         f"with {_FACTS}, {_SEGMENTS} select key, label, sent, replied, unverified, enough_data, rate, dropped from segments where dimension = 'email_type'",
     ),
     "a2_all_segments": (lambda s, d: analytics.all_segments(_facts(s, d)), f"with {_FACTS}, {_SEGMENTS} select * from segments"),
     "a3_a4_totals": (
-        lambda s, d: analytics.totals(_facts(s, d)),
+        lambda s, d: analytics.totals(analytics.dated(_emails(s, d))),
         f"with {_FACTS}, t as (select count(*) as sent, {_REPLIED} as replied, {_UNVERIFIED} as unverified from facts) select *, sent >= 10 as enough_data, case when sent >= 10 then {_RATE} end as rate from t",
     ),
     "a5_hours_to_reply": (
-        lambda s, d: analytics.hours_to_reply(_facts(s, d)),
+        lambda s, d: analytics.hours_to_reply(analytics.dated(_emails(s, d))),
         f"""with {_FACTS}, h as (select round(date_diff('microsecond', sent_at, response_at) / 3.6e9, 2) as h from facts where has_response and response_verified_at is not null),
  g as (select h, row_number() over (order by h) - 1 as i, count(*) over () as n from h where h >= 0),
  ranks as (select max(n) as n, max(case when i = floor(0.5 * (n - 1) + 0.5) then h end) as median, max(case when i = floor(0.25 * (n - 1) + 0.5) then h end) as p25,

@@ -6,9 +6,11 @@ as many words as the label has substrings.  Naive Bayes learns from the pages th
 or a strong one are examples of what to block, the others of what to allow.  Hosts and path shapes (digits count
 alike) are scored once each; pages get their sum.
 
-The labels come from a lexicon; what naive Bayes adds are the words and paths that go with labelled hosts.  A host
+The labels come from a lexicon; what naive Bayes adds are the words and paths that go with labelled hosts.  The lexicon
+is also the prior of the word counts: a listed word counts as ``PRIOR`` pages to block that were seen before.  A host
 without a label is judged by what other hosts say about its words (its own pages don't count as harmless), and blocked
-only if one of its words is ``EVIDENCE`` times as frequent with labelled hosts as with others.
+only if one of its words is ``EVIDENCE`` times as frequent with labelled hosts as with others.  So a single weak word
+blocks its host unless other harmless hosts use it as well: enough of their pages overrule the lexicon.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and is allowed; so is a
 host without words; null pages have no words; ties go to allow; repeated rows are judged alike; urls and labels are read
@@ -34,6 +36,7 @@ STRONG = "casino pills viagra porn xxx bets betting poker spam jackpot slots gam
 WEAK = "cheap free win winner ads track tracker farm click loans lottery replica bonus deals adult dating pharma crack torrent popup offer".split()
 SEED_COUNT = 50
 LONGEST = 63  # a host label has no more characters
+PRIOR = 8  # so many pages to block that a listed word is taken to have been on
 EVIDENCE = 5.0  # so many times as often with labelled hosts as with others
 UNKNOWN = -2.5  # log10 of an unknown character's share, besides one count in all
 
@@ -121,7 +124,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     hosts = save(hosts.withColumn("bad", seeded))
     path_words = F.array_remove(F.split("shape", "[^a-z0-9]+"), "")
     known = groups.join(hosts, "host").withColumn("word", F.explode(F.concat("words", F.transform(path_words, lambda w: F.concat(F.lit("/"), w)))))
-    counted = save(known.groupBy("word").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a")))
+    counted = save(known.groupBy("word").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a")).select("word", (F.col("b") + F.when(F.col("word").isin(STRONG + WEAK), PRIOR).otherwise(0)).alias("b"), "a"))
     t = counted.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.count("*").alias("v")).first()
     p = groups.join(hosts, "host").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum("n").alias("n")).first()
     bad, every = p.b or 0, p.n or 0
@@ -132,7 +135,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     pages_of = groups.where("host <> ''").groupBy("host").agg(F.sum("n").alias("pages"))
     each = hosts.join(pages_of, "host").select("host", "bad", "pages", F.explode("words").alias("word")).groupBy("host", "bad", "pages", "word").agg(F.count("*").alias("k"))
     own = F.when(F.col("bad"), 0).otherwise(F.col("pages") * F.col("k"))
-    said = each.join(counted, "word").withColumn("evidence", F.col("bad") | (weight(F.col("b"), F.col("a")) >= math.log(EVIDENCE)))
+    # against a listed word only other hosts' pages speak, against any other word the host's own too
+    against = F.col("a") - F.when(F.col("word").isin(STRONG + WEAK), own).otherwise(0)
+    said = each.join(counted, "word").withColumn("evidence", F.col("bad") | (weight(F.col("b"), against) >= math.log(EVIDENCE)))
     said = said.withColumn("a", F.col("a") - own)
     sums = said.groupBy("host").agg(F.sum(F.when(F.col("a") + F.col("b") > 0, F.col("k") * weight(F.col("b"), F.col("a")))).alias("host_score"), F.bool_or("evidence").alias("evidence"))
     host_score = save(sums.select("host", F.coalesce("host_score", F.lit(0.0)).alias("host_score"), "evidence"))

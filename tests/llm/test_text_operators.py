@@ -160,6 +160,8 @@ def plain_verdicts(rows):
     for (h, p), n in pages.items():
         for w in [*words.get(h, []), *("/" + x for x in p)] if h else []:
             (b if bad[h] else a)[w] += n
+    for w in (set(a) | set(b)) & (strong | weak):
+        b[w] += url_filter.PRIOR
     nb, every = sum(n for (h, _), n in pages.items() if bad.get(h)), sum(n for (h, _), n in pages.items() if h)
     v, tb, ta = len(set(a) | set(b)), sum(b.values()), sum(a.values())
     weight = lambda x, y: math.log((x + 1) / (tb + v + 1)) - math.log((y + 1) / (ta + v + 1))
@@ -170,7 +172,8 @@ def plain_verdicts(rows):
         for w, k in own.items():
             left = a[w] - (0 if bad[h] else k * sum(n for (g, _), n in pages.items() if g == h))
             score += k * weight(b[w], left) if left + b[w] else 0.0
-        evidence = any(bad[h] or weight(b[w], a[w]) >= math.log(url_filter.EVIDENCE) for w in own)
+        theirs = {w: a[w] - (own[w] * sum(n for (g, _), n in pages.items() if g == h) if w in weak and not bad[h] else 0) for w in own}
+        evidence = any(bad[h] or weight(b[w], theirs[w]) >= math.log(url_filter.EVIDENCE) for w in own)
         score += sum(weight(b["/" + x], a["/" + x]) for x in p if b["/" + x] + a["/" + x])
         out[i] = score, score > 0 and evidence
     return out
@@ -188,6 +191,26 @@ def test_url_scores_match_plain_version(spark):
         assert r.score == pytest.approx(score, abs=1e-9) and (r.verdict == "block") == block
 
 
+def test_a_weak_word_blocks_unless_harmless_hosts_use_it(spark):
+    hosts = {"adult-x.org": True, "casino-bets.org": True, "poker-spam.org": True}
+    hosts |= {f"free-{w}.org": False for w in ("theory", "garden", "museum", "river")} | {f"{w}.org": False for w in ("notes", "club", "jungle", "harbour", "theory", "garden")}
+    text = "<p>theory garden museum river notes club jungle harbour free adult casino bets</p>"
+    rows = [(f"http://{h}/en/{k}", bad) for h, bad in hosts.items() for k in range(20 if "-" in h and "x" not in h else 6)]
+    pages = spark.createDataFrame([(i, u, text) for i, (u, _) in enumerate(rows)], "page_id long, url string, html string")
+    want = plain_verdicts([(r.page_id, r.url, r.html) for r in pages.collect()])
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(pages, rules=()).collect()}
+    assert [got[i] for i in range(len(rows))] == [bad for _, bad in rows] == [want[i][1] for i in range(len(rows))]
+
+
+def test_urls_of_any_length_and_none_at_all(spark):
+    shape = "page_id long, url string, html string"
+    long_path, long_label = "http://a.com/" + "x" * 100_000, "http://" + "ab" * 2_000 + ".com/"
+    got = url_filter.judge(spark.createDataFrame([(1, long_path, "<p>ab x</p>"), (2, long_label, None), (3, "http://a.com/de", "")], shape)).collect()
+    assert sorted((r.page_id, len(r.host), len(r.path), r.verdict) for r in got) == [(1, 5, 100_001, "allow"), (2, 4_004, 1, "allow"), (3, 5, 3, "allow")]
+    none = url_filter.judge(spark.createDataFrame([(1, None, "<p>a b</p>"), (2, None, None)], shape)).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in none) == [(1, "", "", None, "allow"), (2, "", "", None, "allow")]
+
+
 def test_hosts_without_a_listed_word_are_judged_by_their_company(spark):
     rows = [(f"http://{a}-{b}.org/p/{k}", True) for a in ("casino", "spam", "poker", "pills") for b in ("luckyday", "quickdeal") for k in range(6)]
     rows += [(f"http://{b}-{c}.org/p/1", True) for b in ("luckyday", "quickdeal") for c in ("stone", "cloud", "maple")]

@@ -38,7 +38,9 @@ def send_reasons(emails: DataFrame, contacts: DataFrame, suppressions: DataFrame
     flags = contact_flags(emails, contacts).select("contact_id", "replied", "bounced_now")
     ct = contacts.select("contact_id", F.col("email").alias("__email"), F.col("bounced_at").alias("__cb"))
     rows = emails.join(ct, "contact_id", "left").join(flags, "contact_id", "left").withColumn("__to", F.coalesce("recipient_email", "__email"))
-    blocked = match(rows, suppressions, "email_id", "__to").select("email_id", F.lit(True).alias("__blocked"))
+    # the list is asked once for each address that is written to, however many emails go there
+    asked = contacts.select(F.col("email").alias("__to")).unionByName(emails.select(F.col("recipient_email").alias("__to"))).distinct()
+    blocked = match(asked, suppressions, "__to", "__to").select("__to", F.lit(True).alias("__blocked"))
     reason = (
         F.when(F.expr("status not in ('draft', 'approved')"), "not sendable")
         .when(has_evidence(), "already delivered")
@@ -48,7 +50,7 @@ def send_reasons(emails: DataFrame, contacts: DataFrame, suppressions: DataFrame
         .when(F.expr("__cb is not null or coalesce(bounced_now, false)"), "bounced")
         .when(F.expr("trim(coalesce(__to, '')) = ''"), "no address")
     )
-    return rows.join(blocked, "email_id", "left").select("email_id", "is_follow_up", F.lower("__to").alias("to"), reason.alias("reason"))
+    return rows.join(blocked, "__to", "left").select("email_id", "is_follow_up", F.lower("__to").alias("to"), reason.alias("reason"))
 
 
 def send_gate(emails: DataFrame, contacts: DataFrame, suppressions: DataFrame) -> DataFrame:

@@ -122,6 +122,25 @@ def test_line_dedup_of_long_lines_and_filters(spark):
     assert got == {(1, 1, 0), (2, 2, 1), (3, 1, 0), (4, 1, 1), (5, 5001, 0)}
 
 
+def test_short_lines_go_where_every_line_is_asked_for(spark):
+    rows = [(1, "Contents\nSee also\n---"), (2, "See also\nother words\n---"), (3, "contents"), (4, None), (5, "see  also")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 2):
+        gone = brute_lines(rows, least=least)
+        assert len(gone) == {1: 4, 2: 2}[least]
+        got = {r.doc_id: r.text for r in line_dedup(docs, min_tokens=least).select("doc.*").collect()}
+        assert got == {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+
+
+def test_vectors_of_more_than_a_thousand_components(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(12, 1500))
+    near = base + rng.normal(size=base.shape) * np.linspace(0.15, 0.25, 12)[:, None]  # cosines on both sides of 0.98
+    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(np.vstack([base, near, base[:3] * 7]))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    assert {tuple(r) for r in near_vectors(vectors).collect()} == brute_vectors(rows)
+
+
 def brute_vectors(rows, threshold=0.98):
     def unit(v):
         return v if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v) else None

@@ -508,3 +508,21 @@ def test_best_fit_closes_the_fullest():
     assert bins.place(8) == (2, 0)  # the fullest open bin (1) closes
     assert bins.place(3) == (0, 6)  # not into bin 1
     assert bins.place(2) == (2, 8)
+
+
+def test_fences_of_large_groups_are_close_to_exact_quantiles(spark):
+    import numpy as np
+
+    n = 100_000
+    metrics = "struct(bigint(100) as n_words, bigint(400 + id % 997) as word_chars, bigint(id * 7919 % 100003 % 60) as n_symbols, bigint(id % 31) as n_upper, bigint(id % 5) as n_dup_lines, bigint(20) as n_lines) as m"
+    measured = spark.range(n).selectExpr("struct(id, 'en' as lang, if(id % 3 = 0, 'hot', 'rest') as source) as doc", metrics)
+    got = {r.source: r for r in quality.fences(measured).collect()}
+    ids = np.arange(n)
+    for source, of in (("hot", ids[ids % 3 == 0]), ("rest", ids[ids % 3 != 0])):
+        ratios = {"symbol_ratio": of * 7919 % 100003 % 60 / 100, "word_length": (400 + of % 997) / 100, "dup_line_ratio": of % 5 / 20}
+        for k, x in ratios.items():
+            x = np.sort(x)
+            # ranks are off by half a percent at most
+            at = lambda q: x[min(len(x) - 1, max(0, int(q * len(x))))]  # noqa: B023, E731
+            bound = lambda e: at(0.75 + e) + quality.SPREAD * (at(0.75 + e) - at(0.25 - e)) + quality.SLACK[k]  # noqa: B023, E731
+            assert bound(-0.005) <= got[source][f"{k}_hi"] <= bound(0.005)

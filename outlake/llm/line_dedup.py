@@ -31,17 +31,24 @@ from outlake.llm.common import drop, save
 PERCENT = 85
 MIN_TOKENS = 5
 BUCKETS = 1 << 17
+REST = 64 - 17  # bits of a hash below its bucket
 _LINE = ["id", "hash", "line"]
 _SET = ["set", "map", "n"]  # what tells a line's token set: a hash, its parity map and its size
 
 
-def _spaced(text: Column, breaks: bool = False) -> Column:
-    """Lower case with a space for each blank, for line breaks only with ``breaks``.  Splits at a single character need
-    no pattern."""
-    out = F.lower(text)
-    for blank in ("\t", "\x0b", "\x0c", "\r") + ("\n",) * breaks:
-        out = F.replace(out, F.lit(blank), F.lit(" "))
-    return out
+def _spaced(low: Column) -> Column:
+    """A space for each blank but line breaks, so that splits at a single character need no pattern.  Most texts hold no
+    such blank, and looking for one is cheaper than replacing; ``low`` is a column, as it is used several times."""
+    out, found = low, F.lit(False)
+    for blank in ("\t", "\x0b", "\x0c", "\r"):
+        out, found = F.replace(out, F.lit(blank), F.lit(" ")), found | F.contains(low, F.lit(blank))
+    return F.when(found, out).otherwise(low)
+
+
+def _split_lines(texts: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` and one row per line: its place ``line`` and its ``words`` in lower case, with spaces as blanks."""
+    low = texts.select(*cols, F.lower("text").alias("low"))
+    return low.select(*cols, F.posexplode_outer(F.split(_spaced(F.col("low")), "\n")).alias("line", "words"))
 
 
 def _tokens(line: Column) -> Column:
@@ -51,18 +58,20 @@ def _tokens(line: Column) -> Column:
 
 
 def _levels(texts: DataFrame) -> Column:
-    """For every bucket its level of rarity, 0 to 15, in the bits above a token's hash: an octave of the bucket's count
-    around the mean count.
+    """For every bucket (the first bits of a hash) what turns them into its level of rarity, 0 to 15, and the rest of the
+    bucket, by exclusive or: an octave of the bucket's count around the mean count.  Levels rise with signed numbers.
 
     ``BUCKETS`` longs, whatever the corpus, come to the driver as one JSON text and go out as a constant array: a
     subquery can't be used in a lambda, and a joined column would be copied for every line.
     """
-    words = texts.select(F.explode_outer(F.split(_spaced(F.col("text"), breaks=True), " ")).alias("w")).where("w <> ''")
-    counted = save(words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n")))
+    low = texts.select(F.lower("text").alias("low"))
+    words = low.select(F.explode_outer(F.split(F.replace(_spaced(F.col("low")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counted = save(words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), REST).alias("bucket")).agg(F.count("*").alias("n")))
     mean = F.greatest(F.lit(1.0), F.coalesce(counted.agg(F.sum("n")).scalar(), F.lit(0)) / BUCKETS)
     level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(F.coalesce("n", F.lit(1)) / mean) + 8))).cast("long")
     every = texts.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counted, "bucket", "left")
-    every = every.select("bucket", F.call_function("shiftleft", level, F.lit(55)).alias("x"))
+    ranked = level.bitwiseXOR(F.lit(8)) * F.lit(BUCKETS >> 4) + F.col("bucket") % F.lit(BUCKETS >> 4)
+    every = every.select("bucket", F.call_function("shiftleft", F.col("bucket").bitwiseXOR(ranked), F.lit(REST)).alias("x"))
     found = every.agg(F.to_json(F.array_sort(F.collect_list(F.struct("bucket", "x")))["x"])).first()[0]
     drop(counted)
     return F.from_json(F.lit(found), "array<bigint>")
@@ -70,10 +79,10 @@ def _levels(texts: DataFrame) -> Column:
 
 def _lines(texts: DataFrame, levels: Column, percent: int) -> DataFrame:
     """One row per line: where it is, what tells its token set, and its prefix."""
-    lines = texts.select("id", "hash", F.posexplode_outer(F.split(_spaced(F.col("text")), "\n")).alias("line", "words"))
-    lines = lines.select(*_LINE, _tokens(F.col("words")).alias("t"))
+    lines = _split_lines(texts, "id", "hash").select(*_LINE, _tokens(F.col("words")).alias("t"))
     lines = lines.select(*_LINE, "t", F.array_min("t").alias("least"), F.array_max("t").alias("most"))
-    place = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 9))
+    # never null, so that the array is sorted as longs and not as objects
+    place = lambda h: h.bitwiseXOR(F.coalesce(F.get(levels, F.shiftrightunsigned(h, REST).cast("int")), F.lit(0)))
     lines = lines.select(*_LINE, "least", "most", F.sort_array(F.transform("t", place)).alias("t"))
     return lines.select(
         *_LINE, "least", "most",
@@ -102,19 +111,21 @@ def _first_pairs(classes: DataFrame, percent: int) -> DataFrame:
     heads = save(rows.groupBy("key").agg(F.min(F.struct("who", "n", "map")).alias("x"), F.count("*").alias("k")).where("k > 1").select("key", "x.*"))
     a, b = heads.alias("a"), rows.alias("b")
     near = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr(f"a.who < b.who and {_bounds(percent)}"))
-    return near.select(F.col("a.who").alias("a"), F.col("b.who").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
+    out = save(near.select(F.col("a.who").alias("a"), F.col("b.who").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct())
+    drop(heads)
+    return out
 
 
 def _candidates(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of first lines, a the earlier one and b not settled, that no bound tells apart."""
-    # settled lines are told by a number above any size: the condition needs both sides, so that it isn't pushed to one
-    # of them and both read the same exchange
-    mark = settled.withColumn("settled", F.lit(2**31 - 1))
+    # the condition on settled needs it of both sides (it is never below 0), so that it isn't pushed to one of them, no
+    # column is pruned from one, and both read the same exchange
+    mark = settled.withColumn("settled", F.lit(1))
     rows = classes.join(mark, _LINE, "left").select(F.posexplode("prefix").alias("at", "token"), *_LINE, "n", "map", F.coalesce("settled", F.lit(0)).alias("settled"))
     a, b = rows.alias("a"), rows.alias("b")
     after = (
         f"{_bounds(percent)} and least(a.n - a.at, b.n - b.at) >= {_need(percent)} "
-        "and b.settled < a.n and struct(a.id, a.hash, a.line) < struct(b.id, b.hash, b.line)"
+        "and b.settled <= least(a.settled, 0) and struct(a.id, a.hash, a.line) < struct(b.id, b.hash, b.line)"
     )
     who = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in _LINE]).alias(side)
     return a.join(b, (F.col("a.token") == F.col("b.token")) & F.expr(after)).select(who("a"), who("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
@@ -125,7 +136,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     split once; ``pairs`` has the sizes of both sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("who")).select("who.*").groupBy("id", "hash").agg(F.collect_set("line").alias("lines"))
     # hashed on the small side at every size: the texts needn't be sorted
-    parts = texts.join(wanted.hint("shuffle_hash"), ["id", "hash"]).select("id", "hash", "lines", F.posexplode_outer(F.split(_spaced(F.col("text")), "\n")).alias("line", "words"))
+    parts = _split_lines(texts.join(wanted.hint("shuffle_hash"), ["id", "hash"]), "id", "hash", "lines")
     found = save(parts.where(F.array_contains("lines", F.col("line"))).select(F.struct(*_LINE).alias("who"), "words").dropDuplicates(["who"]))  # repeated rows
     both = pairs.join(found.select(F.col("who").alias("a"), F.col("words").alias("wa")), "a").join(found.select(F.col("who").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect(F.array_remove(F.split("wa", " "), ""), F.split("wb", " ")))
@@ -142,14 +153,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = save(_lines(texts, _levels(texts), percent))
     # filtered only now: a filter on the size would be pushed down and have the tokens computed twice
     lines = every.where(F.col("n") >= min_tokens)
-    parts = F.struct(*_LINE, "least", "most", "prefix")
-    classes = save(lines.groupBy(_SET).agg(F.min(parts).alias("x")).select(*_SET, "x.*"))
-    firsts = classes.select(*_SET, F.struct(*_LINE).alias("first"))
-    copies = save(lines.join(firsts, _SET).where(F.struct(*_LINE) != F.col("first")).select(*_LINE).distinct())
-    drop(every)
-    settled = _verified(save(_first_pairs(classes, percent)), texts, percent)
+    parts = [*_LINE, "least", "most", "prefix"]
+    # most sets have one line: they are counted away before any minimum of structs, which sorts
+    again = save(lines.groupBy(_SET).agg(F.count("*").alias("k")).where("k > 1").select(*_SET, F.lit(True).alias("again")))
+    marked = save(lines.select(*_SET, *parts).join(again.hint("shuffle_hash"), _SET, "left"))
+    drop(every, again)
+    equal = marked.where("again")
+    firsts = save(equal.groupBy(_SET).agg(F.min(F.struct(*parts)).alias("x")).select(*_SET, "x.*"))
+    first = firsts.select(*_SET, F.struct(*_LINE).alias("first"))
+    copies = save(equal.join(first, _SET).where(F.struct(*_LINE) != F.col("first")).select(*_LINE).distinct())
+    classes = marked.where("again is null").select(*_SET, *parts).unionByName(firsts)
+    settled = _verified(_first_pairs(classes, percent), texts, percent)
     pairs = save(_candidates(classes, settled, percent))
-    drop(classes)
+    drop(marked, firsts)
     near = settled.unionByName(_verified(pairs, texts, percent))
     out = save(copies.unionByName(near).distinct().groupBy("id", "hash").agg(F.collect_list("line").alias("gone")))
     drop(copies, settled)
@@ -169,9 +185,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text.cast("string")
     at = d.join(gone, (key.cast("long") == F.col("id")) & (F.xxhash64(text) == F.col("hash")), "left")
     left = "array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\n')"
-    at = at.withColumn("l", F.when(F.col("gone").isNotNull(), F.split(text, "\n")))
+    at = at.withColumn("l", F.split(text, "\n"))
     counts = F.struct(
-        F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size("l")).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
     made = F.struct(F.when(F.col("gone").isNull(), text).otherwise(F.expr(left)).alias("text"), counts.alias("lines"))

@@ -132,6 +132,39 @@ def test_short_lines_go_where_every_line_is_asked_for(spark):
         assert got == {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
 
 
+def test_prefix_join_reads_one_exchange(spark):
+    """Both sides of the self-join need the same columns, so the prefixes are exploded and shuffled once."""
+    from outlake.llm import line_dedup as ld
+
+    classes = spark.createDataFrame(
+        [(1, 0, 5, i, i, 0, [1, 2]) for i in range(4)], "set long, map long, n int, id long, hash long, line int, prefix array<int>"
+    )
+    settled = spark.createDataFrame([(3, 3, 0)], "id long, hash long, line int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = ld._candidates(classes, settled, 85)
+        assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+        assert {(r.a.id, r.b.id) for r in pairs.collect()} == {(0, 1), (0, 2), (1, 2)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_lines_with_every_blank_and_rare_and_common_words(spark):
+    rng = np.random.default_rng(5)
+    words = [f"W{i}" for i in range(40)] + [f"\u00c9t{i}" for i in range(40)]
+    odds = 1 / np.arange(1, 81)
+    base = [list(rng.choice(words, 24, p=odds / odds.sum())) for _ in range(30)]
+    rows = []
+    for i in range(120):
+        w = list(base[i % 30])
+        for k in rng.choice(24, rng.integers(0, 4), replace=False):
+            w[k] = str(rng.choice(words))
+        rows.append((i, "\n".join(rng.choice([" ", "\t", "\x0b", "\x0c", "\r", "  "]).join(x) for x in (w, w[:4], w[::-1]))))
+    gone = brute_lines(rows)
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.*").collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows} and len(gone) > 100
+
+
 def test_vectors_of_more_than_a_thousand_components(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(12, 1500))

@@ -3,9 +3,10 @@
 A line's tokens are its distinct lower-cased words.  A line goes when an earlier line (by document id, then by place)
 has a Jaccard similarity of ``PERCENT`` or more; lines of fewer than ``MIN_TOKENS`` tokens stay.
 
-1. Words are counted over all documents in a fixed number of hash buckets; the buckets' levels (an array of ``BUCKETS``
-   numbers, whatever the corpus) order the tokens of every line by rarity.  Any fixed order makes the prefix filter
-   exact; rarity makes it selective.
+1. The texts are split into words once, and the tokens (64-bit hashes of the words) of every line are saved.  The lines
+   of each token are counted in a fixed number of hash buckets; the buckets' levels (an array of ``BUCKETS`` numbers,
+   whatever the corpus) order the tokens of every line by rarity.  Any fixed order makes the prefix filter exact; rarity
+   makes it selective.
 2. Lines with equal token sets form a class, of which only the first line takes part in the join, so common lines
    cost one row.
 3. Lines with the same smallest, or the same largest, token hash are compared with the first of them only.  What is
@@ -14,7 +15,7 @@ has a Jaccard similarity of ``PERCENT`` or more; lines of fewer than ``MIN_TOKEN
    each (prefix filter).  The join on these tokens drops pairs by length, by what can still follow a token's position,
    and by a 64-bit parity map of the tokens, whose Hamming distance is never above the size of the symmetric
    difference.  All three are exact bounds.
-5. Candidates of both steps are verified on the lines' words.
+5. Candidates of both steps are verified on the tokens of the whole lines, which are read back from the texts.
 
 Everything is DataFrame operations.  Defined results: null texts stay null; rows with a null id are left as they are
 and match nothing; a row is told by its id and text, so repeated rows are treated alike; lines of any length are compared
@@ -33,7 +34,7 @@ MIN_TOKENS = 5
 BUCKETS = 1 << 17
 REST = 64 - 17  # bits of a hash below its bucket
 _LINE = ["id", "hash", "line"]
-_SET = ["set", "map", "n"]  # what tells a line's token set: a hash, its parity map and its size
+_SET = ["set", "least", "most", "n"]  # what tells a line's token set: a hash, its smallest and largest token and its size
 
 
 def _spaced(low: Column) -> Column:
@@ -57,19 +58,26 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.array_distinct(hashed), F.xxhash64(F.lit("")))
 
 
-def _levels(texts: DataFrame) -> Column:
+def _token_rows(texts: DataFrame) -> DataFrame:
+    """One row per line: where it is, what tells its token set, and the tokens ``t``, sorted."""
+    lines = _split_lines(texts, "id", "hash").select(*_LINE, F.sort_array(_tokens(F.col("words"))).alias("t"))
+    # never null, as sets are joined by them
+    ends = [F.coalesce(F.get("t", at), F.lit(0)).alias(c) for c, at in (("least", F.lit(0)), ("most", F.size("t") - 1))]
+    return lines.select(*_LINE, F.xxhash64("t").alias("set"), *ends, F.size("t").alias("n"), "t")
+
+
+def _levels(tokens: DataFrame) -> Column:
     """For every bucket (the first bits of a hash) what turns them into its level of rarity, 0 to 15, and the rest of the
-    bucket, by exclusive or: an octave of the bucket's count around the mean count.  Levels rise with signed numbers.
+    bucket, by exclusive or: an octave of the number of lines with the bucket's tokens around the mean number.  Levels
+    rise with signed numbers.
 
     ``BUCKETS`` longs, whatever the corpus, come to the driver as one JSON text and go out as a constant array: a
     subquery can't be used in a lambda, and a joined column would be copied for every line.
     """
-    low = texts.select(F.lower("text").alias("low"))
-    words = low.select(F.explode_outer(F.split(F.replace(_spaced(F.col("low")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counted = save(words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), REST).alias("bucket")).agg(F.count("*").alias("n")))
+    counted = save(tokens.select(F.explode("t").alias("h")).groupBy(F.shiftrightunsigned("h", REST).alias("bucket")).agg(F.count("*").alias("n")))
     mean = F.greatest(F.lit(1.0), F.coalesce(counted.agg(F.sum("n")).scalar(), F.lit(0)) / BUCKETS)
     level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(F.coalesce("n", F.lit(1)) / mean) + 8))).cast("long")
-    every = texts.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counted, "bucket", "left")
+    every = tokens.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counted, "bucket", "left")
     ranked = level.bitwiseXOR(F.lit(8)) * F.lit(BUCKETS >> 4) + F.col("bucket") % F.lit(BUCKETS >> 4)
     every = every.select("bucket", F.call_function("shiftleft", F.col("bucket").bitwiseXOR(ranked), F.lit(REST)).alias("x"))
     found = every.agg(F.to_json(F.array_sort(F.collect_list(F.struct("bucket", "x")))["x"])).first()[0]
@@ -77,16 +85,12 @@ def _levels(texts: DataFrame) -> Column:
     return F.from_json(F.lit(found), "array<bigint>")
 
 
-def _lines(texts: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """One row per line: where it is, what tells its token set, and its prefix."""
-    lines = _split_lines(texts, "id", "hash").select(*_LINE, _tokens(F.col("words")).alias("t"))
-    lines = lines.select(*_LINE, "t", F.array_min("t").alias("least"), F.array_max("t").alias("most"))
+def _prefixes(tokens: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """``tokens`` with the parity map and the prefix of each line instead of its tokens."""
     # never null, so that the array is sorted as longs and not as objects
     place = lambda h: h.bitwiseXOR(F.coalesce(F.get(levels, F.shiftrightunsigned(h, REST).cast("int")), F.lit(0)))
-    lines = lines.select(*_LINE, "least", "most", F.sort_array(F.transform("t", place)).alias("t"))
-    return lines.select(
-        *_LINE, "least", "most",
-        F.xxhash64("t").alias("set"), F.size("t").alias("n"),
+    return tokens.select(*_LINE, *_SET, F.sort_array(F.transform("t", place)).alias("t")).select(
+        *_LINE, *_SET,
         F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))").alias("map"),
         F.expr(f"transform(slice(t, 1, size(t) - int(floor((size(t) * {percent} + 99) / 100)) + 1), x -> int(x & 2147483647))").alias("prefix"),
     )
@@ -132,14 +136,17 @@ def _candidates(classes: DataFrame, settled: DataFrame, percent: int) -> DataFra
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The later lines of the pairs that are similar: ``id, hash, line``.  The words are read back from the texts, each
-    split once; ``pairs`` has the sizes of both sets."""
+    """The later lines of the pairs that are similar: ``id, hash, line``.  The lines are read back from the texts, and each
+    is hashed once; ``pairs`` has the sizes of both sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("who")).select("who.*").groupBy("id", "hash").agg(F.collect_set("line").alias("lines"))
     # hashed on the small side at every size: the texts needn't be sorted
-    parts = _split_lines(texts.join(wanted.hint("shuffle_hash"), ["id", "hash"]), "id", "hash", "lines")
-    found = save(parts.where(F.array_contains("lines", F.col("line"))).select(F.struct(*_LINE).alias("who"), "words").dropDuplicates(["who"]))  # repeated rows
-    both = pairs.join(found.select(F.col("who").alias("a"), F.col("words").alias("wa")), "a").join(found.select(F.col("who").alias("b"), F.col("words").alias("wb")), "b")
-    common = F.size(F.array_intersect(F.array_remove(F.split("wa", " "), ""), F.split("wb", " ")))
+    parts = texts.join(wanted.hint("shuffle_hash"), ["id", "hash"]).select("id", "hash", "lines", F.split("text", "\n").alias("l"))
+    # l is used twice, or the split would move into the lambda and be done for each line
+    parts = parts.select("id", "hash", F.explode(F.expr("if(size(l) > 0, transform(lines, i -> struct(i as line, l[i] as words)), null)")).alias("x"))
+    low = parts.select(F.struct("id", "hash", F.col("x.line").alias("line")).alias("who"), F.lower("x.words").alias("low"))
+    found = save(low.select("who", _tokens(_spaced(F.col("low"))).alias("t")).dropDuplicates(["who"]))  # repeated rows
+    both = pairs.join(found.select(F.col("who").alias("a"), F.col("t").alias("ta")), "a").join(found.select(F.col("who").alias("b"), F.col("t").alias("tb")), "b")
+    common = F.size(F.array_intersect("ta", "tb"))
     # one use of what is common: the condition is moved below other projections, where it would be computed for each use
     out = save(both.where(common * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("b.*").distinct())
     drop(found, pairs)
@@ -150,24 +157,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The lines that go: ``id, hash`` (of the text), ``line`` (from 0)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where("id is not null and text is not null").withColumn("hash", F.xxhash64("text"))
-    every = save(_lines(texts, _levels(texts), percent))
+    every = save(_token_rows(texts))
     # filtered only now: a filter on the size would be pushed down and have the tokens computed twice
     lines = every.where(F.col("n") >= min_tokens)
-    parts = [*_LINE, "least", "most", "prefix"]
     # most sets have one line: they are counted away before any minimum of structs, which sorts
     again = save(lines.groupBy(_SET).agg(F.count("*").alias("k")).where("k > 1").select(*_SET, F.lit(True).alias("again")))
-    marked = save(lines.select(*_SET, *parts).join(again.hint("shuffle_hash"), _SET, "left"))
+    marked = save(_prefixes(lines, _levels(every), percent).join(again.hint("shuffle_hash"), _SET, "left"))
     drop(every, again)
+    parts = [*_LINE, "map", "prefix"]
     equal = marked.where("again")
     firsts = save(equal.groupBy(_SET).agg(F.min(F.struct(*parts)).alias("x")).select(*_SET, "x.*"))
     first = firsts.select(*_SET, F.struct(*_LINE).alias("first"))
-    copies = save(equal.join(first, _SET).where(F.struct(*_LINE) != F.col("first")).select(*_LINE).distinct())
+    copies = save(equal.join(first, _SET).where(F.struct(*_LINE) != F.col("first")).select(*_LINE))
     classes = marked.where("again is null").select(*_SET, *parts).unionByName(firsts)
     settled = _verified(_first_pairs(classes, percent), texts, percent)
     pairs = save(_candidates(classes, settled, percent))
     drop(marked, firsts)
     near = settled.unionByName(_verified(pairs, texts, percent))
-    out = save(copies.unionByName(near).distinct().groupBy("id", "hash").agg(F.collect_list("line").alias("gone")))
+    out = save(copies.unionByName(near).groupBy("id", "hash").agg(F.collect_set("line").alias("gone")))
     drop(copies, settled)
     return out
 

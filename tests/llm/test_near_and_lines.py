@@ -149,6 +149,35 @@ def test_prefix_join_reads_one_exchange(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_rarity_is_counted_on_saved_tokens(spark):
+    """The texts are split into words once: the levels need the tokens alone."""
+    from outlake.llm import line_dedup as ld
+
+    rare, common = 3 << ld.REST, 2 << ld.REST
+    tokens = spark.createDataFrame([([common],)] * 4_000 + [([common, rare],)], "t array<long>")
+    levels = ld._levels(tokens)
+    got = spark.range(1).select(*[F.lit(h).bitwiseXOR(F.get(levels, F.lit(h >> ld.REST))).alias(c) for c, h in (("rare", rare), ("common", common))]).first()
+    assert got.rare < got.common
+
+    rows = [(1, "one two two THREE"), (2, "\n")]
+    texts = spark.createDataFrame(rows, "id long, text string").withColumn("hash", F.lit(0).cast("long"))
+    got = {(r.id, r.line): (r.n, r.least, r.most, r.t) for r in ld._token_rows(texts).collect()}
+    t = sorted(r[0] for r in spark.createDataFrame([("one",), ("two",), ("three",)], "w string").select(F.xxhash64("w")).collect())
+    assert got == {(1, 0): (3, t[0], t[-1], t), (2, 0): (0, 0, 0, []), (2, 1): (0, 0, 0, [])}
+
+
+def test_lines_read_back_keep_their_words(spark):
+    """Candidates are read back line by line: letters whose lower case depends on what follows, blanks, repeated rows."""
+    words = [f"\u03a3\u039f\u03a3{i}" if i % 3 else f"\u039f\u0394\u039f\u03a3" + "x" * i for i in range(20)] + ["\u0130\u039f\u03a3"]
+    rows = [(1, "head\n" + " ".join(words)), (2, "\t".join(words[1:]).lower() + "\nother words stand in this line"), (3, "\n\n" + "  ".join([*words[:-1], "\u039f\u03a3"]))]
+    rows += [(4, "other words stand in this very line of nine"), (5, rows[1][1]), (5, rows[1][1]), (6, " ".join(words[:10]))]
+    lower = {i: t.replace("\u0130", "i\u0307") for i, t in rows}
+    gone = brute_lines(list(lower.items()))
+    assert len(gone) == 4
+    got = [(r.doc_id, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.*").collect()]
+    assert sorted(got) == sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows)
+
+
 def test_lines_with_every_blank_and_rare_and_common_words(spark):
     rng = np.random.default_rng(5)
     words = [f"W{i}" for i in range(40)] + [f"\u00c9t{i}" for i in range(40)]

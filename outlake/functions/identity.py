@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from outlake.functions.text import bound
+
 # Words that carry no identity in a company's name.
 NAME_STOP = "inc llc ltd corp corporation company co the group labs lab technologies technology tech systems solutions software ai io".split()
 # Role and company inboxes.
@@ -116,30 +118,41 @@ def fold(text: Column) -> Column:
     # few texts hold a ligature or the like: only those are taken apart
     rare = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
     apart = lambda x: F.when(x.rlike(rare), F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(spread[c], c)), "")).otherwise(x)
-    whole = F.get(F.transform(F.array(text), apart), F.lit(0))  # the text is computed once
-    return F.translate(F.translate(whole, signs, plain), "'’", "")
+    # texts of ASCII alone, as most are, need none of it
+    folded = lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(apart(x), signs, plain)).otherwise(x)
+    return F.translate(bound(text, folded), "'’", "")
 
 
 def name_tokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(fold(F.coalesce(name, F.lit("")))), "[^a-z0-9]+"), lambda t: (F.length(t) >= 2) & ~t.isin(*PERSON_SUFFIXES))
 
 
+def email_matches_tokens(email: Column, tokens: Column) -> Column:
+    """Whether the local part is strong evidence for the name of these tokens, which are used often: see ``bound``."""
+
+    def match(x: Column) -> Column:
+        parts, compact = x["parts"], x["compact"]
+        first, last = F.get(tokens, F.lit(0)), F.get(tokens, F.size(tokens) - 1)
+        head, tail = F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)
+        ends = ((head == first) & (tail == last)) | ((head == last) & (tail == first))
+        within = F.array_contains(parts, first) & F.array_contains(parts, last) & head.isin(first, last) & tail.isin(first, last)
+        joined = compact.isin(F.concat(first, last), F.concat(last, first), F.concat(F.substring(first, 1, 1), last))
+        fits = F.when(F.size(tokens) >= 2, F.when(F.size(parts) >= 2, ends | within).otherwise(joined)).otherwise((F.size(parts) == 1) & (head == first))
+        return (compact != "") & F.coalesce(fits, F.lit(False))
+
+    def taken_apart(local: Column) -> Column:
+        parts = F.filter(F.split(local, "[._+-]+"), lambda p: p != "")
+        return F.struct(parts.alias("parts"), F.regexp_replace(local, "[^a-z0-9]", "").alias("compact"))
+
+    local = F.lower(fold(F.substring_index(email_local(email), "+", 1)))
+    blocked = (normal_email(email) == "") | is_generic_inbox(email) | (F.size(tokens) == 0)
+    return F.when(blocked, False).otherwise(bound(bound(local, taken_apart), match))
+
+
 def email_matches_person(email: Column, name: Column, name_from_email: Column | None = None) -> Column:
     """Whether the local part is strong evidence for the person's name."""
-    tokens = name_tokens(name)
-    local = F.lower(fold(F.substring_index(email_local(email), "+", 1)))
-    parts = F.filter(F.split(local, "[._+-]+"), lambda p: p != "")
-    compact = F.regexp_replace(local, "[^a-z0-9]", "")
-    first, last = F.get(tokens, F.lit(0)), F.get(tokens, F.size(tokens) - 1)
-    head, tail = F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)
-    ends = ((head == first) & (tail == last)) | ((head == last) & (tail == first))
-    within = F.array_contains(parts, first) & F.array_contains(parts, last) & head.isin(first, last) & tail.isin(first, last)
-    joined = compact.isin(F.concat(first, last), F.concat(last, first), F.concat(F.substring(first, 1, 1), last))
-    match = F.when(F.size(tokens) >= 2, F.when(F.size(parts) >= 2, ends | within).otherwise(joined)).otherwise((F.size(parts) == 1) & (head == first))
-    blocked = (normal_email(email) == "") | is_generic_inbox(email) | (F.size(tokens) == 0) | (compact == "")
-    if name_from_email is not None:
-        blocked |= F.coalesce(name_from_email, F.lit(False))
-    return F.when(blocked, False).otherwise(F.coalesce(match, F.lit(False)))
+    match = bound(name_tokens(name), lambda tokens: email_matches_tokens(email, tokens))
+    return match if name_from_email is None else F.when(F.coalesce(name_from_email, F.lit(False)), False).otherwise(match)
 
 
 def address_kind(email: Column, name: Column, accepts: Column) -> Column:

@@ -89,22 +89,25 @@ def profile_slug(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.trim(url), ANY_PROFILE, 1)), F.lit(""))
 
 
+def slug_parts(url: Column) -> Column:
+    """Parts of a profile's slug, in plain letters; null without a slug."""
+    return F.filter(F.split(F.lower(I.fold(profile_slug(url))), "[-_]+"), lambda p: p != "")
+
+
 def profile_matches_person(url: Column, name: Column) -> Column:
     """First and last name among the slug's parts, or as one; a single name must be the whole slug."""
 
     def match(x: Column) -> Column:
-        tokens = x["tokens"]
-        parts = F.filter(F.split(F.lower(I.fold(x["slug"])), "[-_]+"), lambda p: p != "")
+        tokens, parts = x["tokens"], x["parts"]
         kept = F.filter(parts, lambda p: ~((p.rlike("^[a-f0-9]{5,}$") & ~F.array_contains(tokens, p)) | p.rlike("^[0-9]{2,}$")))
         kept = F.when(F.size(kept) > 0, kept).otherwise(parts)
         first, last = F.get(tokens, F.lit(0)), F.get(tokens, F.size(tokens) - 1)
         compact = F.array_join(kept, "")
         two = (F.array_contains(kept, first) & F.array_contains(kept, last)) | compact.isin(F.concat(first, last), F.concat(last, first), F.concat(F.substring(first, 1, 1), last))
-        return F.when(F.size(tokens) >= 2, two).otherwise(F.array_contains(kept, first) & (compact == first))
+        fits = F.when(F.size(tokens) >= 2, two).otherwise(F.array_contains(kept, first) & (compact == first))
+        return parts.isNotNull() & (F.size(tokens) > 0) & F.coalesce(fits, F.lit(False))
 
-    tokens = I.name_tokens(name)
-    found = bound(F.struct(profile_slug(url).alias("slug"), tokens.alias("tokens")), match)
-    return F.when(profile_slug(url).isNull() | (F.size(tokens) == 0), False).otherwise(F.coalesce(found, F.lit(False)))
+    return bound(F.struct(slug_parts(url).alias("parts"), I.name_tokens(name).alias("tokens")), match)
 
 
 def annotated(email: Column, name: Column, profile: Column, accepts: Column, name_from_email: Column, on_domain: Column) -> Column:

@@ -10,6 +10,7 @@ from outlake.functions import identity, people
 from outlake.functions.text import AGGREGATORS
 from outlake.operators.claims import greedy
 from outlake.operators.suppression import match
+from outlake.sources.store import written
 
 
 def gate(rows: DataFrame, suppressions: DataFrame) -> DataFrame:
@@ -24,7 +25,9 @@ def gate(rows: DataFrame, suppressions: DataFrame) -> DataFrame:
     # a role inbox goes when the profile is surely the person's
     kept = F.when(F.col("__generic") & (url != "") & (name != "") & F.col("__fits"), "").otherwise(email)
     at = at.withColumn("__kept", kept)
-    person = identity.email_matches_person(F.col("__kept"), name)
+    # a column of its own: what is used often is neither computed nor planned as often
+    at = at.withColumn("__person", identity.email_matches_person(F.col("__kept"), name))
+    person = F.col("__person")
     has_profile = (url != "") & F.col("__fits")
     decision = (
         F.when((email != "") & ~people.valid_address(email), "invalid_email")
@@ -39,11 +42,13 @@ def gate(rows: DataFrame, suppressions: DataFrame) -> DataFrame:
         .otherwise("accept")
     )
     warning = F.when((url != "") & (name != "") & ~F.col("__fits"), "linkedin_does_not_match_name")
-    return at.select("contact_id", decision.alias("decision"), F.when(decision.startswith("accept"), warning).alias("warning"))
+    at = at.withColumn("__warning", warning).select("contact_id", decision.alias("decision"), "__warning")
+    return at.select("contact_id", "decision", F.when(F.col("decision").startswith("accept"), F.col("__warning")).alias("warning"))
 
 
 def import_counters(decided: DataFrame, samples: int = 5) -> DataFrame:
     """Per decision its count and the first ids of refused rows."""
+    decided = written(decided.select("contact_id", "decision", "warning"))
     n = F.row_number().over(W.partitionBy("decision").orderBy("contact_id"))
     few = decided.withColumn("n", n).where((F.col("n") <= samples) & ~F.col("decision").startswith("accept"))
     few = few.groupBy("decision").agg(F.array_join(F.array_sort(F.collect_list("contact_id")), ",").alias("samples"))

@@ -29,9 +29,13 @@ def candidates(addresses: DataFrame, entries: DataFrame, id_col: str, email_col:
 def match(addresses: DataFrame, entries: DataFrame, id_col: str, email_col: str) -> DataFrame:
     """The entry that blocks each blocked address: addresses before domains, the most specific domain first, among
     equals the first of the list (newest, then by value)."""
+    newest = (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("o")
+    # of entries with the same key the first of the list is all that can block: an address meets each key once
+    key = F.when(F.col("kind") == "address", canonical_mailbox(F.col("value"))).otherwise(F.lower("value"))
+    firsts = entries.groupBy("kind", key.alias("__key")).agg(F.min(F.struct(newest, "value", "suppression_id", "created_at")).alias("x")).select("kind", "x.*")
     # the smallest of a struct needs no sort of an address's entries
-    order = F.struct("__depth", (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("o"), "value", "suppression_id", "kind")
-    best = candidates(addresses, entries, id_col, email_col).groupBy(id_col).agg(F.min(order).alias("b"))
+    order = F.struct("__depth", newest, "value", "suppression_id", "kind")
+    best = candidates(addresses, firsts, id_col, email_col).groupBy(id_col).agg(F.min(order).alias("b"))
     return best.select(id_col, "b.suppression_id", "b.kind", "b.value")
 
 

@@ -149,12 +149,11 @@ def address_patterns(name: Column, domain: Column) -> Column:
     def shapes(t: Column) -> Column:
         first, last = F.get(t, F.lit(0)), F.get(t, F.size(t) - 1)
         joined = [(first, ".", last), (first, "", last), (F.substring(first, 1, 1), "", last), (first, "_", last), (first, "-", last), (last, ".", first)]
-        return F.array_distinct(F.array(*[F.concat(a, F.lit(sep), b, F.lit("@"), d) for a, sep, b in joined]))
+        made = F.array_distinct(F.array(*[F.concat(a, F.lit(sep), b, F.lit("@"), d) for a, sep, b in joined]))
+        fine = lambda e: ~I.is_generic_inbox(e) & I.email_matches_tokens(e, t)
+        return F.when((F.size(t) >= 2) & d.contains("."), F.filter(made, fine)).otherwise(F.array().cast("array<string>"))
 
-    fine = lambda e: ~I.is_generic_inbox(e) & I.email_matches_person(e, name)
-    tokens = I.name_tokens(name)
-    none = F.array().cast("array<string>")
-    return F.when((F.size(tokens) >= 2) & d.contains("."), F.filter(bound(tokens, shapes), fine)).otherwise(none)
+    return bound(I.name_tokens(name), shapes)
 
 
 @F.pandas_udf(BooleanType())

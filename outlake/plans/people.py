@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from outlake.functions import identity, mail, people, schedule, text
 from outlake.plans.entities import _quoted
 from outlake.plans.views import AS_OF, load
+from outlake.sources.store import spread
 
 _PERSON_SUFFIXES, _GENERIC_LIST = _quoted(identity.PERSON_SUFFIXES), _quoted(identity.GENERIC_LOCALS)
 _ROLE_LIST = _quoted(people.EXTRA_ROLE_LOCALS)
@@ -116,7 +117,7 @@ PEOPLE = {
         f"with {PARTS} select contact_id, case kind {_KINDS} else 'Unknown' end as label from known",
     ),
     "f23_address_patterns": (
-        lambda s, d: load(s, d, "people").select("contact_id", F.posexplode(people.address_patterns(F.col("person"), F.col("domain"))).alias("place", "address")),
+        lambda s, d: spread(load(s, d, "people").select("contact_id", "person", "domain")).select("contact_id", F.posexplode(people.address_patterns(F.col("person"), F.col("domain"))).alias("place", "address")),
         f"""with {PARTS}, t as (select contact_id, tok[1] as f, tok[-1] as g, domain from pb where len(tok) >= 2 and domain is not null),
  x as (select contact_id, unnest([f || '.' || g, f || g, f[1] || g, f || '_' || g, f || '-' || g, g || '.' || f]) as l, unnest(range(0, 6)) as place, domain from t)
  select contact_id, cast(place as integer) as place, l || '@' || domain as address from x""",

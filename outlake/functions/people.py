@@ -39,10 +39,11 @@ NAME_THEN_TITLE = rf"{FULL_NAME}\s*(?:,|–|—|-|\|)\s*{TITLE_WORDS}"
 TITLE_THEN_NAME = rf"{TITLE_WORDS}\s*(?:,|:|–|—|-|\|)?\s*{FULL_NAME}"
 # Labels of address kinds.
 KIND_LABELS = {"personal": "Personal address", "named_unmatched": "Named, unmatched", "generic": "Role inbox", "none": "No address", "unknown": "Unknown"}
-# Forms of addresses and profiles, of companies, and the least similarity of a name and a domain.
+# Forms of addresses and profiles, of what looks like a hash in a slug, of companies, and the least similarity of a name and a domain.
 ADDRESS = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)+$"
 PROFILE = r"(?i)^https://(?:www\.)?linkedin\.com(/in/[^?#]*)"
 ANY_PROFILE = r"(?i)^[a-z]+://(?:www\.)?linkedin\.com/in/([^/?#]+)"
+HASH = "^[a-f0-9]{5,}$"
 COMPANY_FORMS = r"\b(incorporated|inc|llc|ltd|corp|corporation|co|company)\b\.?"
 SIMILAR = 0.85
 
@@ -94,20 +95,43 @@ def slug_parts(url: Column) -> Column:
     return F.filter(F.split(F.lower(I.fold(profile_slug(url))), "[-_]+"), lambda p: p != "")
 
 
-def profile_matches_person(url: Column, name: Column) -> Column:
-    """First and last name among the slug's parts, or as one; a single name must be the whole slug."""
+def _kept(parts: Column, tokens: Column) -> Column:
+    """Parts of a slug without numbers and what looks like a hash, unless it is a name; if nothing is left, all of them."""
+    kept = F.filter(parts, lambda p: ~((p.rlike(HASH) & ~F.array_contains(tokens, p)) | p.rlike("^[0-9]{2,}$")))
+    return F.when(F.size(kept) > 0, kept).otherwise(parts)
+
+
+def slug_keys(parts: Column) -> Column:
+    """What a slug of these parts has in common with each name that it fits (see ``name_keys``): its parts, and all that
+    count as one."""
+    whole = F.array_join(_kept(parts, F.array().cast("array<string>")), "")
+    return F.array_distinct(F.array_append(parts, whole))
+
+
+def name_keys(tokens: Column) -> Column:
+    """What a name has in common with each slug that it fits: its first word, its words as one, and words like a hash,
+    as only with them other parts count."""
+    first, last = F.get(tokens, F.lit(0)), F.get(tokens, F.size(tokens) - 1)
+    joined = F.array(first, F.concat(first, last), F.concat(last, first), F.concat(F.substring(first, 1, 1), last))
+    return F.array_distinct(F.concat(joined, F.filter(tokens, lambda t: t.rlike(HASH))))
 
-    def match(x: Column) -> Column:
-        tokens, parts = x["tokens"], x["parts"]
-        kept = F.filter(parts, lambda p: ~((p.rlike("^[a-f0-9]{5,}$") & ~F.array_contains(tokens, p)) | p.rlike("^[0-9]{2,}$")))
-        kept = F.when(F.size(kept) > 0, kept).otherwise(parts)
+
+def parts_match_tokens(parts: Column, tokens: Column) -> Column:
+    """Whether a slug of these parts fits the name of these tokens: see ``profile_matches_person``."""
+
+    def match(kept: Column) -> Column:
         first, last = F.get(tokens, F.lit(0)), F.get(tokens, F.size(tokens) - 1)
         compact = F.array_join(kept, "")
         two = (F.array_contains(kept, first) & F.array_contains(kept, last)) | compact.isin(F.concat(first, last), F.concat(last, first), F.concat(F.substring(first, 1, 1), last))
         fits = F.when(F.size(tokens) >= 2, two).otherwise(F.array_contains(kept, first) & (compact == first))
         return parts.isNotNull() & (F.size(tokens) > 0) & F.coalesce(fits, F.lit(False))
 
-    return bound(F.struct(slug_parts(url).alias("parts"), I.name_tokens(name).alias("tokens")), match)
+    return bound(_kept(parts, tokens), match)
+
+
+def profile_matches_person(url: Column, name: Column) -> Column:
+    """First and last name among the slug's parts, or as one; a single name must be the whole slug."""
+    return bound(F.struct(slug_parts(url).alias("parts"), I.name_tokens(name).alias("tokens")), lambda x: parts_match_tokens(x["parts"], x["tokens"]))
 
 
 def annotated(email: Column, name: Column, profile: Column, accepts: Column, name_from_email: Column, on_domain: Column) -> Column:

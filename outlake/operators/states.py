@@ -10,6 +10,7 @@ from outlake.functions import identity, people
 from outlake.operators import analytics
 from outlake.operators.pipeline import has_evidence, may_have_left
 from outlake.operators.prefix import following, running
+from outlake.sources.store import written
 
 # Columns that a wrong site empties, the wording of warnings, and states of companies that were never read.
 PROFILE_COLUMNS = ("domain", "summary")
@@ -68,8 +69,15 @@ def deletion(companies: DataFrame, contacts: DataFrame, emails: DataFrame, force
 def linked_profiles(persons: DataFrame, links: DataFrame) -> DataFrame:
     """Persons of a page with its first profile link that fits their name.  ``persons`` has page_id, contact_id, person;
     ``links`` page_id, place, url."""
-    at = persons.join(links, "page_id").where(people.profile_matches_person(F.col("url"), F.col("person")))
-    return at.groupBy("page_id", "contact_id").agg(F.min_by("url", F.struct("place", "url")).alias("url"))
+    named = written(persons.select("page_id", "contact_id", identity.name_tokens(F.col("person")).alias("tokens")).where(F.size("tokens") > 0))
+    slugs = written(links.select("page_id", "place", "url", people.slug_parts(F.col("url")).alias("parts")).where("parts is not null"))
+    # each name of a page meets each slug that shares a key with it, once: equal names and equal slugs are one
+    names = named.select("page_id", "tokens").distinct().withColumn("key", F.explode(people.name_keys(F.col("tokens"))))
+    first = slugs.groupBy("page_id", "parts").agg(F.min(F.struct("place", "url")).alias("x")).withColumn("key", F.explode(people.slug_keys(F.col("parts"))))
+    # files say little of how large such rows are in memory: no broadcasts
+    met = names.hint("merge").join(first, ["page_id", "key"]).where(people.parts_match_tokens(F.col("parts"), F.col("tokens")))
+    best = met.groupBy("page_id", "tokens").agg(F.min("x").alias("x"))
+    return named.hint("merge").join(best, ["page_id", "tokens"]).groupBy("page_id", "contact_id").agg(F.min("x")["url"].alias("url"))
 
 
 def off_domain_notes(contacts: DataFrame, companies: DataFrame, emails: DataFrame) -> DataFrame:

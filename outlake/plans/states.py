@@ -12,7 +12,7 @@ from outlake.plans.people import _WINDOW, PARTS, known, window
 from outlake.plans.reports import _EVIDENCE, _EVIDENCED, _FLAGS, _FOLLOW, _board
 from outlake.plans.views import load
 from outlake.sources import store
-from outlake.sources.store import event_stream
+from outlake.sources.store import event_stream, spread
 from outlake.streaming import keyed, streams, timed
 
 _LEFT = "(status = 'sent' or gmail_message_id is not null or send_attempted_at is not null)"
@@ -47,7 +47,7 @@ def _edits(s, d):
 
 
 def _page_links(s, d):
-    p = load(s, d, "people").where("company_id is not null")
+    p = spread(load(s, d, "people").select("contact_id", "company_id", "person", "profile")).where("company_id is not null")
     return p.select(F.col("company_id").alias("page_id"), "contact_id", "person"), p.where("profile is not null").select(F.col("company_id").alias("page_id"), F.col("contact_id").alias("place"), F.col("profile").alias("url"))
 
 

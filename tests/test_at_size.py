@@ -1,9 +1,11 @@
 """What larger tables need: plans that stay short, values computed once, joins that don't grow with the square of a group."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from outlake.functions import people
-from outlake.operators import ingest
+from outlake.operators import ingest, states
 from outlake.plans.views import load
 from outlake.sources import store
 from tests.conftest import SF
@@ -43,3 +45,15 @@ def test_few_files_are_dealt_out(spark):
     rows = store.spread(load(spark, SF, "nation"))
     assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert rows.count() == 25
+
+
+def test_profiles_meet_the_names_that_they_share_a_key_with(spark):
+    rng = random.Random(31)
+    words = ["ana", "bob", "Zoë", "doe", "beef1", "dead", "facade", "kim", "12", "12345", "a1b2c3", "anadoe", "adoe", "PhD", "x"]
+    some = lambda lo, hi, sep: sep.join(rng.choice(words) for _ in range(rng.randrange(lo, hi)))
+    persons = spark.createDataFrame([(rng.choice([1, 2, None]), i, rng.choice([None, some(0, 4, " ")])) for i in range(400)], "page_id int, contact_id int, person string")
+    links = spark.createDataFrame([(rng.choice([1, 2, None]), i, rng.choice([None, "https://example.org/in/ana-doe", "https://www.linkedin.com/in/" + some(0, 4, rng.choice("-_"))])) for i in range(300)], "page_id int, place int, url string")
+    want = persons.join(links, "page_id").where(people.profile_matches_person(F.col("url"), F.col("person"))).groupBy("page_id", "contact_id").agg(F.min_by("url", "place").alias("url"))
+    got = states.linked_profiles(persons, links)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 30
+    assert "translate" not in plan(got)  # names and slugs were taken apart before they met

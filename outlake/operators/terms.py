@@ -27,6 +27,7 @@ def found_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     An inverted index: words of texts, once per text and place, meet the terms by each term's rarest word; what meets is
     checked word by word.  The plan doesn't grow with the terms, and frequent words lead nowhere.
     """
+    # "merge": files of words that repeat are small on disk and say little of the rows in memory, so no broadcasts go by them
     role, both = words(F.col("role")), words(F.concat_ws(" ", "role", "evidence"))
     at = written(texts.select("text_id", F.explode(F.array(F.struct(F.lit("role").alias("place"), role.alias("words")), F.struct(F.lit("education").alias("place"), both.alias("words")))).alias("x")).select("text_id", "x.place", "x.words"))
     index = at.select("text_id", "place", F.explode(F.array_distinct("words")).alias("word"))
@@ -35,11 +36,11 @@ def found_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     loose = (F.col("place") == "role") & (F.size(telling) > 0)
     asked = written(terms.select("term_id", "place", loose.alias("loose"), F.when(loose, F.array_distinct(telling)).otherwise(all_words).alias("asked")).where(F.size("asked") > 0))
     counts = index.groupBy("place", "word").agg(F.count("*").alias("n"))
-    each = asked.select("term_id", "place", F.explode(F.array_distinct("asked")).alias("word")).join(counts, ["place", "word"], "left")
+    each = asked.select("term_id", "place", F.explode(F.array_distinct("asked")).alias("word")).join(counts.hint("merge"), ["place", "word"], "left")
     # a word that no text has rules its term out, and is the rarest
     rarest = each.groupBy("term_id", "place").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    keyed = asked.join(rarest, ["term_id", "place"])
-    met = index.join(keyed, ["place", "word"]).join(at, ["text_id", "place"])
+    keyed = asked.join(rarest.hint("merge"), ["term_id", "place"])
+    met = index.hint("merge").join(keyed, ["place", "word"]).join(at.hint("merge"), ["text_id", "place"])
     # blanks around the words make a phrase a part of the text's words
     joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     fits = F.when(F.col("loose"), F.size(F.array_except("asked", "words")) == 0).otherwise(F.contains(joined("words"), joined("asked")))
@@ -49,7 +50,7 @@ def found_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def criteria_scores(people: DataFrame, terms: DataFrame) -> DataFrame:
     """``contact_id, score, matched, alumni_match``: which share of the criteria (``terms``: criterion, term, place; a
     school's other names are further terms of its criterion) a person meets.  ``people`` has contact_id, title, evidence."""
-    named = written(terms.select("criterion", "place", "term", F.struct("criterion", "term", "place").alias("term_id")))
+    named = written(terms.select("criterion", "place", "term", F.struct("criterion", "term", "place").alias("term_id")).distinct())
     n = named.select("criterion").distinct().count()
     texts = people.select(F.col("contact_id").alias("text_id"), F.col("title").alias("role"), "evidence")
     hits = found_terms(texts, named.select("term_id", "term", "place"))

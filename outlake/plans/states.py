@@ -235,7 +235,7 @@ STATES = {
  select o.contact_id, outcome, outcome = 'changed' and cb is not null as clears_bounce, case when outcome = 'changed' then coalesce(q, 0) else 0 end as dropped_schedules, case when outcome = 'changed' then coalesce(b, 0) else 0 end as cleared_rows from o left join m on m.contact_id = o.contact_id""",
     ),
     "f45_criteria_scores": (
-        lambda s, d: terms.criteria_scores(load(s, d, "people").select("contact_id", "title", F.col("notes").alias("evidence")), _sql(_CRITERIA)(s, d, "results")),
+        lambda s, d: terms.criteria_scores(spread(load(s, d, "people").select("contact_id", "title", F.col("notes").alias("evidence"))), _sql(_CRITERIA)(s, d, "results")),
         rf"""with cr as ({_CRITERIA.format('results')}), ps as (select contact_id, list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda w: w <> '') as r, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, notes)), '[^a-z0-9]+'), lambda w: w <> '') as b from people),
  ct as (select *, list_filter(regexp_split_to_array(lower(term), '[^a-z0-9]+'), lambda w: w <> '') as a from cr), cw as (select *, list_filter(a, lambda w: length(w) >= 3 or w in ({_quoted(terms.SHORT)})) as t from ct where len(a) > 0),
  m as (select contact_id, criterion, place from ps, cw where case when place = 'role' and len(t) > 0 then list_has_all(r, t) when place = 'role' then contains(' ' || array_to_string(r, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ') else contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ') end),

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from outlake.functions import people
-from outlake.operators import ingest, states
+from outlake.operators import ingest, states, terms
 from outlake.plans.views import load
 from outlake.sources import store
 from tests.conftest import SF
@@ -57,3 +57,23 @@ def test_profiles_meet_the_names_that_they_share_a_key_with(spark):
     got = states.linked_profiles(persons, links)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 30
     assert "translate" not in plan(got)  # names and slugs were taken apart before they met
+
+
+def test_texts_that_repeat_are_not_broadcast(spark):
+    texts = spark.range(50_000).selectExpr("id as text_id", "concat('head of sales w', id % 5) as role", "'met at a fair' as evidence")
+    asked = spark.range(3_000).selectExpr("id % 3 as term_id", "concat('w', id % 3) as term", "'role' as place")
+    found = terms.found_terms(texts, asked)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30_000
+
+
+def test_criteria_given_often_are_looked_up_once(spark):
+    texts = spark.createDataFrame([(1, "head of sales", None), (2, None, None)], "contact_id int, title string, evidence string")
+    asked = spark.range(500).selectExpr("'s' as criterion", "'sales' as term", "'role' as place")
+    seen, found = [], terms.found_terms
+    terms.found_terms = lambda at, named: seen.append(named.count()) or found(at, named)
+    try:
+        got = terms.criteria_scores(texts, asked).collect()
+    finally:
+        terms.found_terms = found
+    assert seen == [1] and {tuple(r) for r in got} == {(1, 1.0, "s", False), (2, 0.0, "", False)}

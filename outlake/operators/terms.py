@@ -61,6 +61,13 @@ def criteria_scores(people: DataFrame, terms: DataFrame) -> DataFrame:
     return out.select("contact_id", F.round(F.coalesce(F.size("matched"), F.lit(0)) / max(n, 1), 3).alias("score"), F.array_join(F.coalesce("matched", F.array().cast("array<string>")), "|").alias("matched"), F.coalesce("alumni_match", F.lit(False)).alias("alumni_match"))
 
 
+def caseless(text: Column) -> Column:
+    """Text as it is compared whatever its case: letters that become several ones (ß is SS) or that have several small forms
+    included.  Capitals with a small form that isn't theirs alone (ẞ, the sign of Kelvin) need both steps, and Spark drops
+    the first if nothing stands between."""
+    return F.upper(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+
+
 def grounded(records: DataFrame, pages: DataFrame) -> DataFrame:
     """``record_id, email`` of extracted records that their page bears out: the address is one of the page's (and is given
     as the page writes it), a quote of 20 characters or more stands there literally whatever the case and blanks, and so
@@ -69,14 +76,14 @@ def grounded(records: DataFrame, pages: DataFrame) -> DataFrame:
     ``records`` has record_id, page_id, email, quote and source_url; ``pages`` page_id and text.  Records go to their
     page in groups of ``QUOTES``, so that a page's text is sent once for so many records and none is gathered without bound.
     """
-    squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     clean = records.select(
         "record_id", "page_id", F.lower(F.trim(F.coalesce("email", F.lit("")))).alias("email"), squeeze(F.coalesce("quote", F.lit(""))).alias("quote"), F.trim(F.coalesce("source_url", F.lit(""))).alias("source")
-    ).where("email <> '' and length(quote) >= 20")
+    ).where("email <> '' and length(lower(quote)) >= 20").withColumn("quote", caseless(F.col("quote")))
     sizes = clean.groupBy("page_id").agg(F.ceil(F.count("*") / QUOTES).alias("parts"))
     parted = clean.join(sizes, "page_id").withColumn("part", F.pmod(F.xxhash64("record_id"), "parts"))
     asked = parted.groupBy("page_id", "part").agg(F.collect_list(F.struct("record_id", "email", "quote", "source")).alias("asked"))
-    known = pages.select("page_id", "text", squeeze(F.col("text")).alias("squeezed"), addresses_in(F.col("text")).alias("known"))
+    known = pages.select("page_id", "text", caseless(squeeze(F.col("text"))).alias("squeezed"), addresses_in(F.col("text")).alias("known"))
     at = asked.join(known, "page_id").select("text", "squeezed", "known", F.explode("asked").alias("r"))
     written_as = F.get(F.filter("known", lambda x: F.lower(x) == F.col("r.email")), F.lit(0))
     fits = written_as.isNotNull() & F.contains("squeezed", "r.quote") & ((F.col("r.source") == "") | F.contains("text", "r.source"))

@@ -77,3 +77,11 @@ def test_criteria_given_often_are_looked_up_once(spark):
     finally:
         terms.found_terms = found
     assert seen == [1] and {tuple(r) for r in got} == {(1, 1.0, "s", False), (2, 0.0, "", False)}
+
+
+def test_quotes_stand_in_their_page_whatever_their_case(spark):
+    page = "Die Straße nach Süden führt  weiß Gott zur Küste, ΟΔΟΣ ΠΡΟΣ ΒΟΡΡΑ. Write to Ana@acme.org."
+    quotes = ["DIE STRASSE NACH SÜDEN FÜHRT", "die straße nach süden führt", "STRAẞE NACH SÜDEN FÜHRT", "FÜHRT WEISS GOTT ZUR KÜSTE", "οδος προς βορρα. write", "die strase nach süden führt", "Straße nach Süden f"]
+    records = spark.createDataFrame([(i, 1, "ana@acme.org", q, "") for i, q in enumerate(quotes)], "record_id int, page_id int, email string, quote string, source_url string")
+    got = terms.grounded(records, spark.createDataFrame([(1, page)], "page_id int, text string"))
+    assert {tuple(r) for r in got.collect()} == {(i, "Ana@acme.org") for i in range(5)}
